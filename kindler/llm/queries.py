@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, url_rules
+from . import chat_format, decontaminate, packing, quality_gbt, toxicity_gru, url_rules
 from .common import table
 
 
@@ -88,6 +88,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)"""
 
 
+def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_gbt.train(docs, labels, "quality", modulus=4, held_out=2)
+    scored = quality_gbt.classify(docs, model, threshold=0.7)
+    return scored.select("doc_id", (quality_gbt.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_gru.train(docs, labels, "toxic", modulus=5, held_out=0)
+    scored = toxicity_gru.classify(docs, model, threshold=0.5)
+    return scored.select("doc_id", (quality_gbt.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+#: The tokenizer's place is a parameter; by default the installed public vocabulary files.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path or public_tokenizers.path(TOKENIZER), 2048, 0)
+    return packing.pack(cut, 2048)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
