@@ -86,7 +86,7 @@ def byte_sums(raw: np.ndarray, folded: bool = False) -> np.ndarray:
     return out
 
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(sums: np.ndarray, start, end) -> np.ndarray:
     return mix((sums[end] - sums[start]) * powers(_P_INV, len(sums))[start])
 
 
