@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_gbt, suffix_dedup, toxicity_gru, url_rules
+from . import chat_format, decontaminate, packing, quality_gbt, rindex_dedup, suffix_dedup, toxicity_gru, url_rules
 from .common import table
 
 
@@ -130,6 +130,12 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str |
     return packing.pack(cut, 2048)
 
 
+def op8_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rindex_dedup.dedup(table(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
