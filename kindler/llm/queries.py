@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_gbt, rindex_dedup, suffix_dedup, toxicity_gru, url_rules
+from . import chat_format, decontaminate, packing, quality_gbt, rindex_dedup, signature_join, suffix_dedup, toxicity_gru, url_rules
 from .common import table
 
 
@@ -88,6 +88,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)"""
 
 
+def op2_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(table(spark, sf_dir, "documents"), 5, 80)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), 35)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
