@@ -27,7 +27,13 @@ _FOLD[65:91] += 32
 def tokens(offs: np.ndarray, raw: np.ndarray):
     """(distinct words as (bucket, gram ids, gram bounds), index of every word into them, first word of each document)."""
     start, end, first = K.words_of(offs, raw)
-    h = K.range_hash(K.byte_sums(raw, folded=True), start, end)
+    h = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(offs) - 1:  # prefix sums of a few documents at a time
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 20), "right")) - 1)
+        own = slice(first[at], first[to])
+        h[own] = K.range_hash(K.byte_sums(raw[offs[at] : offs[to]], folded=True), start[own] - offs[at], end[own] - offs[at])
+        at = to
     unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     s, e = start[where], end[where]
     size = e - s
@@ -259,11 +265,13 @@ def classify(docs: DataFrame, model: Gru, threshold: float = 0.5, keep: tuple[st
     ids are scored alike; an empty table gives no rows.  Only ``text`` is an
     input of the score.
     """
+    text = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
 
     def run(batches):
-        for b in K.chunks(batches, "_text", 1 << 20):
-            score = model.score(*K.offsets_of(b.column("_text")))
+        for b in K.chunks(batches, text, 1 << 20):
+            score = model.score(*K.offsets_of(b.column(text)))
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
