@@ -13,7 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,7 +59,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
+def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """row_key, doc_id and text (plus ``more``); other columns are left out, so their names cannot clash."""
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text", *more)
 

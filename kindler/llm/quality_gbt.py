@@ -169,13 +169,13 @@ def classify(docs: DataFrame, model: Trees, threshold: float = 0.7, keep: tuple[
     ids and ties are scored alike; an empty table gives no rows.  Only ``keep``
     and ``text`` are read, and of these only ``text`` is an input of the score.
     """
-
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    text = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
-        for b in K.chunks(batches, "_text"):
-            score = model.score(statistics(*K.offsets_of(b.column("_text"))))
+        for b in K.chunks(batches, text):
+            score = model.score(statistics(*K.offsets_of(b.column(text))))
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return rows.mapInArrow(run, f"{schema}, score double, predicted int")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_gbt, rindex_dedup, signature_join, suffix_dedup, toxicity_gru, url_rules
-from .common import table
+from . import chat_format, chroma, decontaminate, packing, quality_gbt, rindex_dedup, signature_join, suffix_dedup, toxicity_gru, url_rules
+from .common import table, written
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN gl USING (rid)"""
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(chroma.fingerprints(chroma.rendered(table(spark, sf_dir, "embeddings")), "rec", "wav"))
+    found = chroma.search(prints, every=20)
+    return found.select(F.col("rec").alias("vec_id"), F.size("fp").cast("long").alias("n_fingerprints"), F.sha2(F.array_join(F.col("fp").cast("array<string>"), ","), 256).alias("fingerprint_sha256"), F.size("matches").cast("long").alias("n_matches"), "matches")
+
+
 def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_gbt.train(docs, labels, "quality", modulus=4, held_out=2)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
@@ -130,7 +130,7 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
     return found.groupBy("row_key").agg(F.collect_list("a").alias("starts"))
 
 
-def dedup(documents: DataFrame, size: int = 35, gram: int = 12) -> DataFrame:
+def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column | None = None) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_words long, spans array<struct<start, end>>, kept string.
 
     ``spans`` are the maximal runs of words covered by windows of ``size`` words
@@ -139,9 +139,9 @@ def dedup(documents: DataFrame, size: int = 35, gram: int = 12) -> DataFrame:
     that repeat doc_id and text are repeats of each other; rows that share only
     the id, or have none, are rows like any other.  Texts shorter than a window
     lose nothing, however often they occur.  An empty table gives no rows; other
-    columns are not read.
+    columns are not read, but ``carry`` (say a struct of them) is returned as it is.
     """
-    docs = keyed(documents)
+    docs = keyed(documents, (F.lit(None).cast("string") if carry is None else carry).alias("carry"))
 
     def finish(batches):
         for c in K.chunks(batches):
@@ -168,8 +168,9 @@ def dedup(documents: DataFrame, size: int = 35, gram: int = 12) -> DataFrame:
             size_of = np.bincount(row[k], items.end[k] - items.start[k] + more, n).astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(size_of)]).astype(np.int32)
             text = pa.StringArray.from_buffers(n, pa.py_buffer(offs), pa.py_buffer(raw[mask]))
-            yield pa.record_batch([c.column("doc_id"), pa.array(np.diff(items.first)), R.span_array(*R.spans_of(gone, items.first), n), text], names=["doc_id", "n_words", "spans", "kept"])
+            yield pa.record_batch([c.column("doc_id"), c.column("carry"), pa.array(np.diff(items.first)), R.span_array(*R.spans_of(gone, items.first), n), text], names=["doc_id", "carry", "n_words", "spans", "kept"])
 
-    kind = documents.select("doc_id").schema[0].dataType.simpleString()
-    rows = R.join_rows(docs.select("row_key", "doc_id", "text"), repeated_windows(docs, size, gram), "left")
-    return rows.select("doc_id", "text", "starts").mapInArrow(finish, f"doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    rows = R.join_rows(docs, repeated_windows(docs, size, gram), "left")
+    made = rows.select("doc_id", "carry", "text", "starts").mapInArrow(finish, f"doc_id {kinds['doc_id']}, carry {kinds['carry']}, n_words long, spans array<struct<start:int,end:int>>, kept string")
+    return made.drop("carry") if carry is None else made
