@@ -11,6 +11,7 @@ executors turn (length, rank) into a place by binary search.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -25,27 +26,59 @@ from .common import partitions, written
 PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LETTER, _DIGIT, _OTHER, _SPACE = 1, 2, 3, 0
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[K.SPACES] = _SPACE
+_KIND[[*range(48, 58)]] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+#: Bytes that keep a word whole: the apostrophe (contractions), < (special tokens) and leads other than that of U+00C0-U+00FF.
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[0x27, 0x3C, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+
+
 class WordEncoder:
-    """Token ids of texts, each distinct word (between ASCII white space) encoded once.
+    """Token ids of texts, each distinct unit encoded once.
 
-    Exact for tokenizers that drop white space and never merge across it.
+    For tokenizers that lower-case, drop white space and encode runs of letters,
+    single digits and runs of other characters on their own.  Words of ASCII and
+    the letters U+00C0-U+00FF are cut into such runs; any other word is one unit.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.is_end[ends] = True
         self.reset()
 
     def reset(self) -> None:
         self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes, starts, ends, raw) -> None:
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in batch(texts, add_special_tokens=False)]
+
+    def learn(self, hashes, starts, ends, raw, plain) -> None:
+        """``plain``: units that are one run of letters; many are encoded as one text and told apart by the word-end tokens."""
         data = raw.tobytes()
-        got = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch([data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
-        size = np.array([len(g) for g in got], np.int64)
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        order = np.argsort(~plain, kind="stable")
+        hashes, starts, ends = hashes[order], starts[order], ends[order]
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        n = int(plain.sum())
+        flat = [np.zeros(0, np.uint32)]
+        for a in range(0, n, 4096):
+            many = [" ".join(texts[i : min(i + 256, n)]) for i in range(a, min(a + 4096, n), 256)]
+            flat += [np.array(ids, np.uint32) for ids in self._encode(many)]
+        flat = np.concatenate(flat)
+        size = np.diff(np.append(-1, np.flatnonzero(self.is_end[flat]))) if len(flat) else np.zeros(0, np.int64)
+        if len(size) != n or size.sum() != len(flat):
+            raise ValueError("the tokenizer does not encode runs of letters as single words")
+        rest = [np.asarray(ids, np.uint32) for a in range(n, len(texts), 4096) for ids in self._encode(texts[a : a + 4096])]
+        size = np.concatenate([size, [len(g) for g in rest]]).astype(np.int64)
+        flat = np.concatenate([flat, *rest])
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -55,31 +88,57 @@ class WordEncoder:
         order = np.argsort(hashes)
         self.hashes, self.at, self.size = hashes[order], at[order], size[order]
 
+    def units(self, offs, raw):
+        """(start, end, hash, plain) of all units."""
+        kind = _KIND[raw]
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offs] = True
+        begin = kind != _SPACE
+        begin[1:] &= (kind[1:] != kind[:-1]) | edge[1:-1]
+        word_start, word_end, _ = K.words_of(offs, raw)
+        odd = _WHOLE[raw]
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        start = np.flatnonzero(begin)
+        whole = np.zeros(len(start), bool)
+        if odd.any():
+            bad = np.unique(np.searchsorted(word_start, np.flatnonzero(odd), "right") - 1)
+            owner = np.searchsorted(word_start, start, "right") - 1
+            whole = np.isin(owner, bad)
+            stay = ~whole | (word_start[owner] == start)
+            start, whole = start[stay], whole[stay]
+        owner = np.searchsorted(word_start, start, "right") - 1
+        end = np.minimum(np.append(start[1:], len(raw)), word_end[owner]) if len(start) else start
+        h = K.range_hash(K.byte_sums(raw, folded=True), start, end)
+        if whole.any():
+            h[whole] = K.range_hash(K.byte_sums(raw), start[whole], end[whole]) ^ np.uint64(0x5DEECE66D)
+        return start, end, h, (kind[start] == _LETTER) & ~whole
+
     def encode(self, offs, raw):
         """(ids of all documents, first id of each document and one more)."""
-        start, end, first = K.words_of(offs, raw)
-        h = K.range_hash(K.byte_sums(raw), start, end)
+        start, end, h, plain = self.units(offs, raw)
+        first = np.searchsorted(start, offs)
         unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > self.keep:
             self.reset()
         at = np.searchsorted(self.hashes, unique)
-        new = (at == len(self.hashes)) | (self.hashes[np.minimum(at, max(0, len(self.hashes) - 1))] != unique) if len(self.hashes) else np.ones(len(unique), bool)
+        new = np.append(self.hashes, np.uint64(0))[at] != unique
+        new |= at == len(self.hashes)
         if new.any():
-            self.learn(unique[new], start[where[new]], end[where[new]], raw)
+            self.learn(unique[new], start[where[new]], end[where[new]], raw, plain[where[new]])
             at = np.searchsorted(self.hashes, unique)
         size, source = self.size[at][inverse], self.at[at][inverse]
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(source - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[first]
-        return ids, bounds
+        return ids, np.concatenate([[0], ends])[first]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of every row of ``docs`` (doc_id, text): its ids and ``end_id``, cut only when longer than ``capacity``."""
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = WordEncoder(tokenizer_path)
-        for b in K.chunks(batches):
+        for b in K.chunks(batches, limit=1 << 20):
             ids, bounds = encoder.encode(*K.offsets_of(b.column("text")))
             rows = [[], [], [], [], []]
             for i in range(b.num_rows):
@@ -90,6 +149,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                         r.append(v)
             of = pa.array(rows[0], pa.int64())
             yield pa.record_batch([b.column("row_key").take(of), b.column("doc_id").take(of), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=[x.split()[0] for x in PIECES.split(", ")])
+        del encoder
+        K.give_back()
 
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, PIECES)

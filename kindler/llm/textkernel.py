@@ -152,3 +152,14 @@ def anchors(grams: np.ndarray, w: int) -> np.ndarray:
     pad = np.zeros(w - 1, grams.dtype)
     most = sliding(np.maximum, np.concatenate([pad, low, pad]), w)
     return np.flatnonzero(most == grams)
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker process to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
