@@ -89,12 +89,34 @@ def cut(order_key: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, order_key[1:] != order_key[:-1])), len(order_key))
 
 
-def by_row(keys: np.ndarray, values: np.ndarray):
-    """Rows (row_key, bytes of its values)."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], np.ascontiguousarray(values[order])
-    edges = cut(keys)
-    return keys[edges[:-1]], [values[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+def by_key(keys: np.ndarray, values: np.ndarray, n: int):
+    """One batch of blobs: keys and their values (fixed width), by the bucket of the key."""
+    made = list(split_by_bucket((keys.view(np.uint64) % np.uint64(n)).astype(np.int64), n, keys, values))
+    return moved([x for x, _ in made], [0] * len(made), [k.tobytes() + np.ascontiguousarray(v).tobytes() for _, (k, v) in made], [None] * len(made))
+
+
+def gathered(found: DataFrame, name: str, width: int) -> DataFrame:
+    """(row_key, ``name`` binary): all values of ``width`` bytes that ``by_key`` blobs hold for a key, in one row."""
+    n = partitions(found.sparkSession)
+
+    def merge(batches):
+        keys, values = [], []
+        for batch in batches:
+            for a in batch.column("a").to_pylist():
+                m = len(a) // (8 + width)
+                keys.append(np.frombuffer(a, np.int64, m))
+                values.append(np.frombuffer(a, f"V{width}", m, 8 * m))
+        if not keys:
+            return
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        edges = cut(keys)
+        for x in range(0, len(edges) - 1, 5000):
+            part = edges[x : x + 5001].tolist()
+            yield pa.record_batch([pa.array(keys[part[:-1]]), pa.array([values[i:j].tobytes() for i, j in zip(part[:-1], part[1:], strict=True)], pa.binary())], names=["row_key", name])
+
+    return found.repartitionById(n, F.col("bucket")).mapInArrow(merge, f"row_key long, {name} binary")
 
 
 def pack_keys(own_keys: np.ndarray):
@@ -114,8 +136,7 @@ def send_anchors(h: np.ndarray, keys: np.ndarray, n: int, across: bool):
     same = h[1:] == h[:-1]
     again, lead = np.append(False, same) | np.append(same, False), np.append(True, ~same)
     if again.any():
-        k, blobs = by_row(keys[again], h[again])
-        yield moved((k.view(np.uint64) % np.uint64(n)).astype(np.int32), k, blobs, [None] * len(k))
+        yield by_key(keys[again], h[again], n)
     h, keys, again = h[lead], keys[lead], again[lead]
     buckets, a, b = [], [], []
     for bucket, (x, k, g) in split_by_bucket((h >> np.uint64(40)).astype(np.int64), n, h & _LOW, keys, again):
@@ -138,7 +159,7 @@ def open_blob(b: bytes):
 
 
 def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: bool) -> DataFrame:
-    """(row_key, anchors array<binary>): compact anchors of a row that occur elsewhere too.
+    """(row_key, anchors binary): compact anchors of a row that occur elsewhere too.
 
     ``across``: only occurrences in other rows count.
     """
@@ -165,9 +186,9 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
     def answer(batches):
         low, keys, asked = [], [], []
         for batch in batches:
-            for bucket, key, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            yield batch.filter(batch.column("b").is_null())  # answers on their way
+            for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in ("bucket", "a", "b")), strict=True):
                 if b is None:
-                    yield moved([bucket], [key], [a], [None]).select(["row_key", "a"])
                     continue
                 wide = np.zeros((len(a) // 5, 8), np.uint8)
                 wide[:, :5] = np.frombuffer(a, np.uint8).reshape(-1, 5)
@@ -187,13 +208,10 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
             low, keys, asked = low[fresh], keys[fresh], asked[fresh]
         same = low[1:] == low[:-1]
         hit = (np.append(False, same) | np.append(same, False)) & asked
-        k, blobs = by_row(keys[hit], low[hit])
-        for x in range(0, len(k), 5000):
-            yield moved([0] * len(k[x : x + 5000]), k[x : x + 5000], blobs[x : x + 5000], [None] * len(k[x : x + 5000])).select(["row_key", "a"])
+        yield by_key(keys[hit], low[hit], n)
 
     sent = docs.select("row_key", "text").mapInArrow(emit, MOVED)
-    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, "row_key long, a binary")
-    return found.groupBy("row_key").agg(F.collect_list("a").alias("anchors"))
+    return gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, MOVED), "anchors", 8)
 
 
 def join_rows(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
@@ -206,7 +224,7 @@ def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int, n: int
     anchor, valid = items.anchors(size, gram)
     at, length = runs(anchor, valid, items.first)
     lists = batch.column("anchors").to_pylist()
-    wanted = [np.concatenate([np.frombuffer(x, np.uint64) for x in own]) if own else np.zeros(0, np.uint64) for own in lists]
+    wanted = [np.frombuffer(own or b"", np.uint64) for own in lists]
     row = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]).astype(np.uint64)
     tag = lambda r, h: K.mix(h * np.uint64(0x9E3779B97F4A7C15) + r)
     good = np.unique(tag(row, np.concatenate(wanted))) if wanted else np.zeros(0, np.uint64)

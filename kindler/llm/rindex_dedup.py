@@ -190,7 +190,7 @@ def crowded(docs: DataFrame, size: int, gram: int, share: int) -> np.ndarray:
 
 
 def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) -> DataFrame:
-    """(row_key, marks array<binary of (start, length)>): runs of windows that also start in a row with a smaller doc_id."""
+    """(row_key, marks binary of (start, length)): runs of windows that also start in a row with a smaller doc_id."""
     n = partitions(docs.sparkSession)
     hot = crowded(docs, size, gram, 8 * n)
     mark = np.dtype([("start", "<u4"), ("n", "<u4")])
@@ -198,7 +198,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
     def marks(keys, start, length):
         pairs = np.zeros(len(keys), mark)
         pairs["start"], pairs["n"] = start, length
-        return R.by_row(keys, pairs)
+        return R.by_key(keys, pairs, n)
 
     def send(bucket, slice_, h, keys, ids, start, length, blobs):
         # equal spans of the flush: the one with the smallest doc_id goes on and covers those with a larger one
@@ -208,8 +208,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
         covered = ids > ids[lead]
         if covered.any():
-            k, out = marks(keys[covered], start[covered], length[covered])
-            yield R.moved((k.view(np.uint64) % np.uint64(n)).astype(np.int32), k, out, [None] * len(k))
+            yield marks(keys[covered], start[covered], length[covered])
         keep = np.flatnonzero(~covered)
         buckets, a, b = [], [], []
         for x, (own,) in split_by_bucket(bucket[keep], n, keep):
@@ -256,9 +255,9 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
     def index(batches):
         heads, keys, ids, texts = [], [], [], []
         for batch in batches:
-            for key, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            yield batch.filter(batch.column("b").is_null())  # answers on their way
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 if b is None:
-                    yield R.moved([0], [key], [a], [None]).select(["row_key", "a"])
                     continue
                 m = int(np.frombuffer(b, "<i8", 1)[0])
                 head = np.frombuffer(b, _HEAD, -1, 8 + 16 * m)
@@ -296,14 +295,12 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
             begin = np.cumsum(count) - count
             hit = flat[np.repeat(first[which] - begin, count) + np.arange(int(count.sum()))] < np.repeat(ids[own], count)
             span, a, b = R.spans_of(hit, np.append(begin, int(count.sum())))
-            k, out = marks(keys[own][span], head["start"][own][span] + a, b - a)
-            if len(k):
-                yield R.moved([0] * len(k), k, out, [None] * len(k)).select(["row_key", "a"])
+            if len(span):
+                yield marks(keys[own][span], head["start"][own][span] + a, b - a)
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
     sent = likely.select("row_key", "doc_id", "text", "anchors").mapInArrow(spans, R.MOVED)
-    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(index, "row_key long, a binary")
-    return found.groupBy("row_key").agg(F.collect_list("a").alias("marks"))
+    return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8)
 
 
 def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 24, gram: int = 10) -> DataFrame:
@@ -323,7 +320,7 @@ def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 24, gram: int
         for c in K.chunks(batches):
             offs, raw = K.offsets_of(c.column("text"))
             n = c.num_rows
-            own = [np.concatenate([np.frombuffer(x, "<u4") for x in y]).reshape(-1, 2).astype(np.int64) if y else np.zeros((0, 2), np.int64) for y in c.column("marks").to_pylist()]
+            own = [np.frombuffer(x or b"", "<u4").reshape(-1, 2).astype(np.int64) for x in c.column("marks").to_pylist()]
             every = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
             gone = R.cover(len(raw), every[:, 0] + np.repeat(offs[:-1], [len(x) for x in own]), every[:, 1] + size - 1)
             left = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int32)

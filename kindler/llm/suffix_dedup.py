@@ -53,7 +53,7 @@ def prefix_counts(docs: DataFrame) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000) -> DataFrame:
-    """(row_key, starts array<binary of int32>): windows of ``size`` words whose words also start elsewhere."""
+    """(row_key, starts binary of int32): windows of ``size`` words whose words also start elsewhere."""
     n = partitions(docs.sparkSession)
     counts = prefix_counts(docs)
     # a cell holds many prefixes: allow four times its fair share, and groups that fit in memory anyway
@@ -66,8 +66,7 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
         same = f[1:] == f[:-1]
         again, lead = np.append(False, same) | np.append(same, False), np.append(True, ~same)
         if again.any():
-            k, blobs = R.by_row(keys[again], at[again])
-            yield R.moved((k.view(np.uint64) % np.uint64(n)).astype(np.int32), k, blobs, [None] * len(k))
+            yield R.by_key(keys[again], at[again], n)
         buckets, a, b = [], [], []
         for bucket, (x, k, p, g) in split_by_bucket((prefix[lead] % np.uint64(n)).astype(np.int64), n, f[lead], keys[lead], at[lead], again[lead]):
             table, index = R.pack_keys(k[~g])
@@ -103,9 +102,9 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
     def subtrees(batches):
         fs, keys, ats, asked = [], [], [], []
         for batch in batches:
-            for key, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            yield batch.filter(batch.column("b").is_null())  # answers on their way
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 if b is None:
-                    yield R.moved([0], [key], [a], [None]).select(["row_key", "a"])
                     continue
                 m = len(a) // 12
                 table, index = R.open_blob(b)
@@ -120,14 +119,11 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
         order = np.argsort(f, kind="stable")  # leaves in tree order
         same = f[order][1:] == f[order][:-1]
         deep = (np.append(False, same) | np.append(same, False)) & asked[order]
-        k, blobs = R.by_row(keys[order][deep], at[order][deep])
-        for x in range(0, len(k), 5000):
-            yield R.moved([0] * len(k[x : x + 5000]), k[x : x + 5000], blobs[x : x + 5000], [None] * len(k[x : x + 5000])).select(["row_key", "a"])
+        yield R.by_key(keys[order][deep], at[order][deep], n)
 
-    likely = R.join_rows(docs.select("row_key", "doc_id", "text"), R.repeated_anchors(docs, "word", size, gram, across=False), "inner")
-    sent = likely.select("row_key", "text", "anchors").mapInArrow(suffixes, R.MOVED)
-    found = sent.repartitionById(n, F.col("bucket")).mapInArrow(subtrees, "row_key long, a binary")
-    return found.groupBy("row_key").agg(F.collect_list("a").alias("starts"))
+    likely = R.join_rows(docs.select("row_key", "text"), R.repeated_anchors(docs, "word", size, gram, across=False), "inner")
+    sent = likely.mapInArrow(suffixes, R.MOVED)
+    return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(subtrees, R.MOVED), "starts", 4)
 
 
 def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column | None = None) -> DataFrame:
@@ -148,7 +144,7 @@ def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column |
             items = R.Items(c.column("text"), "word")
             n = c.num_rows
             lists = c.column("starts").to_pylist()
-            own = [np.concatenate([np.frombuffer(x, np.int32) for x in y]) if y else np.zeros(0, np.int32) for y in lists]
+            own = [np.frombuffer(x or b"", np.int32) for x in lists]
             at = np.concatenate(own).astype(np.int64) + np.repeat(items.first[:-1], [len(x) for x in own]) if n else np.zeros(0, np.int64)
             words = len(items.start)
             gone = R.cover(words, at, size)
