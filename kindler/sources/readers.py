@@ -21,9 +21,9 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
-def scan_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Whole JSON documents (metrics, feature collections)."""
-    reader = spark.read.option("multiLine", True)
+def scan_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """Whole JSON documents (metrics, feature collections), or one object a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
