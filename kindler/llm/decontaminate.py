@@ -74,21 +74,21 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, r
     texts have no words; a row with a null doc_id is judged like any other; rows
     that repeat doc_id and text are returned as often as they come.  Without
     benchmark words nothing is hit.  Other columns are not read, but ``carry`` is
-    returned as it is.
+    returned as it is, with the text.
     """
     docs = keyed(documents, (F.lit(None).cast("string") if carry is None else carry).alias("carry"))
     windows = written(phrases(benchmark, size))
     found = phrase_candidates(docs.select("row_key", "text"), windows, rarest)
     found = found.dropDuplicates(["row_key", "phrase_id", "start"]).join(near(windows, windows.count()), "phrase_id")
     per_doc = found.groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("c"))
-    all_words = docs.join(per_doc, "row_key", "left").select("doc_id", "carry", words(F.col("text")).alias("w"), "c")
+    all_words = docs.join(per_doc, "row_key", "left").select("doc_id", "carry", "text", words(F.col("text")).alias("w"), "c")
     real = F.filter(F.coalesce("c", F.expr("cast(array() as array<struct<start:int,n:int,phrase:array<string>,items:array<string>>>)")), lambda x: F.slice("w", x["start"] + 1, x["n"]) == x["phrase"])
-    made = all_words.select("doc_id", "carry", F.size("w").cast("long").alias("n_words"), real.alias("c")).select(
-        "doc_id", "carry", "n_words",
+    made = all_words.select("doc_id", "carry", "text", F.size("w").cast("long").alias("n_words"), real.alias("c")).select(
+        "doc_id", "carry", "text", "n_words",
         F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.col("c.items")))).alias("items"),
     )
-    return made.drop("carry") if carry is None else made
+    return made.drop("carry", "text") if carry is None else made
 
 
 def proximity_matches(documents: DataFrame, terms: DataFrame, within: int = 10) -> DataFrame:

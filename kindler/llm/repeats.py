@@ -13,6 +13,8 @@ is, a flush sends it once.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,9 @@ from .common import partitions, split_by_bucket
 
 #: Records that a task holds before it sends them.
 FLUSH = 600_000
-_LOW = np.uint64(2**40 - 1)
+#: Bytes of a chunk: arrays of one number for each item stay in the cache.
+CHUNK = {"word": 1 << 19, "byte": 1 << 17}
+_LOW = np.uint64(2**32 - 1)
 _KNOWN = np.uint16(65535)  # a leader whose own answer is already known
 MOVED = "bucket int, row_key long, a binary, b binary"
 
@@ -74,8 +78,8 @@ def twice(grams: np.ndarray, at: np.ndarray, length: np.ndarray, anchor: np.ndar
 
 
 def compact(h: np.ndarray, n: int) -> np.ndarray:
-    """Bucket (of n) and 40 bits within it."""
-    return (((h >> np.uint64(40)) % np.uint64(n)) << np.uint64(40)) | (h & _LOW)
+    """Bucket (of n) and 32 bits within it: enough for a filter, as buckets grow with the corpus."""
+    return (((h >> np.uint64(32)) % np.uint64(n)) << np.uint64(32)) | (h & _LOW)
 
 
 def moved(bucket, row_key, a, b) -> pa.RecordBatch:
@@ -136,18 +140,17 @@ def send_anchors(h: np.ndarray, keys: np.ndarray, n: int, across: bool):
     same = h[1:] == h[:-1]
     again, lead = np.append(False, same) | np.append(same, False), np.append(True, ~same)
     if again.any():
-        yield by_key(keys[again], h[again], n)
+        yield by_key(keys[again], (h[again] & _LOW).astype("<u4"), n)
     h, keys, again = h[lead], keys[lead], again[lead]
     buckets, a, b = [], [], []
-    for bucket, (x, k, g) in split_by_bucket((h >> np.uint64(40)).astype(np.int64), n, h & _LOW, keys, again):
-        wide = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    for bucket, (x, k, g) in split_by_bucket((h >> np.uint64(32)).astype(np.int64), n, (h & _LOW).astype("<u4"), keys, again):
         table, index = pack_keys(k[~g])
         whole = np.full(len(x), _KNOWN, index.dtype)
         if index.dtype == np.uint32:
             whole[:] = np.uint32(0xFFFFFFFF)
         whole[~g] = index
         buckets.append(bucket)
-        a.append(wide.tobytes())
+        a.append(x.tobytes())
         b.append(np.array([len(table), whole.itemsize], "<i8").tobytes() + table.astype("<i8").tobytes() + whole.tobytes())
     yield moved(buckets, [0] * len(buckets), a, b)
 
@@ -159,7 +162,7 @@ def open_blob(b: bytes):
 
 
 def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: bool) -> DataFrame:
-    """(row_key, anchors binary): compact anchors of a row that occur elsewhere too.
+    """(row_key, anchors binary of uint32): anchors of a row that occur elsewhere too.
 
     ``across``: only occurrences in other rows count.
     """
@@ -167,7 +170,7 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
 
     def emit(batches):
         held, count = [], 0
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=CHUNK[unit]):
             items = Items(c.column("text"), unit)
             anchor, valid = items.anchors(size, gram)
             at, length = runs(anchor, valid, items.first)
@@ -190,11 +193,9 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
             for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in ("bucket", "a", "b")), strict=True):
                 if b is None:
                     continue
-                wide = np.zeros((len(a) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(a, np.uint8).reshape(-1, 5)
                 table, index = open_blob(b)
                 known = index == np.iinfo(index.dtype).max
-                low.append(wide.view("<u8")[:, 0] | (np.uint64(bucket) << np.uint64(40)))
+                low.append(np.frombuffer(a, "<u4").astype(np.uint64) | (np.uint64(bucket) << np.uint64(32)))
                 keys.append(np.append(table, 0)[np.where(known, len(table), index)])
                 asked.append(~known)
         if not low:
@@ -208,10 +209,10 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
             low, keys, asked = low[fresh], keys[fresh], asked[fresh]
         same = low[1:] == low[:-1]
         hit = (np.append(False, same) | np.append(same, False)) & asked
-        yield by_key(keys[hit], low[hit], n)
+        yield by_key(keys[hit], (low[hit] & _LOW).astype("<u4"), n)
 
     sent = docs.select("row_key", "text").mapInArrow(emit, MOVED)
-    return gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, MOVED), "anchors", 8)
+    return gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, MOVED), "anchors", 4)
 
 
 def join_rows(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
@@ -219,16 +220,16 @@ def join_rows(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
     return docs.join(answers.hint("shuffle_hash"), "row_key", how)
 
 
-def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int, n: int) -> np.ndarray:
+def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int) -> np.ndarray:
     """True at windows of the chunk whose anchor is among the row's ``anchors``."""
     anchor, valid = items.anchors(size, gram)
     at, length = runs(anchor, valid, items.first)
     lists = batch.column("anchors").to_pylist()
-    wanted = [np.frombuffer(own or b"", np.uint64) for own in lists]
+    wanted = [np.frombuffer(own or b"", "<u4") for own in lists]
     row = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]).astype(np.uint64)
     tag = lambda r, h: K.mix(h * np.uint64(0x9E3779B97F4A7C15) + r)
-    good = np.unique(tag(row, np.concatenate(wanted))) if wanted else np.zeros(0, np.uint64)
-    mine = tag(K.owner(items.first, at).astype(np.uint64), compact(anchor[at], n))
+    good = np.unique(tag(row, np.concatenate(wanted).astype(np.uint64))) if wanted else np.zeros(0, np.uint64)
+    mine = tag(K.owner(items.first, at).astype(np.uint64), anchor[at] & _LOW)
     where = np.minimum(np.searchsorted(good, mine), max(0, len(good) - 1))
     hit = good[where] == mine if len(good) else np.zeros(len(mine), bool)
     delta = np.zeros(len(valid) + 1, np.int32)
@@ -261,3 +262,20 @@ def span_array(row, a, b, n_rows: int) -> pa.Array:
     """array<struct<start, end>> for each row."""
     bounds = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["start", "end"]))
+
+
+def squeezed(blob: bytes) -> bytes:
+    """Compressed text, by Zstandard where it is installed."""
+    try:
+        import zstandard
+    except ImportError:
+        return b"d" + zlib.compress(blob, 1)
+    return b"z" + zstandard.ZstdCompressor(level=3).compress(blob)
+
+
+def opened(blob: bytes) -> bytes:
+    if blob[:1] == b"d":
+        return zlib.decompress(blob[1:])
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob[1:])

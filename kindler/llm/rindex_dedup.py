@@ -35,57 +35,66 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, doc: np.ndarray, window: int):
         n = self.n = len(text)
+        if n >= 1 << 21:
+            raise ValueError("positions and ranks must fit in 21 bits each")
         self.text, self.window = text, window
-        span = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
-        self.rest = ends[span] - np.arange(n)  # symbols up to and with the separator
-        self.codes = self._codes()
-        self.sa, rank_half, half = self._sort(int(self.rest.max()) if n else 0)
+        span = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.append(0, ends)))
+        self.rest = (ends[span] - np.arange(n)).astype(np.int32)  # symbols up to and with the separator
+        self.codes = self._codes(_PER)
+        sa, rank_half, half = self._sort(int(self.rest.max()) if n else 0)
         # classes of suffixes with the same first ``window`` symbols; they are contiguous in the suffix array
-        other = np.minimum(self.sa + window - half, n - 1)
-        first, second = rank_half[self.sa], rank_half[other]
-        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (self.rest[self.sa[1:]] <= window))
+        first, second = rank_half[sa], rank_half[np.minimum(sa + (window - half), n - 1)]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (self.rest[sa[1:]] <= window))
         at = np.flatnonzero(new)
-        least = np.minimum.reduceat(doc[span[self.sa]], at)
-        self.least = np.repeat(least, np.diff(np.append(at, n)))
-        bwt = text[self.sa - 1]  # position -1 is the last separator
+        self.least = np.repeat(np.minimum.reduceat(doc[span[sa]], at), np.diff(np.append(at, n)))
+        bwt = text[sa - 1]  # position -1 is the last separator
         heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         # the run-compressed transform: symbol, start, and suffix-array samples at both ends of each run
-        self.symbol, self.start = bwt[heads].astype(np.int64), heads
-        self.stop = np.append(heads[1:], n)
-        self.first_sample, self.last_sample = self.sa[self.start], self.sa[self.stop - 1]
+        self.symbol, self.start = bwt[heads].astype(np.int32), heads.astype(np.int32)
+        self.stop = np.append(heads[1:], n).astype(np.int32)
+        self.first_sample, self.last_sample = sa[self.start], sa[self.stop - 1]
+        self.run_at = np.repeat(np.arange(len(heads), dtype=np.int32), self.stop - self.start)  # rank support of the run heads
         # runs by symbol: ranks before each run give LF
-        self.by_symbol = np.argsort(self.symbol, kind="stable")
+        self.by_symbol = np.argsort(self.symbol, kind="stable").astype(np.int32)
         self.offset = np.searchsorted(self.symbol[self.by_symbol], np.arange(258))
         length = (self.stop - self.start)[self.by_symbol]
-        self.lf = np.empty(len(heads), np.int64)
-        self.lf[self.by_symbol] = np.cumsum(length) - length  # C[symbol] + earlier runs of the symbol
-        self.key = self.symbol[self.by_symbol] * (n + 1) + self.start[self.by_symbol]
-        del self.sa
+        lf = np.empty(len(heads), np.int32)
+        lf[self.by_symbol] = np.cumsum(length) - length  # C[symbol] + earlier runs of the symbol
+        self.shift = lf - self.start  # LF of a row is the row plus its run's shift
+        self.key = self.symbol[self.by_symbol].astype(np.int64) * (n + 1) + self.start[self.by_symbol]
 
-    def _codes(self) -> np.ndarray:
-        """The next seven symbols of every position, nothing beyond its separator."""
+    def _codes(self, symbols: int) -> np.ndarray:
+        """The next symbols of every position packed into a number, nothing beyond its separator."""
         code = np.zeros(self.n, np.int64)
-        for k in range(_PER):
+        for k in range(symbols):
             symbol = np.append(self.text[k:], np.zeros(k, self.text.dtype)).astype(np.int64)
-            code = (code << 9) | np.where(k < self.rest, symbol, 0)
+            symbol[self.rest <= k] = 0
+            code <<= 9
+            code |= symbol
         return code
 
     def _sort(self, longest: int):
-        """(suffix array, ranks at the largest depth not above the window, that depth) by prefix doubling."""
-        order = np.argsort(self.codes, kind="stable")
-        rank = np.empty(self.n, np.int64)
-        rank[order] = np.cumsum(np.append(0, np.diff(self.codes[order]) != 0))
-        depth, kept, half = _PER, rank, _PER
-        while depth < longest:
-            ahead = np.where(depth < self.rest, rank[np.minimum(np.arange(self.n) + depth, self.n - 1)] + 1, 0)
-            both = rank * (self.n + 1) + ahead
-            order = np.argsort(both, kind="stable")
-            new = np.empty(self.n, np.int64)
-            new[order] = np.cumsum(np.append(0, np.diff(both[order]) != 0))
-            rank, depth = new, depth * 2
+        """(suffix array, ranks at the largest depth not above the window, that depth) by prefix doubling.
+
+        Ranks and positions are packed into one number, so each round is a plain sort.
+        """
+        place, low = np.arange(self.n, dtype=np.int64), (1 << 21) - 1
+        both, depth, kept, half = self._codes(4) << 21, 4, None, 4
+        while True:
+            packed = np.sort(both | place)
+            order = packed & low
+            key = packed >> 21
+            rank = np.empty(self.n, np.int64)
+            rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])) if self.n else 0
             if depth <= self.window:
-                kept, half = rank, depth
-        return order, kept, half
+                kept, half = rank.astype(np.int32), depth
+            if depth >= longest:
+                return order.astype(np.int32), kept, half
+            ahead = np.zeros(self.n, np.int64)
+            ahead[:-depth] = rank[depth:] + 1
+            ahead[self.rest <= depth] = 0
+            both = ((rank << 21) | ahead) << 21
+            depth *= 2
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common prefix of suffixes, up to ``most`` and within their spans."""
@@ -112,32 +121,34 @@ class RunLengthIndex:
     def matching_statistics(self, start: np.ndarray, length: np.ndarray):
         """For spans of the indexed alphabet, given as ranges of ``text``: yields (step from the right, spans, rows of the transform, match lengths)."""
         order = np.argsort(-length, kind="stable")
-        row, pos, size = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        pos[:] = self.first_sample[0]  # the suffix of row 0
-        longest = length[order]
+        row, pos, size = np.zeros(len(order), np.int32), np.full(len(order), self.first_sample[0], np.int32), np.zeros(len(order), np.int32)
+        longest, last = length[order], (start + length - 1)[order]
         most = self.window * 4
-        for step in range(int(length.max()) if len(length) else 0):
-            live = int(np.searchsorted(-longest, -step, "left"))
+        lives = np.searchsorted(-longest, -np.arange(int(longest[0]) if len(order) else 0), "left")
+        for step, live in enumerate(lives.tolist()):
             own = order[:live]
-            c = self.text[start[own] + length[own] - 1 - step].astype(np.int64)
+            c = self.text[last[:live] - step]
             q, p, m = row[:live], pos[:live], size[:live]
-            run = np.searchsorted(self.start, q, "right") - 1
+            run = self.run_at[q]
             fail = np.flatnonzero(self.symbol[run] != c)
             if len(fail):
                 # nearest runs of the symbol on both sides; the sample with the longer match wins
-                cf, qf, pf, mf = c[fail], q[fail], p[fail], m[fail]
+                cf, qf, pf, mf = c[fail].astype(np.int64), q[fail], p[fail], m[fail]
                 at = np.searchsorted(self.key, cf * (self.n + 1) + qf)
                 has_next, has_prev = at < self.offset[cf + 1], at > self.offset[cf]
                 nxt = self.by_symbol[np.minimum(at, len(self.by_symbol) - 1)]
                 prv = self.by_symbol[np.maximum(at - 1, 0)]
-                down = np.where(has_next, np.minimum(self.common(pf, self.first_sample[nxt], most), mf), -1)
-                up = np.where(has_prev, np.minimum(self.common(pf, self.last_sample[prv], most), mf), -1)
+                # a match of no length needs no comparison
+                down, up = np.where(has_next, 0, -1).astype(np.int32), np.where(has_prev, 0, -1).astype(np.int32)
+                for have, side, sample in ((has_next, down, self.first_sample[nxt]), (has_prev, up, self.last_sample[prv])):
+                    go = np.flatnonzero(have & (mf > 0))
+                    side[go] = np.minimum(self.common(pf[go], sample[go], most), mf[go])
                 go_up = up > down
                 run[fail] = np.where(go_up, prv, nxt)
                 q[fail] = np.where(go_up, self.stop[prv] - 1, self.start[nxt])
                 p[fail] = np.where(go_up, self.last_sample[prv], self.first_sample[nxt])
                 m[fail] = np.maximum(down, up)
-            q[:] = self.lf[run] + q - self.start[run]
+            q += self.shift[run]
             p -= 1
             m += 1
             yield step, own, q, m
@@ -170,7 +181,7 @@ def crowded(docs: DataFrame, size: int, gram: int, share: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(_CELLS, np.int64)
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["byte"]):
             items = R.Items(c.column("text"), "byte")
             anchor, valid = items.anchors(size, gram)
             at, _ = R.runs(anchor, valid, items.first)
@@ -217,34 +228,42 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
             head = np.zeros(len(own), _HEAD)
             head["row"], head["start"], head["n"], head["slice"] = row, start[own], length[own], slice_[own]
             buckets.append(x)
-            a.append(b"".join([blobs[i] for i in order[own].tolist()]))
+            a.append(R.squeezed(b"".join([blobs[i] for i in order[own].tolist()])))
             b.append(np.array([len(firsts)], "<i8").tobytes() + keys[own][firsts].tobytes() + ids[own][firsts].tobytes() + head.tobytes())
         yield R.moved(buckets, [0] * len(buckets), a, b)
 
     def spans(batches):
         held, blobs, count = [], [], 0
-        for c in K.chunks(batches, limit=1 << 20):
-            items = R.Items(c.column("text"), "byte")
-            want = R.candidates(items, c, size, anchor_gram, n)
-            anchor, _ = items.anchors(size, gram)
+        for c in K.chunks(batches, limit=R.CHUNK["byte"]):
+            whole = R.Items(c.column("text"), "byte")
+            want = R.candidates(whole, c, size, anchor_gram)
+            # from here on only the regions that the wanted windows cover
+            edge = np.flatnonzero(np.diff(want.astype(np.int8), prepend=0, append=0))
+            begin, stop = edge[::2], edge[1::2]
+            if not len(begin):
+                continue
+            span = stop - begin + size - 1
+            inner = np.cumsum(span) - span
+            items = R.Items(pa.BinaryArray.from_buffers(pa.binary(), len(span), [None, pa.py_buffer(np.append(inner, inner[-1] + span[-1]).astype(np.int32)), pa.py_buffer(whole.raw[np.repeat(begin - inner, span) + np.arange(int(span.sum()))])]), "byte")
+            anchor, valid = items.anchors(size, gram)
             own_window = items.windows(size)
-            crowd = hot[(anchor % np.uint64(_CELLS)).astype(np.int64)] & want
+            crowd = hot[(anchor % np.uint64(_CELLS)).astype(np.int64)]
             # windows of a crowded gram go singly, by their own hash; runs are at most 255 windows long
             group = np.where(crowd, own_window, anchor)
-            at, length = R.runs(group, want, items.first)
+            at, length = R.runs(group, valid, items.first)
             over = np.flatnonzero(length > 255)
             if len(over):
                 parts = -(-length // 255)
                 k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
                 at, length = np.repeat(at, parts) + 255 * k, np.minimum(255, np.repeat(length, parts) - 255 * k)
-            if not len(at):
-                continue
-            row = K.owner(items.first, at)
             g = group[at]
             data = items.raw.tobytes()
             blobs += [data[x : x + y] for x, y in zip(at.tolist(), (length + size - 1).tolist(), strict=True)]
             keys, ids = (c.column(x).to_numpy(zero_copy_only=False) for x in ("row_key", "doc_id"))
-            held.append((((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), ((g >> np.uint64(16)) & np.uint64(255)).astype(np.int64), K.range_hash(items.sums, at, at + length + size - 1), keys[row], ids[row], at - items.first[row], length))
+            region = K.owner(items.first, at)
+            source = begin[region] + at - inner[region]
+            row = K.owner(whole.first, source)
+            held.append((((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), ((g >> np.uint64(16)) & np.uint64(255)).astype(np.int64), K.range_hash(items.sums, at, at + length + size - 1), keys[row], ids[row], source - whole.first[row], length))
             count += len(at)
             if count >= R.FLUSH // 4:
                 yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)), blobs)
@@ -264,7 +283,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
                 keys.append(np.frombuffer(b, "<i8", m, 8)[head["row"]])
                 ids.append(np.frombuffer(b, "<i8", m, 8 + 8 * m)[head["row"]])
                 heads.append(head)
-                texts.append(a)
+                texts.append(R.opened(a))
         if not heads:
             return
         head, keys, ids = np.concatenate(heads), np.concatenate(keys), np.concatenate(ids)
@@ -299,11 +318,11 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
                 yield marks(keys[own][span], head["start"][own][span] + a, b - a)
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
-    sent = likely.select("row_key", "doc_id", "text", "anchors").mapInArrow(spans, R.MOVED)
+    sent = likely.mapInArrow(spans, R.MOVED)
     return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8)
 
 
-def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 24, gram: int = 10) -> DataFrame:
+def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 20, gram: int = 10) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_bytes long, spans array<struct<start, end>>, kept binary.
 
     ``spans`` are the maximal runs of bytes of the text (UTF-8; null: empty) that
@@ -328,5 +347,5 @@ def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 24, gram: int
             ids = pa.array(c.column("doc_id").to_numpy(zero_copy_only=False), mask=c.column("no_id").to_numpy(zero_copy_only=False))
             yield pa.record_batch([ids, pa.array(np.diff(offs)), R.span_array(*R.spans_of(gone, offs), n), kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    rows = R.join_rows(docs, earlier_windows(docs.select("row_key", "doc_id", "text"), size, anchor_gram, gram), "left")
+    rows = R.join_rows(docs, earlier_windows(docs, size, anchor_gram, gram), "left")
     return rows.select("doc_id", "no_id", "text", "marks").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")

@@ -55,15 +55,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 35 words or more that occur elsewhere too; texts without any stay as they are."""
-    found = suffix_dedup.dedup(docs, 35, carry=F.struct(others(docs).alias("row"), F.col("text").alias("text")))
-    text = F.when(F.size("spans") > 0, F.col("kept")).otherwise(F.col("carry.text"))
-    return rebuilt(found.select(F.col("carry.row").alias("carry"), text.alias("text")), docs.columns)
+    found = suffix_dedup.dedup(docs, 35, carry=others(docs), verbatim=True)
+    return rebuilt(found.select("carry", F.col("kept").alias("text")), docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with ten consecutive words of a benchmark item."""
-    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), carry=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return found.where(F.size("spans") == 0).select("carry.*")
+    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), carry=others(docs))
+    clean = found.where(F.size("spans") == 0)
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def prefix_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros((len(LADDER), _CELLS), np.int64)
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
             items = R.Items(c.column("text"), "word")
             for i, p in enumerate(LADDER):
                 h = items.windows(p)[K.inside(items.first, p)]
@@ -79,9 +80,9 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
 
     def suffixes(batches):
         held, count = [], 0
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
             items = R.Items(c.column("text"), "word")
-            at = np.flatnonzero(R.candidates(items, c, size, gram, n))
+            at = np.flatnonzero(R.candidates(items, c, size, gram))
             row = K.owner(items.first, at)
             f = items.windows(size)[at]
             prefix, open_ = f.copy(), np.ones(len(at), bool)
@@ -121,12 +122,12 @@ def repeated_windows(docs: DataFrame, size: int, gram: int, group: int = 200_000
         deep = (np.append(False, same) | np.append(same, False)) & asked[order]
         yield R.by_key(keys[order][deep], at[order][deep], n)
 
-    likely = R.join_rows(docs.select("row_key", "text"), R.repeated_anchors(docs, "word", size, gram, across=False), "inner")
+    likely = R.join_rows(docs, R.repeated_anchors(docs, "word", size, gram, across=False), "inner")
     sent = likely.mapInArrow(suffixes, R.MOVED)
     return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(subtrees, R.MOVED), "starts", 4)
 
 
-def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column | None = None) -> DataFrame:
+def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column | None = None, verbatim: bool = False) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_words long, spans array<struct<start, end>>, kept string.
 
     ``spans`` are the maximal runs of words covered by windows of ``size`` words
@@ -136,11 +137,12 @@ def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column |
     the id, or have none, are rows like any other.  Texts shorter than a window
     lose nothing, however often they occur.  An empty table gives no rows; other
     columns are not read, but ``carry`` (say a struct of them) is returned as it is.
+    ``verbatim``: texts without repeats are kept as they are, white space included.
     """
     docs = keyed(documents, (F.lit(None).cast("string") if carry is None else carry).alias("carry"))
 
     def finish(batches):
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
             items = R.Items(c.column("text"), "word")
             n = c.num_rows
             lists = c.column("starts").to_pylist()
@@ -164,6 +166,9 @@ def dedup(documents: DataFrame, size: int = 35, gram: int = 12, carry: Column |
             size_of = np.bincount(row[k], items.end[k] - items.start[k] + more, n).astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(size_of)]).astype(np.int32)
             text = pa.StringArray.from_buffers(n, pa.py_buffer(offs), pa.py_buffer(raw[mask]))
+            if verbatim:
+                changed = np.bincount(row, gone, n) > 0 if words else np.zeros(n, bool)
+                text = pc.if_else(pa.array(changed), text, c.column("text"))
             yield pa.record_batch([c.column("doc_id"), c.column("carry"), pa.array(np.diff(items.first)), R.span_array(*R.spans_of(gone, items.first), n), text], names=["doc_id", "carry", "n_words", "spans", "kept"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
