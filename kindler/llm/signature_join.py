@@ -26,7 +26,9 @@ from . import textkernel as K
 from .common import components, keyed, partitions, split_by_bucket, written
 
 U = np.uint64
-_CELLS, _SLICES = 1 << 18, 16
+_SLICES = 16
+#: Larger groups of sets that share a prefix token are chained instead of paired.
+PAIRED = 128
 _BITS = 512
 #: Tokens in a task of the tree join, and pivots of a block that has more.
 CHUNK_TOKENS, PIVOTS = 1_500_000, 24
@@ -60,34 +62,56 @@ def set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 0, np.where(out == 0, 1, out))
 
 
+def signature_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, at least twice its size up to 65536."""
+    return 2 ** np.clip(np.ceil(np.log2(np.maximum(2 * n, 64))), 6, 16).astype(np.int64)
+
+
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: bit token mod bits."""
+    n = np.diff(bounds)
+    bits = signature_bits(n)
+    begin = np.cumsum(bits) - bits
+    field = np.zeros(int(bits.sum()), bool)
+    field[np.repeat(begin, n) + (tokens.astype(np.int64) & (np.repeat(bits, n) - 1))] = True
+    packed = np.packbits(field).tobytes()
+    return [packed[i // 8 : (i + w) // 8] for i, w in zip(begin.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(bitmaps: bytes, width: int, bits: int) -> np.ndarray:
+    """Bitmaps of ``width`` bytes each with fewer bits: the OR of their parts, a row for each."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmaps, np.uint8).reshape(-1, 8 * width // bits, bits // 8), axis=1)
+
+
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """row_key, doc_id, n, set_id of every row of ``docs``."""
+    """row_key, doc_id, n, set_id, signature of every row of ``docs``."""
 
     def run(batches):
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
             tokens, bounds = shingle_sets(*K.offsets_of(c.column("text")), size)
-            yield pa.record_batch([c.column("row_key"), c.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_ids(tokens, bounds))], names=["row_key", "doc_id", "n", "set_id"])
+            yield pa.record_batch([c.column("row_key"), c.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_ids(tokens, bounds)), pa.array(signatures(tokens, bounds), pa.binary())], names=["row_key", "doc_id", "n", "set_id", "signature"])
 
-    return docs.mapInArrow(run, "row_key long, doc_id long, n long, set_id long")
+    return docs.mapInArrow(run, "row_key long, doc_id long, n long, set_id long, signature binary")
 
 
-def token_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """log2 of how far the count of a token's cell is above the mean: a table of fixed size."""
+def token_levels(docs: DataFrame, size: int, rows: int) -> np.ndarray:
+    """log2 of how far the count of a token's cell is above the mean: a table of a few bytes for each document, 16 MB at most."""
+    cells = 1 << min(24, max(18, rows.bit_length() + 3))
 
     def count(batches):
-        total = np.zeros(_CELLS, np.int64)
-        for c in K.chunks(batches):
-            total += np.bincount((shingle_sets(*K.offsets_of(c.column("text")), size)[0] % U(_CELLS)).astype(np.int64), minlength=_CELLS)
-        yield R.moved(range(_SLICES), [0] * _SLICES, [x.astype("<i8").tobytes() for x in np.split(total, _SLICES)], [None] * _SLICES)
+        total = np.zeros(cells, np.int32)
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
+            np.add.at(total, (shingle_sets(*K.offsets_of(c.column("text")), size)[0] % U(cells)).astype(np.int64), 1)
+        yield R.moved(range(_SLICES), [0] * _SLICES, [R.squeezed(x.astype("<i4").tobytes()) for x in np.split(total, _SLICES)], [None] * _SLICES)
 
     def add(batches):
         total: dict = {}
         for b in batches:
             for i, a in zip(b.column("bucket").to_pylist(), b.column("a").to_pylist(), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(a, "<i8")
+                total[i] = total.get(i, 0) + np.frombuffer(R.opened(a), "<i4").astype("<i8")
         yield R.moved(list(total), [0] * len(total), [x.tobytes() for x in total.values()], [None] * len(total))
 
-    out = np.zeros((_SLICES, _CELLS // _SLICES), np.int64)
+    out = np.zeros((_SLICES, cells // _SLICES), np.int64)
     for r in docs.select("text").mapInArrow(count, R.MOVED).repartitionById(_SLICES, F.col("bucket")).mapInArrow(add, R.MOVED).collect():
         out[r["bucket"]] = np.frombuffer(r["a"], "<i8")
     out = out.ravel()
@@ -114,8 +138,8 @@ def may_link(small, large, percent: int):
     return 100 * small >= percent * large
 
 
-def candidate_edges(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(a, b) of set ids whose connected components hold every link."""
+def candidate_pairs(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(a, b, sure) of set ids: every link is among the pairs, or inside a component of the sure ones."""
     n = partitions(docs.sparkSession)
 
     def send(held):
@@ -128,20 +152,20 @@ def candidate_edges(docs: DataFrame, size: int, percent: int, levels: np.ndarray
         at = np.repeat(begin[keep] - (np.cumsum(counts[keep]) - counts[keep]), counts[keep]) + np.arange(int(counts[keep].sum()))
         g = R.compact(tokens[at], n)
         buckets, a, b = [], [], []
-        for bucket, (x, who) in split_by_bucket((g >> U(40)).astype(np.int64), n, g & U(2**40 - 1), own):
+        for bucket, (x, who) in split_by_bucket((g >> U(32)).astype(np.int64), n, g & R._LOW, own):
             table, index = R.pack_keys(who)
             buckets.append(bucket)
-            a.append(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+            a.append(x.astype("<u4").tobytes())
             b.append(np.array([len(table), index.itemsize], "<i8").tobytes() + ids[table].tobytes() + index.tobytes() + sizes[table].astype("<i8").tobytes())
         yield R.moved(buckets, [0] * len(buckets), a, b)
 
     def prefixes(batches):
         held, count = [], 0
-        for c in K.chunks(batches):
+        for c in K.chunks(batches, limit=R.CHUNK["word"]):
             tokens, bounds = shingle_sets(*K.offsets_of(c.column("text")), size)
             sizes = np.diff(bounds)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            ranked = np.sort((row.astype(np.uint64) << U(48)) | (levels[(tokens % U(_CELLS)).astype(np.int64)].astype(np.uint64) << U(44)) | (tokens >> U(4)))
+            ranked = np.sort((row.astype(np.uint64) << U(48)) | (levels[(tokens % U(len(levels))).astype(np.int64)].astype(np.uint64) << U(44)) | (tokens >> U(4)))
             take = np.where(sizes > 0, sizes + (-percent * sizes) // 100 + 1, 0)
             first = np.arange(len(ranked)) - np.repeat(bounds[:-1], sizes) < np.repeat(take, sizes)
             held.append((set_ids(tokens, bounds), sizes, take, K.mix(ranked[first] & U(2**44 - 1))))
@@ -157,11 +181,9 @@ def candidate_edges(docs: DataFrame, size: int, percent: int, levels: np.ndarray
         for batch in batches:
             for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 m, width = (int(x) for x in np.frombuffer(b, "<i8", 2))
-                count = len(a) // 5
-                wide = np.zeros((count, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(a, np.uint8).reshape(-1, 5)
+                count = len(a) // 4
                 index = np.frombuffer(b, np.uint16 if width == 2 else np.uint32, count, 16 + 8 * m)
-                low.append(wide.view("<u8")[:, 0])
+                low.append(np.frombuffer(a, "<u4"))
                 ids.append(np.frombuffer(b, "<i8", m, 16)[index])
                 sizes.append(np.frombuffer(b[16 + 8 * m + width * count :], "<i8", m)[index])
         if not low:
@@ -173,14 +195,55 @@ def candidate_edges(docs: DataFrame, size: int, percent: int, levels: np.ndarray
         low, ids, sizes = low[order], ids[order], sizes[order]
         order = np.lexsort((ids, sizes, low))
         low, ids, sizes = low[order], ids[order], sizes[order]
-        # neighbours in size order; where two are too far apart in size, nothing links across
-        near = (low[1:] == low[:-1]) & may_link(sizes[:-1], sizes[1:], percent) & (ids[1:] != ids[:-1])
-        a, b = ids[:-1][near], ids[1:][near]
-        nodes, root = local_components(a, b)
-        yield pa.record_batch([pa.array(nodes[nodes != root]), pa.array(root[nodes != root])], names=["a", "b"])
+        fresh = np.append(True, (low[1:] != low[:-1]) | (ids[1:] != ids[:-1]))
+        low, ids, sizes = low[fresh], ids[fresh], sizes[fresh]
+        edges = R.cut(low)
+        group = np.repeat(np.diff(edges), np.diff(edges))
+        # large groups: neighbours in size order; where two are too far apart in size, nothing links across
+        near = (low[1:] == low[:-1]) & (group[1:] > PAIRED) & may_link(sizes[:-1], sizes[1:], percent)
+        nodes, root = local_components(ids[:-1][near], ids[1:][near])
+        nodes, root = nodes[nodes != root], root[nodes != root]
+        yield pa.record_batch([pa.array(nodes), pa.array(root), pa.array(np.ones(len(nodes), bool))], names=["a", "b", "sure"])
+        # others: all pairs that sizes allow, each once
+        few = group <= PAIRED
+        low, ids, sizes = low[few], ids[few], sizes[few]
+        pairs = np.zeros((0, 2), np.int64)
+        for step in range(1, PAIRED):
+            if step >= len(low):
+                break
+            ok = (low[step:] == low[:-step]) & may_link(sizes[:-step], sizes[step:], percent)
+            if not (low[step:] == low[:-step]).any():
+                break
+            x, y = ids[:-step][ok], ids[step:][ok]
+            pairs = np.concatenate([pairs, np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)])
+            if len(pairs) > 2_000_000:
+                pairs = np.unique(pairs, axis=0)
+        pairs = np.unique(pairs, axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], names=["a", "b", "sure"])
 
     sent = docs.select("text").mapInArrow(prefixes, R.MOVED).repartitionById(n, F.col("bucket"))
-    return sent.mapInArrow(meet, "a long, b long")
+    return sent.mapInArrow(meet, "a long, b long, sure boolean")
+
+
+def room_left(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``pairs`` (a, b, sa, sb, na, nb) whose bitmaps allow the overlap."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            keep = np.zeros(len(a), bool)
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            widths = np.array([len(x) for x in sa]) << 20 | np.array([len(y) for y in sb])
+            for w in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == w)
+                bits = 8 * min(w >> 20, w & 0xFFFFF)
+                x, y = (folded(b"".join([side[i] for i in own.tolist()]), size, bits) for side, size in ((sa, w >> 20), (sb, w & 0xFFFFF)))
+                missing_x, missing_y = (np.bitwise_count(d).sum(axis=1, dtype=np.int64) for d in (x & ~y, y & ~x))
+                overlap = np.minimum(na[own] - missing_x, nb[own] - missing_y)
+                keep[own] = overlap * (100 + percent) >= percent * (na[own] + nb[own])
+            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 class SignatureTree:
@@ -292,28 +355,26 @@ def tree_links(ids: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, percent:
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
-def join_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each group of ``rows`` (group columns g1, g2, g3, then set_id, label, tokens), one group at a time."""
+def join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) within each group of ``rows`` (group columns g1, g2, g3, then set_id, label, text), one group at a time."""
 
     def run(batches):
         held: list = []
 
         def close():
-            ids = np.array([r[0] for r in held], np.int64)
-            _, keep = np.unique(ids, return_index=True)
-            sets = [np.frombuffer(held[i][2], np.uint64) for i in keep]
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            a, b = tree_links(ids[keep], np.concatenate(sets), bounds, percent, np.array([held[i][1] for i in keep], np.int64))
+            _, keep = np.unique(np.array([r[0] for r in held], np.int64), return_index=True)
+            tokens, bounds = shingle_sets(*K.offsets_of(pa.array([held[i][2] for i in keep], pa.large_string())), size)
+            a, b = tree_links(np.array([held[i][0] for i in keep], np.int64), tokens, bounds, percent, np.array([held[i][1] for i in keep], np.int64))
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         now = None
         for batch in batches:
-            for *group, set_id, label, tokens in zip(*(batch.column(c).to_pylist() for c in ("g1", "g2", "g3", "set_id", "label", "tokens")), strict=True):
+            for *group, set_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("g1", "g2", "g3", "set_id", "label", "text")), strict=True):
                 if group != now and held:
                     yield close()
                     held = []
                 now = group
-                held.append((set_id, label, tokens))
+                held.append((set_id, label, text))
         if held:
             yield close()
 
@@ -324,36 +385,32 @@ def join_groups(rows: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of set ids: verified links that connect sets exactly as all links do."""
-    edges = written(candidate_edges(docs, size, percent, token_levels(docs, size)))
-    block = components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("block"))
-    one = sets.where("n > 0").groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"))
-    members = written(one.join(block, "set_id"))
-    whole = members.groupBy("block").agg(F.sum("n").alias("volume"), F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("volume") / CHUNK_TOKENS).cast("int"))
-    chosen = members.join(whole.select("block", "chunks"), "block").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
-
-    def tokens(batches):
-        for c in K.chunks(batches):
-            t, bounds = shingle_sets(*K.offsets_of(c.column("text")), size)
-            yield pa.record_batch([c.column("row_key"), pa.array([t[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["row_key", "tokens"])
-
-    texts = docs.select("row_key", "text").join(members.select("row_key").hint("shuffle_hash"), "row_key", "left_semi")
-    full = written(texts.mapInArrow(tokens, "row_key long, tokens binary").join(chosen, "row_key").select("block", "chunks", "chunk", "set_id", "tokens"))
+    one = written(sets.where("n > 0").groupBy("set_id").agg(F.min(F.struct("row_key", "n", "signature")).alias("s")).select("set_id", "s.*"))
+    pairs = written(candidate_pairs(docs, size, percent, token_levels(docs, size, one.count())))
+    side = lambda x: one.select(F.col("set_id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    checked = room_left(pairs.where("not sure").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), percent)
+    block = components(checked.unionByName(pairs.where("sure").select("a", "b"))).select(F.col("node").alias("set_id"), F.col("component").alias("block"))
+    members = written(one.select("set_id", "row_key", "n").join(block, "set_id"))
+    whole = members.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"))
+    chosen = members.join(whole, "block").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
+    full = written(docs.select("row_key", "text").join(chosen.hint("shuffle_hash"), "row_key").select("block", "chunks", "chunk", "set_id", "n", "text"))
     # pivots of large blocks go to all their chunks
     large = full.where("chunks > 1")
     pivots = large.withColumn("r", F.row_number().over(Window.partitionBy("block", "chunk").orderBy(F.xxhash64("set_id", F.lit(1))))).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.lit(PIVOTS) / F.col("chunks"))))
-    pivots = pivots.where(F.col("chunk") < PIVOTS).select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "set_id", "tokens")
-    group = lambda df: df.select(F.col("block").alias("g1"), F.col("chunk").alias("g2"), F.lit(0).alias("g3"), "set_id", F.col("set_id").alias("label"), "tokens")
-    found = written(join_groups(group(full).unionByName(group(pivots)), percent))
+    pivots = pivots.where(F.col("chunk") < PIVOTS).select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "set_id", "text")
+    group = lambda df: df.select(F.col("block").alias("g1"), F.col("chunk").alias("g2"), F.lit(0).alias("g3"), "set_id", F.col("set_id").alias("label"), "text")
+    found = written(join_groups(group(full).unionByName(group(pivots)), size, percent))
     if large.limit(1).count():
         label = components(found.unionByName(large.select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))))
-        labelled = written(large.join(label.select(F.col("node").alias("set_id"), F.col("component").alias("label")), "set_id"))
-        count = labelled.groupBy("block", "label").agg(F.count("*").alias("c"))
+        labels = written(large.select("block", "chunks", "chunk", "set_id", "n").join(label.select(F.col("node").alias("set_id"), F.col("component").alias("label")), "set_id"))
+        count = labels.groupBy("block", "label").agg(F.count("*").alias("c"))
         main = count.groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        rest = labelled.join(main, "block").where("label <> main")
-        parts = rest.groupBy("block").agg(F.ceil(F.sum(F.length("tokens") / 8) / CHUNK_TOKENS).cast("int").alias("parts"))
-        rest = rest.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"), F.pmod(F.xxhash64("set_id", F.lit(2)), "parts").cast("int").alias("g3"), "set_id", "label", "tokens")
-        every = labelled.join(parts, "block").select("block", F.col("chunk").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g3"), "set_id", "label", "tokens")
-        found = found.unionByName(join_groups(rest.unionByName(every).withColumnRenamed("block", "g1"), percent))
+        rest = labels.join(main, "block").where("label <> main")
+        parts = rest.groupBy("block").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("parts"))
+        rest = rest.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("g2"), F.pmod(F.xxhash64("set_id", F.lit(2)), "parts").cast("int").alias("g3"), "set_id", "label")
+        every = labels.join(parts, "block").select("block", F.col("chunk").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g3"), "set_id", "label")
+        again = rest.unionByName(every).withColumnRenamed("block", "g1").join(large.select("set_id", "text"), "set_id")
+        found = found.unionByName(join_groups(again, size, percent))
     return found
 
 
