@@ -101,8 +101,14 @@ def canonical_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -
     lists = sorted({how["list"][0] for _, how in LAYOUTS.values() if "list" in how})
     top = F.from_json(F.col(json_col), "map<string,string>")
     df = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("_json"), top.alias("_top"), *[F.from_json(top[n], "array<map<string,string>>").alias(f"_l_{n}") for n in lists])
-    inner = [F.transform(F.coalesce(F.map_keys(F.col(f"_l_{n}")[0]), F.array().cast("array<string>")), lambda k, n=n: F.concat(F.lit(f"{n}."), k)) for n in lists]
-    paths = F.concat(F.coalesce(F.map_keys("_top"), F.array().cast("array<string>")), *inner)
+    no_keys = F.array().cast("array<string>")
+
+    def below(name):
+        keys = F.coalesce(F.map_keys(F.get(F.col(f"_l_{name}"), 0)), no_keys)
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}."), k))
+
+    inner = [below(n) for n in lists]
+    paths = F.concat(F.coalesce(F.map_keys("_top"), no_keys), *inner)
     paths = F.array_sort(F.filter(paths, lambda p: p.isin(known)))
     df = df.withColumn("_print", F.sha2(F.array_join(paths, "\n"), 256))
     empty = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")

@@ -21,7 +21,7 @@ from . import textkernel as K
 from .common import keyed, partitions, split_by_bucket
 
 #: Bytes of distinct spans indexed at once; buckets are cut into slices by their partition grams.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _PER = 7  # symbols of 9 bits in a packed code
 _HEAD = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "<u2"), ("slice", "u1")])
 _CELLS = 1 << 14
@@ -88,7 +88,8 @@ class RunLengthIndex:
             rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])) if self.n else 0
             if depth <= self.window:
                 kept, half = rank.astype(np.int32), depth
-            if depth >= longest:
+            # equal ranks are final once nothing of their spans is left to compare
+            if depth >= longest or not ((key[1:] == key[:-1]) & (self.rest[order[1:]] > depth)).any():
                 return order.astype(np.int32), kept, half
             ahead = np.zeros(self.n, np.int64)
             ahead[:-depth] = rank[depth:] + 1

@@ -188,8 +188,8 @@ class Gru:
         return out
 
 
-def fit(offs: np.ndarray, raw: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Gru:
-    """Adam on the currently highest window of each document; embeddings are updated where touched."""
+def fit(offs: np.ndarray, raw: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, steps: int = 300, rate: float = 0.01, seed: int = 7) -> Gru:
+    """Adam on the currently highest window of each document, for ``epochs`` or at least ``steps`` batches; embeddings are updated where touched."""
     model = Gru.new(seed)
     distinct, inverse, first = tokens(offs, raw)
     doc, at, size = window_starts(first)
@@ -200,6 +200,7 @@ def fit(offs: np.ndarray, raw: np.ndarray, y: np.ndarray, epochs: int = 12, batc
     r = np.random.Generator(np.random.PCG64(seed))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
     bucket, grams, bounds = distinct
+    epochs = max(epochs, -(-steps * batch // len(have)))
     step = 0
     for epoch in range(epochs):
         s = model.score_windows(distinct, inverse, at, size)
@@ -212,9 +213,9 @@ def fit(offs: np.ndarray, raw: np.ndarray, y: np.ndarray, epochs: int = 12, batc
         for a in range(0, len(mix), batch):
             own = best[mix[a : a + batch]]
             most = int(size[own].max())
-            steps = np.arange(most)[:, None]
-            mask = (steps < size[own]).astype(np.float32)[:, :, None]
-            ids = inverse[np.minimum(at[own] + steps, len(inverse) - 1)]
+            place = np.arange(most)[:, None]
+            mask = (place < size[own]).astype(np.float32)[:, :, None]
+            ids = inverse[np.minimum(at[own] + place, len(inverse) - 1)]
             words, local = np.unique(ids, return_inverse=True)
             local = local.reshape(ids.shape)
             n = np.diff(bounds)[words]
