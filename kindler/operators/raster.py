@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
+
 
 def mosaic(tiles: DataFrame, priority: str, window: tuple[int, int, int, int]) -> DataFrame:
     """One pixel table from overlapping ones: the highest priority with a value wins; ``window`` is row0, row1, col0, col1 (inclusive)."""
@@ -110,17 +112,17 @@ def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
 
     on = pixels.where("v = 1").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     tiles = on.withColumn("_t", F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)))
-    local = tiles.groupBy("_t").applyInPandas(lambda pdf: own(pdf), "row long, col long, label long").checkpoint()
+    local = checkpointed(tiles.groupBy("_t").applyInPandas(own, "row long, col long, label long"))
     edge = local.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
     a = edge.select("row", "col", F.col("label").alias("a"))
     steps = F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))
     b = edge.select("row", "col", F.col("label").alias("b"), F.explode(steps).alias("s")).select((F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "b")
     seams = a.join(b, ["row", "col"]).where("a <> b").select("a", "b").distinct()
-    links = seams.unionByName(seams.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    names = links.select(F.col("a").alias("label")).distinct().withColumn("low", F.col("label")).checkpoint()
+    links = checkpointed(seams.unionByName(seams.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    names = checkpointed(links.select(F.col("a").alias("label")).distinct().withColumn("low", F.col("label")))
     while True:
         near = links.join(names, F.col("b") == F.col("label")).groupBy("a").agg(F.min("low").alias("m"))
-        new = names.join(near, F.col("label") == F.col("a"), "left").select("label", F.least("low", "m").alias("low"), (F.col("m") < F.col("low")).alias("moved")).checkpoint()
+        new = checkpointed(names.join(near, F.col("label") == F.col("a"), "left").select("label", F.least("low", "m").alias("low"), (F.col("m") < F.col("low")).alias("moved")))
         names = new.select("label", "low")
         if not new.where("moved").limit(1).count():
             break

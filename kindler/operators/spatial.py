@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: A side of at most this many rows is broadcast whole.
 SMALL = 2_000
 
@@ -63,7 +65,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
         b = best(probe.join(side, ["_gx", "_gy"]))
         settled = b.where(F.col("dist2") <= (reach * cell) ** 2)
         found = settled if found is None else found.unionByName(settled)
-        open_ = open_.join(settled.select(key), key, "left_anti").checkpoint()
+        open_ = checkpointed(open_.join(settled.select(key), key, "left_anti"))
         if not open_.limit(1).count():
             return left.join(found, key, "left")
         reach *= 3

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "kindler", **conf: str) -> SparkSession:
@@ -17,3 +19,11 @@ def session(app: str = "kindler", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its lineage cut; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindler-ckpt-"))
+    return df.checkpoint()
