@@ -35,13 +35,11 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, doc: np.ndarray, window: int):
         n = self.n = len(text)
-        if n >= 1 << 21:
-            raise ValueError("positions and ranks must fit in 21 bits each")
         self.text, self.window = text, window
         span = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.append(0, ends)))
         self.rest = (ends[span] - np.arange(n)).astype(np.int32)  # symbols up to and with the separator
-        self.codes = self._codes(_PER)
-        sa, rank_half, half = self._sort(int(self.rest.max()) if n else 0)
+        self.codes = self._codes(_PER, text, 9)
+        sa, rank_half, half = self._sort()
         # classes of suffixes with the same first ``window`` symbols; they are contiguous in the suffix array
         first, second = rank_half[sa], rank_half[np.minimum(sa + (window - half), n - 1)]
         new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (self.rest[sa[1:]] <= window))
@@ -63,38 +61,57 @@ class RunLengthIndex:
         self.shift = lf - self.start  # LF of a row is the row plus its run's shift
         self.key = self.symbol[self.by_symbol].astype(np.int64) * (n + 1) + self.start[self.by_symbol]
 
-    def _codes(self, symbols: int) -> np.ndarray:
-        """The next symbols of every position packed into a number, nothing beyond its separator."""
+    def _codes(self, symbols: int, text: np.ndarray, wide: int) -> np.ndarray:
+        """The next symbols of every position packed into a number, ``wide`` bits each, nothing beyond its separator."""
         code = np.zeros(self.n, np.int64)
+        text = np.append(text, np.zeros(symbols, text.dtype)).astype(np.int64)
         for k in range(symbols):
-            symbol = np.append(self.text[k:], np.zeros(k, self.text.dtype)).astype(np.int64)
-            symbol[self.rest <= k] = 0
-            code <<= 9
-            code |= symbol
+            code <<= wide
+            code |= np.where(self.rest > k, text[k : k + self.n], 0)
         return code
 
-    def _sort(self, longest: int):
+    def _sort(self):
         """(suffix array, ranks at the largest depth not above the window, that depth) by prefix doubling.
 
-        Ranks and positions are packed into one number, so each round is a plain sort.
+        A rank is the first row of the suffix's group.  Rank, rank ahead and
+        position are packed into one number, so a round is a plain sort, and only
+        of the groups that are still tied.
         """
-        place, low = np.arange(self.n, dtype=np.int64), (1 << 21) - 1
-        both, depth, kept, half = self._codes(4) << 21, 4, None, 4
+        n, bits = self.n, self.n.bit_length()
+        mask = (1 << bits) - 1
+        used = np.zeros(257, bool)
+        used[self.text] = True
+        dense = np.cumsum(used) - used[0]  # separators stay 0
+        wide = max(1, int(dense[-1]).bit_length())
+        depth = (63 - bits) // wide
+        depth = min(depth, self.window)
+        packed = np.sort((self._codes(depth, dense[self.text], wide) << bits) | np.arange(n))
+        sa, key = packed & mask, packed >> bits
+        new = np.append(True, key[1:] != key[:-1])
+        rank = np.empty(n, np.int64)
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        kept, half = rank, depth
         while True:
-            packed = np.sort(both | place)
-            order = packed & low
-            key = packed >> 21
-            rank = np.empty(self.n, np.int64)
-            rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])) if self.n else 0
             if depth <= self.window:
-                kept, half = rank.astype(np.int32), depth
-            # equal ranks are final once nothing of their spans is left to compare
-            if depth >= longest or not ((key[1:] == key[:-1]) & (self.rest[order[1:]] > depth)).any():
-                return order.astype(np.int32), kept, half
-            ahead = np.zeros(self.n, np.int64)
-            ahead[:-depth] = rank[depth:] + 1
-            ahead[self.rest <= depth] = 0
-            both = ((rank << 21) | ahead) << 21
+                kept, half = rank.copy(), depth
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            at = sa[tied]
+            more = self.rest[at] > depth
+            if not more.any():  # equal ranks are final once nothing of their spans is left to compare
+                return sa.astype(np.int32), kept.astype(np.int32), half
+            ahead = np.where(more, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+            if bits <= 20:
+                packed = np.sort((((rank[at] << (bits + 1)) | ahead) << bits) | at)
+                sa[tied] = packed & mask
+                key = packed >> bits
+                fresh = np.append(True, key[1:] != key[:-1])
+            else:  # a very large slice: the same by three keys
+                order = np.lexsort((at, ahead, rank[at]))
+                sa[tied] = at[order]
+                x, y = rank[at][order], ahead[order]
+                fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            new[tied] = fresh
+            rank[sa[tied]] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
             depth *= 2
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -155,10 +172,8 @@ class RunLengthIndex:
             yield step, own, q, m
 
 
-def index_slice(spans: list[bytes], doc: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each distinct span: the least doc_id of any span that has the window at each of its starts."""
-    if not spans:
-        return []
+def index_slice(spans: list[bytes], doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, first): for each window start of each distinct span, in order, the least doc_id of any span that has the window; spans begin at ``first``."""
     size = np.array([len(s) for s in spans], np.int64)
     ends = np.cumsum(size + 1)
     text = np.zeros(int(ends[-1]), np.int16)
@@ -166,15 +181,14 @@ def index_slice(spans: list[bytes], doc: np.ndarray, window: int) -> list[np.nda
     start = ends - size - 1
     text[np.arange(len(flat)) + np.repeat(np.arange(len(spans)), size)] = flat.astype(np.int16) + 1
     index = RunLengthIndex(text, ends, doc, window)
-    out = [np.empty(int(s) - window + 1, np.int64) for s in size]
     table = np.full(int(ends[-1]), np.iinfo(np.int64).max)
+    last = start + size - 1
     for step, own, row, length in index.matching_statistics(start, size):
-        at = start[own] + size[own] - 1 - step
-        long = length >= window
-        table[at[long]] = index.least[row[long]]
-    for i, o in enumerate(out):
-        o[:] = table[start[i] : start[i] + len(o)]
-    return out
+        long = np.flatnonzero(length >= window)
+        table[last[own[long]] - step] = index.least[row[long]]
+    count = size - window + 1
+    first = np.concatenate([[0], np.cumsum(count)])
+    return table[np.repeat(start - first[:-1], count) + np.arange(int(first[-1]))], first
 
 
 def crowded(docs: DataFrame, size: int, gram: int, share: int) -> np.ndarray:
@@ -294,6 +308,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
         order = np.argsort(head["slice"], kind="stable")
         level = np.searchsorted(head["slice"][order], np.arange(257))
         volume = np.diff(np.append(0, np.cumsum(np.diff(bounds)[order])[level[1:] - 1] if len(order) else 0))
+        found_marks: list = []
         at = 0
         while at < 256:
             to, total = at + 1, volume[at]
@@ -308,15 +323,13 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
             which = np.array([known.setdefault(data[bounds[i] : bounds[i + 1]], len(known)) for i in own.tolist()])
             least = np.full(len(known), np.iinfo(np.int64).max)
             np.minimum.at(least, which, ids[own])
-            found = index_slice(list(known), least, size)
-            first = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-            flat = np.concatenate(found)
+            flat, first = index_slice(list(known), least, size)
             count = head["n"][own].astype(np.int64)
             begin = np.cumsum(count) - count
             hit = flat[np.repeat(first[which] - begin, count) + np.arange(int(count.sum()))] < np.repeat(ids[own], count)
             span, a, b = R.spans_of(hit, np.append(begin, int(count.sum())))
-            if len(span):
-                yield marks(keys[own][span], head["start"][own][span] + a, b - a)
+            found_marks.append((keys[own][span], head["start"][own][span] + a, b - a))
+        yield marks(*(np.concatenate(x) for x in zip(*found_marks, strict=True)))
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
     sent = likely.mapInArrow(spans, R.MOVED)

@@ -142,8 +142,8 @@ def test_run_length_index(spans, r):
     for s, d in zip(raw, doc, strict=True):
         for i in range(len(s) - window + 1):
             least[s[i : i + window]] = min(least.get(s[i : i + window], 99), d)
-    out = rindex_dedup.index_slice(raw, doc, window)
-    assert [o.tolist() for o in out] == [[least[s[i : i + window]] for i in range(len(s) - window + 1)] for s in raw]
+    values, first = rindex_dedup.index_slice(raw, doc, window)
+    assert [values[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [[least[s[i : i + window]] for i in range(len(s) - window + 1)] for s in raw]
 
 
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
