@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: A side of at most this many rows is broadcast whole.
-SMALL = 2_000
+#: A side of at most this many rows is broadcast whole; for nearest neighbours, one that is compared with every row.
+SMALL, COMPARED = 2_000, 128
 
 
 def _cell(c: str, size: float) -> Column:
@@ -50,8 +50,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
     n = right.count()
     best = lambda pairs: pairs.groupBy(key).agg(F.min_by(payload, F.struct(d2.alias("d"), F.col(rid).alias("i"))).alias("near"), F.min(d2).alias("dist2"))
     points = left.select(key, x, y)
-    if n <= SMALL or cell is None:
-        if n > SMALL:
+    if n <= COMPARED or cell is None:
+        if n > COMPARED:
             area = right.agg(((F.max(rx) - F.min(rx)) * (F.max(ry) - F.min(ry)) / n).alias("a")).first()["a"]
             cell = max(float(area) ** 0.5 * 2, 1e-9)
         else:
