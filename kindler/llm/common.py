@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +63,6 @@ def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text", *more)
 
 
-BLOBS = "bucket int, blob binary"
-
-
-def blob_batch(buckets, blobs) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-
 def split_by_bucket(bucket: np.ndarray, n: int, *columns: np.ndarray):
     """Yields (bucket, columns of its rows): one stable sort instead of n masks."""
     order = np.argsort(bucket, kind="stable")

@@ -140,20 +140,6 @@ def sliding(f, x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def anchors(grams: np.ndarray, w: int) -> np.ndarray:
-    """Minimizers: positions that hold the least value of some run of ``w`` grams.
-
-    Two places with the same w grams choose the same positions in them; equal
-    values are all chosen, so nothing depends on what lies outside.
-    """
-    if len(grams) < w:
-        return np.zeros(0, np.int64)
-    low = sliding(np.minimum, grams, w)
-    pad = np.zeros(w - 1, grams.dtype)
-    most = sliding(np.maximum, np.concatenate([pad, low, pad]), w)
-    return np.flatnonzero(most == grams)
-
-
 def give_back() -> None:
     """Returns freed memory of this worker process to the system, where the C library can."""
     import ctypes
