@@ -24,6 +24,6 @@ def poisson(mean: Column, key: Column, inverted_up_to: int = 10) -> Column:
             edges.append(total)
             term *= m / (k + 1)
         out = F.when(mean == m, F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < u)).cast("double")).otherwise(out)
-    # Acklam-free normal: Box-Muller on two hashes
+    # a normal by Box and Muller on two hashes
     z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * uniform(F.xxhash64(key, F.lit(7))))
     return F.coalesce(out, F.greatest(F.round(mean + F.sqrt(mean.cast("double")) * z), F.lit(0.0)))
