@@ -26,6 +26,13 @@ def j8_nearest_by_grid(t):
     return d.select("id", F.col("near.hid").alias("hid"))
 
 
+@query()
+def j8_nearest_by_grid_all(t):
+    """All buildings; no SQL, as every pair of building and hotspot would be ranked."""
+    d = spatial.nearest(t("bld"), t("hot"), "id", "hid", rx="hx", ry="hy", cell=2500.0)
+    return d.select("id", F.col("near.hid").alias("hid"))
+
+
 @query(with_views("bld") + " SELECT a.id, count(b.id) AS neighbours, round(count(b.id) / (pi() * 4.0), 6) AS per_km2 FROM bld a LEFT JOIN bld b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 4000000.0 GROUP BY 1")
 def j9_radius_self_count(t):
     b = t("bld")
@@ -39,6 +46,13 @@ def j10_radius_count(t):
     return d.select("id", "firms_hotspot_count_5km")
 
 
+@query(with_views("bld", "hot") + " SELECT id, count(hid) AS firms_hotspot_count_5km FROM bld LEFT JOIN hot ON (x-hx)*(x-hx)+(y-hy)*(y-hy) <= 25000000.0 GROUP BY 1")
+def j10_radius_count_all(t):
+    """All buildings, within the 5,000 m of the name."""
+    d = spatial.radius_count(t("bld"), t("hot"), 5000.0, "id", "firms_hotspot_count_5km", rx="hx", ry="hy")
+    return d.select("id", "firms_hotspot_count_5km")
+
+
 @query(with_views("bld", "fires") + " SELECT id, round(min(abs(sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) - r)), 6) AS dist_to_nearest_fire_m, count(*) FILTER (WHERE greatest(sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) - r, 0) < 5000) AS fire_count_5km, count(*) FILTER (WHERE greatest(sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) - r, 0) < 10000) AS fire_count_10km, CAST(max((sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) < r)::INT) AS INTEGER) AS ever_burned, round(sum(CASE WHEN greatest(sqrt((x-fx)*(x-fx)+(y-fy)*(y-fy)) - r, 0) < 10000 THEN 1.0::DOUBLE / (2024 - yr + 1) ELSE 0 END), 6) AS recency_score FROM bld, fires GROUP BY 1")
 def j11_ag12_ag13_ag14_fire_history(t):
     d = spatial.circle_features(t("bld"), t("fires"), "id", 2024)
@@ -95,6 +109,13 @@ def geo6_boundary_distance(t):
     return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
 
 
+@query(with_views("bld", "fires") + ", d AS (SELECT id, fid, 4 * r AS h, abs(x - fx) AS dx, abs(y - fy) AS dy FROM bld, fires) SELECT id, fid, round(CASE WHEN dx <= h AND dy <= h THEN least(h - dx, h - dy) ELSE sqrt(greatest(dx - h, 0) * greatest(dx - h, 0) + greatest(dy - h, 0) * greatest(dy - h, 0)) END, 4) AS dist FROM d")
+def geo6_boundary_distance_all(t):
+    """All buildings."""
+    d = t("bld").join(F.broadcast(_boxes(t)))
+    return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
+
+
 @query()
 def geo1_project_known_fires(t):
     """WGS84 to the Greek grid; held against published control values in the tests."""
@@ -167,6 +188,13 @@ def ras8_class_distance(t):
     return raster.class_distance(pts, t.pixels(), 5, "id", 30.0, 20.0).select("id", r6("dist", "dist"))
 
 
+@query("WITH " + PIX + ", pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part) SELECT id, round(min(sqrt(((t.row - q.row) * 30.0) * ((t.row - q.row) * 30.0) + ((t.col - q.col) * 20.0) * ((t.col - q.col) * 20.0))), 6) AS dist FROM pts t, pix q WHERE q.v = 5 GROUP BY 1")
+def ras8_class_distance_all(t):
+    """All points."""
+    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
+    return raster.class_distance(pts, t.pixels(), 5, "id", 30.0, 20.0).select("id", r6("dist", "dist"))
+
+
 
 
 def _vegetation(t):
@@ -181,5 +209,5 @@ def ras9_components(t):
 @query()
 def ras10_continuity(t):
     labels = raster.components(_vegetation(t), 50, tile=16)
-    pts = t("part").where("p_partkey <= 300").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
+    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
     return raster.continuity(pts, labels, "id", 5).select("id", r6("share", "share"))
