@@ -95,8 +95,9 @@ def proximity_matches(documents: DataFrame, terms: DataFrame, within: int = 10)
     """query_id, row_key, start, end: places where all terms of a query stand within ``within`` words.
 
     ``terms`` has query_id and term (a lower-cased word).  One match is given for
-    each position of the query's rarest term that lies in such a place, with the
-    nearest position of every other term; nulls are ignored.
+    each position of the query's rarest term that lies in such a place: the
+    shortest such place around it, the earliest of equally short ones; nulls are
+    ignored.
     """
     t = written(terms.where("query_id is not null and term is not null").select("query_id", "term").distinct())
     n = t.count()
@@ -109,6 +110,14 @@ def proximity_matches(documents: DataFrame, terms: DataFrame, within: int = 10)
     block = lambda c: F.floor(F.col(c) / within)
     far = rest.withColumn("b", F.explode(F.array(block("q") - 1, block("q"), block("q") + 1)))
     pairs = first.withColumn("b", block("p")).join(far, ["query_id", "row_key", "b"], "left").where(F.col("q").isNull() | (F.abs(F.col("q") - F.col("p")) < within))
-    best = pairs.groupBy("query_id", "need", "row_key", "p", "t").agg(F.min(F.struct(F.abs(F.col("q") - F.col("p")), F.col("q"))).alias("m"))
-    whole = best.groupBy("query_id", "need", "row_key", "p").agg(F.count("t").alias("have"), F.least(F.min("m.q"), F.col("p")).alias("start"), F.greatest(F.max("m.q"), F.col("p")).alias("end"))
-    return whole.where(f"have = need - 1 and end - start < {within}").select("query_id", "row_key", "start", "end")
+    # a position holds one word, so an anchor has fewer than 2 * within candidates
+    candidate = F.when(F.col("q").isNotNull(), F.struct("q", "t"))
+    near_by = pairs.groupBy("query_id", "need", "row_key", "p").agg(F.collect_set(candidate).alias("c")).withColumn("ts", F.array_distinct("c.t")).where("size(ts) = need - 1")
+    # from every start at or before the anchor, the first position of each other term; null where a term is missing
+    starts = F.array_distinct(F.concat(F.array("p"), F.filter("c.q", lambda q: q < F.col("p"))))
+    firsts = lambda s: F.transform("ts", lambda t: F.array_min(F.filter("c", lambda x: (x["t"] == t) & (x["q"] >= s))["q"]))
+    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), firsts(s).alias("f")))
+    spans = F.transform(F.filter(spans, lambda x: ~F.exists(x["f"], lambda q: q.isNull())), lambda x: F.struct(x["start"].alias("start"), F.greatest(F.coalesce(F.array_max(x["f"]), F.col("p")), F.col("p")).alias("end")))
+    tightest = F.array_min(F.transform(spans, lambda x: F.struct((x["end"] - x["start"]).alias("d"), x["start"].alias("start"), x["end"].alias("end"))))
+    whole = near_by.withColumn("m", tightest).where(F.col("m.d") < within)
+    return whole.select("query_id", "row_key", "m.start", "m.end")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -93,6 +95,29 @@ def test_proximity(spark):
     assert got == {("q", 1), ("q", 3), ("r", 3)}
 
 
+def test_proximity_of_three_terms_against_brute_force(spark):
+    r = random.Random(3)
+    words = [["x"] * 20, *([r.choice("aabbccccxxx") for _ in range(60)] for _ in range(30))]
+    for p, w in ((10, "a"), (5, "b"), (16, "b"), (18, "c")):
+        words[0][p] = w
+    words[1:1] = [["c", *"xxxx", "c", *"xxx", "a", "b"], ["a"] * 3]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(0, " ".join(words[0]))], "doc_id long, text string")
+    q = spark.createDataFrame([("q", t) for t in "abc"] + [("s", "a")], "query_id string, term string")
+    keys = {x["row_key"]: x["doc_id"] for x in d.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id").collect()}
+    total = {t: sum(w.count(t) for w in words[:1] * 2 + words[1:]) for t in "abc"}
+    rarest = min("abc", key=lambda t: (total[t], t))
+    for within in (4, 10):
+        want = []
+        for i, w in enumerate(words):
+            for p in (p for p, x in enumerate(w) if x == rarest):
+                fits = [(e - s, s, e) for s in range(max(0, p - within + 1), p + 1) for e in range(p, min(s + within, len(w))) if set("abc") <= set(w[s : e + 1])]
+                want += [("q", i, *min(fits)[1:])] if fits else []
+            want += [("s", i, p, p) for p, x in enumerate(w) if x == "a"]
+        got = [(x["query_id"], keys[x["row_key"]], x["start"], x["end"]) for x in decontaminate.proximity_matches(d, q, within).collect()]
+        assert sorted(got) == sorted(want)
+        assert within < 10 or ("q", 0, 10, 18) in got
+
+
 # --- packing
 
 
