@@ -151,10 +151,12 @@ def align(index, fp: list[np.ndarray], most_errors: float, least_overlap: int):
         start = end
         if not len(hit):
             continue
-        key = (r - r.min()) * (len(bounds) << 16) + q * (1 << 16) + (off + (1 << 15))
-        key, votes = np.unique(key, return_counts=True)
-        base = r.min()
-        pair, off = key >> 16, (key & 0xFFFF) - (1 << 15)
+        # pairs are numbered by rank, so that pair and offset fit 64 bits for recordings of any length
+        base, least = r.min(), off.min()
+        width = off.max() - least + 1
+        pairs, rank = np.unique((r - base) * len(bounds) + q, return_inverse=True)
+        key, votes = np.unique(rank * width + (off - least), return_counts=True)
+        pair, off = pairs[key // width], key % width + least
         order = np.lexsort((off, np.abs(off), -votes, pair))
         best = order[np.append(True, pair[order][1:] != pair[order][:-1])]
         r, q, off = base + pair[best] // len(bounds), pair[best] % len(bounds), off[best]

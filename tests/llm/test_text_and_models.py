@@ -304,6 +304,21 @@ def test_chroma_alignment_and_recall(spark):
     assert chroma.search(prints.where("false")).count() == 0
 
 
+def test_chroma_offsets_of_long_recordings():
+    r = np.random.RandomState(4)
+    queries = [r.randint(0, 1 << 32, n, np.uint32) for n in (60, 50, 70)]
+    long = r.randint(0, 1 << 32, 150_000, np.uint32)
+    for q, at in ((0, 32_760), (1, 70_000), (2, 140_000)):
+        long[at : at + len(queries[q])] = queries[q]
+    for recordings, held in (([queries[1], long, queries[2]], queries), ([queries[1]], [queries[0], long])):
+        rec, q, off, errors, bits = chroma.align(chroma.query_index(np.arange(len(held)), held), recordings, 0.2, 28)
+        found = sorted(zip(rec.tolist(), q.tolist(), off.tolist(), errors.tolist(), bits.tolist(), strict=True))
+        if len(held) == 3:
+            assert found == [(0, 1, 0, 0, 1600), (1, 0, 32_760, 0, 1920), (1, 1, 70_000, 0, 1600), (1, 2, 140_000, 0, 2240), (2, 2, 0, 0, 2240)]
+        else:
+            assert found == [(0, 1, -70_000, 0, 1600)]
+
+
 def test_rendered_vectors(spark):
     d = spark.createDataFrame([(1, [0.5] * 8), (2, None), (3, []), (4, [1.0, float("nan")])], "vec_id long, embedding array<float>")
     got = {r["rec"]: r["wav"] is None for r in chroma.rendered(d).collect()}
