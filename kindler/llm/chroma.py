@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import written
 
 WINDOW, HOP, WIDTH = 1024, 256, 6
 #: Bytes of query fingerprints that one pass over the recordings holds.
@@ -193,13 +193,17 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
     has at most ``most_errors`` of its bits wrong at the offset with the most
     votes (ties: the smallest shift), over at least ``least_overlap`` positions.
     Queries are held in blocks of at most ``PASS_BYTES`` and every block meets all
-    rows; no partners are left out.  Rows with a null id are searched but are no
+    rows, which are numbered for this; no partners are left out.  Rows with a null id are searched but are no
     queries; repeated ids are separate rows and separate queries.
     """
     spark = prints.sparkSession
     queries = prints.where(F.col("rec") % every == 0).select("rec", "fp", F.size("fp").alias("n")).where("n > 0")
     volume = queries.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-4 * volume // PASS_BYTES))
+    prints = prints.select(F.monotonically_increasing_id().alias("row"), "rec", "fp")
+    if blocks > 1:  # numbers that are stored are the same in every pass
+        prints = written(prints)
+        queries = prints.where(F.col("rec") % every == 0).where(F.size("fp") > 0)
     done = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("rec"), F.lit(blocks)) == block).select("rec", "fp").toArrow().combine_chunks()
@@ -220,13 +224,13 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
                 order = np.lexsort((off, names[q] if len(q) else q, r))
                 made = pa.StructArray.from_arrays([pa.array(names[q][order] if len(q) else q, pa.int64()), *(pa.array(x[order], pa.int32()) for x in (off, errors, bits))], ["query_id", "offset", "bit_errors", "bits"])
                 where = np.searchsorted(r[order], np.arange(len(recs) + 1)).astype(np.int32)
-                yield pa.record_batch([b.column("rec"), b.column("fp"), pa.ListArray.from_arrays(pa.array(where), made)], names=["rec", "fp", "matches"])
+                yield pa.record_batch([b.column("row"), b.column("rec"), b.column("fp"), pa.ListArray.from_arrays(pa.array(where), made)], names=["row", "rec", "fp", "matches"])
 
-        part = prints.select("rec", "fp").mapInArrow(run, f"rec long, fp array<int>, matches {MATCHES}")
+        part = prints.mapInArrow(run, f"row long, rec long, fp array<int>, matches {MATCHES}")
         done = part if done is None else done.unionByName(part)
     if blocks > 1:
-        done = done.groupBy("rec", "fp").agg(F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return done
+        done = done.groupBy("row").agg(F.first("rec").alias("rec"), F.first("fp").alias("fp"), F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return done.select("rec", "fp", "matches")
 
 
 def melody(vectors: np.ndarray, rate: int = 4000, slots: int = 32, samples: int = 512) -> list[bytes]:

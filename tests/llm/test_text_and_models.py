@@ -319,6 +319,19 @@ def test_chroma_offsets_of_long_recordings():
             assert found == [(0, 1, -70_000, 0, 1600)]
 
 
+def test_chroma_rows_that_repeat_in_several_blocks(spark, monkeypatch):
+    r = np.random.RandomState(6)
+    own = [[int(x) for x in r.randint(-(1 << 31), 1 << 31, 60)] for _ in range(6)]
+    rows = [(i * 20, fp) for i, fp in enumerate(own)] + [(7, own[0]), (7, own[0]), (7, own[1]), (0, own[0]), (20, own[5]), (None, own[2]), (None, own[2]), (None, None), (None, None), (None, []), (9, None), (9, None)]
+    prints = spark.createDataFrame(rows, "rec long, fp array<int>").repartition(3)
+    plain = lambda d: sorted(repr((x["rec"], x["fp"], sorted(tuple(m) for m in x["matches"]))) for x in d.collect())
+    want = plain(chroma.search(prints, every=20))
+    assert len(want) == len(rows) and sum(x.startswith("(None, None") for x in want) == 2
+    for size in (4 * 60 * 4, 4 * 60, 16):
+        monkeypatch.setattr(chroma, "PASS_BYTES", size)
+        assert plain(chroma.search(prints, every=20)) == want
+
+
 def test_rendered_vectors(spark):
     d = spark.createDataFrame([(1, [0.5] * 8), (2, None), (3, []), (4, [1.0, float("nan")])], "vec_id long, embedding array<float>")
     got = {r["rec"]: r["wav"] is None for r in chroma.rendered(d).collect()}
