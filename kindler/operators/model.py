@@ -19,7 +19,7 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_w", F.when(F.col(label) == 1, F.lit(total / max(2 * pos, 1.0))).otherwise(F.lit(total / max(2 * (total - pos), 1.0))))
 
 
-def fit(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 5, rate: float = 0.05, seed: int = 42) -> PipelineModel:
+def fit(df: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> PipelineModel:
     """Imputation by medians, then boosted trees; subsampling is off."""
     filled = [f"_f_{f}" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=1.0, seed=seed)]

@@ -78,14 +78,16 @@ def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds:
     most = max(1, -int(-n * top // 1))
     base = top_fraction(composite(df, weights, "_s"), "_s", key, top).select(key, *cols)
     draws = weight_draws(weights, rounds, spread, seed)
-    step, total = 50, None
+    step, bars = 50, []
     for a in range(0, rounds, step):
         part = draws[a : a + step]
         score = [sum((F.col(c) * float(w) for c, w in zip(cols, ws, strict=True)), F.lit(0.0)) for ws in part]
         # the most-th highest score of each round
         share = 1 - (most - 1) / (n - 1) if n > 1 else 1.0
         cuts = df.select(*[F.percentile(s, share).alias(f"c{i}") for i, s in enumerate(score)]).first()
-        kept = sum(((s >= F.lit(cuts[i] - 1e-12)).cast("int") for i, s in enumerate(score)), F.lit(0))
-        base = base.withColumn("_k", (F.col("_k") if total else F.lit(0)) + kept)
-        total = True
+        bars += [[*ws, cuts[i] - 1e-12] for i, ws in enumerate(part)]
+    # one constant array, since a sum of hundreds of terms is too deep to compile
+    above = lambda d: sum((F.col(c) * d[i] for i, c in enumerate(cols)), F.lit(0.0)) >= d[len(cols)]
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in bars])
+    base = base.withColumn("_k", F.size(F.filter(rows, above)))
     return base.select(key, (F.col("_k") / rounds).alias("stability"))

@@ -65,7 +65,7 @@ def stat1_auc_by_event(t):
 
 @query()
 def stat2_bootstrap_interval(t):
-    d = stats.bootstrap_auc(t("val"), "burned", "composite_score", "event_id", rounds=200)
+    d = stats.bootstrap_auc(t("val"), "burned", "composite_score", "event_id", rounds=1000)
     return d.select("event_id", r6("auc", "auc"), r6("low", "low"), r6("high", "high"))
 
 
@@ -142,7 +142,7 @@ def _groups(t):
 
 @query()
 def stat5_weight_sensitivity(t):
-    return scoring.weight_stability(_groups(t), "building_id", WEIGHTS, rounds=100)
+    return scoring.weight_stability(_groups(t), "building_id", WEIGHTS, rounds=500)
 
 
 @query("SELECT 100 AS rounds, 4 AS weights, true AS sums_to_one")
@@ -152,24 +152,32 @@ def stat5_weight_draws(t):
     return t.spark.createDataFrame([(len(d), len(d[0]), ok)], "rounds int, weights int, sums_to_one boolean")
 
 
+@query("SELECT 500 AS rounds, 4 AS weights, true AS sums_to_one")
+def stat5_weight_draws_all(t):
+    """The draws that the sensitivity uses."""
+    d = scoring.weight_draws(WEIGHTS, 500)
+    ok = all(abs(sum(w) - 1) < 1e-12 for w in d)
+    return t.spark.createDataFrame([(len(d), len(d[0]), ok)], "rounds int, weights int, sums_to_one boolean")
+
+
 _X = ["x", "y", "dist", "composite_score"]
 
 
 @query()
 def ml2_ml3_leave_one_event_out(t):
-    d = model.leave_one_out(t("val"), "event_id", _X, "burned", trees=5, depth=3)
+    d = model.leave_one_out(t("val"), "event_id", _X, "burned", trees=200, depth=6)
     return d.select("event_id", "building_id", r6("probability_burned", "probability_burned"), r6("composite_score", "composite_score"))
 
 
 @query()
 def ml5_event_metrics(t):
-    d = model.leave_one_out(t("val"), "event_id", _X, "burned", trees=5, depth=3)
+    d = model.leave_one_out(t("val"), "event_id", _X, "burned", trees=200, depth=6)
     return model.event_metrics(d, "event_id", "burned", "probability_burned", "composite_score")
 
 
 @query()
 def ml4_ml6_importances(t):
-    m = model.fit(t("val"), _X, "burned", trees=5, depth=3)
+    m = model.fit(t("val"), _X, "burned", trees=200, depth=6)
     return t.spark.createDataFrame(model.importances(m, _X), "feature string, importance double")
 
 
