@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from .stats import auc
 
 
+#: ML7: 21 structural and 5 dynamic features; leaving one event out drops the five of fire history, which know the event itself.
+FIRE_HISTORY = ["dist_to_nearest_fire_m", "fire_count_5km", "fire_count_10km", "firms_hotspot_count_5km", "recency_score"]
+STRUCTURAL = [
+    "elevation_m", "slope_deg", "south_aspect_score", "tpi_300m", "tri_300m",
+    "veg_fraction_100m", "veg_fraction_500m", "dist_to_forest_m", "dist_to_scrubland_m", "wui_class", "veg_continuity_500m",
+    "fwi_season_mean", "fwi_season_p90", "fwi_season_max", "dc_season_mean", "fwi_extreme_days", *FIRE_HISTORY,
+]
+DYNAMIC = ["wind_speed_max_24h", "wind_dir_consistency", "vpd_event_day", "dc_antecedent_30d", "fwi_event_day"]
+ALL = STRUCTURAL + DYNAMIC
+LEAVE_ONE_OUT = [f for f in ALL if f not in FIRE_HISTORY]
+
+
 def weighted(df: DataFrame, label: str) -> DataFrame:
     """``df`` with class weights that give both classes the same mass."""
     n = df.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("p")).first()

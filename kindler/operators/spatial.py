@@ -93,14 +93,20 @@ def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_y
 
 
 def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) -> DataFrame:
-    """key with burned int: strictly inside any polygon (pid, ring); boxes are compared first, rings are few and broadcast."""
+    """key with burned int: strictly inside any polygon (pid, ring, or parts with holes where there is such a column); boxes are compared first, rings are few and broadcast."""
     from ..functions.geometry import inside
 
     n = polygons.count()
     if n > SMALL:
         raise ValueError(f"{n} polygons; partition them by region first")
-    boxed = polygons.select(pid, "ring", *[f(F.col(f"ring.{a}")).alias(f"{name}{a}") for name, f in (("lo", F.array_min), ("hi", F.array_max)) for a in ("x", "y")])
-    hit = points.join(F.broadcast(boxed), (F.col("x") >= F.col("lox")) & (F.col("x") <= F.col("hix")) & (F.col("y") >= F.col("loy")) & (F.col("y") <= F.col("hiy")) & inside(F.col("ring"), F.col("x"), F.col("y")), "left_semi")
+    x, y, held = F.col("x"), F.col("y"), "ring"
+    within = inside(F.col("ring"), x, y)
+    if "parts" in polygons.columns:
+        held = "parts"
+        within = F.exists("parts", lambda p: inside(p[0], x, y) & ~F.exists(F.slice(p, 2, F.size(p)), lambda hole: inside(hole, x, y)))
+        polygons = polygons.withColumn("ring", F.flatten(F.flatten("parts")))
+    boxed = polygons.select(pid, held, *[f(F.col(f"ring.{a}")).alias(f"{name}{a}") for name, f in (("lo", F.array_min), ("hi", F.array_max)) for a in ("x", "y")])
+    hit = points.join(F.broadcast(boxed), (F.col("x") >= F.col("lox")) & (F.col("x") <= F.col("hix")) & (F.col("y") >= F.col("loy")) & (F.col("y") <= F.col("hiy")) & within, "left_semi")
     return points.select(key).join(hit.select(key, F.lit(1).alias("burned")), key, "left").withColumn("burned", F.coalesce("burned", F.lit(0)))
 
 

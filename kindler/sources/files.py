@@ -25,8 +25,8 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 # --- GeoPackage: polygons and points -----------------------------------------------------------------
 
 
-def wkb_rings(blob: bytes) -> list[list[tuple[float, float]]]:
-    """Outer rings of a GeoPackage or plain WKB polygon or multipolygon; a point is a ring of one."""
+def wkb_parts(blob: bytes) -> list[list[list[tuple[float, float]]]]:
+    """Parts of a GeoPackage or plain WKB polygon or multipolygon, each its outer ring and its holes; a point is a ring of one."""
     if blob[:2] == b"GP":
         envelope = (0, 32, 48, 48, 64)[(blob[3] >> 1) & 7]
         blob = blob[8 + envelope :]
@@ -36,7 +36,7 @@ def wkb_rings(blob: bytes) -> list[list[tuple[float, float]]]:
         kind = struct.unpack_from(f"{order}I", blob, at + 1)[0] % 1000
         at += 5
         if kind == 1:
-            return [[struct.unpack_from(f"{order}dd", blob, at)]], at + 16
+            return [[[struct.unpack_from(f"{order}dd", blob, at)]]], at + 16
         n = struct.unpack_from(f"{order}I", blob, at)[0]
         at += 4
         out = []
@@ -46,7 +46,8 @@ def wkb_rings(blob: bytes) -> list[list[tuple[float, float]]]:
                 v = struct.unpack_from(f"{order}{2 * m}d", blob, at + 4)
                 at += 4 + 16 * m
                 if i == 0:
-                    out.append(list(zip(v[::2], v[1::2], strict=True)))
+                    out.append([])
+                out[0].append(list(zip(v[::2], v[1::2], strict=True)))
             else:
                 part, at = geometry(at)
                 out += part
@@ -61,7 +62,10 @@ def polygon_wkb(ring: list[tuple[float, float]]) -> bytes:
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str, columns: str, geometry: str = "geom") -> DataFrame:
-    """``columns`` (DDL) of a layer and ring array<struct<x, y>>: the outer ring of the largest part."""
+    """``columns`` (DDL) of a layer and ring array<struct<x, y>>, the outer ring of the largest part, and parts, all parts with all rings (outer first).
+
+    ``ring`` suits buildings; perimeters need ``parts``.  Rings are not repaired.
+    """
     names = [c.split()[0] for c in columns.split(",")]
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,12 +75,15 @@ def read_geopackage(spark: SparkSession, path: str, layer: str, columns: str, ge
                 con.deserialize(bytes(content))
                 rows = con.execute(f'SELECT {", ".join(f"""\"{n}\"""" for n in names)}, "{geometry}" FROM "{layer}"').fetchall()
                 area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)))
-                rings = [max(wkb_rings(bytes(r[-1])), key=area, default=None) if r[-1] else None for r in rows]
+                parts_ = [wkb_parts(bytes(r[-1])) if r[-1] else None for r in rows]
+                points = lambda r: [{"x": x, "y": y} for x, y in r]
+                rings = [max((p[0] for p in ps), key=area, default=None) if ps else None for ps in parts_]
                 out = pd.DataFrame([r[:-1] for r in rows], columns=names)
-                out["ring"] = [None if r is None else [{"x": x, "y": y} for x, y in r] for r in rings]
+                out["ring"] = [None if r is None else points(r) for r in rings]
+                out["parts"] = [None if ps is None else [[points(r) for r in p] for p in ps] for ps in parts_]
                 yield out
 
-    return _binary(spark, path).mapInPandas(decode, f"{columns}, ring array<struct<x:double,y:double>>")
+    return _binary(spark, path).mapInPandas(decode, f"{columns}, ring array<struct<x:double,y:double>>, parts array<array<array<struct<x:double,y:double>>>>")
 
 
 def write_geopackage(path: str, layer: str, rows: list[tuple], columns: list[str]) -> None:

@@ -18,6 +18,28 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert [(p["x"], p["y"]) for p in rows[0]["ring"]] == ring
 
 
+def test_geopackage_parts_and_holes(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from kindler.operators import model, spatial
+
+    box = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    wkb = lambda rings: b"\x01" + struct.pack("<II", 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+    parts = [[box(0.0, 10.0), box(4.0, 6.0)], [box(20.0, 22.0)]]
+    con = sqlite3.connect(str(tmp_path / "f.gpkg"))
+    con.execute("CREATE TABLE fires (id INTEGER, geom BLOB)")
+    con.execute("INSERT INTO fires VALUES (1, ?)", [b"GP\x00\x01" + struct.pack("<i", 0) + b"\x01" + struct.pack("<II", 6, 2) + b"".join(map(wkb, parts))])
+    con.commit()
+    con.close()
+    d = files.read_geopackage(spark, str(tmp_path / "f.gpkg"), "fires", "id long")
+    row = d.first()
+    assert [[[tuple(p) for p in r] for r in part] for part in row["parts"]] == parts and [tuple(p) for p in row["ring"]] == parts[0][0]
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 21.0, 21.0), (4, 15.0, 15.0)], "i long, x double, y double")
+    assert {r["i"]: r["burned"] for r in spatial.label_inside(points, d, "i", "id").collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+    assert (len(model.STRUCTURAL), len(model.DYNAMIC), len(model.ALL), len(model.LEAVE_ONE_OUT)) == (21, 5, 26, 21)
+
+
 def test_geotiff_round_trip(spark, tmp_path):
     a = np.arange(300 * 7, dtype=np.float32).reshape(300, 7)
     a[3, 4] = -9999
