@@ -152,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             x = statistics(*K.offsets_of(b.column("text")))
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, label, modulus, held_out, at_most)), "doc_id")
-    table = rows.mapInArrow(run, "doc_id long, y double, x array<double>").toArrow()
+    chosen = F.broadcast(labelled(labels, label, modulus, held_out, at_most))
+    made = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, "doc_id long, y double, x array<double>")
+    table = made.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()  # an id that repeats counts once
     if not table.num_rows:
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .quality_gbt import labelled, remainder  # noqa: F401
+from .common import written
+from .quality_gbt import labelled
 
 SIZE, STRIDE = 64, 32
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 12, 12, 8
@@ -249,12 +249,39 @@ def fit(offs: np.ndarray, raw: np.ndarray, y: np.ndarray, epochs: int = 12, batc
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, at_most: int = 4_000, max_bytes: int = 16 << 20, **params) -> Gru:
-    """Fits on at most ``at_most`` labelled documents, and of them on those that fit in ``max_bytes`` of text, taken in the order of a hash."""
-    chosen = labelled(labels, label, modulus, held_out, at_most)
+def one_per_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text, y of the ``chosen`` ids: one row for each id, by hash where its texts differ; null texts are left out."""
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    rows = rows.withColumn("_sum", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).where(F.col("_sum") <= max_bytes)
-    table = rows.orderBy("_sum").select("doc_id", "text", "y").toArrow().combine_chunks()
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.text", "r.y")
+
+
+def byte_bound(sizes: list[int], most: int) -> int:
+    """The largest text length so that all texts of at most that length hold ``most`` bytes together; the shortest text always fits."""
+    total, bound = 0, min(sizes, default=0)
+    for size in sorted(sizes):
+        total += size
+        if total > most:
+            break
+        bound = size
+    return bound
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, at_most: int = 4_000, max_bytes: int = 16 << 20, **params) -> Gru:
+    """Fits on at most ``at_most`` labelled documents, chosen by a hash of the id.
+
+    Where their texts hold more than ``max_bytes`` together, the longest are left
+    out, so one very long text costs itself only.  An id that repeats counts once.
+    """
+    rows = written(one_per_id(docs, labelled(labels, label, modulus, held_out, at_most)))
+    sizes = [r[0] for r in rows.select(F.octet_length("text")).collect()]  # at most ``at_most``
+    longest = byte_bound(sizes, max_bytes)
+    if sum(s for s in sizes if s <= longest) > max_bytes:  # ties at the bound: as many as fit, by hash
+        room = max(1, (max_bytes - sum(s for s in sizes if s < longest)) // max(1, longest))
+        ties = rows.where(F.octet_length("text") == longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(room)
+        rows = rows.where(F.octet_length("text") < longest).unionByName(ties)
+    else:
+        rows = rows.where(F.octet_length("text") <= longest)
+    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().combine_chunks()
     offs, raw = K.offsets_of(table.column("text"))
     return fit(offs, raw, table.column("y").to_numpy().astype(np.float32), **params)
 

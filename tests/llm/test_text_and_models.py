@@ -231,6 +231,47 @@ def test_classifiers_on_awkward_rows(spark, frame, empty, docs, labelled):
     assert quality_gbt.train(labelled[0].where("false"), labelled[1]).score(np.zeros((1, len(quality_gbt.NAMES)))).shape == (1,)
 
 
+def test_byte_bound():
+    assert toxicity_gru.byte_bound([], 5) == 0
+    assert toxicity_gru.byte_bound([9], 5) == 9
+    assert toxicity_gru.byte_bound([100, 1, 2, 3], 6) == 3
+    assert toxicity_gru.byte_bound([5, 5, 5], 12) == 5
+
+
+def test_a_very_long_labelled_text_and_repeated_ids_cost_only_themselves(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity_gru, "fit", lambda offs, raw, y: seen.append((np.diff(offs).tolist(), y.tolist())))
+    for long_id in range(1, 41):  # whatever place the hash gives it
+        if long_id % 13:
+            continue
+        texts = {i: "x" * (5_000 if i == long_id else 10 + i % 3) for i in range(1, 41)}
+        rows = [(i, t) for i, t in texts.items()] + [(2, "other"), (2, "other"), (4, None)]
+        labels = spark.createDataFrame([(i, i % 2) for i in texts] + [(1, 1)], "doc_id long, toxic int")
+        toxicity_gru.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, at_most=100, max_bytes=1_000)
+        sizes, y = seen.pop()
+        mine = [i for i in texts if brute.crc(i) % 5 != 0]
+        assert len(sizes) == len(mine) - (long_id in mine) and max(sizes) <= 12 and sum(y) == sum(i % 2 for i in mine if i != long_id)
+        toxicity_gru.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, at_most=100, max_bytes=12 * 10 + 5)
+        assert 9 <= len(seen.pop()[0]) <= 12
+
+
+def test_scores_equal_plain_scoring_of_every_window():
+    """The highest window, whether windows are scored together, masked, or one by one."""
+    model = toxicity_gru.Gru.new(3)
+    r = np.random.RandomState(1)
+    texts = [" ".join(f"w{r.randint(50)}" for _ in range(n)) for n in (1, 5, 63, 64, 65, 96, 97, 300)] + [""]
+    offs, raw = K.offsets_of(pa.array(texts))
+    got = model.score(offs, raw)
+    for text, score in zip(texts, got, strict=True):
+        words, best = text.split(), 0.0
+        starts = sorted({*range(0, max(1, len(words) - 63), 32), max(0, len(words) - 64)}) if words else []
+        for a in starts:
+            o, b = K.offsets_of(pa.array([" ".join(words[a : a + 64])]))
+            distinct, inverse, _ = toxicity_gru.tokens(o, b)
+            best = max(best, float(model.forward(model.word_inputs(distinct)[inverse][:, None, :])[0]))
+        assert score == pytest.approx(best, abs=1e-5)
+
+
 def test_trees_traversal_equals_plain_descent():
     r = np.random.RandomState(3)
     x, y = r.rand(500, 4), (r.rand(500) < 0.5).astype(float)
