@@ -54,10 +54,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input, as the optimizer estimates them, for which a bucket is added.
+BUCKET_BYTES = 64 << 20
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(df: DataFrame) -> int:
+    """Number of buckets of a blob shuffle: the shuffle partitions, and more where the input asks for them, so a task's share stays bounded."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), -(-size // BUCKET_BYTES) if size < 1 << 50 else 0)  # sizes beyond a petabyte mean unknown ones
+
+
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """row_key, doc_id and text (plus ``more``); other columns are left out, so their names cannot clash."""
     return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text", *more)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import partitions, split_by_bucket
+from .common import buckets, split_by_bucket
 
 #: Records that a task holds before it sends them.
 FLUSH = 600_000
@@ -99,9 +99,8 @@ def by_key(keys: np.ndarray, values: np.ndarray, n: int):
     return moved([x for x, _ in made], [0] * len(made), [k.tobytes() + np.ascontiguousarray(v).tobytes() for _, (k, v) in made], [None] * len(made))
 
 
-def gathered(found: DataFrame, name: str, width: int) -> DataFrame:
+def gathered(found: DataFrame, name: str, width: int, n: int) -> DataFrame:
     """(row_key, ``name`` binary): all values of ``width`` bytes that ``by_key`` blobs hold for a key, in one row."""
-    n = partitions(found.sparkSession)
 
     def merge(batches):
         keys, values = [], []
@@ -166,7 +165,7 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
 
     ``across``: only occurrences in other rows count.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets(docs)
 
     def emit(batches):
         held, count = [], 0
@@ -212,7 +211,7 @@ def repeated_anchors(docs: DataFrame, unit: str, size: int, gram: int, across: b
         yield by_key(keys[hit], (low[hit] & _LOW).astype("<u4"), n)
 
     sent = docs.select("row_key", "text").mapInArrow(emit, MOVED)
-    return gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, MOVED), "anchors", 4)
+    return gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(answer, MOVED), "anchors", 4, n)
 
 
 def join_rows(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
@@ -220,8 +219,8 @@ def join_rows(docs: DataFrame, answers: DataFrame, how: str) -> DataFrame:
     return docs.join(answers.hint("shuffle_hash"), "row_key", how)
 
 
-def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int) -> np.ndarray:
-    """True at windows of the chunk whose anchor is among the row's ``anchors``."""
+def wanted_runs(items: Items, batch: pa.RecordBatch, size: int, gram: int):
+    """(start, length, anchor) of the chunk's runs of windows whose anchor is among the row's ``anchors``."""
     anchor, valid = items.anchors(size, gram)
     at, length = runs(anchor, valid, items.first)
     lists = batch.column("anchors").to_pylist()
@@ -232,12 +231,69 @@ def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int) -> np.
     mine = tag(K.owner(items.first, at).astype(np.uint64), anchor[at] & _LOW)
     where = np.minimum(np.searchsorted(good, mine), max(0, len(good) - 1))
     hit = good[where] == mine if len(good) else np.zeros(len(mine), bool)
-    delta = np.zeros(len(valid) + 1, np.int32)
-    delta[at[hit]] += 1
-    delta[at[hit] + length[hit]] -= 1
+    return at[hit], length[hit], anchor[at[hit]]
+
+
+def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int) -> np.ndarray:
+    """True at windows of the chunk whose anchor is among the row's ``anchors``."""
+    at, length, _ = wanted_runs(items, batch, size, gram)
+    delta = np.zeros(max(0, int(items.first[-1]) - size + 1) + 1, np.int32)
+    delta[at] += 1
+    delta[at + length] -= 1
     return np.cumsum(delta[:-1]) > 0
 
 
+#: Runs of windows that one gram may have before its windows travel singly, at least.
+CROWD = 20_000
+
+
+def crowded(docs: DataFrame, unit: str, size: int, gram: int, n: int) -> np.ndarray:
+    """Which cells of grams have far more than their share of runs, by a table with 16 cells for each of ``n`` buckets.
+
+    Cells are counted by range on the executors; only the crowded ones, fewer
+    than four of each range, come to the driver.
+    """
+    cells = 1 << max(14, (16 * n - 1).bit_length())
+    ranges = min(n, 1 << 10)
+    wide = -(-cells // ranges)
+
+    def count(batches):
+        total = np.zeros(cells, np.int32)
+        for c in K.chunks(batches, limit=CHUNK[unit]):
+            items = Items(c.column("text"), unit)
+            anchor, valid = items.anchors(size, gram)
+            at, _ = runs(anchor, valid, items.first)
+            total += np.bincount((anchor[at] % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.int32)
+        hit = np.flatnonzero(total)
+        made = list(split_by_bucket(hit // wide, ranges, hit.astype("<u4"), total[hit].astype("<i4")))
+        yield moved([x for x, _ in made], [0] * len(made), [c.tobytes() for _, (c, _) in made], [k.tobytes() for _, (_, k) in made])
+
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for r, a, b in zip(*(batch.column(i).to_pylist() for i in ("bucket", "a", "b")), strict=True):
+                own = total.setdefault(r, np.zeros(wide, np.int64))
+                own[np.frombuffer(a, "<u4") - r * wide] += np.frombuffer(b, "<i4")
+        over = {r: np.flatnonzero(own > max(CROWD, 4 * own.mean())) + r * wide for r, own in total.items()}
+        over = {r: x for r, x in over.items() if len(x)}
+        yield moved(list(over), [0] * len(over), [x.astype("<u4").tobytes() for x in over.values()], [None] * len(over))
+
+    found = docs.select("text").mapInArrow(count, MOVED).repartitionById(ranges, F.col("bucket")).mapInArrow(add, MOVED)
+    out = np.zeros(cells, bool)
+    for row in found.select("a").collect():
+        out[np.frombuffer(row["a"], "<u4")] = True
+    return out
+
+
+def pieces(at: np.ndarray, length: np.ndarray, group: np.ndarray, single: np.ndarray, most: int = 255):
+    """Runs cut into pieces of at most ``most`` windows, and of one window where ``single``: (start, length, group, single)."""
+    step = np.where(single, 1, most)
+    parts = -(-length // step)
+    k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    step, length = np.repeat(step, parts), np.repeat(length, parts)
+    return np.repeat(at, parts) + step * k, np.minimum(step, length - step * k), np.repeat(group, parts), np.repeat(single, parts)
+
+
 def spans_of(mask: np.ndarray, first: np.ndarray):
     """(row, start in the row, end in the row) of maximal runs of True inside each row's items."""
     n = len(mask)

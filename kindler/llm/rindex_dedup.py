@@ -333,7 +333,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
     sent = likely.mapInArrow(spans, R.MOVED)
-    return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8)
+    return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8, n)
 
 
 def dedup(documents: DataFrame, size: int = 50, anchor_gram: int = 20, gram: int = 10) -> DataFrame:

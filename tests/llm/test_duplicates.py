@@ -97,22 +97,54 @@ def test_substring_dedup(frame, docs):
         assert (rows[d]["n_words"], rows[d]["n"], rows[d]["kept"]) == (n_words, n_removed, kept), d
 
 
-def test_substring_dedup_rows_and_prefixes(spark, monkeypatch):
-    """Repeated rows are repeats of each other; ids may repeat or be null; deeper prefixes give the same."""
+@pytest.mark.parametrize("crowd", [False, True])
+def test_substring_dedup_rows_and_prefixes(spark, monkeypatch, crowd):
+    """Repeated rows are repeats of each other; ids may repeat or be null; small groups and crowded anchors give the same."""
     text = " ".join(str(i) for i in range(40))
-    rows = [(1, text), (1, text), (1, "x y"), (None, "a " + text), (None, None), (2, text[:-3])]
+    rows = [(1, text), (1, text), (1, "x y"), (None, "a " + text), (None, None), (2, text[:-3]), (3, "b a " * 300), (4, "c " + "a b " * 60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((str(a), b, c, e) for a, b, c, e in brute.substring_dedup(rows))
-    for limit in (200_000, 1):
-        base = suffix_dedup.repeated_windows
-        monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda x, s, g, base=base, limit=limit: base(x, s, g, group=limit))
-        got = sorted((str(r["doc_id"]), r["n_words"], r["n"], r["kept"]) for r in suffix_dedup.dedup(d).withColumn("n", removed()).collect())
-        monkeypatch.setattr(suffix_dedup, "repeated_windows", base)
-        assert got == want
+    if crowd:
+        monkeypatch.setattr(suffix_dedup.R, "crowded", lambda *a: np.ones(1 << 14, bool))
+        base = suffix_dedup.repeated_spans
+        monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda x, s, g: base(x, s, g, group=1))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n"], r["kept"]) for r in suffix_dedup.dedup(d).withColumn("n", removed()).collect())
+    assert got == want
     same = {r["doc_id"]: r["kept"] for r in suffix_dedup.dedup(spark.createDataFrame([(7, "a  b")], "doc_id long, text string"), carry=F.lit(1), verbatim=True).collect()}
     assert same == {7: "a  b"}
 
 
+def test_crowded_cells_are_found(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.R, "CROWD", 5)
+    d = spark.createDataFrame([(" ".join(f"{i}x{k}" for k in range(40)) + " " + " ".join(f"c{k}" for k in range(45)) + " " + " ".join(f"{i}y{k}" for k in range(40)),) for i in range(60)], "text string")
+    hot = suffix_dedup.R.crowded(d, "word", 35, 12, 4)
+    assert len(hot) == 1 << 14 and 0 < hot.sum() < 12
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=30), min_size=1, max_size=12), st.integers(1, 5), st.integers(1, 40))
+def test_subtrees_against_a_naive_tree(spans, size, most):
+    """Internal nodes, their depths and leaves, and the words they cover, however the suffixes are split by prefixes."""
+    symbol = np.array([ord(c) - 96 for s in spans for c in s])
+    words = suffix_dedup.Words(symbol, np.array([len(s) for s in spans]))
+    places: dict = {}
+    for s, text in enumerate(spans):
+        for i in range(len(text)):
+            for j in range(i + size, len(text) + 1):
+                places.setdefault(text[i:j], []).append((s, i, text[j] if j < len(text) else (s, i)))
+    want = sorted((x, sorted(p[:2] for p in ps)) for x, ps in places.items() if len({p[2] for p in ps}) > 1)
+    got, flat = [], [(s, i) for s, text in enumerate(spans) for i in range(len(text) + 1)]
+    for leaves in words.groups(np.flatnonzero(words.rest >= size), size, most):
+        tree = suffix_dedup.Subtree(words, leaves)
+        for depth, a, b in tree.nodes(size):
+            own = [flat[p] for p in tree.leaves[a : b + 1].tolist()]
+            s, i = own[0]
+            got.append((spans[s][i : i + depth], sorted(own)))
+    assert sorted(got) == want
+    covered = {(s, i + k) for x, ps in places.items() if len(ps) > 1 for s, i, _ in ps for k in range(len(x))}
+    assert {flat[p] for p in np.flatnonzero(suffix_dedup.repeated(words, size, most)).tolist()} == covered
+
+
 def test_byte_dedup(frame, docs):
     rows = {r["doc_id"]: r for r in rindex_dedup.dedup(frame).withColumn("n", removed()).collect()}
     for d, n, gone, spans, kept in brute.byte_dedup(docs):
