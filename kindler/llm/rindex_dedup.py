@@ -1,12 +1,15 @@
 """Suffix-array dedup with a run-length index (r-index).
 
 Windows that may repeat (see ``repeats``) travel as spans: runs of windows with
-one partition gram, so equal windows meet in one bucket.  There the distinct
-spans are indexed: suffix array, run-compressed Burrows-Wheeler transform with
-suffix-array samples at both ends of every run, and for each sampled-depth class
-of suffixes the least doc_id.  Matching statistics of the spans are streamed
-through the index from right to left, all spans at once; where the match is at
-least a window long and its class has a smaller doc_id, the window is marked.
+one partition gram, so equal windows meet in one bucket, and only spans of one
+gram can share a window.  The distinct spans of a gram are ranked by their least
+doc_id.  For each bit of the rank, the spans that have it unset are indexed (a
+run-compressed Burrows-Wheeler transform with suffix-array samples at both ends
+of every run) and the spans that have it set are streamed through the index from
+right to left, all at once; their matching statistics say how many bytes from
+each start occur in a span of a smaller doc_id.  Two spans whose ranks differ are
+on different sides exactly at the highest bit in which they differ; their higher
+bits, which agree, are part of the alphabet, so nothing else matches.
 """
 
 from __future__ import annotations
@@ -18,60 +21,75 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import textkernel as K
-from .common import keyed, partitions, split_by_bucket
+from .common import buckets, keyed, split_by_bucket
 
-#: Bytes of distinct spans indexed at once; buckets are cut into slices by their partition grams.
-SLICE = 1 << 18
+#: Bytes of distinct spans whose grams are indexed together.
+SLICE = 1 << 19
 _PER = 7  # symbols of 9 bits in a packed code
-_HEAD = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "<u2"), ("slice", "u1")])
-_CELLS = 1 << 14
+_LOWEST = np.array([1 << (9 * i) for i in range(_PER)])
+_HEAD = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("gram", "<u4")])
+_MARK = np.dtype([("start", "<u4"), ("n", "<u4")])
 
 
 class RunLengthIndex:
-    """r-index of ``text`` (symbols 1-256; 0 ends a span), with the least ``doc`` of the spans that share a window.
+    """r-index of spans of bytes; spans of different ``block`` share no symbol, so they do not match.
 
-    Spans end in separators ordered by position, so suffixes are totally ordered.
+    Kept are the runs of the transform (symbol, first row, samples at both ends,
+    step of the last-to-first mapping) and the text, seven bytes to a number, for
+    comparing two of its suffixes.  A separator ends each span; separators are
+    ordered by position, so suffixes are totally ordered.
     """
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, doc: np.ndarray, window: int):
-        n = self.n = len(text)
-        self.text, self.window = text, window
-        span = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(np.append(0, ends)))
-        self.rest = (ends[span] - np.arange(n)).astype(np.int32)  # symbols up to and with the separator
-        self.codes = self._codes(_PER, text, 9)
-        sa, rank_half, half = self._sort()
-        # classes of suffixes with the same first ``window`` symbols; they are contiguous in the suffix array
-        first, second = rank_half[sa], rank_half[np.minimum(sa + (window - half), n - 1)]
-        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (self.rest[sa[1:]] <= window))
-        at = np.flatnonzero(new)
-        self.least = np.repeat(np.minimum.reduceat(doc[span[sa]], at), np.diff(np.append(at, n)))
+    def __init__(self, data: np.ndarray, size: np.ndarray, block: np.ndarray):
+        ends = np.cumsum(size + 1)
+        n = self.n = int(ends[-1])
+        inner = np.ones(n, bool)
+        inner[ends - 1] = False
+        plain, wide = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        plain[inner] = data.astype(np.int64) + 1
+        wide[inner] = self.symbols(data, size, block)
+        self.begin = ends - size - 1
+        self.rest = (np.repeat(ends, size + 1) - np.arange(n)).astype(np.int32)  # symbols up to and with the separator
+        self.codes = self._codes(_PER, plain, 9)
+        used = np.zeros(int(wide.max()) + 1, bool)
+        used[wide] = True
+        self.dense = np.where(used, np.cumsum(used) - 1, -1)  # separators stay 0
+        text = self.dense[wide]
+        sa = self._sort(text)
         bwt = text[sa - 1]  # position -1 is the last separator
         heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
-        # the run-compressed transform: symbol, start, and suffix-array samples at both ends of each run
-        self.symbol, self.start = bwt[heads].astype(np.int32), heads.astype(np.int32)
-        self.stop = np.append(heads[1:], n).astype(np.int32)
-        self.first_sample, self.last_sample = sa[self.start], sa[self.stop - 1]
-        self.run_at = np.repeat(np.arange(len(heads), dtype=np.int32), self.stop - self.start)  # rank support of the run heads
-        # runs by symbol: ranks before each run give LF
-        self.by_symbol = np.argsort(self.symbol, kind="stable").astype(np.int32)
-        self.offset = np.searchsorted(self.symbol[self.by_symbol], np.arange(258))
-        length = (self.stop - self.start)[self.by_symbol]
-        lf = np.empty(len(heads), np.int32)
+        stop = np.append(heads[1:], n)
+        self.symbol, self.start, self.last = bwt[heads], heads, stop - 1
+        self.first_sample, self.last_sample = sa[heads], sa[stop - 1]
+        # runs by symbol: the rows before each give LF
+        self.by_symbol = np.argsort(self.symbol, kind="stable")
+        self.offset = np.searchsorted(self.symbol[self.by_symbol], np.arange(len(self.dense) + 2))
+        length = (stop - heads)[self.by_symbol]
+        lf = np.empty(len(heads), np.int64)
         lf[self.by_symbol] = np.cumsum(length) - length  # C[symbol] + earlier runs of the symbol
-        self.shift = lf - self.start  # LF of a row is the row plus its run's shift
-        self.key = self.symbol[self.by_symbol].astype(np.int64) * (n + 1) + self.start[self.by_symbol]
+        self.shift = lf - heads  # LF of a row is the row plus its run's shift
+        self.key = self.symbol[self.by_symbol] * (n + 1) + heads[self.by_symbol]
+
+    @staticmethod
+    def symbols(data: np.ndarray, size: np.ndarray, block: np.ndarray) -> np.ndarray:
+        return data.astype(np.int64) + 1 + 257 * np.repeat(block, size)
+
+    def query(self, data: np.ndarray, size: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Bytes of other spans in the index's alphabet; -1 for what it lacks."""
+        wide = self.symbols(data, size, block)
+        return np.where(wide < len(self.dense), self.dense[np.minimum(wide, len(self.dense) - 1)], -1)
 
     def _codes(self, symbols: int, text: np.ndarray, wide: int) -> np.ndarray:
         """The next symbols of every position packed into a number, ``wide`` bits each, nothing beyond its separator."""
         code = np.zeros(self.n, np.int64)
-        text = np.append(text, np.zeros(symbols, text.dtype)).astype(np.int64)
+        text = np.append(text, np.zeros(symbols, np.int64))
         for k in range(symbols):
             code <<= wide
             code |= np.where(self.rest > k, text[k : k + self.n], 0)
         return code
 
-    def _sort(self):
-        """(suffix array, ranks at the largest depth not above the window, that depth) by prefix doubling.
+    def _sort(self, text: np.ndarray) -> np.ndarray:
+        """Suffix array by prefix doubling.
 
         A rank is the first row of the suffix's group.  Rank, rank ahead and
         position are packed into one number, so a round is a plain sort, and only
@@ -79,26 +97,19 @@ class RunLengthIndex:
         """
         n, bits = self.n, self.n.bit_length()
         mask = (1 << bits) - 1
-        used = np.zeros(257, bool)
-        used[self.text] = True
-        dense = np.cumsum(used) - used[0]  # separators stay 0
-        wide = max(1, int(dense[-1]).bit_length())
-        depth = (63 - bits) // wide
-        depth = min(depth, self.window)
-        packed = np.sort((self._codes(depth, dense[self.text], wide) << bits) | np.arange(n))
+        wide = max(1, int(text.max()).bit_length())
+        depth = max(1, (63 - bits) // wide)
+        packed = np.sort((self._codes(depth, text, wide) << bits) | np.arange(n))
         sa, key = packed & mask, packed >> bits
         new = np.append(True, key[1:] != key[:-1])
         rank = np.empty(n, np.int64)
         rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        kept, half = rank, depth
         while True:
-            if depth <= self.window:
-                kept, half = rank.copy(), depth
             tied = np.flatnonzero(~(new & np.append(new[1:], True)))
             at = sa[tied]
             more = self.rest[at] > depth
             if not more.any():  # equal ranks are final once nothing of their spans is left to compare
-                return sa.astype(np.int32), kept.astype(np.int32), half
+                return sa
             ahead = np.where(more, rank[np.minimum(at + depth, n - 1)] + 1, 0)
             if bits <= 20:
                 packed = np.sort((((rank[at] << (bits + 1)) | ahead) << bits) | at)
@@ -114,141 +125,138 @@ class RunLengthIndex:
             rank[sa[tied]] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
             depth *= 2
 
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to ``most`` and within their spans."""
         out = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         while len(live):
             x, y = a[live] + out[live], b[live] + out[live]
-            ok = (x < self.n) & (y < self.n) & (out[live] < most)
-            x, y = np.minimum(x, self.n - 1), np.minimum(y, self.n - 1)
             diff = self.codes[x] ^ self.codes[y]
-            same = ok & (diff == 0) & (self.rest[x] > _PER) & (self.rest[y] > _PER)
-            part = live[~same & ok]
-            xs, ys = a[part] + out[part], b[part] + out[part]
-            for _ in range(_PER):
-                go = (self.text[np.minimum(xs, self.n - 1)] == self.text[np.minimum(ys, self.n - 1)]) & (self.text[np.minimum(xs, self.n - 1)] != 0)
-                if not go.any():
-                    break
-                part, xs, ys = part[go], xs[go] + 1, ys[go] + 1
-                out[part] += 1
-            out[live[same]] += _PER
-            live = live[same]
-        return np.minimum(out, most)
-
-    def matching_statistics(self, start: np.ndarray, length: np.ndarray):
-        """For spans of the indexed alphabet, given as ranges of ``text``: yields (step from the right, spans, rows of the transform, match lengths)."""
+            left = np.minimum(np.minimum(self.rest[x], self.rest[y]) - 1, most[live] - out[live])
+            same = _PER - np.searchsorted(_LOWEST, diff, "right")  # symbols before the highest one that differs
+            out[live] += np.minimum(same, left)
+            live = live[(same == _PER) & (left > _PER)]
+        return out
+
+    def matching_statistics(self, query: np.ndarray, start: np.ndarray, length: np.ndarray):
+        """For ranges of ``query``: yields (step from the right, ranges, match lengths, places of a match in the text)."""
         order = np.argsort(-length, kind="stable")
-        row, pos, size = np.zeros(len(order), np.int32), np.full(len(order), self.first_sample[0], np.int32), np.zeros(len(order), np.int32)
+        row, pos, size = np.zeros(len(order), np.int64), np.full(len(order), self.first_sample[0]), np.zeros(len(order), np.int64)
         longest, last = length[order], (start + length - 1)[order]
-        most = self.window * 4
         lives = np.searchsorted(-longest, -np.arange(int(longest[0]) if len(order) else 0), "left")
         for step, live in enumerate(lives.tolist()):
             own = order[:live]
-            c = self.text[last[:live] - step]
+            c = query[last[:live] - step]
             q, p, m = row[:live], pos[:live], size[:live]
-            run = self.run_at[q]
+            run = np.searchsorted(self.start, q, "right") - 1
             fail = np.flatnonzero(self.symbol[run] != c)
+            if len(fail):
+                lost = fail[c[fail] < 0]  # the symbol is not in the index: start anew
+                fail = fail[c[fail] >= 0]
+                run[lost], q[lost], p[lost], m[lost] = 0, 0, self.first_sample[0], -1
             if len(fail):
                 # nearest runs of the symbol on both sides; the sample with the longer match wins
-                cf, qf, pf, mf = c[fail].astype(np.int64), q[fail], p[fail], m[fail]
-                at = np.searchsorted(self.key, cf * (self.n + 1) + qf)
+                cf, mf = c[fail], m[fail]
+                at = np.searchsorted(self.key, cf * (self.n + 1) + q[fail])
                 has_next, has_prev = at < self.offset[cf + 1], at > self.offset[cf]
                 nxt = self.by_symbol[np.minimum(at, len(self.by_symbol) - 1)]
                 prv = self.by_symbol[np.maximum(at - 1, 0)]
                 # a match of no length needs no comparison
-                down, up = np.where(has_next, 0, -1).astype(np.int32), np.where(has_prev, 0, -1).astype(np.int32)
+                down, up = np.where(has_next, 0, -1), np.where(has_prev, 0, -1)
                 for have, side, sample in ((has_next, down, self.first_sample[nxt]), (has_prev, up, self.last_sample[prv])):
                     go = np.flatnonzero(have & (mf > 0))
-                    side[go] = np.minimum(self.common(pf[go], sample[go], most), mf[go])
+                    side[go] = self.common(p[fail[go]], sample[go], mf[go])
                 go_up = up > down
                 run[fail] = np.where(go_up, prv, nxt)
-                q[fail] = np.where(go_up, self.stop[prv] - 1, self.start[nxt])
+                q[fail] = np.where(go_up, self.last[prv], self.start[nxt])
                 p[fail] = np.where(go_up, self.last_sample[prv], self.first_sample[nxt])
                 m[fail] = np.maximum(down, up)
             q += self.shift[run]
             p -= 1
             m += 1
-            yield step, own, q, m
+            yield step, own, m, p
 
 
-def index_slice(spans: list[bytes], doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, first): for each window start of each distinct span, in order, the least doc_id of any span that has the window; spans begin at ``first``."""
+def earlier(spans: list[bytes], doc: np.ndarray, gram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, first): for each window start of each distinct span, in order, whether a span of the same gram and a smaller ``doc`` has the window; spans begin at ``first``."""
     size = np.array([len(s) for s in spans], np.int64)
-    ends = np.cumsum(size + 1)
-    text = np.zeros(int(ends[-1]), np.int16)
     flat = np.frombuffer(b"".join(spans), np.uint8)
-    start = ends - size - 1
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(spans)), size)] = flat.astype(np.int16) + 1
-    index = RunLengthIndex(text, ends, doc, window)
-    table = np.full(int(ends[-1]), np.iinfo(np.int64).max)
-    last = start + size - 1
-    for step, own, row, length in index.matching_statistics(start, size):
-        long = np.flatnonzero(length >= window)
-        table[last[own[long]] - step] = index.least[row[long]]
-    count = size - window + 1
-    first = np.concatenate([[0], np.cumsum(count)])
-    return table[np.repeat(start - first[:-1], count) + np.arange(int(first[-1]))], first
-
-
-def crowded(docs: DataFrame, size: int, gram: int, share: int) -> np.ndarray:
-    """Cells of partition grams with far more than their share of runs: a table of fixed size."""
-
-    def count(batches):
-        total = np.zeros(_CELLS, np.int64)
-        for c in K.chunks(batches, limit=R.CHUNK["byte"]):
-            items = R.Items(c.column("text"), "byte")
-            anchor, valid = items.anchors(size, gram)
-            at, _ = R.runs(anchor, valid, items.first)
-            total += np.bincount((anchor[at] % np.uint64(_CELLS)).astype(np.int64), minlength=_CELLS)
-        yield R.moved([0], [0], [total.tobytes()], [None])
-
-    def add(batches):
-        total = np.zeros(_CELLS, np.int64)
-        for b in batches:
-            for a in b.column("a").to_pylist():
-                total += np.frombuffer(a, np.int64)
-        yield R.moved([0], [0], [total.tobytes()], [None])
-
-    rows = docs.select("text").mapInArrow(count, R.MOVED).repartitionById(1, F.col("bucket")).mapInArrow(add, R.MOVED).collect()  # one row
-    total = np.frombuffer(rows[0]["a"], np.int64) if rows else np.zeros(_CELLS, np.int64)
-    return total > np.maximum(20_000, total.sum() // share)
+    begin = np.cumsum(size) - size
+    first = np.concatenate([[0], np.cumsum(size - window + 1)])
+    hit = np.zeros(int(first[-1]), bool)
+    order = np.lexsort((doc, gram))
+    g, d = gram[order], doc[order]
+    other = np.append(True, g[1:] != g[:-1])
+    step = np.cumsum(np.append(True, other[1:] | (d[1:] != d[:-1])))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = step - np.maximum.accumulate(np.where(other, step, 0))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(other) - 1
+
+    def of(own):
+        """Bytes of the spans ``own``, one after the other."""
+        n = size[own]
+        return flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        # a span that is hit everywhere is needed no more: what it has, an earlier one has too
+        live = ~np.logical_and.reduceat(hit, first[:-1])
+        later, block = (rank >> bit) & 1 > 0, rank >> (bit + 1)
+        pair = group * (int(block.max()) + 1) + block
+        both = np.intersect1d(pair[live & ~later], pair[live & later])
+        live &= np.isin(pair, both)
+        if not live.any():
+            continue
+        old, new = np.flatnonzero(live & ~later), np.flatnonzero(live & later)
+        data, n = of(old)
+        index = RunLengthIndex(data, n, block[old])
+        data, n = of(new)
+        query = index.query(data, n, block[new])
+        start = np.cumsum(n) - n
+        for back, own, length, place in index.matching_statistics(query, start, n):
+            long = np.flatnonzero(length >= window)
+            if len(long):
+                span = new[own[long]]
+                source = old[np.searchsorted(index.begin, place[long], "right") - 1]
+                long = doc[source] < doc[span]
+                span, back_of = span[long], size[span[long]] - 1 - back
+                hit[first[span] + back_of] = True
+    return hit, first
 
 
 def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) -> DataFrame:
     """(row_key, marks binary of (start, length)): runs of windows that also start in a row with a smaller doc_id."""
-    n = partitions(docs.sparkSession)
-    hot = crowded(docs, size, gram, 8 * n)
-    mark = np.dtype([("start", "<u4"), ("n", "<u4")])
+    n = buckets(docs)
+    hot = R.crowded(docs, "byte", size, gram, n)
 
     def marks(keys, start, length):
-        pairs = np.zeros(len(keys), mark)
+        pairs = np.zeros(len(keys), _MARK)
         pairs["start"], pairs["n"] = start, length
         return R.by_key(keys, pairs, n)
 
-    def send(bucket, slice_, h, keys, ids, start, length, blobs):
+    def send(bucket, group, keys, ids, start, length, texts):
         # equal spans of the flush: the one with the smallest doc_id goes on and covers those with a larger one
-        order = np.lexsort((ids, length, h))
-        bucket, slice_, h, keys, ids, start, length = (x[order] for x in (bucket, slice_, h, keys, ids, start, length))
-        fresh = np.append(True, (h[1:] != h[:-1]) | (length[1:] != length[:-1])) if len(h) else np.zeros(0, bool)
-        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
-        covered = ids > ids[lead]
+        known: dict = {}
+        which = np.array([known.setdefault(t, len(known)) for t in texts])
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids)
+        covered = ids > least[which]
         if covered.any():
             yield marks(keys[covered], start[covered], length[covered])
         keep = np.flatnonzero(~covered)
-        buckets, a, b = [], [], []
+        out, a, b = [], [], []
         for x, (own,) in split_by_bucket(bucket[keep], n, keep):
             # one table of (row_key, doc_id) for the blob
             _, firsts, row = np.unique(keys[own], return_index=True, return_inverse=True)
             head = np.zeros(len(own), _HEAD)
-            head["row"], head["start"], head["n"], head["slice"] = row, start[own], length[own], slice_[own]
-            buckets.append(x)
-            a.append(R.squeezed(b"".join([blobs[i] for i in order[own].tolist()])))
+            head["row"], head["start"], head["n"], head["gram"] = row, start[own], length[own], group[own]
+            out.append(x)
+            a.append(R.squeezed(b"".join([texts[i] for i in own.tolist()])))
             b.append(np.array([len(firsts)], "<i8").tobytes() + keys[own][firsts].tobytes() + ids[own][firsts].tobytes() + head.tobytes())
-        yield R.moved(buckets, [0] * len(buckets), a, b)
+        yield R.moved(out, [0] * len(out), a, b)
 
     def spans(batches):
-        held, blobs, count = [], [], 0
+        held, texts, count = [], [], 0
         for c in K.chunks(batches, limit=R.CHUNK["byte"]):
             whole = R.Items(c.column("text"), "byte")
             want = R.candidates(whole, c, size, anchor_gram)
@@ -262,32 +270,26 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
             items = R.Items(pa.BinaryArray.from_buffers(pa.binary(), len(span), [None, pa.py_buffer(np.append(inner, inner[-1] + span[-1]).astype(np.int32)), pa.py_buffer(whole.raw[np.repeat(begin - inner, span) + np.arange(int(span.sum()))])]), "byte")
             anchor, valid = items.anchors(size, gram)
             own_window = items.windows(size)
-            crowd = hot[(anchor % np.uint64(_CELLS)).astype(np.int64)]
             # windows of a crowded gram go singly, by their own hash; runs are at most 255 windows long
-            group = np.where(crowd, own_window, anchor)
+            group = np.where(hot[(anchor % np.uint64(len(hot))).astype(np.int64)], own_window, anchor)
             at, length = R.runs(group, valid, items.first)
-            over = np.flatnonzero(length > 255)
-            if len(over):
-                parts = -(-length // 255)
-                k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-                at, length = np.repeat(at, parts) + 255 * k, np.minimum(255, np.repeat(length, parts) - 255 * k)
-            g = group[at]
+            at, length, g, _ = R.pieces(at, length, group[at], np.zeros(len(at), bool))
             data = items.raw.tobytes()
-            blobs += [data[x : x + y] for x, y in zip(at.tolist(), (length + size - 1).tolist(), strict=True)]
+            texts += [data[x : x + y] for x, y in zip(at.tolist(), (length + size - 1).tolist(), strict=True)]
             keys, ids = (c.column(x).to_numpy(zero_copy_only=False) for x in ("row_key", "doc_id"))
             region = K.owner(items.first, at)
             source = begin[region] + at - inner[region]
             row = K.owner(whole.first, source)
-            held.append((((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), ((g >> np.uint64(16)) & np.uint64(255)).astype(np.int64), K.range_hash(items.sums, at, at + length + size - 1), keys[row], ids[row], source - whole.first[row], length))
+            held.append((((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64), (g & np.uint64(2**32 - 1)).astype(np.int64), keys[row], ids[row], source - whole.first[row], length))
             count += len(at)
             if count >= R.FLUSH // 4:
-                yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)), blobs)
-                held, blobs, count = [], [], 0
+                yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
+                held, texts, count = [], [], 0
         if count:
-            yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)), blobs)
+            yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)), texts)
 
     def index(batches):
-        heads, keys, ids, texts = [], [], [], []
+        heads, keys, ids, blobs = [], [], [], []
         for batch in batches:
             yield batch.filter(batch.column("b").is_null())  # answers on their way
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -298,41 +300,49 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
                 keys.append(np.frombuffer(b, "<i8", m, 8)[head["row"]])
                 ids.append(np.frombuffer(b, "<i8", m, 8 + 8 * m)[head["row"]])
                 heads.append(head)
-                texts.append(R.opened(a))
+                blobs.append(R.opened(a))
         if not heads:
             return
         head, keys, ids = np.concatenate(heads), np.concatenate(keys), np.concatenate(ids)
-        bounds = np.concatenate([[0], np.cumsum(head["n"].astype(np.int64) + size - 1)])
-        data = b"".join(texts)
-        del texts, heads
-        order = np.argsort(head["slice"], kind="stable")
-        level = np.searchsorted(head["slice"][order], np.arange(257))
-        volume = np.diff(np.append(0, np.cumsum(np.diff(bounds)[order])[level[1:] - 1] if len(order) else 0))
-        found_marks: list = []
-        at = 0
-        while at < 256:
-            to, total = at + 1, volume[at]
-            while to < 256 and total + volume[to] <= SLICE:
-                total += volume[to]
-                to += 1
-            own = order[level[at] : level[to]]
-            at = to
-            if not len(own):
-                continue
-            known: dict = {}
-            which = np.array([known.setdefault(data[bounds[i] : bounds[i + 1]], len(known)) for i in own.tolist()])
-            least = np.full(len(known), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, ids[own])
-            flat, first = index_slice(list(known), least, size)
-            count = head["n"][own].astype(np.int64)
-            begin = np.cumsum(count) - count
-            hit = flat[np.repeat(first[which] - begin, count) + np.arange(int(count.sum()))] < np.repeat(ids[own], count)
-            span, a, b = R.spans_of(hit, np.append(begin, int(count.sum())))
-            found_marks.append((keys[own][span], head["start"][own][span] + a, b - a))
-        yield marks(*(np.concatenate(x) for x in zip(*found_marks, strict=True)))
+        bounds = np.concatenate([[0], np.cumsum(head["n"].astype(np.int64) + size - 1)]).tolist()
+        data = b"".join(blobs)
+        del blobs, heads
+        known: dict = {}
+        which = np.array([known.setdefault(data[x:y], len(known)) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
+        del data
+        texts = list(known)
+        del known
+        least, gram = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+        np.minimum.at(least, which, ids)
+        gram[which] = head["gram"]
+        # slices of whole grams; a gram with one document has nothing to match
+        order = np.lexsort((least, gram))
+        edges = R.cut(gram[order])
+        count = np.array([len(t) for t in texts], np.int64) - size + 1
+        volume = np.append(0, np.cumsum(count[order] + size - 1))
+        many = least[order[edges[:-1]]] < least[order[edges[1:] - 1]]
+        hits: list = [None] * len(texts)
+        x = 0
+        while x < len(many):
+            y = max(x + 1, int(np.searchsorted(volume[edges], volume[edges[x]] + SLICE, "right")) - 1)
+            own = order[edges[x] : edges[y]][np.repeat(many[x:y], np.diff(edges[x : y + 1]))]
+            x = y
+            if len(own):
+                hit, first = earlier([texts[i] for i in own.tolist()], least[own], gram[own], size)
+                for i, a, b in zip(own.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    if hit[a:b].any():
+                        hits[i] = hit[a:b]
+        # a copy of a span in a larger doc_id is repeated whole
+        copy = ids > least[which]
+        part = np.flatnonzero(~copy & np.array([h is not None for h in hits], bool)[which])
+        if len(part):
+            n_own = count[which[part]]
+            span, a, b = R.spans_of(np.concatenate([hits[i] for i in which[part].tolist()]), np.append(0, np.cumsum(n_own)))
+            yield marks(keys[part][span], head["start"][part][span] + a, b - a)
+        yield marks(keys[copy], head["start"][copy], head["n"][copy])
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
-    sent = likely.mapInArrow(spans, R.MOVED)
+    sent = likely.select("row_key", "doc_id", "text", "anchors").mapInArrow(spans, R.MOVED)
     return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8, n)
 
 

@@ -158,24 +158,52 @@ def test_byte_dedup_of_repeated_and_missing_ids_and_crowded_grams(spark, monkeyp
     want = sorted((str(a), b, c, e, f) for a, b, c, e, f in brute.byte_dedup(rows))
     for crowd in (False, True):
         if crowd:  # all grams count as crowded: windows travel singly
-            monkeypatch.setattr(rindex_dedup, "crowded", lambda *a: np.ones(rindex_dedup._CELLS, bool))
+            monkeypatch.setattr(rindex_dedup.R, "crowded", lambda *a: np.ones(1 << 14, bool))
         got = sorted((str(r["doc_id"]), r["n_bytes"], r["n"], len(r["spans"]), bytes(r["kept"])) for r in rindex_dedup.dedup(d).withColumn("n", removed()).collect())
         assert got == want
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=6, max_size=40), min_size=1, max_size=25, unique=True), st.randoms(use_true_random=False))
-def test_run_length_index(spans, r):
-    """Least document of every window, and longest matches, against plain search."""
+def test_earlier_spans(spans, r):
+    """Windows that a span of the same gram and a smaller document has, against plain search."""
     window = 6
     raw = [s.encode() for s in spans]
     doc = np.array([r.randint(0, 9) for _ in raw])
+    gram = np.array([r.randint(0, 1) for _ in raw])
     least: dict = {}
-    for s, d in zip(raw, doc, strict=True):
+    for s, d, g in zip(raw, doc.tolist(), gram.tolist(), strict=True):
         for i in range(len(s) - window + 1):
-            least[s[i : i + window]] = min(least.get(s[i : i + window], 99), d)
-    values, first = rindex_dedup.index_slice(raw, doc, window)
-    assert [values[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [[least[s[i : i + window]] for i in range(len(s) - window + 1)] for s in raw]
+            least[g, s[i : i + window]] = min(least.get((g, s[i : i + window]), 99), d)
+    # equal windows have equal grams in use; here the two grams are told apart by their alphabet
+    raw_of = [s if g == 0 else s.translate(bytes.maketrans(b"ab", b"cd")) for s, g in zip(raw, gram.tolist(), strict=True)]
+    hit, first = rindex_dedup.earlier(raw_of, doc, gram, window)
+    want = [[least[g, s[i : i + window]] < d for i in range(len(s) - window + 1)] for s, d, g in zip(raw, doc.tolist(), gram.tolist(), strict=True)]
+    assert [hit[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=30), min_size=1, max_size=10), st.lists(st.text("abcd", min_size=1, max_size=30), min_size=1, max_size=8), st.randoms(use_true_random=False))
+def test_matching_statistics_of_other_texts(indexed, asked, r):
+    """Longest matches of texts that are not in the index, in blocks that do not match each other, and a place of each."""
+    data = lambda x: (np.frombuffer("".join(x).encode(), np.uint8), np.array([len(s) for s in x], np.int64))
+    blocks, wanted = np.array([r.randint(0, 2) for _ in indexed]), np.array([r.randint(0, 2) for _ in asked])
+    index = rindex_dedup.RunLengthIndex(*data(indexed), blocks)
+    raw, size = data(asked)
+    start = np.cumsum(size) - size
+    lengths = [[0] * len(s) for s in asked]
+    for back, own, length, place in index.matching_statistics(index.query(raw, size, wanted), start, size):
+        for i, m, p in zip(own.tolist(), length.tolist(), place.tolist(), strict=True):
+            at = len(asked[i]) - 1 - back
+            lengths[i][at] = m
+            if m:
+                span = int(np.searchsorted(index.begin, p, "right")) - 1
+                inside = p - int(index.begin[span])
+                assert indexed[span][inside : inside + m] == asked[i][at : at + m] and blocks[span] == wanted[i]
+    for text, block, got in zip(asked, wanted.tolist(), lengths, strict=True):
+        own = [s for s, b in zip(indexed, blocks.tolist(), strict=True) if b == block]
+        want = [max(k for k in range(len(text) - i + 1) if k == 0 or any(text[i : i + k] in s for s in own)) for i in range(len(text))]
+        assert got == want
 
 
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
