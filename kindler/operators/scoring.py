@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import row_mean
-from .stats import percentile_rank
+from .stats import percentile_ranks
 
 
 def eligibility(df: DataFrame, features: list[str], most_null: float = 0.5) -> dict[str, str]:
@@ -31,9 +32,7 @@ def group_score(df: DataFrame, features: dict[str, str], out: str) -> DataFrame:
     good = [f for f in present if f not in bad]
     if not good:
         raise ValueError(f"no eligible features for {out}: {bad or 'none present'}")
-    d = df
-    for f in good:
-        d = percentile_rank(d, f, f"_p_{f}", direction=features[f])
+    d = percentile_ranks(df, {f: features[f] for f in good}, {f: f"_p_{f}" for f in good})
     return d.withColumn(out, row_mean(*[f"_p_{f}" for f in good])).drop(*[f"_p_{f}" for f in good])
 
 
@@ -42,13 +41,26 @@ def composite(df: DataFrame, weights: dict[str, float], out: str = "composite_sc
     return df.withColumn(out, sum((F.col(c) * float(w) for c, w in weights.items()), F.lit(0.0)))
 
 
+def group_scores(df: DataFrame, groups: dict[str, dict[str, str]]) -> DataFrame:
+    """``group_score`` of several groups (features by output column) with one check and one ranking of all their features."""
+    present = sorted({f for features in groups.values() for f in features if f in df.columns})
+    bad = eligibility(df, present) if present else {}
+    good = {out: [f for f in features if f in present and f not in bad] for out, features in groups.items()}
+    for out, own in good.items():
+        if not own:
+            raise ValueError(f"no eligible features for {out}: {bad or 'none present'}")
+    ways = {(f, groups[out][f]): f"_p{i}" for i, (out, f) in enumerate((out, f) for out, own in good.items() for f in own)}
+    copies = df.withColumns({name: F.col(f) for (f, _), name in ways.items()})
+    d = percentile_ranks(copies, {name: way for (_, way), name in ways.items()}, {name: f"{name}r" for name in ways.values()})
+    d = d.withColumns({out: row_mean(*[f"{ways[f, groups[out][f]]}r" for f in own]) for out, own in good.items()})
+    return d.select(*df.columns, *good)
+
+
 def baseline(df: DataFrame, distance: str, out: str = "baseline_score") -> DataFrame:
-    """Percentile rank of 1 / (distance + 1) in the population at hand, without clipping; 0.5 for a single row."""
-    from .stats import midranks
+    """Percentile rank of 1 / (distance + 1) in the population at hand, clipped to its 1st and 99th percentile; 0.5 for a single row."""
+    from .stats import percentile_rank
 
-    d = df.withColumn("_v", 1.0 / (F.col(distance) + 1.0))
-    r = midranks(d, "_v").select("_v", F.when(F.col("total") <= 1, 0.5).otherwise((F.col("rank") - 1) / (F.col("total") - 1)).alias(out))
-    return d.join(r, "_v", "left").drop("_v")
+    return percentile_rank(df.withColumn("_v", 1.0 / (F.col(distance) + 1.0)), "_v", out).drop("_v")
 
 
 def weight_draws(weights: dict[str, float], rounds: int = 500, spread: float = 0.05, seed: int = 42) -> list[list[float]]:
@@ -67,9 +79,11 @@ def weight_draws(weights: dict[str, float], rounds: int = 500, spread: float = 0
 def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds: int = 500, spread: float = 0.05, seed: int = 42, top: float = 0.10) -> DataFrame:
     """key, stability: the share of rounds in which a row of the unperturbed top ``top`` stays in the top.
 
-    Each round needs only its cut-off score: rounds are compared with one exact
-    percentile each, all in one aggregation; ties at a cut-off are won by rows
-    above it and then by the smallest key in the base ranking.
+    Each round needs only its cut-off score.  Approximate quantiles bound it from
+    both sides; rows above the band are counted and the distinct scores within it
+    are ranked, so the cut-off is exact and no task holds all scores.  Ties at a
+    cut-off are won by rows above it and then by the smallest key in the base
+    ranking.
     """
     from .stats import top_fraction
 
@@ -78,16 +92,33 @@ def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds:
     most = max(1, -int(-n * top // 1))
     base = top_fraction(composite(df, weights, "_s"), "_s", key, top).select(key, *cols)
     draws = weight_draws(weights, rounds, spread, seed)
-    step, bars = 50, []
-    for a in range(0, rounds, step):
-        part = draws[a : a + step]
-        score = [sum((F.col(c) * float(w) for c, w in zip(cols, ws, strict=True)), F.lit(0.0)) for ws in part]
-        # the most-th highest score of each round
-        share = 1 - (most - 1) / (n - 1) if n > 1 else 1.0
-        cuts = df.select(*[F.percentile(s, share).alias(f"c{i}") for i, s in enumerate(score)]).first()
-        bars += [[*ws, cuts[i] - 1e-12] for i, ws in enumerate(part)]
-    # one constant array, since a sum of hundreds of terms is too deep to compile
-    above = lambda d: sum((F.col(c) * d[i] for i, c in enumerate(cols)), F.lit(0.0)) >= d[len(cols)]
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in d]) for d in bars])
-    base = base.withColumn("_k", F.size(F.filter(rows, above)))
+    bars = []
+    for a in range(0, rounds, 100):
+        part = draws[a : a + 100]
+        bars += [[*ws, cut - 1e-12] for ws, cut in zip(part, _cuts(df, cols, part, n, most), strict=True)]
+    base = base.withColumn("_k", F.size(F.filter(_constant(bars), lambda d: _score(cols, d) >= d[len(cols)])))
     return base.select(key, (F.col("_k") / rounds).alias("stability"))
+
+
+def _constant(rows: list[list[float]]) -> Column:
+    """One constant array: a sum of hundreds of terms would be too deep to compile."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{float(x)!r}')" for x in r) + ")" for r in rows) + ")")
+
+
+def _score(cols: list[str], d: Column) -> Column:
+    return sum((F.col(c) * d[i] for i, c in enumerate(cols)), F.lit(0.0))
+
+
+def _cuts(df: DataFrame, cols: list[str], draws: list[list[float]], n: int, most: int, accuracy: int = 10_000) -> list[float]:
+    """The ``most``-th highest weighted sum of each draw."""
+    if not n:
+        return [0.0] * len(draws)
+    share = 1 - (most - 1) / max(1, n - 1)
+    low, high = max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)
+    rows = df.select(F.posexplode(F.transform(_constant(draws), lambda d: _score(cols, d))).alias("r", "s"))
+    ends = {r["r"]: r["e"] for r in rows.groupBy("r").agg(F.percentile_approx("s", [low, high], accuracy).alias("e")).collect()}  # a row for each draw
+    band = _constant([[ends[i][0] if low > 0 else float("-inf"), ends[i][1] if high < 1 else float("inf")] for i in range(len(draws))])
+    inside = rows.withColumn("e", F.get(band, F.col("r"))).where("s >= e[0]").select("r", F.least("s", F.col("e")[1]).alias("s"))  # all rows above the band are one value
+    c = F.sum("n").over(Window.partitionBy("r").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.groupBy("r", "s").agg(F.count("*").alias("n")).withColumn("c", c).where((F.col("c") >= most) & (F.col("c") - F.col("n") < most)).select("r", "s").collect()
+    return [s for _, s in sorted((r["r"], r["s"]) for r in found)]

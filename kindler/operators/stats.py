@@ -1,50 +1,84 @@
 """Ranks, bins, AUC and curves from frequency tables.
 
 A global rank needs no global sort of the rows: equal values are counted first,
-the counts are summed within value buckets, and bucket totals (at most
-``BUCKETS`` for a group) give the offsets.  No step puts all rows in one task.
+the counts are summed within value buckets, and bucket totals give the offsets.
+Buckets are cut at approximate quantiles (any cuts give right sums); their number
+follows the number of values, from ``LEAST`` to ``MOST``, so no task holds more
+than a small share of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+from ..session import checkpointed
 
+LEAST, MOST, PER_BUCKET = 16, 1024, 50_000
 
-def _buckets(df: DataFrame, value: str) -> Column:
-    """Bucket number of ``value``: monotone, from approximate quantiles (any edges give right sums)."""
-    edges = df.select(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value).cast("double")))
+
+#: Shares and steps as short texts: as arrays of literals they would slow down every analysis of the plan.
+_SHARES = "cast(split('" + ",".join(str(i / MOST) for i in range(1, MOST)) + "', ',') as array<double>)"
+_STEPS = f"transform(sequence(0, {MOST.bit_length() - 1}), i -> shiftright({MOST}, i))"
+
+
+def _below(edges: str, value: str, than: str = "<") -> Column:
+    """How many of the sorted ``edges`` are less than (or ``than``) ``value``, by binary search."""
+    return F.expr(f"aggregate({_STEPS}, 0, (a, s) -> if(coalesce(get({edges}, a + s - 1) {than} {value}, false), a + s, a))")
+
+
+def _edges(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
+    """(by, one array of cuts for each of ``values``), sorted and distinct: a row for each group."""
+    given = df.select(*by, *[v.cast("double").alias(f"_v{k}") for k, v in values.items()])
+    every = given.groupBy(*by).agg(F.expr(f"cast(least(greatest(ceil(count(*) / {PER_BUCKET}), {LEAST}), {MOST}) as int) AS _n"), *[F.expr(f"percentile_approx(`_v{k}`, {_SHARES}, {2 * MOST}) AS `_q{k}`") for k in values])
+    thin = "coalesce(array_distinct(transform(sequence(1, _n - 1), i -> element_at(`_q{0}`, cast(i * {1} / _n as int)))), cast(array() as array<double>)) AS `{0}`"
+    return every.select(*by, *[F.expr(thin.format(k, MOST)) for k in values])
+
+
+def _with(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of ``small``: one row for each group, or one row."""
+    return df.join(small, by) if by else df.join(F.broadcast(small))
+
+
+def bucketed(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``df`` with ``_b``, a bucket that grows with ``value`` within each group."""
+    cuts = _edges(df, {"_e": F.col(value)}, by)
+    return _with(df, cuts, by).withColumn("_b", _below("_e", f"cast(`{value}` as double)")).drop("_e")
 
 
 def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
-    """``df`` (one row for each by + value) with c_<name>: the sum of <name> up to and with the row, and t_<name>: the group's total."""
+    """``df`` (one row for each by + value) with c_<name>: the sum of <name> up to and with the row, and t_<name>: the group's total.
+
+    A column ``_b`` of ``bucketed`` is used if there is one.
+    """
     by = by or []
     order = F.col(value).desc() if descending else F.col(value).asc()
-    d = df.withColumn("_b", _buckets(df, value))
+    d = df if "_b" in df.columns else bucketed(df, value, by)
     totals = d.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     key = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums], *[F.sum(f"_s_{s}").over(every).alias(f"t_{s}") for s in sums])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums], *[F.sum(f"_s_{s}").over(group).alias(f"t_{s}") for s in sums])
     inner = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", *[F.sum(s).over(inner).alias(f"_c_{s}") for s in sums])
+    columns = [c for c in df.columns if c != "_b"]
+    d = d.select(*columns, "_b", *[F.sum(s).over(inner).alias(f"_c_{s}") for s in sums])
     d = d.join(F.broadcast(totals) if not by else totals, [*by, "_b"])
-    return d.select(*[c for c in df.columns], *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"c_{s}") for s in sums], *[f"t_{s}" for s in sums])
+    return d.select(*columns, *[(F.col(f"_c_{s}") + F.col(f"_o_{s}")).alias(f"c_{s}") for s in sums], *[f"t_{s}" for s in sums])
 
 
-def midranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, n, rank, total): average-tie rank of each distinct value; nulls have none."""
+def frequencies(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, n, c_n, t_n) of the values that are not null: count, count up to and with the value, and of the group."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    r = running(counts, value, ["n"], by)
-    return r.select(*by, value, "n", (F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), F.col("t_n").alias("total"))
+    return running(counts, value, ["n"], by)
+
+
+def midranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, n, rank, total): average-tie rank of each distinct value; nulls have none."""
+    r = frequencies(df, value, by)
+    return r.select(*(by or []), value, "n", (F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"), F.col("t_n").alias("total"))
 
 
 def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
@@ -53,10 +87,37 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | N
     return df.join(ranks, [*by, value], "left")
 
 
+def percentiles(counted: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, p array<double>): linearly interpolated percentiles of ``frequencies``; a row for each group with values."""
+    by = by or []
+    at = [f"((t_n - 1) * {float(s)!r}D)" for s in shares]
+    rows = [f"max(if({f}({k}) >= c_n - n and {f}({k}) < c_n, cast(`{value}` as double), null)) AS {f}{i}" for i, k in enumerate(at) for f in ("floor", "ceil")]
+    g = counted.groupBy(*by).agg(F.max("t_n").alias("t_n"), *[F.expr(r) for r in rows]).where("t_n is not null")
+    return g.select(*by, F.expr("array(" + ", ".join(f"floor{i} + (ceil{i} - floor{i}) * ({k} - floor({k}))" for i, k in enumerate(at)) + ") AS p"))
+
+
 def percentile_edges(df: DataFrame, value: str, shares: list[float]) -> list[float]:
     """Linearly interpolated percentiles of the values that are not null."""
-    row = df.select(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias("p")).first()
-    return list(row["p"]) if row["p"] is not None else []
+    row = percentiles(frequencies(df, value), value, shares).first()
+    return list(row["p"]) if row is not None else []
+
+
+def clipped_scores(df: DataFrame, value: str, low: float = 1.0, high: float = 99.0, by: list[str] | None = None) -> DataFrame:
+    """(by, value, score) of each distinct value: winsorised to [p_low, p_high], ranked with average ties, scaled to [0, 1].
+
+    One value alone scores 0.5, and so does a constant.  The clipped values need
+    no second ranking: each tail is one tie whose size is a sum of counts.
+    """
+    by = by or []
+    r = checkpointed(frequencies(df, value, by))  # read three times
+    v = F.col(value).cast("double")
+    ends = percentiles(r, value, [low / 100, high / 100], by).select(*by, F.col("p")[0].alias("_lo"), F.col("p")[1].alias("_hi"))
+    d = _with(r, ends, by)
+    tails = d.groupBy(*by).agg(F.sum(F.when(v <= F.col("_lo"), F.col("n")).otherwise(0)).alias("_nlo"), F.sum(F.when(v >= F.col("_hi"), F.col("n")).otherwise(0)).alias("_nhi"))
+    d = _with(d, tails, by)
+    rank = F.when(F.col("_lo") == F.col("_hi"), (F.col("t_n") + 1) / 2).when(v <= F.col("_lo"), (F.col("_nlo") + 1) / 2).when(v >= F.col("_hi"), F.col("t_n") - F.col("_nhi") + (F.col("_nhi") + 1) / 2)
+    rank = rank.otherwise(F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2)
+    return d.select(*by, value, F.when(F.col("t_n") == 1, 0.5).otherwise((rank - 1) / (F.col("t_n") - 1)).alias("score"))
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, low: float = 1.0, high: float = 99.0, direction: str = "positive") -> DataFrame:
@@ -65,15 +126,22 @@ def percentile_rank(df: DataFrame, value: str, out: str, low: float = 1.0, high:
     n counts values that are not null, nulls stay null, one value alone is 0.5,
     and so is a constant column.
     """
-    edges = percentile_edges(df, value, [low / 100, high / 100])
-    if not edges:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    clip = F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value).cast("double"), F.lit(edges[1])), F.lit(edges[0])))
-    d = df.withColumn("_clip", clip)
-    r = midranks(d, "_clip")
-    score = F.when(F.col("total") == 1, 0.5).otherwise(F.try_divide(F.col("rank") - 1, F.col("total") - 1))
-    score = 1 - score if direction == "negative" else score
-    return d.join(r.select("_clip", score.alias(out)), "_clip", "left").drop("_clip")
+    score = 1 - F.col("score") if direction == "negative" else F.col("score")
+    return df.join(clipped_scores(df, value, low, high).select(value, score.alias(out)), value, "left").select(*df.columns, out)
+
+
+def percentile_ranks(df: DataFrame, directions: dict[str, str], names: dict[str, str]) -> DataFrame:
+    """``percentile_rank`` of several columns in one pass: all values go through one long table, and come back by row.
+
+    ``df`` is computed once, into the shared checkpoint folder.
+    """
+    d = checkpointed(df.withColumn("_id", F.monotonically_increasing_id()))
+    cells = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f).cast("double").alias("_v")) for i, f in enumerate(directions)])
+    long = d.select("_id", F.inline(cells)).where("_v is not null")
+    scores = long.join(clipped_scores(long, "_v", by=["_f"]), ["_f", "_v"])
+    way = {f: 1 - F.col("score") if how == "negative" else F.col("score") for f, how in directions.items()}
+    rows = scores.groupBy("_id").agg(*[F.max(F.when(F.col("_f") == i, way[f])).alias(names[f]) for i, f in enumerate(directions)])
+    return d.join(checkpointed(rows), "_id", "left").drop("_id")
 
 
 def quantile_class(df: DataFrame, value: str, out: str = "risk_class", classes: int = 5) -> DataFrame:
@@ -104,12 +172,28 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     return r.select(F.col(score).alias("threshold"), F.try_divide(F.col("c_q"), F.col("t_q")).alias("fpr"), F.try_divide(F.col("c_p"), F.col("t_p")).alias("tpr"))
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """A number that never falls where ``name`` grows: the value itself, or the first bytes of a string."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.conv(F.rpad(F.left(F.hex(name), F.lit(14)), 14, "0"), 16, 10).cast("double")
+    return F.col(name).cast("double")
+
+
 def ordered_position(df: DataFrame, score: str, tie: str, out: str = "position") -> DataFrame:
-    """1-based position by descending score, ties by ascending ``tie``; bucketed, so no task sorts all rows."""
-    d = df.withColumn("_b", F.coalesce(_buckets(df, score), F.lit(-1)))
-    sizes = d.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(score).desc(), F.col(tie)))
-    return d.withColumn("_r", inner).join(F.broadcast(sizes), "_b").withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_n", "_before", "_r")
+    """1-based position by descending score, ties by ascending ``tie`` (a number, date or string); nulls come last.
+
+    Rows are sorted within buckets of scores.  A frequent score is a cut, and a
+    cut has buckets of its own, by ``tie``: however many rows share it, no task
+    sorts all of them.
+    """
+    d = df.withColumns({"_v": F.col(score).cast("double"), "_u": _number(df, tie)})
+    d = _with(d, _edges(d, {"_es": F.col("_v"), "_et": F.col("_u")}, []), [])
+    d = d.withColumn("_b", F.when(F.col("_v").isNotNull(), _below("_es", "_v") + _below("_es", "_v", "<=")).otherwise(-1))
+    d = d.withColumn("_t", F.when((F.col("_b") % 2 != 0), _below("_et", "_u")).otherwise(0)).drop("_es", "_et", "_v", "_u")
+    before = Window.partitionBy(F.lit(0)).orderBy(F.col("_b").desc(), "_t").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("_b", "_t").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inner = F.row_number().over(Window.partitionBy("_b", "_t").orderBy(F.col(score).desc(), F.col(tie)))
+    return d.withColumn("_r", inner).join(sizes, ["_b", "_t"]).withColumn(out, F.col("_before") + F.col("_r")).select(*df.columns, out)
 
 
 def top_fraction(df: DataFrame, score: str, tie: str, k: float) -> DataFrame:
@@ -151,12 +235,12 @@ def bootstrap_auc(df: DataFrame, label: str, score: str, by: str, rounds: int =
 
     counts = df.groupBy(by, F.col(score).cast("double").alias("v")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
     rounds_ = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    drawn = counts.select(by, "v", "p", "q", rounds_.alias("round"))
-    drawn = drawn.select(by, "round", "v", poisson(F.col("p"), F.xxhash64(by, "round", "v", F.lit(seed))).alias("p"), poisson(F.col("q"), F.xxhash64(by, "round", "v", F.lit(seed + 1))).alias("q"))
+    counts = bucketed(counts, "v", [by])  # the same buckets in every round
+    drawn = counts.select(by, "v", "_b", "p", "q", rounds_.alias("round"))
+    drawn = drawn.select(by, "round", "v", "_b", poisson(F.col("p"), F.xxhash64(by, "round", "v", F.lit(seed))).alias("p"), poisson(F.col("q"), F.xxhash64(by, "round", "v", F.lit(seed + 1))).alias("q"))
     # pairs below plus half the ties, within each round
-    w = Window.partitionBy(by, "round").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    r = drawn.withColumn("below", F.sum("q").over(w) - F.col("q"))
-    per = r.groupBy(by, "round").agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("s"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    r = running(drawn, "v", ["q"], [by, "round"])
+    per = r.groupBy(by, "round").agg(F.sum(F.col("p") * (F.col("c_q") - F.col("q") / 2)).alias("s"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     per = per.where("np > 0 and nq > 0").select(by, (F.col("s") / F.col("np") / F.col("nq")).alias("a"))
     tail = (1 - ci) / 2
     interval = per.groupBy(by).agg(F.percentile("a", tail).alias("low"), F.percentile("a", 1 - tail).alias("high"))

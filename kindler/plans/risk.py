@@ -23,11 +23,11 @@ def _rank_sql(view: str, v: str, key: str, name: str, negative: bool = False) ->
 
 @query(with_views("feat", more=_rank_sql("feat", "retail", "id", "a") + ", " + _rank_sql("feat", "price", "id", "b", True)) + " SELECT id, round(a.s, 6) AS pos, round(b.s, 6) AS neg FROM feat LEFT JOIN a USING (id) LEFT JOIN b USING (id)")
 def w1_percentile_rank(t):
-    d = stats.percentile_rank(t("feat"), "retail", "pos")
-    return stats.percentile_rank(d, "price", "neg", direction="negative").select("id", r6("pos", "pos"), r6("neg", "neg"))
+    d = stats.percentile_ranks(t("feat"), {"retail": "positive", "price": "negative"}, {"retail": "pos", "price": "neg"})
+    return d.select("id", r6("pos", "pos"), r6("neg", "neg"))
 
 
-@query(with_views("val") + ", r AS (SELECT building_id, rank() OVER (ORDER BY 1.0::DOUBLE / (dist + 1)) + (count(*) OVER (PARTITION BY dist) - 1) / 2.0::DOUBLE AS r, count(*) OVER () AS n FROM val) SELECT building_id, round((r - 1) / (n - 1), 6) AS baseline_score FROM r")
+@query(with_views("val", more="raw AS (SELECT building_id, 1.0::DOUBLE / (dist + 1) AS v FROM val), " + _rank_sql("raw", "v", "building_id", "a")) + " SELECT building_id, round(s, 6) AS baseline_score FROM a")
 def w2_baseline(t):
     return scoring.baseline(t("val"), "dist").select("building_id", r6("baseline_score", "baseline_score"))
 
@@ -112,10 +112,8 @@ def stat6_eligibility(t):
 
 def _scored(t):
     """Building features with two group scores, composite and class."""
-    d = t("feat")
-    d = scoring.group_score(d, {"size": "positive", "retail": "negative", "ndvi": "positive"}, "score_terrain")
-    d = scoring.group_score(d, {"price": "positive", "qty": "negative"}, "score_history")
-    return d.withColumn("score_history", F.coalesce("score_history", F.lit(0.0)))
+    groups = {"score_terrain": {"size": "positive", "retail": "negative", "ndvi": "positive"}, "score_history": {"price": "positive", "qty": "negative"}}
+    return scoring.group_scores(t("feat"), groups).withColumn("score_history", F.coalesce("score_history", F.lit(0.0)))
 
 
 _ML1 = with_views("feat", more=", ".join([_rank_sql("feat", "size", "id", "a"), _rank_sql("feat", "retail", "id", "b", True), _rank_sql("feat", "price", "id", "c"), _rank_sql("feat", "qty", "id", "d", True)])) + ", z AS (SELECT id, (a.s + b.s) / 2 AS terrain, coalesce((c.s + d.s) / 2, 0) AS history, 0.6 * ((a.s + b.s) / 2) + 0.4 * coalesce((c.s + d.s) / 2, 0) AS s FROM feat JOIN a USING (id) JOIN b USING (id) LEFT JOIN c USING (id) LEFT JOIN d USING (id)), " + _EDGES
