@@ -32,13 +32,17 @@ def resample(pixels: DataFrame, target: DataFrame, how: str = "nearest") -> Data
 
 
 
-
 def slope_aspect(pixels: DataFrame, cell: float) -> DataFrame:
-    """Horn's 3x3 slope and aspect in degrees, edges replicated; a flat pixel has aspect 270."""
-    along_col, along_row = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    d = pixels.select("row", "col", "v", F.coalesce(F.lag("v").over(along_col), "v").alias("w"), F.coalesce(F.lead("v").over(along_col), "v").alias("e"))
-    take = lambda f, c: F.coalesce(f(c).over(along_row), F.col(c))
-    d = d.select("row", "col", "v", "w", "e", *[take(F.lag, c).alias(f"n{c}") for c in ("w", "v", "e")], *[take(F.lead, c).alias(f"s{c}") for c in ("w", "v", "e")])
+    """Horn's 3x3 slope and aspect in degrees; a missing neighbour (edge or gap) counts as the pixel towards it, a flat pixel has aspect 270."""
+    lines = {axis: Window.partitionBy(other).orderBy(axis) for axis, other in (("col", "row"), ("row", "col"))}
+
+    def beside(f, axis: str, step: int, c: str):
+        """``c`` of the next pixel along ``axis``, if it is really next."""
+        w = lines[axis]
+        return F.when(f(axis).over(w) == F.col(axis) + step, f(c).over(w))
+
+    d = pixels.select("row", "col", "v", F.coalesce(beside(F.lag, "col", -1, "v"), "v").alias("w"), F.coalesce(beside(F.lead, "col", 1, "v"), "v").alias("e"))
+    d = d.select("row", "col", "v", "w", "e", *[F.coalesce(beside(F.lag, "row", -1, c), F.col(c)).alias(f"n{c}") for c in ("w", "v", "e")], *[F.coalesce(beside(F.lead, "row", 1, c), F.col(c)).alias(f"s{c}") for c in ("w", "v", "e")])
     dzdx = ((F.col("ne") + 2 * F.col("e") + F.col("se")) - (F.col("nw") + 2 * F.col("w") + F.col("sw"))) / (8 * cell)
     dzdy = ((F.col("sw") + 2 * F.col("sv") + F.col("se")) - (F.col("nw") + 2 * F.col("nv") + F.col("ne"))) / (8 * cell)
     d = d.select("row", "col", dzdx.alias("dzdx"), dzdy.alias("dzdy"))
@@ -48,15 +52,30 @@ def slope_aspect(pixels: DataFrame, cell: float) -> DataFrame:
 
 
 def focal_mean(pixels: DataFrame, k: int, rows: int, cols: int, value: str = "v") -> DataFrame:
-    """row, col, m: mean over (2k+1)^2 pixels with mirrored edges, as two one-dimensional passes."""
+    """row, col, m of each pixel: mean over the pixels there are in its (2k+1)^2 square, with mirrored edges.
+
+    Two one-dimensional passes over distances, not rows.  The first one also gives
+    sums for the places of a gap that lie within reach of a pixel along its line,
+    so gaps are neither counted nor jumped; a raster without gaps has none.
+    """
+
+    def mirrored(df: DataFrame, axis: str, n: int) -> DataFrame:
+        copy = lambda cond, to: df.where(cond).withColumn(axis, to).withColumn("own", F.lit(False))
+        return df.unionByName(copy(F.col(axis) < k, -1 - F.col(axis))).unionByName(copy(F.col(axis) >= n - k, 2 * n - 1 - F.col(axis)))
 
-    def one(df: DataFrame, axis: str, other: str, n: int, v: str) -> DataFrame:
-        mirror = df.where(F.col(axis) < k).withColumn(axis, -1 - F.col(axis)).unionByName(df.where(F.col(axis) >= n - k).withColumn(axis, 2 * n - 1 - F.col(axis)))
-        w = Window.partitionBy(other).orderBy(axis).rowsBetween(-k, k)
-        return df.unionByName(mirror).withColumn(v, F.avg(v).over(w)).where(F.col(axis).between(0, n - 1))
+    def passed(df: DataFrame, axis: str, other: str, n: int) -> DataFrame:
+        w = Window.partitionBy(other).orderBy(axis).rangeBetween(-k, k)
+        return mirrored(df, axis, n).select("row", "col", "own", F.sum("s").over(w).alias("s"), F.sum("c").over(w).alias("c")).where("own")
 
-    d = pixels.select("row", "col", F.col(value).cast("double").alias("m"))
-    return one(one(d, "col", "row", cols, "m"), "row", "col", rows, "m")
+    value_ = F.col(value).cast("double")
+    d = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), value_.alias("s"), value_.isNotNull().cast("long").alias("c"), F.lit(True).alias("own"))
+    line = Window.partitionBy("row").orderBy("col")
+    ends = d.select("row", "col", F.greatest(F.coalesce(F.lag("col").over(line), F.lit(-1)) + 1, F.col("col") - k).alias("a"), F.least(F.coalesce(F.lead("col").over(line), F.lit(cols)) - 1, F.col("col") + k).alias("b"))
+    beside = F.concat(F.when(F.col("a") < F.col("col"), F.sequence("a", F.col("col") - 1)).otherwise(F.array()), F.when(F.col("b") > F.col("col"), F.sequence(F.col("col") + 1, F.col("b"))).otherwise(F.array()))
+    gaps = ends.where("a < col or b > col").select("row", F.explode(beside).alias("col")).distinct().select("row", "col", F.lit(None).cast("double").alias("s"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("own"))
+    down = passed(d.unionByName(gaps), "row", "col", rows)
+    total = passed(down, "col", "row", cols).select("row", "col", F.try_divide("s", "c").alias("m"))
+    return d.select("row", "col").join(total, ["row", "col"])
 
 
 def position_ruggedness(pixels: DataFrame, k: int, rows: int, cols: int) -> DataFrame:
@@ -79,7 +98,7 @@ def class_distance(points: DataFrame, pixels: DataFrame, wanted: int, key: str,
     """key, dist: metres from the point's pixel (row, col) to the nearest pixel of the class; pixels may be oblong."""
     from .spatial import nearest
 
-    targets = pixels.where(F.col("v") == wanted).select((F.col("row") * 1_000_000 + F.col("col")).alias("pid"), (F.col("row") * dy).alias("ry"), (F.col("col") * dx).alias("rx"))
+    targets = pixels.where(F.col("v") == wanted).select((F.col("row").cast("long") * (1 << 31) + F.col("col")).alias("pid"), (F.col("row") * dy).alias("ry"), (F.col("col") * dx).alias("rx"))
     p = points.select(key, (F.col("row") * dy).alias("y"), (F.col("col") * dx).alias("x"))
     return nearest(p, targets, key, "pid").select(key, F.sqrt("dist2").alias("dist"))
 
@@ -88,27 +107,27 @@ def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
     """row, col, label of pixels of value 1: the smallest row * cols + col of their 4-connected patch.
 
     Tiles are labelled on their own; labels that touch across a seam are joined
-    by minima passed along the seam graph, which is small.
+    by alternating star joins over the seam graph.
     """
     import numpy as np
     import pandas as pd
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        at = {p: i for i, p in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
         label = r * cols + c
-        pairs = [(i, at[q]) for (a, b), i in at.items() for q in ((a, b + 1), (a + 1, b)) if q in at]
-        if pairs:
-            x, y = np.array(pairs).T
-            while True:
-                low = np.minimum(label[x], label[y])
-                new = label.copy()
-                np.minimum.at(new, x, low)
-                np.minimum.at(new, y, low)
-                if (new == label).all():
-                    break
-                label = new
-        return pd.DataFrame({"row": r, "col": c, "label": label})
+        last = np.iinfo(np.int64).max
+        grid = np.full((tile + 2, tile + 2), last)  # a frame of nothing around the tile
+        i, k = r - r.min() // tile * tile + 1, c - c.min() // tile * tile + 1
+        grid[i, k] = label
+        on = grid < last
+        while True:  # minima of whole runs along the lines, then down the columns, until nothing moves
+            before = grid
+            for _ in range(2):
+                grid = _run_minima(grid, on).T
+                on = on.T
+            if (grid == before).all():
+                break
+        return pd.DataFrame({"row": r, "col": c, "label": grid[i, k]})
 
     on = pixels.where("v = 1").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     tiles = on.withColumn("_t", F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)))
@@ -118,17 +137,42 @@ def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
     steps = F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))
     b = edge.select("row", "col", F.col("label").alias("b"), F.explode(steps).alias("s")).select((F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "b")
     seams = a.join(b, ["row", "col"]).where("a <> b").select("a", "b").distinct()
-    links = checkpointed(seams.unionByName(seams.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    names = checkpointed(links.select(F.col("a").alias("label")).distinct().withColumn("low", F.col("label")))
-    while True:
-        near = links.join(names, F.col("b") == F.col("label")).groupBy("a").agg(F.min("low").alias("m"))
-        new = checkpointed(names.join(near, F.col("label") == F.col("a"), "left").select("label", F.least("low", "m").alias("low"), (F.col("m") < F.col("low")).alias("moved")))
-        names = new.select("label", "low")
-        if not new.where("moved").limit(1).count():
-            break
+    names = connected(seams).select(F.col("node").alias("label"), F.col("component").alias("low"))
     return local.join(names, "label", "left").select("row", "col", F.coalesce("low", "label").alias("label"))
 
 
+def _run_minima(grid, on):
+    """``grid`` with every run of ``on`` along a line replaced by its minimum."""
+    import numpy as np
+
+    flat, mask = grid.ravel(), on.ravel()  # the frame keeps lines apart
+    start = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0) != 0)
+    if not len(start):
+        return grid
+    low = np.minimum.reduceat(flat, start)
+    out = flat.copy()
+    out[start[0] :] = np.repeat(low, np.diff(np.append(start, len(flat))))
+    return out.reshape(grid.shape)
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component = smallest node) of links (a, b) by alternating large-star and small-star; rounds grow with the logarithm of the longest chain."""
+    e = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null")
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = checkpointed(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = checkpointed(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = checkpointed(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        before = now
+
+
 def continuity(points: DataFrame, labels: DataFrame, key: str, k: int) -> DataFrame:
     """key, share: vegetation pixels of the point's own patch among all in the disc dr^2 + dc^2 <= k^2; 0 off vegetation.
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpointed
 
-#: A side of at most this many rows is broadcast whole; for nearest neighbours, one that is compared with every row.
+#: Perimeters of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
 SMALL, COMPARED = 2_000, 128
 
 
@@ -41,64 +42,99 @@ def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str
 def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry", cell: float | None = None) -> DataFrame:
     """``left`` with the nearest ``right`` row (struct ``near``) and ``dist2``; ties go to the smallest ``rid``.
 
-    A counted small side is broadcast.  Otherwise rings of grid cells are searched:
-    a row is settled once its best match is nearer than the unsearched cells, and
-    the search widens for the others only.
+    A counted small side is broadcast.  Otherwise a row first meets the points of
+    its own and the eight cells around it, and is settled if the best one is nearer
+    than a cell.  The others descend a pyramid of occupied cells: of the cells left
+    at a level, those stay whose nearest corner is not farther than the farthest
+    corner of another one.  Rows without coordinates match nothing.
     """
+    right = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull())
     d2 = (F.col(x) - F.col(rx)) * (F.col(x) - F.col(rx)) + (F.col(y) - F.col(ry)) * (F.col(y) - F.col(ry))
     payload = F.struct(*[F.col(c) for c in right.columns])
-    n = right.count()
     best = lambda pairs: pairs.groupBy(key).agg(F.min_by(payload, F.struct(d2.alias("d"), F.col(rid).alias("i"))).alias("near"), F.min(d2).alias("dist2"))
-    points = left.select(key, x, y)
-    if n <= COMPARED or cell is None:
-        if n > COMPARED:
-            area = right.agg(((F.max(rx) - F.min(rx)) * (F.max(ry) - F.min(ry)) / n).alias("a")).first()["a"]
-            cell = max(float(area) ** 0.5 * 2, 1e-9)
-        else:
-            return left.join(best(points.join(F.broadcast(right))), key, "left")
-    found, open_, reach = None, points, 1
-    gx, gy = _cell(rx, cell), _cell(ry, cell)
-    side = right.withColumn("_gx", gx).withColumn("_gy", gy)
-    while True:
-        offsets = F.sequence(F.lit(-reach), F.lit(reach))
-        probe = open_.withColumn("_gx", F.explode(F.transform(offsets, lambda k: _cell(x, cell) + k))).withColumn("_gy", F.explode(F.transform(offsets, lambda k: _cell(y, cell) + k)))
-        b = best(probe.join(side, ["_gx", "_gy"]))
-        settled = b.where(F.col("dist2") <= (reach * cell) ** 2)
-        found = settled if found is None else found.unionByName(settled)
-        open_ = checkpointed(open_.join(settled.select(key), key, "left_anti"))
-        if not open_.limit(1).count():
-            return left.join(found, key, "left")
-        reach *= 3
-        if reach > 200:  # far outliers: few rows are left, and every one meets all points
-            return left.join(found.unionByName(best(open_.crossJoin(F.broadcast(right) if n <= SMALL else right))), key, "left")
+    points = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    ends = right.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}{c}") for c in (rx, ry) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    n = ends["n"]
+    if n <= COMPARED:
+        return left.join(best(points.join(F.broadcast(right))), key, "left")
+    if cell is None:
+        wide, high = float(ends[f"hi{rx}"] - ends[f"lo{rx}"]), float(ends[f"hi{ry}"] - ends[f"lo{ry}"])
+        cell = 2 * max((wide * high / n) ** 0.5, max(wide, high) / n) or 1.0  # also for points on one line or at one place
+    side = right.withColumn("_gx", _cell(rx, cell)).withColumn("_gy", _cell(ry, cell))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    probe = points.withColumn("_gx", F.explode(F.transform(around, lambda k: _cell(x, cell) + k))).withColumn("_gy", F.explode(F.transform(around, lambda k: _cell(y, cell) + k)))
+    found = checkpointed(best(probe.join(side, ["_gx", "_gy"])).where(F.col("dist2") <= cell * cell))
+    open_ = checkpointed(points.join(found.select(key), key, "left_anti"))
+    if open_.limit(1).count():
+        cells = [checkpointed(side.select("_gx", "_gy").distinct())]
+        low, high = [int(ends[f"lo{c}"] // cell) for c in (rx, ry)], [int(ends[f"hi{c}"] // cell) for c in (rx, ry)]
+        while any((b >> 2 * (len(cells) - 1)) - (a >> 2 * (len(cells) - 1)) > 3 for a, b in zip(low, high, strict=True)):
+            cells.append(cells[-1].select(F.shiftright("_gx", 2).alias("_gx"), F.shiftright("_gy", 2).alias("_gy")).distinct())
+        top = cells[-1].collect()  # at most 16
+        near = open_.select("*", F.inline(F.array(*[F.struct(F.lit(r["_gx"]).cast("long").alias("_gx"), F.lit(r["_gy"]).cast("long").alias("_gy")) for r in top])))
+        for level in range(len(cells) - 1, -1, -1):
+            if level < len(cells) - 1:
+                child = cells[level].select(F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.shiftright("_gx", 2).alias("_gx"), F.shiftright("_gy", 2).alias("_gy"))
+                near = near.join(child, ["_gx", "_gy"]).select(key, x, y, F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"))
+            size = cell * 4**level
+            gap, span = [], []
+            for c, g in ((x, "_gx"), (y, "_gy")):
+                a, b = F.col(g) * size - F.col(c), F.col(c) - (F.col(g) + 1) * size  # to the near and the far edge; rounding is allowed for below
+                gap.append(F.greatest(a, b, F.lit(0.0)))
+                span.append(F.greatest(F.abs(a), F.abs(b)))
+            near = near.withColumn("_lo", gap[0] * gap[0] + gap[1] * gap[1]).withColumn("_hi", span[0] * span[0] + span[1] * span[1])
+            near = near.withColumn("_ub", F.min("_hi").over(Window.partitionBy(key))).where(F.col("_lo") <= F.col("_ub") * (1 + 1e-9)).select(key, x, y, "_gx", "_gy")
+        found = found.unionByName(best(near.join(side, ["_gx", "_gy"])))
+    return left.join(found, key, "left")
 
 
 def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_year: int, near: float = 5_000.0, far: float = 10_000.0) -> DataFrame:
     """key with dist_to_nearest_fire_m (to the boundary), counts strictly within ``near`` and ``far`` of the disc, ever_burned and recency_score.
 
-    ``circles`` (fx, fy, r, yr) must be few: it is counted, and broadcast.
+    ``circles`` has fx, fy, r and yr.  A counted small table is broadcast.  A larger
+    one is met through grid cells: every circle that comes within ``far`` of a point
+    shares a cell with it, and for points that are farther from every boundary the
+    reach is widened.
     """
-    n = circles.count()
-    if n > SMALL:
-        raise ValueError(f"{n} perimeters; partition them by region first")
     d = F.sqrt((F.col("x") - F.col("fx")) * (F.col("x") - F.col("fx")) + (F.col("y") - F.col("fy")) * (F.col("y") - F.col("fy")))
-    pairs = points.join(F.broadcast(circles)).withColumn("_d", d).withColumn("_o", F.greatest(F.col("_d") - F.col("r"), F.lit(0.0)))
-    return pairs.groupBy(key).agg(
-        F.min(F.abs(F.col("_d") - F.col("r"))).alias("dist_to_nearest_fire_m"),
+    with_distance = lambda pairs: pairs.withColumn("_d", d).withColumn("_o", F.greatest(F.col("_d") - F.col("r"), F.lit(0.0)))
+    nearest_edge = F.min(F.abs(F.col("_d") - F.col("r"))).alias("dist_to_nearest_fire_m")
+    counts = [
         F.count_if(F.col("_o") < near).alias("fire_count_5km"),
         F.count_if(F.col("_o") < far).alias("fire_count_10km"),
         F.max((F.col("_d") < F.col("r")).cast("int")).alias("ever_burned"),
         F.sum(F.when(F.col("_o") < far, 1.0 / (reference_year - F.col("yr") + 1)).otherwise(0.0)).alias("recency_score"),
-    )
+    ]
+    if circles.count() <= SMALL:
+        return with_distance(points.join(F.broadcast(circles))).groupBy(key).agg(nearest_edge, *counts)
+    found, open_, reach = None, points.select(key, "x", "y"), far
+    box = lambda df, cols: df.agg(F.min(F.least(*cols)).alias("lo"), F.max(F.greatest(*cols)).alias("hi")).first()
+    ends = [box(points, ("x", "y")), box(circles.select((F.col("fx") - F.col("r")).alias("a"), (F.col("fx") + F.col("r")).alias("b"), (F.col("fy") - F.col("r")).alias("c"), (F.col("fy") + F.col("r")).alias("e")), ("a", "b", "c", "e"))]
+    widest = 2 * (max(e["hi"] or 0.0 for e in ends) - min(e["lo"] or 0.0 for e in ends))
+    features = None
+    while True:
+        cover = lambda c, step=reach: F.explode(F.sequence(F.floor((F.col(c) - F.col("r") - step) / step), F.floor((F.col(c) + F.col("r") + step) / step)))
+        dealt = circles.withColumn("_gx", cover("fx")).withColumn("_gy", cover("fy"))
+        pairs = with_distance(open_.withColumn("_gx", _cell("x", reach)).withColumn("_gy", _cell("y", reach)).join(dealt, ["_gx", "_gy"]))
+        if features is None:
+            features = open_.join(pairs.where(F.col("_o") < far).groupBy(key).agg(*counts), key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fire_count_5km", "fire_count_10km", "ever_burned")], F.coalesce("recency_score", F.lit(0.0)).alias("recency_score"))
+        edge = pairs.groupBy(key).agg(nearest_edge)
+        settled = checkpointed(edge if reach > widest else edge.where(F.col("dist_to_nearest_fire_m") <= reach))
+        found = settled if found is None else found.unionByName(settled)
+        open_ = checkpointed(open_.join(settled.select(key), key, "left_anti"))
+        if reach > widest or not open_.limit(1).count():
+            return features.join(found, key, "left").select(key, "dist_to_nearest_fire_m", "fire_count_5km", "fire_count_10km", "ever_burned", "recency_score")
+        reach *= 4
 
 
 def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) -> DataFrame:
-    """key with burned int: strictly inside any polygon (pid, ring, or parts with holes where there is such a column); boxes are compared first, rings are few and broadcast."""
+    """key with burned int: strictly inside any polygon (pid, ring, or parts with holes where there is such a column).
+
+    Boxes are compared first.  A counted small table of polygons is broadcast; a
+    larger one is met through the grid cells of its boxes.
+    """
     from ..functions.geometry import inside
 
-    n = polygons.count()
-    if n > SMALL:
-        raise ValueError(f"{n} polygons; partition them by region first")
     x, y, held = F.col("x"), F.col("y"), "ring"
     within = inside(F.col("ring"), x, y)
     if "parts" in polygons.columns:
@@ -106,8 +142,17 @@ def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) ->
         within = F.exists("parts", lambda p: inside(p[0], x, y) & ~F.exists(F.slice(p, 2, F.size(p)), lambda hole: inside(hole, x, y)))
         polygons = polygons.withColumn("ring", F.flatten(F.flatten("parts")))
     boxed = polygons.select(pid, held, *[f(F.col(f"ring.{a}")).alias(f"{name}{a}") for name, f in (("lo", F.array_min), ("hi", F.array_max)) for a in ("x", "y")])
-    hit = points.join(F.broadcast(boxed), (F.col("x") >= F.col("lox")) & (F.col("x") <= F.col("hix")) & (F.col("y") >= F.col("loy")) & (F.col("y") <= F.col("hiy")) & within, "left_semi")
-    return points.select(key).join(hit.select(key, F.lit(1).alias("burned")), key, "left").withColumn("burned", F.coalesce("burned", F.lit(0)))
+    in_box = (x >= F.col("lox")) & (x <= F.col("hix")) & (y >= F.col("loy")) & (y <= F.col("hiy"))
+    sizes = boxed.agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("mean"), F.max(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("most")).first()
+    if sizes["n"] <= SMALL:
+        hit = points.join(F.broadcast(boxed), in_box & within, "left_semi").select(key)
+    else:
+        cell = max(sizes["mean"] or 0.0, (sizes["most"] or 0.0) / 1000) or 1.0  # a box covers a million cells at most
+        cover = lambda a: F.explode(F.sequence(_cell(f"lo{a}", cell), _cell(f"hi{a}", cell)))
+        dealt = boxed.withColumn("_gx", cover("x")).withColumn("_gy", cover("y"))
+        met = points.withColumn("_gx", _cell("x", cell)).withColumn("_gy", _cell("y", cell)).join(dealt, ["_gx", "_gy"])
+        hit = met.where(in_box & within).select(key)
+    return points.select(key).join(hit.distinct().select(key, F.lit(1).alias("burned")), key, "left").withColumn("burned", F.coalesce("burned", F.lit(0)))
 
 
 def sample_raster(points: DataFrame, pixels: DataFrame, x0: float, y0: float, res: float, rows: int, cols: int, clamp: bool = False) -> DataFrame:

@@ -19,16 +19,9 @@ def j8_nearest_cell(t):
     return d.select("id", F.col("near.cid").alias("cid"), r6(F.col("near.v"), "v"))
 
 
-@query(with_views("bld", "hot") + " SELECT id, hid FROM (SELECT id, hid, row_number() OVER (PARTITION BY id ORDER BY (x-hx)*(x-hx)+(y-hy)*(y-hy), hid) AS rn FROM bld, hot WHERE id % 10 = 0) WHERE rn = 1")
+@query(with_views("bld", "hot") + " SELECT id, arg_min(hid, ((x-hx)*(x-hx)+(y-hy)*(y-hy), hid)) AS hid FROM bld, hot GROUP BY id")
 def j8_nearest_by_grid(t):
     """The same join with the grid search, as for sides too large to broadcast."""
-    d = spatial.nearest(t("bld").where("id % 10 = 0"), t("hot"), "id", "hid", rx="hx", ry="hy", cell=2500.0)
-    return d.select("id", F.col("near.hid").alias("hid"))
-
-
-@query()
-def j8_nearest_by_grid_all(t):
-    """All buildings; no SQL, as every pair of building and hotspot would be ranked."""
     d = spatial.nearest(t("bld"), t("hot"), "id", "hid", rx="hx", ry="hy", cell=2500.0)
     return d.select("id", F.col("near.hid").alias("hid"))
 
@@ -40,15 +33,8 @@ def j9_radius_self_count(t):
     return d.select("id", "neighbours", r6(F.col("neighbours") / (F.pi() * 4.0), "per_km2"))
 
 
-@query(with_views("bld", "hot") + " SELECT id, count(hid) AS firms_hotspot_count_5km FROM (SELECT * FROM bld WHERE id % 4 = 0) LEFT JOIN hot ON (x-hx)*(x-hx)+(y-hy)*(y-hy) <= 4000000.0 GROUP BY 1")
-def j10_radius_count(t):
-    d = spatial.radius_count(t("bld").where("id % 4 = 0"), t("hot"), 2000.0, "id", "firms_hotspot_count_5km", rx="hx", ry="hy")
-    return d.select("id", "firms_hotspot_count_5km")
-
-
 @query(with_views("bld", "hot") + " SELECT id, count(hid) AS firms_hotspot_count_5km FROM bld LEFT JOIN hot ON (x-hx)*(x-hx)+(y-hy)*(y-hy) <= 25000000.0 GROUP BY 1")
-def j10_radius_count_all(t):
-    """All buildings, within the 5,000 m of the name."""
+def j10_radius_count(t):
     d = spatial.radius_count(t("bld"), t("hot"), 5000.0, "id", "firms_hotspot_count_5km", rx="hx", ry="hy")
     return d.select("id", "firms_hotspot_count_5km")
 
@@ -103,15 +89,8 @@ def geo4_circles(t):
     return t("fires").select("fid", F.round(G.ring_area(ring), 4).alias("area"), F.size(ring).alias("points"))
 
 
-@query(with_views("bld", "fires") + ", d AS (SELECT id, fid, 4 * r AS h, abs(x - fx) AS dx, abs(y - fy) AS dy FROM bld, fires WHERE id % 20 = 0) SELECT id, fid, round(CASE WHEN dx <= h AND dy <= h THEN least(h - dx, h - dy) ELSE sqrt(greatest(dx - h, 0) * greatest(dx - h, 0) + greatest(dy - h, 0) * greatest(dy - h, 0)) END, 4) AS dist FROM d")
-def geo6_boundary_distance(t):
-    d = t("bld").where("id % 20 = 0").join(F.broadcast(_boxes(t)))
-    return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
-
-
 @query(with_views("bld", "fires") + ", d AS (SELECT id, fid, 4 * r AS h, abs(x - fx) AS dx, abs(y - fy) AS dy FROM bld, fires) SELECT id, fid, round(CASE WHEN dx <= h AND dy <= h THEN least(h - dx, h - dy) ELSE sqrt(greatest(dx - h, 0) * greatest(dx - h, 0) + greatest(dy - h, 0) * greatest(dy - h, 0)) END, 4) AS dist FROM d")
-def geo6_boundary_distance_all(t):
-    """All buildings."""
+def geo6_boundary_distance(t):
     d = t("bld").join(F.broadcast(_boxes(t)))
     return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
 
@@ -182,31 +161,31 @@ def ras7_vegetation_fraction(t):
     return raster.fraction(p, 3, 40, 50).select("row", "col", r6("m", "m"))
 
 
-@query("WITH " + PIX + ", pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part WHERE p_partkey <= 400) SELECT id, round(min(sqrt(((t.row - q.row) * 30.0) * ((t.row - q.row) * 30.0) + ((t.col - q.col) * 20.0) * ((t.col - q.col) * 20.0))), 6) AS dist FROM pts t, pix q WHERE q.v = 5 GROUP BY 1")
-def ras8_class_distance(t):
-    pts = t("part").where("p_partkey <= 400").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
-    return raster.class_distance(pts, t.pixels(), 5, "id", 30.0, 20.0).select("id", r6("dist", "dist"))
-
-
 @query("WITH " + PIX + ", pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part) SELECT id, round(min(sqrt(((t.row - q.row) * 30.0) * ((t.row - q.row) * 30.0) + ((t.col - q.col) * 20.0) * ((t.col - q.col) * 20.0))), 6) AS dist FROM pts t, pix q WHERE q.v = 5 GROUP BY 1")
-def ras8_class_distance_all(t):
-    """All points."""
+def ras8_class_distance(t):
     pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
     return raster.class_distance(pts, t.pixels(), 5, "id", 30.0, 20.0).select("id", r6("dist", "dist"))
 
 
-
-
 def _vegetation(t):
     return t.pixels().selectExpr("row", "col", "CAST((row * 13 + col * 7 + row * col) % 5 < 3 AS INT) AS v")
 
 
-@query()
+#: Labels by minima that spread until nothing changes; the patches of 40 x 50 pixels are at most 200 steps long.
+_COMPONENTS = "WITH RECURSIVE " + PIX + """, veg AS (SELECT row, col, row * 50 + col AS id FROM pix WHERE (row * 13 + col * 7 + row * col) % 5 < 3),
+reach(id, low) AS (SELECT id, id FROM veg UNION SELECT v.id, r.low FROM reach r JOIN veg u ON u.id = r.id JOIN veg v ON (abs(v.row - u.row) + abs(v.col - u.col)) = 1),
+lab AS (SELECT id, min(low) AS label FROM reach GROUP BY id)"""
+
+
+@query(_COMPONENTS + " SELECT row, col, label FROM veg JOIN lab USING (id)")
 def ras9_components(t):
     return raster.components(_vegetation(t), 50, tile=16)
 
 
-@query()
+@query(_COMPONENTS + """, pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part),
+own AS (SELECT v.row, v.col, l.label FROM veg v JOIN lab l USING (id)),
+s AS (SELECT p.row, p.col, count(*) FILTER (WHERE q.label = c.label)::DOUBLE / count(*) AS share FROM (SELECT DISTINCT row, col FROM pts) p JOIN own c USING (row, col) JOIN own q ON (q.row - p.row) * (q.row - p.row) + (q.col - p.col) * (q.col - p.col) <= 25 GROUP BY 1, 2)
+SELECT id, round(coalesce(share, 0), 6) AS share FROM pts LEFT JOIN s USING (row, col)""")
 def ras10_continuity(t):
     labels = raster.components(_vegetation(t), 50, tile=16)
     pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")

@@ -165,3 +165,84 @@ def test_model_probabilities(spark):
     p = model.leave_one_out(d, "e", ["x", "y"], "label", trees=3, depth=3)
     assert p.count() == 150 and p.where("probability_burned between 0 and 1").count() == 150
     assert all(r["auc"] > 0.8 for r in stats.auc(p, "label", "probability_burned", ["e"]).collect())
+
+
+def test_nearest_on_a_line_with_nulls_and_far_points(spark):
+    """Collinear points, points at one place, missing coordinates and rows far outside."""
+    r = np.random.RandomState(2)
+    line = [(i, float(i * 7 % 300), 5.0) for i in range(300)]
+    blob = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.rand(300, 2) * 1000)] + [(900, 5e5, -7e5)]
+    same = [(i, 3.0, 3.0) for i in range(200)]
+    left = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.rand(40, 2) * 3000 - 1000)] + [(100, 1e7, -1e7), (101, -4e5, 3.0), (102, None, 1.0), (103, 2.0, None)]
+    for right in (line, blob, same):
+        d = spatial.nearest(spark.createDataFrame(left, "i int, x double, y double"), spark.createDataFrame([*right, (-1, None, 0.0)], "r int, rx double, ry double"), "i", "r")
+        assert "CartesianProduct" not in d._jdf.queryExecution().executedPlan().toString()
+        got = {x["i"]: (x["near"]["r"] if x["near"] else None) for x in d.collect()}
+        want = {i: None if x is None or y is None else min(right, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0] for i, x, y in left}
+        assert got == want
+
+
+def test_many_circles_and_polygons(spark, monkeypatch):
+    """Beyond the size that is broadcast, grid joins give the same."""
+    r = np.random.RandomState(3)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.rand(60, 2) * 90_000)] + [(99, 900_000.0, -400_000.0)], "id int, x double, y double")
+    circles = spark.createDataFrame([(i, float(x), float(y), float(q), 2000 + i % 20) for i, (x, y, q) in enumerate(r.rand(80, 3) * [40_000, 40_000, 3_000] + 100)], "fid int, fx double, fy double, r double, yr int")
+    corner = lambda a, b: F.struct((F.col("fx") + a * F.col("r")).alias("x"), (F.col("fy") + b * F.col("r")).alias("y"))
+    squares = circles.select("fid", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring"))
+    plain = [sorted(map(tuple, d.collect())) for d in (spatial.circle_features(points, circles, "id", 2024), spatial.label_inside(points, squares, "id", "fid"))]
+    monkeypatch.setattr(spatial, "SMALL", 10)
+    grid = [sorted(map(tuple, d.collect())) for d in (spatial.circle_features(points, circles, "id", 2024), spatial.label_inside(points, squares, "id", "fid"))]
+    assert grid[1] == plain[1] and sum(x[1] for x in plain[1]) > 0
+    for a, b in zip(*[x[0] for x in (grid, plain)], strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_ten_thousand_polygons(spark):
+    corner = lambda a, b: F.struct((F.col("id") % 100 * 10 + a).cast("double").alias("x"), (F.floor(F.col("id") / 100) * 10 + b).cast("double").alias("y"))
+    squares = spark.range(10_000).select("id", F.array(corner(1, 1), corner(9, 1), corner(9, 9), corner(1, 9)).alias("ring"))
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.0, 5.0), (3, 995.0, 995.0), (4, -3.0, 2.0), (5, 1.0, 5.0)], "pid int, x double, y double")
+    assert {x["pid"]: x["burned"] for x in spatial.label_inside(points, squares, "pid", "id").collect()} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_stencils_with_gaps(spark):
+    r = np.random.RandomState(4)
+    rows, cols, k = 9, 12, 2
+    at = {(int(a), int(b)): float(v) for a, b, v in zip(r.randint(0, rows, 60), r.randint(0, cols, 60), r.rand(60), strict=True)}
+    at[0, 0] = None
+    px = spark.createDataFrame([(a, b, v) for (a, b), v in at.items()], "row long, col long, v double")
+    mirror = lambda i, n: -1 - i if i < 0 else 2 * n - 1 - i if i >= n else i
+    got = {(x["row"], x["col"]): x["m"] for x in raster.focal_mean(px, k, rows, cols).collect()}
+    for a, b in at:
+        near = [at.get((mirror(a + i, rows), mirror(b + j, cols))) for i in range(-k, k + 1) for j in range(-k, k + 1)]
+        near = [x for x in near if x is not None]
+        assert got[a, b] == (pytest.approx(np.mean(near)) if near else None)
+    lone = raster.slope_aspect(spark.createDataFrame([(0, 0, 1.0), (0, 5, 9.0), (7, 0, 3.0)], "row long, col long, v double"), 30.0)
+    assert all(x["slope_deg"] == 0 for x in lone.collect())
+
+
+def test_class_distance_of_wide_rasters(spark):
+    px = spark.createDataFrame([(0, 1_500_000, 5.0), (1, 500_000, 5.0)], "row long, col long, v double")
+    got = raster.class_distance(spark.createDataFrame([(1, 0, 1_400_000)], "id int, row long, col long"), px, 5, "id", 1.0, 1.0)
+    assert got.first()["dist"] == 100_000.0
+
+
+def test_percentile_ranks_of_several_columns(spark):
+    r = np.random.RandomState(6)
+    rows = [(float(a), None if b < 0.2 else round(float(b), 1), 7.0) for a, b in r.rand(300, 2)]
+    d = spark.createDataFrame(rows, "a double, b double, c double")
+    got = stats.percentile_ranks(d, {"a": "positive", "b": "negative", "c": "positive"}, {"a": "pa", "b": "pb", "c": "pc"}).collect()
+    from scipy_free import rank_scores
+
+    for i, (name, negative) in enumerate((("a", False), ("b", True), ("c", False))):
+        have = [x for x in rows if x[i] is not None]
+        want = dict(zip([x[i] for x in have], rank_scores([x[i] for x in have], negative), strict=True))
+        assert all((x[f"p{name}"] is None) if x[name] is None else x[f"p{name}"] == pytest.approx(want[x[name]]) for x in got)
+
+
+def test_positions_with_a_score_that_a_third_of_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PER_BUCKET", 10)
+    r = np.random.RandomState(7)
+    rows = [(f"B{i:05d}", None if i % 17 == 0 else 0.5 if i % 3 == 0 else round(float(x), 3)) for i, x in enumerate(r.rand(500))]
+    d = spark.createDataFrame(rows, "k string, s double").repartition(4)
+    got = [x["k"] for x in stats.ordered_position(d, "s", "k").orderBy("position").collect()]
+    assert got == [k for k, s in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
