@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
 A layout is a set of nested field paths and a declarative mapping to canonical
-turns.  The fingerprint of a layout is the SHA-256 of its sorted paths; data is
-matched to a mapping by fingerprint, once for a typed DataFrame and row by row
-for JSON text.
+turns.  The fingerprint of a layout is the SHA-256 of its sorted paths.  Data has
+a layout if those of its own paths that the layout names have that fingerprint;
+of several layouts the one with the most paths is taken.  The rule is the same
+for a typed DataFrame, once, and for JSON text, row by row.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-MAPPINGS = {fingerprint(paths): (name, how) for name, (paths, how) in LAYOUTS.items()}
+#: (fingerprint, paths, name, mapping) of the layouts, those with the most paths first.
+MAPPINGS = sorted(((fingerprint(paths), paths, name, how) for name, (paths, how) in LAYOUTS.items()), key=lambda m: (-len(m[1]), m[0]))
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -52,12 +54,12 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def mapping_of(schema: T.StructType) -> tuple[str, dict]:
-    """The mapping with the most paths among those whose paths all occur; further columns do not matter."""
-    have = set(field_paths(schema))
-    fits = [(len(paths), fingerprint(paths)) for paths, _ in LAYOUTS.values() if set(paths) <= have]
-    if not fits:
-        raise ValueError(f"no layout fits the fields {sorted(have)}")
-    return MAPPINGS[max(fits)[1]]
+    """(name, mapping) of the schema's layout; further fields do not matter."""
+    have = field_paths(schema)
+    for key, paths, name, how in MAPPINGS:
+        if fingerprint(set(have) & set(paths)) == key:
+            return name, how
+    raise ValueError(f"no layout fits the fields {sorted(have)}")
 
 
 def _text(c: Column) -> Column:
@@ -90,36 +92,40 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return df.select(F.col(id_col).alias("conv_id"), F.inline(_turns(how, F.col)))
 
 
+def _among(paths):
+    return lambda p: p.isin(*paths)
+
+
 def canonical_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
     """As ``canonical_turns`` for JSON objects of mixed layouts, told apart row by row.
 
-    The fingerprint of a row is taken from its keys and, for arrays of objects,
-    the keys of the first element.  Rows of no known layout (null, broken or
-    other JSON) give one turn with a null role and their text, so nothing is lost.
+    The paths of a row are its keys and, for arrays of objects, the keys of all
+    elements together; an empty array counts as one whose elements have every
+    key, and has no turns.  An element without the role or the text has an empty
+    one.  Rows of no known layout (null, broken or other JSON) give one turn with
+    a null role and their text, so nothing is lost.
     """
-    known = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
-    lists = sorted({how["list"][0] for _, how in LAYOUTS.values() if "list" in how})
+    lists = sorted({how["list"][0] for _, _, _, how in MAPPINGS if "list" in how})
     top = F.from_json(F.col(json_col), "map<string,string>")
     df = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("_json"), top.alias("_top"), *[F.from_json(top[n], "array<map<string,string>>").alias(f"_l_{n}") for n in lists])
     no_keys = F.array().cast("array<string>")
 
     def below(name):
-        keys = F.coalesce(F.map_keys(F.get(F.col(f"_l_{name}"), 0)), no_keys)
-        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}."), k))
-
-    inner = [below(n) for n in lists]
-    paths = F.concat(F.coalesce(F.map_keys("_top"), no_keys), *inner)
-    paths = F.array_sort(F.filter(paths, lambda p: p.isin(known)))
-    df = df.withColumn("_print", F.sha2(F.array_join(paths, "\n"), 256))
-    empty = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    turns = empty
-    for key, (_, how) in MAPPINGS.items():
+        every = [p for _, paths, _, _ in MAPPINGS for p in paths if p.startswith(f"{name}.")]
+        found = F.array_distinct(F.flatten(F.transform(F.filter(F.col(f"_l_{name}"), lambda x: x.isNotNull()), lambda x: F.map_keys(x))))
+        found = F.transform(found, lambda k: F.concat(F.lit(f"{name}."), k))
+        return F.when(F.size(f"_l_{name}") == 0, F.array(*[F.lit(p) for p in every])).otherwise(F.coalesce(found, no_keys))
+
+    df = df.withColumn("_paths", F.array_sort(F.array_distinct(F.concat(F.coalesce(F.map_keys("_top"), no_keys), *[below(n) for n in lists]))))
+    turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    for key, paths, _, how in reversed(MAPPINGS):
         if "turn rows" in how:
             one = F.struct(F.col("_top")["turn"].cast("long").alias("turn"), _text(F.col("_top")["role"]).alias("role"), _text(F.col("_top")["text"]).alias("text"))
             made = F.array(one)
         else:
             made = _turns(how, lambda n: F.col(f"_l_{n}") if n in lists else F.col("_top")[n])
-        turns = F.when(F.col("_print") == key, made).otherwise(turns)
+        own = F.sha2(F.array_join(F.filter("_paths", _among(paths)), "\n"), 256)
+        turns = F.when(own == key, made).otherwise(turns)
     rest = F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.col("_json").alias("text")))
     return df.select("conv_id", F.inline(F.coalesce(turns, rest)))
 
