@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Postings (term, row_key, position) are stored for the terms that the benchmark
-needs.  Every benchmark window is looked up from its rarest terms: their
+Postings (term, row_key, position) are stored once for the terms that the
+benchmark uses, and read for their counts and for their lists.  Every benchmark window is looked up from its rarest terms: their
 postings, shifted by the term's offset, meet at the start of a possible match;
 starts that all of them share are verified against the whole phrase.
 DataFrame functions only.
@@ -45,23 +45,23 @@ def phrases(benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The positional index of ``terms`` (column term): term, row_key, pos (from 0)."""
+    """The positional index of ``terms`` (column term), stored: term, row_key, pos (from 0)."""
     every = docs.select("row_key", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return every.join(near(terms.select("term"), n_terms), "term").select("term", "row_key", "pos")
+    return written(every.join(near(terms.select("term"), n_terms), "term").select("term", "row_key", "pos"))
 
 
 def phrase_candidates(docs: DataFrame, windows: DataFrame, rarest: int = 2) -> DataFrame:
     """row_key, phrase_id, start where the ``rarest`` rarest terms of a window stand at their offsets."""
     terms = windows.select("phrase_id", F.posexplode("phrase").alias("offset", "term"))
     vocabulary = written(terms.select("term").distinct())
-    counts = postings(docs, vocabulary, vocabulary.count()).groupBy("term").count()
+    index = postings(docs, vocabulary, vocabulary.count())
+    counts = index.groupBy("term").count()
     ranked = Window.partitionBy("phrase_id").orderBy("c", "offset")
     probes = terms.join(counts, "term", "left").withColumn("c", F.coalesce("count", F.lit(0))).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= rarest)
     # a window with a term that no document has cannot occur
     probes = probes.withColumn("need", F.count("*").over(Window.partitionBy("phrase_id"))).withColumn("least", F.min("c").over(Window.partitionBy("phrase_id"))).where("least > 0")
     probes = written(probes.select("term", "phrase_id", "offset", "need"))
-    wanted = written(probes.select("term").distinct())
-    lists = postings(docs, wanted, wanted.count()).join(near(probes, probes.count()), "term")
+    lists = index.join(near(probes, probes.count()), "term")
     met = lists.where("pos >= offset").groupBy("row_key", "phrase_id", (F.col("pos") - F.col("offset")).alias("start"), "need").agg(F.countDistinct("offset").alias("have") if rarest > 2 else F.count("*").alias("have"))
     return met.where("have >= need").select("row_key", "phrase_id", "start")
 
@@ -80,13 +80,18 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, size: int = 10, r
     windows = written(phrases(benchmark, size))
     found = phrase_candidates(docs.select("row_key", "text"), windows, rarest)
     found = found.dropDuplicates(["row_key", "phrase_id", "start"]).join(near(windows, windows.count()), "phrase_id")
-    per_doc = found.groupBy("row_key").agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("c"))
-    all_words = docs.join(per_doc, "row_key", "left").select("doc_id", "carry", "text", words(F.col("text")).alias("w"), "c")
-    real = F.filter(F.coalesce("c", F.expr("cast(array() as array<struct<start:int,n:int,phrase:array<string>,items:array<string>>>)")), lambda x: F.slice("w", x["start"] + 1, x["n"]) == x["phrase"])
-    made = all_words.select("doc_id", "carry", "text", F.size("w").cast("long").alias("n_words"), real.alias("c")).select(
+    # places, and each phrase once however often it occurs
+    per_doc = found.groupBy("row_key").agg(
+        F.collect_list(F.struct("start", "n", "phrase_id")).alias("c"),
+        F.map_from_entries(F.collect_set(F.struct("phrase_id", F.struct("phrase", "items")))).alias("p"),
+    )
+    all_words = docs.join(per_doc, "row_key", "left").select("doc_id", "carry", "text", words(F.col("text")).alias("w"), "c", "p")
+    none = F.expr("cast(array() as array<struct<start:int,n:int,phrase_id:bigint>>)")
+    real = F.filter(F.coalesce("c", none), lambda x: F.slice("w", x["start"] + 1, x["n"]) == F.col("p")[x["phrase_id"]]["phrase"])
+    made = all_words.select("doc_id", "carry", "text", F.size("w").cast("long").alias("n_words"), real.alias("c"), "p").select(
         "doc_id", "carry", "text", "n_words",
         F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.col("c.items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(F.col("c.phrase_id")), lambda i: F.col("p")[i]["items"])))).alias("items"),
     )
     return made.drop("carry", "text") if carry is None else made
 

@@ -51,6 +51,30 @@ def test_layouts_by_schema_and_by_row(spark):
     assert {(r["conv_id"], r["role"], r["text"]) for r in rows if r["conv_id"] != 1} == {(7, None, "no json"), (8, None, None), (9, None, '{"x": 1}')}
 
 
+def test_rows_and_schemas_follow_one_rule(spark):
+    """Further known keys, empty lists and elements of several kinds, as JSON and as typed columns."""
+    m = "array<struct<role:string,content:string>>"
+    cases = [
+        ('{"messages":[{"role":"user","content":"hi"}],"text":"t"}', [("user", "hi")], f"messages {m}, text string", ([("user", "hi")], "t")),
+        ('{"messages":[]}', [], f"messages {m}", ([],)),
+        ('{"prompt":"a","response":"b","input":"c"}', [("user", "a"), ("assistant", "b")], "prompt string, response string, input string", ("a", "b", "c")),
+        ('{"instruction":"a","output":"b","prompt":"p"}', [("user", "a"), ("assistant", "b")], "instruction string, output string, prompt string", ("a", "b", "p")),
+        ('{"instruction":"a","input":"x","output":"b","system":"s"}', [("user", "a\n\nx"), ("assistant", "b")], "instruction string, input string, output string, system string", ("a", "x", "b", "s")),
+        ('{"system":"s","prompt":"a","response":"b","role":"r"}', [("system", "s"), ("user", "a"), ("assistant", "b")], "system string, prompt string, response string, role string", ("s", "a", "b", "r")),
+        ('{"conversations":[{"from":"human","value":"hi"},{"value":"x","other":1},null]}', [("user", "hi"), ("", "x"), ("", "")], "conversations array<struct<from:string,value:string,other:int>>", ([("human", "hi", None), (None, "x", 1), None],)),
+        ('{"messages":[{"content":"no role"},{"role":"bot","content":"x"}]}', [("", "no role"), ("assistant", "x")], f"messages {m}", ([(None, "no role"), ("bot", "x")],)),
+        ('{"role":"user","text":"q","turn":4,"input":"z"}', [("user", "q")], "role string, text string, turn long, input string", ("user", "q", 4, "z")),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "conv_id int, j string")
+    got: dict = {}
+    for r in chat_format.canonical_from_json(rows, "j").orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    for i, (_, want, schema, values) in enumerate(cases):
+        assert got.get(i, []) == want
+        typed = chat_format.canonical_turns(spark.createDataFrame([(i, *values)], "conv_id int, " + schema))
+        assert [(r["role"], r["text"]) for r in typed.orderBy("turn").collect()] == want
+
+
 # --- URL rules
 
 
@@ -87,6 +111,16 @@ def test_decontaminate_against_brute_force(spark, frame, docs):
     assert decontaminate.phrase_matches(frame, bench.where("false")).where("size(spans) > 0").count() == 0
 
 
+def test_a_phrase_that_fills_a_long_document(spark):
+    d = spark.createDataFrame([(1, "tick " * 5000), (2, "tick tock " * 50), (None, "tock")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "tick " * 12), (8, "tock tick " * 5), (9, "tock")], "item_id long, text string")
+    docs = [(1, "tick " * 5000), (2, "tick tock " * 50), (None, "tock")]
+    want = {d: (n, hit, own) for d, n, hit, own in brute.decontaminate(docs, [(7, "tick " * 12), (8, "tock tick " * 5), (9, "tock")])}
+    for r in decontaminate.phrase_matches(d, bench).collect():
+        hit = {p for s in r["spans"] for p in range(s["start"], s["start"] + s["n"])}
+        assert (r["n_words"], len(hit), list(r["items"])) == want[r["doc_id"]]
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha b c beta"), (2, "beta " + "x " * 30 + "alpha"), (3, "alpha beta gamma alpha")], "doc_id long, text string")
     q = spark.createDataFrame([("q", "alpha"), ("q", "beta"), ("r", "gamma"), (None, "x")], "query_id string, term string")
