@@ -8,7 +8,6 @@ that repeat only the id are kept apart.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,12 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """Folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kindler-ckpt-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         found = spark.sparkContext.getCheckpointDir()
     return found
 

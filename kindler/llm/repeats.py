@@ -244,7 +244,7 @@ def candidates(items: Items, batch: pa.RecordBatch, size: int, gram: int) -> np.
 
 
 #: Runs of windows that one gram may have before its windows travel singly, at least.
-CROWD = 20_000
+CROWD = 100_000
 
 
 def crowded(docs: DataFrame, unit: str, size: int, gram: int, n: int) -> np.ndarray:

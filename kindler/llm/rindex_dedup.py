@@ -24,7 +24,7 @@ from . import textkernel as K
 from .common import buckets, keyed, split_by_bucket
 
 #: Bytes of distinct spans whose grams are indexed together.
-SLICE = 1 << 19
+SLICE = 1 << 21
 _PER = 7  # symbols of 9 bits in a packed code
 _LOWEST = np.array([1 << (9 * i) for i in range(_PER)])
 _HEAD = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("gram", "<u4")])
@@ -127,15 +127,17 @@ class RunLengthIndex:
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes, up to ``most`` and within their spans."""
-        out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            diff = self.codes[x] ^ self.codes[y]
-            left = np.minimum(np.minimum(self.rest[x], self.rest[y]) - 1, most[live] - out[live])
-            same = _PER - np.searchsorted(_LOWEST, diff, "right")  # symbols before the highest one that differs
-            out[live] += np.minimum(same, left)
-            live = live[(same == _PER) & (left > _PER)]
+        out, live = np.zeros(len(a), np.int64), None
+        while len(a):
+            same = _PER - np.searchsorted(_LOWEST, self.codes[a] ^ self.codes[b], "right")  # symbols before the highest one that differs
+            left = np.minimum(np.minimum(self.rest[a], self.rest[b]) - 1, most)
+            go = np.flatnonzero((same == _PER) & (left > _PER))
+            if live is None:
+                out, live = np.minimum(same, left), go
+            else:
+                out[live] += np.minimum(same, left)
+                live = live[go]
+            a, b, most = a[go] + _PER, b[go] + _PER, most[go] - _PER
         return out
 
     def matching_statistics(self, query: np.ndarray, start: np.ndarray, length: np.ndarray):
@@ -163,9 +165,10 @@ class RunLengthIndex:
                 prv = self.by_symbol[np.maximum(at - 1, 0)]
                 # a match of no length needs no comparison
                 down, up = np.where(has_next, 0, -1), np.where(has_prev, 0, -1)
-                for have, side, sample in ((has_next, down, self.first_sample[nxt]), (has_prev, up, self.last_sample[prv])):
-                    go = np.flatnonzero(have & (mf > 0))
-                    side[go] = self.common(p[fail[go]], sample[go], mf[go])
+                below, above = np.flatnonzero(has_next & (mf > 0)), np.flatnonzero(has_prev & (mf > 0))
+                both = np.concatenate([below, above])
+                same = self.common(p[fail[both]], np.concatenate([self.first_sample[nxt[below]], self.last_sample[prv[above]]]), mf[both])
+                down[below], up[above] = same[: len(below)], same[len(below) :]
                 go_up = up > down
                 run[fail] = np.where(go_up, prv, nxt)
                 q[fail] = np.where(go_up, self.last[prv], self.start[nxt])
@@ -177,20 +180,40 @@ class RunLengthIndex:
             yield step, own, m, p
 
 
+def likely(flat: np.ndarray, size: np.ndarray, gram: np.ndarray, window: int) -> np.ndarray:
+    """True at window starts whose first and last halves both occur at least twice among the spans of one gram: a filter, not the answer."""
+    half = window // 2
+    sums = K.byte_sums(flat)
+    n = len(flat) - half + 1
+    h = K.range_hash(sums, slice(0, n), slice(half, None)) if n > 0 else np.zeros(0, np.uint64)
+    tag = K.mix(h + np.repeat(gram, size)[: len(h)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    inner = K.inside(np.append(0, np.cumsum(size)), half)
+    own = np.flatnonzero(inner)
+    _, where, count = np.unique(tag[own], return_inverse=True, return_counts=True)
+    again = np.zeros(len(flat) + 1, bool)
+    again[own] = count[where] > 1
+    start = np.flatnonzero(K.inside(np.append(0, np.cumsum(size)), window))
+    return again[start] & again[start + window - half]
+
+
 def earlier(spans: list[bytes], doc: np.ndarray, gram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(hit, first): for each window start of each distinct span, in order, whether a span of the same gram and a smaller ``doc`` has the window; spans begin at ``first``."""
-    size = np.array([len(s) for s in spans], np.int64)
+    whole = np.array([len(s) for s in spans], np.int64)
     flat = np.frombuffer(b"".join(spans), np.uint8)
-    begin = np.cumsum(size) - size
-    first = np.concatenate([[0], np.cumsum(size - window + 1)])
+    first = np.concatenate([[0], np.cumsum(whole - window + 1)])
     hit = np.zeros(int(first[-1]), bool)
+    # from here on a span is a run of likely windows of one of the given spans
+    source, a, b = R.spans_of(likely(flat, whole, gram, window), first)
+    if not len(source):
+        return hit, first
+    begin, size, at = (np.cumsum(whole) - whole)[source] + a, b - a + window - 1, first[source] + a
+    doc, gram = doc[source], gram[source]
     order = np.lexsort((doc, gram))
     g, d = gram[order], doc[order]
     other = np.append(True, g[1:] != g[:-1])
     step = np.cumsum(np.append(True, other[1:] | (d[1:] != d[:-1])))
-    rank = np.empty(len(order), np.int64)
+    rank, group = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     rank[order] = step - np.maximum.accumulate(np.where(other, step, 0))
-    group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(other) - 1
 
     def of(own):
@@ -198,9 +221,10 @@ def earlier(spans: list[bytes], doc: np.ndarray, gram: np.ndarray, window: int)
         n = size[own]
         return flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
-    for bit in range(int(rank.max(initial=0)).bit_length()):
+    left = np.cumsum(np.append(0, ~hit))
+    for bit in range(int(rank.max()).bit_length()):
         # a span that is hit everywhere is needed no more: what it has, an earlier one has too
-        live = ~np.logical_and.reduceat(hit, first[:-1])
+        live = left[at + size - window + 1] > left[at]
         later, block = (rank >> bit) & 1 > 0, rank >> (bit + 1)
         pair = group * (int(block.max()) + 1) + block
         both = np.intersect1d(pair[live & ~later], pair[live & later])
@@ -212,15 +236,14 @@ def earlier(spans: list[bytes], doc: np.ndarray, gram: np.ndarray, window: int)
         index = RunLengthIndex(data, n, block[old])
         data, n = of(new)
         query = index.query(data, n, block[new])
-        start = np.cumsum(n) - n
-        for back, own, length, place in index.matching_statistics(query, start, n):
+        for back, own, length, place in index.matching_statistics(query, np.cumsum(n) - n, n):
             long = np.flatnonzero(length >= window)
             if len(long):
                 span = new[own[long]]
-                source = old[np.searchsorted(index.begin, place[long], "right") - 1]
-                long = doc[source] < doc[span]
-                span, back_of = span[long], size[span[long]] - 1 - back
-                hit[first[span] + back_of] = True
+                found = old[np.searchsorted(index.begin, place[long], "right") - 1]
+                span = span[doc[found] < doc[span]]
+                hit[at[span] + size[span] - 1 - back] = True
+        left = np.cumsum(np.append(0, ~hit))
     return hit, first
 
 
@@ -342,7 +365,7 @@ def earlier_windows(docs: DataFrame, size: int, anchor_gram: int, gram: int) ->
         yield marks(keys[copy], head["start"][copy], head["n"][copy])
 
     likely = R.join_rows(docs, R.repeated_anchors(docs, "byte", size, anchor_gram, across=True), "inner")
-    sent = likely.select("row_key", "doc_id", "text", "anchors").mapInArrow(spans, R.MOVED)
+    sent = likely.mapInArrow(spans, R.MOVED)
     return R.gathered(sent.repartitionById(n, F.col("bucket")).mapInArrow(index, R.MOVED), "marks", 8, n)
 
 
