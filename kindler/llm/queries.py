@@ -92,6 +92,16 @@ def op2_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.near_duplicates(table(spark, sf_dir, "documents"), 5, 80)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+links AS (SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM sh x JOIN sh y ON x.g = y.g AND x.rid <> y.rid GROUP BY 1, 2) JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach(rid, other) AS (SELECT rid, rid FROM n UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other),
+low AS (SELECT r.rid, min(d.doc_id) AS c FROM reach r JOIN d ON d.rid = r.other GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN low USING (rid)"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), 35)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
@@ -146,6 +156,21 @@ def op8_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as hexadecimal digits; texts are cut into overlapping chunks first, so that no digit is looked for from the start of a long text.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT rid, k, o, substr(h, 2 * o + 1, 1122) AS part, length(h) // 2 - o AS n FROM (SELECT rid, k, h, unnest(range(0, greatest(length(h) // 2, 1), 512)) AS o FROM d)),
+win AS (SELECT rid, k, o + j AS i, md5(substr(part, 2 * j + 1, 100)) AS w FROM (SELECT rid, k, o, part, unnest(range(0, least(512, n - 49))) AS j FROM c WHERE n >= 50)),
+hit AS (SELECT rid, i FROM win JOIN (SELECT w, min(k) AS least FROM win GROUP BY w) USING (w) WHERE k > least),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM hit),
+spans AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS s FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM gone) GROUP BY rid),
+bytes AS (SELECT rid, o + j AS p, substr(part, 2 * j + 1, 2) AS x FROM (SELECT rid, o, part, unnest(range(0, least(512, n))) AS j FROM c WHERE rid IN (SELECT rid FROM spans))),
+kept AS (SELECT rid, string_agg(x, '' ORDER BY p) AS h FROM bytes ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(spans.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN spans.n IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (rid) LEFT JOIN kept USING (rid)"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
