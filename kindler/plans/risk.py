@@ -104,9 +104,13 @@ def stat7_roc_curve(t):
     return d.select(r6("threshold", "threshold"), r6("fpr", "fpr"), r6("tpr", "tpr"))
 
 
-@query("SELECT * FROM (VALUES ('all_null', 'all-NULL'), ('flat', 'zero-variance'), ('sparse', 'high-NULL')) v(feature, reason)")
+_FEATURES = {"size": "size", "price": "price", "qty": "qty", "all_null": "CAST(NULL AS DOUBLE)", "flat": "1.0D", "half": "CASE WHEN id % 2 = 0 THEN size END", "sparse": "CASE WHEN id % 3 = 0 THEN size END", "most": "CASE WHEN id % 4 > 0 THEN size END"}
+
+
+@query(with_views("feat", more="f AS (SELECT " + ", ".join(f"{e.replace('1.0D', '1.0::DOUBLE')} AS {n}" for n, e in _FEATURES.items()) + " FROM feat)") + ", c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, 1 - count({n}) / count(*) AS gone, min({n}) = max({n}) AS flat FROM f" for n in _FEATURES) + ") SELECT feature, CASE WHEN gone = 1 THEN 'all-NULL' WHEN gone > 0.5 THEN 'high-NULL' ELSE 'zero-variance' END AS reason FROM c WHERE gone > 0.5 OR flat")
 def stat6_eligibility(t):
-    d = t("feat").select("size", F.lit(None).cast("double").alias("all_null"), F.lit(1.0).alias("flat"), F.when(F.col("id") % 3 == 0, F.col("size")).alias("sparse"))
+    """Made-up columns beside real ones; exactly half of one is missing, which is not too much."""
+    d = t("feat").selectExpr(*[f"{e} AS {n}" for n, e in _FEATURES.items()])
     return t.spark.createDataFrame(list(scoring.eligibility(d, d.columns).items()), "feature string, reason string")
 
 
@@ -138,24 +142,13 @@ def _groups(t):
     return t("val").select("building_id", *[((i * a + i * i * b) % 1009 / 1008.0).alias(f"score_{n}") for n, a, b in (("a", 37, 3), ("b", 101, 7), ("c", 53, 11), ("d", 17, 5))])
 
 
-@query()
-def stat5_weight_sensitivity(t):
-    return scoring.weight_stability(_groups(t), "building_id", WEIGHTS, rounds=500)
+_DRAWS = ", ".join("(" + ", ".join([str(i), *(f"'{w!r}'::DOUBLE" for w in ws)]) + ")" for i, ws in enumerate(scoring.weight_draws(WEIGHTS, 500)))
+_BASE = " + ".join(f"score_{n} * '{w!r}'::DOUBLE" for n, w in zip("abcd", WEIGHTS.values(), strict=True))
 
 
-@query("SELECT 100 AS rounds, 4 AS weights, true AS sums_to_one")
-def stat5_weight_draws(t):
-    d = scoring.weight_draws(WEIGHTS, 100)
-    ok = all(abs(sum(w) - 1) < 1e-12 for w in d)
-    return t.spark.createDataFrame([(len(d), len(d[0]), ok)], "rounds int, weights int, sums_to_one boolean")
-
-
-@query("SELECT 500 AS rounds, 4 AS weights, true AS sums_to_one")
-def stat5_weight_draws_all(t):
-    """The draws that the sensitivity uses."""
-    d = scoring.weight_draws(WEIGHTS, 500)
-    ok = all(abs(sum(w) - 1) < 1e-12 for w in d)
-    return t.spark.createDataFrame([(len(d), len(d[0]), ok)], "rounds int, weights int, sums_to_one boolean")
+@query(with_views("val", more="g AS (SELECT building_id, " + ", ".join(f"((building_id * {a} + building_id * building_id * {b}) % 1009) / 1008.0::DOUBLE AS score_{n}" for n, a, b in (("a", 37, 3), ("b", 101, 7), ("c", 53, 11), ("d", 17, 5))) + " FROM val)") + f", w(r, a, b, c, d) AS (VALUES {_DRAWS}), k AS (SELECT CAST(ceil(count(*) * 0.1) AS BIGINT) AS k FROM g)" + ", s AS (SELECT r, building_id, score_a * a + score_b * b + score_c * c + score_d * d AS s FROM g, w), cut AS (SELECT r, min(s) AS cut FROM (SELECT r, s, row_number() OVER (PARTITION BY r ORDER BY s DESC) AS rn FROM s), k WHERE rn <= k GROUP BY r), top AS (SELECT building_id FROM g ORDER BY " + _BASE + " DESC, building_id LIMIT (SELECT k FROM k)) SELECT building_id, round(count(*) FILTER (WHERE s >= cut - 1e-12) / 500, 6) AS stability FROM top JOIN s USING (building_id) JOIN cut USING (r) GROUP BY 1")
+def stat5_weight_sensitivity(t):
+    return scoring.weight_stability(_groups(t), "building_id", WEIGHTS, rounds=500).select("building_id", r6("stability", "stability"))
 
 
 _X = ["x", "y", "dist", "composite_score"]
@@ -185,15 +178,34 @@ def qc1_catalog_checks(t):
     return quality.check_catalog(t.spark, {"kq_nation": ["n_name", "n_area"], "kq_missing": ["x"]}, {"kq_nation": ["n_name"]})
 
 
-@query("SELECT count(*) AS n FROM part WHERE p_size >= 1")
+_CHECKED = ["composite_score", "score_a", "score_b"]
+
+
+def _check_sql() -> str:
+    rows = ["SELECT 'rows' AS \"check\", 'all' AS subject, count(*) >= 1000 AS ok, count(*)::DOUBLE AS value FROM q"]
+    for c in _CHECKED:
+        rows += [f"SELECT 'nulls', '{c}', count(*) = count({c}), (count(*) - count({c}))::DOUBLE FROM q", f"SELECT 'at least 0', '{c}', min({c}) >= 0, min({c}) FROM q", f"SELECT 'at most 1', '{c}', max({c}) <= 1, max({c}) FROM q"]
+    rows += [f"SELECT 'share', 'class {k}', avg((risk_class = {k})::INT) BETWEEN 0.18 AND 0.22, avg((risk_class = {k})::INT) FROM q" for k in range(1, 6)]
+    rows.append("SELECT 'correlation', 'composite_score and score_a', corr(composite_score, score_a) > 0.3, corr(composite_score, score_a) FROM q")
+    return " UNION ALL ".join(rows)
+
+
+@query(with_views("val", more="q AS (SELECT composite_score, risk_class, composite_score * 0.5 + (building_id % 7) / 20.0 AS score_a, CASE WHEN building_id % 11 > 0 THEN (building_id % 13) / 12.0 - 0.1 END AS score_b FROM val), u AS (" + _check_sql() + ")") + ' SELECT "check", subject, ok, round(value, 6) AS value FROM u')
+def qc2_score_checks(t):
+    b = F.col("building_id")
+    d = t("val").select("composite_score", "risk_class", (F.col("composite_score") * 0.5 + b % 7 / 20.0).alias("score_a"), F.when(b % 11 > 0, b % 13 / 12.0 - 0.1).alias("score_b"))
+    return quality.score_checks(d, _CHECKED, "risk_class", ("composite_score", "score_a"), least_rows=1000).select("check", "subject", "ok", r6("value", "value"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size >= 1")
 def qc2_assertions(t):
-    return quality.asserted(t("part"), F.col("p_size") >= 1, "sizes start at 1").agg(F.count("*").alias("n"))
+    return quality.asserted(t("part"), F.col("p_size") >= 1, "sizes start at 1").select("p_partkey", "p_size")
 
 
-@query(with_views("val") + " SELECT risk_class, count(*) AS n FROM val GROUP BY 1")
+@query(with_views("val") + " SELECT risk_class, round(lat, 4) AS lat, round(x, 4) AS lon FROM val")
 def snk9_map_payload(t):
+    """The payload's points, read back from its text."""
     from ..sources.readers import map_payload
 
-    p = map_payload(t("val"), "lat", "x")
-    points = F.size(F.from_json("payload", "array<array<double>>"))
-    return p.groupBy("risk_class").agg(F.sum(points).cast("long").alias("n"))
+    points = map_payload(t("val"), "lat", "x").select("risk_class", F.explode(F.from_json("payload", "array<array<double>>")).alias("p"))
+    return points.select("risk_class", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"))

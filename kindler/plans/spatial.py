@@ -95,7 +95,34 @@ def geo6_boundary_distance(t):
     return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
 
 
-@query()
+def _project_sql() -> str:
+    """The datum shift and Krueger's series over known fires, step by step."""
+    from ..sources.requests import KNOWN_FIRES
+
+    f = 1 / G.INV_F
+    e2, n = f * (2 - f), f / (2 - f)
+    b, e = G.A * (1 - f), (f * (2 - f)) ** 0.5
+    scale = G.K0 * G.A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    d = lambda v: f"({v!r})::DOUBLE"
+    rows = ", ".join(f"({i}, '{day}', '{region}', {d(lon)}, {d(lat)}, {d(area)})" for i, (day, region, lon, lat, area, _) in enumerate(KNOWN_FIRES, 1))
+    east = " + ".join(["eta", *(f"{d(a)} * cos({2 * k} * xi) * (exp({2 * k} * eta) - exp(-{2 * k} * eta)) / 2" for k, a in enumerate(alpha, 1))])
+    north = " + ".join(["xi", *(f"{d(a)} * sin({2 * k} * xi) * (exp({2 * k} * eta) + exp(-{2 * k} * eta)) / 2" for k, a in enumerate(alpha, 1))])
+    atanh = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
+    return (
+        f"WITH k(i, day, region, lon, lat, area) AS (VALUES {rows}), r AS (SELECT *, radians(lon) AS l0, radians(lat) AS p0 FROM k), "
+        f"g AS (SELECT *, {d(G.A)} / sqrt(1 - {d(e2)} * sin(p0) * sin(p0)) AS nu FROM r), "
+        f"c AS (SELECT *, nu * cos(p0) * cos(l0) - {d(G.SHIFT[0])} AS cx, nu * cos(p0) * sin(l0) - {d(G.SHIFT[1])} AS cy, nu * {d(1 - e2)} * sin(p0) - {d(G.SHIFT[2])} AS cz FROM g), "
+        f"h AS (SELECT *, sqrt(cx * cx + cy * cy) AS p, atan2(cz * {d(G.A)}, sqrt(cx * cx + cy * cy) * {d(b)}) AS th FROM c), "
+        f"m AS (SELECT *, atan2(cy, cx) - radians({d(G.LON0)}) AS d, atan2(cz + {d(e2 / (1 - e2) * b)} * sin(th) ** 3, p - {d(e2 * G.A)} * cos(th) ** 3) AS phi FROM h), "
+        f"u AS (SELECT *, {atanh('sin(phi)')} - {d(e)} * {atanh(f'({d(e)} * sin(phi))')} AS psi FROM m), "
+        "t AS (SELECT *, (exp(psi) - exp(-psi)) / 2 AS tau FROM u), "
+        f"v AS (SELECT *, atan2(tau, cos(d)) AS xi, {atanh('(sin(d) / sqrt(1 + tau * tau))')} AS eta FROM t) "
+        f"SELECT 'EFFIS_' || replace(day, '-', '') || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS fire_id, CAST(substr(day, 1, 4) AS INTEGER) AS year, region, round(area, 2) AS area_km2, round(sqrt(area * 1000000 / pi()), 6) AS radius_m, round({d(G.FE)} + {d(scale)} * ({east}), 2) AS x, round({d(G.FN)} + {d(scale)} * ({north}), 2) AS y FROM v"
+    )
+
+
+@query(_project_sql())
 def geo1_project_known_fires(t):
     """WGS84 to the Greek grid; held against published control values in the tests."""
     from ..sources.requests import known_fires

@@ -119,42 +119,42 @@ class _Chunks(DataSourceReader):
 
 
 #: Date, region, longitude, latitude, area in km2, reference of known fires.
-KNOWN_FIRES = """
-2000-07-12|Attica (Penteli)|23.870|38.060|5.0|EFFIS Annual Report 2000
-2002-08-15|Attica (Varibobi/Tatoi)|23.790|38.120|8.5|EFFIS Annual Report 2002
-2003-09-02|Attica (Grammatiko)|23.940|38.105|3.2|EFFIS Annual Report 2003
-2007-08-27|Attica (Hymettus S slopes)|23.820|37.940|12.0|EFFIS Annual Report 2007
-2009-08-21|Attica (Penteli-Agios Stefanos)|23.869|38.074|15.5|EFFIS Annual Report 2009
-2012-07-01|Attica (Vari)|23.820|37.840|4.0|EFFIS Annual Report 2012
-2015-08-17|Attica (Kalamos)|23.926|38.171|22.0|EFFIS Annual Report 2015
-2017-07-19|Attica (Kineta coast)|23.230|38.000|8.5|EFFIS Annual Report 2017
-2018-07-23|Attica (Mati-Rafina)|23.978|38.058|12.9|EMSR300; Papageorgiou et al. 2020
-2018-07-23|Attica (Kineta-Loutraki)|23.060|38.010|53.0|EFFIS Annual Report 2018; EMSR299
-2019-07-24|Attica (Geraneia range)|23.100|38.020|6.0|EFFIS Annual Report 2019
-2020-08-09|Attica (Grammatiko-Kapandriti)|23.947|38.117|3.1|EFFIS Annual Report 2020
-2021-08-03|Attica (Varibobi)|23.793|38.136|63.0|EMSR531; EFFIS Annual Report 2021
-2021-08-23|Attica (Acharnes-Ano Liosia)|23.739|38.087|24.5|EFFIS Annual Report 2021
-2022-07-19|Attica (Dadia-adjacent)|23.950|38.210|2.5|EFFIS Annual Report 2022
-2023-07-18|Attica (Loutraki)|22.980|37.980|5.5|EFFIS Annual Report 2023
-2000-07-15|Peloponnese (Ilia)|21.650|37.700|850.0|EFFIS Annual Report 2000
-2007-08-24|Peloponnese (Archaia Olympia)|21.630|37.640|27000.0|EFFIS Annual Report 2007; Karavanas et al. 2014
-2007-08-28|Euboea|23.780|38.560|5800.0|EFFIS Annual Report 2007
-2009-08-23|Euboea (N)|23.300|38.900|3200.0|EFFIS Annual Report 2009
-2012-08-26|Chalkidiki|23.720|40.200|7500.0|EFFIS Annual Report 2012
-2017-07-17|Lesbos|26.400|39.100|6800.0|EFFIS Annual Report 2017
-2019-08-13|North Euboea|23.400|38.900|12000.0|EFFIS Annual Report 2019
-2021-08-05|Euboea (NE)|23.850|38.730|51000.0|EMSR534; EFFIS Annual Report 2021 — largest EU fire 2021
-2022-07-23|Lesbos (Vrisa)|26.350|39.050|11000.0|EFFIS Annual Report 2022
-2023-08-21|Alexandroupolis (Evros)|26.130|41.000|81000.0|EMSR667; EFFIS Annual Report 2023 — largest EU fire in 2023
-2024-07-28|Rhodes-Dodecanese area|28.100|36.200|4500.0|EFFIS Annual Report 2024 preliminary
-"""
+KNOWN_FIRES = [
+    ("2000-07-12", "Attica (Penteli)", 23.87, 38.06, 5.0, "EFFIS Annual Report 2000"),
+    ("2002-08-15", "Attica (Varibobi/Tatoi)", 23.79, 38.12, 8.5, "EFFIS Annual Report 2002"),
+    ("2003-09-02", "Attica (Grammatiko)", 23.94, 38.105, 3.2, "EFFIS Annual Report 2003"),
+    ("2007-08-27", "Attica (Hymettus S slopes)", 23.82, 37.94, 12.0, "EFFIS Annual Report 2007"),
+    ("2009-08-21", "Attica (Penteli-Agios Stefanos)", 23.869, 38.074, 15.5, "EFFIS Annual Report 2009"),
+    ("2012-07-01", "Attica (Vari)", 23.82, 37.84, 4.0, "EFFIS Annual Report 2012"),
+    ("2015-08-17", "Attica (Kalamos)", 23.926, 38.171, 22.0, "EFFIS Annual Report 2015"),
+    ("2017-07-19", "Attica (Kineta coast)", 23.23, 38.0, 8.5, "EFFIS Annual Report 2017"),
+    ("2018-07-23", "Attica (Mati-Rafina)", 23.978, 38.058, 12.9, "EMSR300; Papageorgiou et al. 2020"),
+    ("2018-07-23", "Attica (Kineta-Loutraki)", 23.06, 38.01, 53.0, "EFFIS Annual Report 2018; EMSR299"),
+    ("2019-07-24", "Attica (Geraneia range)", 23.1, 38.02, 6.0, "EFFIS Annual Report 2019"),
+    ("2020-08-09", "Attica (Grammatiko-Kapandriti)", 23.947, 38.117, 3.1, "EFFIS Annual Report 2020"),
+    ("2021-08-03", "Attica (Varibobi)", 23.793, 38.136, 63.0, "EMSR531; EFFIS Annual Report 2021"),
+    ("2021-08-23", "Attica (Acharnes-Ano Liosia)", 23.739, 38.087, 24.5, "EFFIS Annual Report 2021"),
+    ("2022-07-19", "Attica (Dadia-adjacent)", 23.95, 38.21, 2.5, "EFFIS Annual Report 2022"),
+    ("2023-07-18", "Attica (Loutraki)", 22.98, 37.98, 5.5, "EFFIS Annual Report 2023"),
+    ("2000-07-15", "Peloponnese (Ilia)", 21.65, 37.7, 850.0, "EFFIS Annual Report 2000"),
+    ("2007-08-24", "Peloponnese (Archaia Olympia)", 21.63, 37.64, 27000.0, "EFFIS Annual Report 2007; Karavanas et al. 2014"),
+    ("2007-08-28", "Euboea", 23.78, 38.56, 5800.0, "EFFIS Annual Report 2007"),
+    ("2009-08-23", "Euboea (N)", 23.3, 38.9, 3200.0, "EFFIS Annual Report 2009"),
+    ("2012-08-26", "Chalkidiki", 23.72, 40.2, 7500.0, "EFFIS Annual Report 2012"),
+    ("2017-07-17", "Lesbos", 26.4, 39.1, 6800.0, "EFFIS Annual Report 2017"),
+    ("2019-08-13", "North Euboea", 23.4, 38.9, 12000.0, "EFFIS Annual Report 2019"),
+    ("2021-08-05", "Euboea (NE)", 23.85, 38.73, 51000.0, "EMSR534; EFFIS Annual Report 2021 — largest EU fire 2021"),
+    ("2022-07-23", "Lesbos (Vrisa)", 26.35, 39.05, 11000.0, "EFFIS Annual Report 2022"),
+    ("2023-08-21", "Alexandroupolis (Evros)", 26.13, 41.0, 81000.0, "EMSR667; EFFIS Annual Report 2023 — largest EU fire in 2023"),
+    ("2024-07-28", "Rhodes-Dodecanese area", 28.1, 36.2, 4500.0, "EFFIS Annual Report 2024 preliminary"),
+]
 
 
 def known_fires(spark: SparkSession) -> DataFrame:
     """fire_id, event_date, year, country, region, lon, lat, area_ha, area_km2, radius_m, source, reference."""
     from ..functions.scalars import circle_radius_m, event_id
 
-    rows = [(i, *line.split("|")) for i, line in enumerate(KNOWN_FIRES.strip().splitlines(), 1)]
-    d = spark.createDataFrame(rows, "i int, event_date string, region string, lon string, lat string, area_km2 string, reference string")
-    area = F.col("area_km2").cast("double")
-    return d.select(event_id("event_date", "i").alias("fire_id"), "event_date", F.substring("event_date", 1, 4).cast("int").alias("year"), F.lit("GR").alias("country"), "region", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.round(area * 100, 1).alias("area_ha"), F.round(area, 2).alias("area_km2"), circle_radius_m(area).alias("radius_m"), F.lit("literature_proxy").alias("source"), "reference")
+    rows = [(i, *row) for i, row in enumerate(KNOWN_FIRES, 1)]
+    d = spark.createDataFrame(rows, "i int, event_date string, region string, lon double, lat double, area_km2 double, reference string")
+    area = F.col("area_km2")
+    return d.select(event_id("event_date", "i").alias("fire_id"), "event_date", F.substring("event_date", 1, 4).cast("int").alias("year"), F.lit("GR").alias("country"), "region", "lon", "lat", F.round(area * 100, 1).alias("area_ha"), F.round(area, 2).alias("area_km2"), circle_radius_m(area).alias("radius_m"), F.lit("literature_proxy").alias("source"), "reference")
