@@ -15,11 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 WINDOW, HOP, WIDTH = 1024, 256, 6
-#: Bytes of query fingerprints that one pass over the recordings holds.
-PASS_BYTES = 32 << 20
 
 
 def wav(samples: np.ndarray, rate: int) -> bytes:
@@ -119,118 +117,55 @@ def fingerprints(recordings: DataFrame, id_col: str, wav_col: str) -> DataFrame:
     return recordings.select(F.col(id_col).cast("long").alias("rec"), F.col(wav_col).alias("w")).mapInArrow(run, "rec long, fp array<int>")
 
 
-def align(index, fp: list[np.ndarray], most_errors: float, least_overlap: int):
-    """Matches of recordings with the queries of ``index``: (recording, query, offset, bit errors, bits) in order.
-
-    ``offset``: position in the recording minus position in the query.
-    """
-    value, query, at, flat, bounds = index
-    size = np.array([len(x) for x in fp])
-    if not size.sum() or not len(value):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    whole = np.concatenate(fp)
-    begin = np.cumsum(size) - size
-    rec = np.repeat(np.arange(len(fp)), size)
-    pos = np.arange(len(whole)) - begin[rec]
-    # an integer that repeats in a steady tone counts once for each pair of places, whole runs included
-    lo, hi = np.searchsorted(value, whole, "left"), np.searchsorted(value, whole, "right")
-    out = [[] for _ in range(5)]
-    step = 200_000
-    cum = np.concatenate([[0], np.cumsum(hi - lo)])
-    start = 0
-    while start < len(fp):
-        # recordings whose votes fit; one recording alone may exceed the step
-        end = start + 1
-        first = begin[start]
-        while end < len(fp) and cum[begin[end] + size[end]] - cum[first] <= step:
-            end += 1
-        own = slice(first, begin[end - 1] + size[end - 1])
-        n = hi[own] - lo[own]
-        hit = np.repeat(lo[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        r, q, off = np.repeat(rec[own], n), query[hit], np.repeat(pos[own], n) - at[hit]
-        start = end
-        if not len(hit):
-            continue
-        # pairs are numbered by rank, so that pair and offset fit 64 bits for recordings of any length
-        base, least = r.min(), off.min()
-        width = off.max() - least + 1
-        pairs, rank = np.unique((r - base) * len(bounds) + q, return_inverse=True)
-        key, votes = np.unique(rank * width + (off - least), return_counts=True)
-        pair, off = pairs[key // width], key % width + least
-        order = np.lexsort((off, np.abs(off), -votes, pair))
-        best = order[np.append(True, pair[order][1:] != pair[order][:-1])]
-        r, q, off = base + pair[best] // len(bounds), pair[best] % len(bounds), off[best]
-        a, b = np.maximum(off, 0), np.maximum(-off, 0)
-        overlap = np.minimum(size[r] - a, bounds[q + 1] - bounds[q] - b)
-        ok = overlap >= least_overlap
-        r, q, off, a, b, overlap = (x[ok] for x in (r, q, off, a, b, overlap))
-        inner = np.cumsum(overlap) - overlap
-        k = np.arange(int(overlap.sum())) - np.repeat(inner, overlap)
-        x = whole[np.repeat(begin[r] + a, overlap) + k] ^ flat[np.repeat(bounds[q] + b, overlap) + k]
-        errors = np.add.reduceat(np.bitwise_count(x).astype(np.int64), inner) if len(r) else np.zeros(0, np.int64)
-        good = errors <= most_errors * 32 * overlap
-        for o, v in zip(out, (r, q, off, errors, 32 * overlap), strict=True):
-            o.append(v[good])
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-
-
-def query_index(ids: np.ndarray, fp: list[np.ndarray]):
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in fp])]).astype(np.int64)
-    flat = np.concatenate(fp) if fp else np.zeros(0, np.uint32)
-    query = np.repeat(np.arange(len(fp)), np.diff(bounds))
-    at = np.arange(len(flat)) - bounds[query]
-    order = np.argsort(flat, kind="stable")
-    return flat[order], query[order], at[order], flat, bounds
-
-
-MATCHES = "array<struct<query_id:bigint,offset:int,bit_errors:int,bits:int>>"
+MATCHES = "array<struct<query_id:bigint,queries:bigint,offset:int,bit_errors:int,bits:int>>"
 
 
 def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_overlap: int = 28) -> DataFrame:
-    """rec, fp and matches of every row of ``prints`` (rec, fp), against the queries: rows whose rec is divisible by ``every``.
-
-    A match is a query, itself excepted, that shares an integer with the row and
-    has at most ``most_errors`` of its bits wrong at the offset with the most
-    votes (ties: the smallest shift), over at least ``least_overlap`` positions.
-    Queries are held in blocks of at most ``PASS_BYTES`` and every block meets all
-    rows, which are numbered for this; no partners are left out.  Rows with a null id are searched but are no
-    queries; repeated ids are separate rows and separate queries.
+    """rec, class_id, fp and matches of every row of ``prints`` (rec, fp), against the queries: rows whose rec is divisible by ``every``.
+
+    An inverted join: rows with equal fingerprints are one class, and the integers
+    of the classes meet those of the query classes by equi-join.  A match is a
+    query class that shares an integer with the row and has at most
+    ``most_errors`` of its bits wrong at the offset (position in the row minus
+    position in the query) with the most votes (ties: the smallest shift, then the
+    smaller offset), over at least ``least_overlap`` positions.  No partners are
+    left out.
+
+    ``class_id`` is the smallest rec of the rows with the same fingerprints, null
+    where there are none.  A match names its query class by the smallest query in
+    it (``query_id``) and says how many query rows it has (``queries``); a query
+    belongs to the match of its own ``class_id``.  The class whose only queries
+    have the row's own rec is left out, so a row does not match itself.  Null and
+    empty fingerprints match nothing, rows with a null rec are searched but are no
+    queries, repeated ids are separate rows and separate queries.
     """
-    spark = prints.sparkSession
-    queries = prints.where(F.col("rec") % every == 0).select("rec", "fp", F.size("fp").alias("n")).where("n > 0")
-    volume = queries.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-4 * volume // PASS_BYTES))
-    prints = prints.select(F.monotonically_increasing_id().alias("row"), "rec", "fp")
-    if blocks > 1:  # numbers that are stored are the same in every pass
-        prints = written(prints)
-        queries = prints.where(F.col("rec") % every == 0).where(F.size("fp") > 0)
-    done = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("rec"), F.lit(blocks)) == block).select("rec", "fp").toArrow().combine_chunks()
-        ids = own.column("rec").to_numpy() if own.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(ids, kind="stable")
-        lists = [own.column("fp")[int(i)].values.to_numpy().view(np.uint32) for i in order]
-        held = spark.sparkContext.broadcast((ids[order], query_index(ids[order], lists)))
-
-        def run(batches, held=held):
-            names, index = held.value
-            for b in batches:
-                recs = b.column("rec").to_pylist()
-                fp = [np.array(x.as_py() or [], np.int32).view(np.uint32) for x in b.column("fp")]
-                r, q, off, errors, bits = align(index, fp, most_errors, least_overlap)
-                own_id = np.array([-1 if x is None else x for x in recs], np.int64)
-                other = (names[q] != own_id[r]) if len(q) else np.zeros(0, bool)
-                r, q, off, errors, bits = (x[other] for x in (r, q, off, errors, bits))
-                order = np.lexsort((off, names[q] if len(q) else q, r))
-                made = pa.StructArray.from_arrays([pa.array(names[q][order] if len(q) else q, pa.int64()), *(pa.array(x[order], pa.int32()) for x in (off, errors, bits))], ["query_id", "offset", "bit_errors", "bits"])
-                where = np.searchsorted(r[order], np.arange(len(recs) + 1)).astype(np.int32)
-                yield pa.record_batch([b.column("row"), b.column("rec"), b.column("fp"), pa.ListArray.from_arrays(pa.array(where), made)], names=["row", "rec", "fp", "matches"])
-
-        part = prints.mapInArrow(run, f"row long, rec long, fp array<int>, matches {MATCHES}")
-        done = part if done is None else done.unionByName(part)
-    if blocks > 1:
-        done = done.groupBy("row").agg(F.first("rec").alias("rec"), F.first("fp").alias("fp"), F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
-    return done.select("rec", "fp", "matches")
+    own = F.col("rec") % every == 0
+    label = F.md5(F.array_join(F.col("fp").cast("array<string>"), ","))
+    rows = written(prints.select(F.monotonically_increasing_id().alias("row"), "rec", "fp", F.coalesce(label, F.lit("")).alias("print")))
+    classes = rows.where(F.size("fp") > 0).groupBy("print").agg(
+        F.first("fp").alias("fp"), F.min("rec").alias("class_id"), F.count(F.when(own, 1)).alias("queries"), F.min(F.when(own, F.col("rec"))).alias("query_id"), F.max(F.when(own, F.col("rec"))).alias("last")
+    )
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "*"))  # stored, so the numbers stay the same
+    asked = classes.where("queries > 0")
+    places = classes.select("c", F.size("fp").alias("n"), F.posexplode("fp").alias("pos", "value"))
+    sought = asked.select(F.col("c").alias("q"), F.size("fp").alias("qn"), F.posexplode("fp").alias("at", "value"))
+    votes = hot_join(places, sought, "value", ["c", "pos"], ["q", "at"]).groupBy("c", "q", "n", "qn", (F.col("pos") - F.col("at")).alias("offset")).count()
+    best = votes.groupBy("c", "q", "n", "qn").agg(F.max(F.struct("count", -F.abs("offset"), (-F.col("offset")).alias("back"))).alias("best"))
+    best = best.select("c", "q", "n", "qn", (-F.col("best.back")).alias("offset"))
+    begin, at = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
+    best = best.select("c", "q", "offset", begin.alias("begin"), at.alias("at"), F.least(F.col("n") - begin, F.col("qn") - at).alias("overlap"))
+    best = written(best.where(F.col("overlap") >= least_overlap))
+    pairs = hot_join(best, classes.select("c", "fp"), "c", ["q"], ["c"])
+    pairs = hot_join(pairs, asked.select(F.col("c").alias("q"), F.col("fp").alias("qfp"), "queries", "query_id", "last"), "q", ["c"], ["q"], counted=best)
+    # integers are signed: the mask keeps the sign from counting as 32 more bits
+    wrong = F.zip_with(F.slice("fp", F.col("begin") + 1, F.col("overlap")), F.slice("qfp", F.col("at") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    errors = F.aggregate(wrong, F.lit(0), lambda total, x: total + x)
+    pairs = pairs.select("c", "query_id", "queries", "offset", errors.alias("bit_errors"), (F.col("overlap") * 32).alias("bits"), "last").where(F.col("bit_errors") <= most_errors * F.col("bits"))
+    found = pairs.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("query_id", "queries", "offset", "bit_errors", "bits", "last"))).alias("found"))
+    members = hot_join(rows, classes.select("c", "print", "class_id").join(found, "c", "left").drop("c"), "print", ["row"], ["print"], how="left")
+    alone = lambda m: m["query_id"].eqNullSafe(F.col("rec")) & m["last"].eqNullSafe(F.col("rec"))
+    matches = F.transform(F.filter("found", lambda m: ~alone(m)), lambda m: F.struct(*(m[x].alias(x) for x in ("query_id", "queries", "offset", "bit_errors", "bits"))))
+    return members.select("rec", "class_id", "fp", F.coalesce(matches, F.array().cast(MATCHES)).cast(MATCHES).alias("matches"))
 
 
 def melody(vectors: np.ndarray, rate: int = 4000, slots: int = 32, samples: int = 512) -> list[bytes]:

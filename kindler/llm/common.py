@@ -81,6 +81,34 @@ def split_by_bucket(bucket: np.ndarray, n: int, *columns: np.ndarray):
         yield int(b), [c[edges[b] : edges[b + 1]] for c in columns]
 
 
+#: Rows of one key on one side of a ``hot_join`` that go to one cell.
+HOT_ROWS = 2000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, left_by: list[str], right_by: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, which may be hot on both sides; every pair of rows meets exactly once.
+
+    A key with more than ``HOT_ROWS`` rows on a side is dealt to a grid of cells by
+    hashes of ``left_by`` and ``right_by``, so no task needs all rows of a key.  The
+    counts of the few hot keys are joined first; Spark broadcasts them only where
+    their measured size allows.  ``counted``: rows with the keys of ``left``, where
+    these are cheaper to count.  ``how="left"`` asks for a ``right`` that is unique by ``key``.
+    """
+
+    def cells(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy(key).agg(F.ceil(F.count("*") / F.lit(HOT_ROWS)).cast("int").alias(name)).where(F.col(name) > 1)
+
+    hot = cells(left if counted is None else counted, "_rows").join(cells(right, "_columns"), key, "full")
+
+    def dealt(d: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        cell = F.pmod(F.xxhash64(*by), n).cast("int").alias("_at" + own)
+        return d.join(hot, key, "left").select(*d.columns, cell, F.explode(F.sequence(F.lit(0), m - 1)).alias("_at" + other))
+
+    met = dealt(left, left_by, "_rows", "_columns").join(dealt(right, right_by, "_columns", "_rows"), [key, "_at_rows", "_at_columns"], how)
+    return met.drop("_at_rows", "_at_columns")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component = smallest node) of the undirected ``edges`` by alternating large-star and small-star.
 

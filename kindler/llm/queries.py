@@ -120,9 +120,8 @@ FROM d LEFT JOIN gl USING (rid)"""
 
 
 def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = written(chroma.fingerprints(chroma.rendered(table(spark, sf_dir, "embeddings")), "rec", "wav"))
-    found = chroma.search(prints, every=20)
-    return found.select(F.col("rec").alias("vec_id"), F.size("fp").cast("long").alias("n_fingerprints"), F.sha2(F.array_join(F.col("fp").cast("array<string>"), ","), 256).alias("fingerprint_sha256"), F.size("matches").cast("long").alias("n_matches"), "matches")
+    found = chroma.search(chroma.fingerprints(chroma.rendered(table(spark, sf_dir, "embeddings")), "rec", "wav"), every=20)
+    return found.select(F.col("rec").alias("vec_id"), "class_id", F.size("fp").cast("long").alias("n_fingerprints"), F.sha2(F.array_join(F.col("fp").cast("array<string>"), ","), 256).alias("fingerprint_sha256"), F.size("matches").cast("long").alias("n_matches"), "matches")
 
 
 def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,33 @@ def decontaminate(docs, items, size=10):
                     own |= found
         out.append((d, len(w), len(hit), sorted(own)))
     return out
+
+
+def chroma_search(rows: list, every: int, most_errors: float, least_overlap: int) -> list:
+    """(rec, class_id, fp, matches) of rows (rec, fp): every row against every distinct query, offset by offset."""
+    classes: dict = {}
+    for rec, fp in rows:
+        if fp:
+            classes.setdefault(tuple(fp), []).append(rec)
+    out = []
+    for rec, fp in rows:
+        matches = []
+        for q, members in classes.items():
+            asked = [x for x in members if x is not None and x % every == 0]
+            if not fp or not asked or set(asked) == {rec}:
+                continue
+            votes: dict = {}
+            for i, x in enumerate(fp):
+                for j, y in enumerate(q):
+                    if x == y:
+                        votes[i - j] = votes.get(i - j, 0) + 1
+            if not votes:
+                continue
+            off = min(votes, key=lambda o: (-votes[o], abs(o), o))
+            both = list(zip(fp[max(off, 0) :], q[max(-off, 0) :], strict=False))
+            errors = sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in both)
+            if len(both) >= least_overlap and errors <= most_errors * 32 * len(both):
+                matches.append((min(asked), len(asked), off, errors, 32 * len(both)))
+        known = [x for x in classes.get(tuple(fp or ()), []) if x is not None]
+        out.append((rec, min(known) if known else None, fp, sorted(matches)))
+    return out

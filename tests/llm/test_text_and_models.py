@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from helpers import SMALL, same_rows
-from kindler.llm import chat_format, chroma, decontaminate, packing, quality_gbt, queries, toxicity_gru, url_rules
+from kindler.llm import chat_format, chroma, common, decontaminate, packing, quality_gbt, queries, toxicity_gru, url_rules
 from kindler.llm import textkernel as K
 
 
@@ -367,44 +367,52 @@ def test_chroma_alignment_and_recall(spark):
     shifted = chroma.wav(np.concatenate([np.zeros(256 * 7), chroma.read_wav(clips[0])[0] * 32767]), 4000)
     rows = [(i, c) for i, c in enumerate(clips)] + [(500, shifted), (501, None), (502, b"junk"), (503, chroma.wav(np.zeros(100), 4000)), (None, clips[1]), (1, clips[1])]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "rec long, wav binary").withColumn("fp", F.lit(1)), "rec", "wav")
-    found = {}
+    found, cls = {}, {}
     for row in chroma.search(prints, every=20).collect():
         found.setdefault(row["rec"], []).append(row["matches"])
+        cls[row["rec"]] = row["class_id"]
     assert found[501] == [[]] and found[502] == [[]] and found[503] == [[]] and len(found[1]) == 2 and len(found[None]) == 1
     assert [(m["query_id"], m["offset"]) for m in found[500][0]][:1] == [(0, 7)]
     fp = [chroma.fingerprint(*chroma.read_wav(c)) for c in clips]
     want = {(q, i) for q in range(0, len(clips), 20) for i in range(len(clips)) if i != q and np.bitwise_count(fp[q] ^ fp[i]).sum() <= 0.2 * 32 * len(fp[q])}
-    got = {(m["query_id"], i) for i in range(len(clips)) for ms in found[i] for m in ms}
+    # a match names its class of equal queries once; class_id says who belongs to it
+    got = {(q, i) for i in range(len(clips)) for ms in found[i] for m in ms for q in range(0, len(clips), 20) if cls[q] == cls[m["query_id"]] and q != i}
     assert len(want) >= 6 and len(want & got) >= 0.9 * len(want)
     assert chroma.search(prints.where("false")).count() == 0
 
 
-def test_chroma_offsets_of_long_recordings():
+def test_chroma_offsets_of_long_recordings(spark):
     r = np.random.RandomState(4)
-    queries = [r.randint(0, 1 << 32, n, np.uint32) for n in (60, 50, 70)]
-    long = r.randint(0, 1 << 32, 150_000, np.uint32)
+    queries = [r.randint(-(1 << 31), 1 << 31, n, np.int64) for n in (60, 50, 70)]
+    long = r.randint(-(1 << 31), 1 << 31, 150_000, np.int64)
     for q, at in ((0, 32_760), (1, 70_000), (2, 140_000)):
         long[at : at + len(queries[q])] = queries[q]
-    for recordings, held in (([queries[1], long, queries[2]], queries), ([queries[1]], [queries[0], long])):
-        rec, q, off, errors, bits = chroma.align(chroma.query_index(np.arange(len(held)), held), recordings, 0.2, 28)
-        found = sorted(zip(rec.tolist(), q.tolist(), off.tolist(), errors.tolist(), bits.tolist(), strict=True))
-        if len(held) == 3:
-            assert found == [(0, 1, 0, 0, 1600), (1, 0, 32_760, 0, 1920), (1, 1, 70_000, 0, 1600), (1, 2, 140_000, 0, 2240), (2, 2, 0, 0, 2240)]
-        else:
-            assert found == [(0, 1, -70_000, 0, 1600)]
+    rows = [(20 * i, fp.tolist()) for i, fp in enumerate(queries)] + [(7, long.tolist())]
+    got = {x["rec"]: [tuple(m) for m in x["matches"]] for x in chroma.search(spark.createDataFrame(rows, "rec long, fp array<int>")).collect()}
+    assert got == {0: [], 20: [], 40: [], 7: [(0, 1, 32_760, 0, 1920), (20, 1, 70_000, 0, 1600), (40, 1, 140_000, 0, 2240)]}
+    rows = [(1, queries[1].tolist()), (20, long.tolist())]
+    got = {x["rec"]: [tuple(m) for m in x["matches"]] for x in chroma.search(spark.createDataFrame(rows, "rec long, fp array<int>")).collect()}
+    assert got == {1: [(20, 1, -70_000, 0, 1600)], 20: []}
 
 
-def test_chroma_rows_that_repeat_in_several_blocks(spark, monkeypatch):
+def test_chroma_search_against_brute_force_with_hot_keys(spark, monkeypatch):
     r = np.random.RandomState(6)
-    own = [[int(x) for x in r.randint(-(1 << 31), 1 << 31, 60)] for _ in range(6)]
-    rows = [(i * 20, fp) for i, fp in enumerate(own)] + [(7, own[0]), (7, own[0]), (7, own[1]), (0, own[0]), (20, own[5]), (None, own[2]), (None, own[2]), (None, None), (None, None), (None, []), (9, None), (9, None)]
+    base = [r.randint(-(1 << 31), 1 << 31, int(n), np.int64) for n in r.randint(30, 80, 8)]
+    rows = []
+    for i in range(90):
+        fp = base[min(i % 16, 7)].copy()  # more than half are near copies of one recording
+        fp[r.rand(len(fp)) < 0.25] ^= 1 << 30
+        fp[: int(r.randint(0, 6))] = -1  # a steady tone, shared by many
+        rows.append((int(i), fp[int(r.randint(0, 4)) :].tolist()))
+    same = rows[0][1]
+    rows += [(0, same), (7, same), (7, same), (20, same), (120, same), (None, same), (None, None), (None, None), (40, []), (9, None), (7, rows[1][1]), (20, rows[2][1]), (300, [-1] * 40), (301, [-1] * 50)]
+    want = sorted(repr(x) for x in brute.chroma_search(rows, 20, 0.2, 28))
     prints = spark.createDataFrame(rows, "rec long, fp array<int>").repartition(3)
-    plain = lambda d: sorted(repr((x["rec"], x["fp"], sorted(tuple(m) for m in x["matches"]))) for x in d.collect())
-    want = plain(chroma.search(prints, every=20))
-    assert len(want) == len(rows) and sum(x.startswith("(None, None") for x in want) == 2
-    for size in (4 * 60 * 4, 4 * 60, 16):
-        monkeypatch.setattr(chroma, "PASS_BYTES", size)
-        assert plain(chroma.search(prints, every=20)) == want
+    assert sum("), (" in x for x in want) > 20
+    for size in (common.HOT_ROWS, 7):
+        monkeypatch.setattr(common, "HOT_ROWS", size)
+        got = sorted(repr((x["rec"], x["class_id"], x["fp"], [tuple(m) for m in x["matches"]])) for x in chroma.search(prints, every=20).collect())
+        assert got == want
 
 
 def test_rendered_vectors(spark):
