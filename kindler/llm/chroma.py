@@ -117,6 +117,53 @@ def fingerprints(recordings: DataFrame, id_col: str, wav_col: str) -> DataFrame:
     return recordings.select(F.col(id_col).cast("long").alias("rec"), F.col(wav_col).alias("w")).mapInArrow(run, "rec long, fp array<int>")
 
 
+#: Positions of queries in one block: what one recording meets at a time.
+BLOCK_POSITIONS = 1 << 20
+#: Votes that are counted together, unless one recording has more.
+VOTES = 200_000
+
+
+def best_offsets(row: np.ndarray, query: np.ndarray, offset: np.ndarray):
+    """One (row, query, offset) for each row and query that got a vote: most votes, then the smallest shift, then the smaller offset."""
+    order = np.lexsort((offset, query, row))
+    row, query, offset = row[order], query[order], offset[order]
+    edge = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(query) != 0) | (np.diff(offset) != 0)])
+    votes = np.diff(np.r_[edge, len(row)])
+    row, query, offset = row[edge], query[edge], offset[edge]
+    order = np.lexsort((offset, np.abs(offset), -votes, query, row))
+    row, query, offset = row[order], query[order], offset[order]
+    first = np.r_[True, (np.diff(row) != 0) | (np.diff(query) != 0)]
+    return row[first], query[first], offset[first]
+
+
+def aligned(batches, least_overlap: int):
+    """Candidates of recordings whose ``hits`` are (pos, asked: the places of the queries that hold the same integer)."""
+    for b in batches:
+        hits = b.column("hits")
+        each = hits.flatten()
+        asked = each.field("asked")
+        places = asked.flatten()
+        size = asked.value_lengths().to_numpy(zero_copy_only=False)
+        votes = np.repeat(np.repeat(np.arange(b.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False)), size)
+        query, at, qn = (places.field(x).to_numpy(zero_copy_only=False) for x in ("q", "at", "qn"))
+        offset = np.repeat(each.field("pos").to_numpy(zero_copy_only=False), size).astype(np.int64) - at
+        c, n = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "n"))
+        length = dict(zip(query.tolist(), qn.tolist(), strict=True))
+        bounds = np.searchsorted(votes, np.arange(b.num_rows + 1))
+        start = 0
+        while start < b.num_rows:
+            end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + VOTES, "right")) - 1)
+            own = slice(bounds[start], bounds[end])
+            start = end
+            if own.start == own.stop:
+                continue
+            r, q, off = best_offsets(votes[own], query[own], offset[own])
+            begin, at_q = np.maximum(off, 0), np.maximum(-off, 0)
+            overlap = np.minimum(n[r] - begin, np.array([length[x] for x in q.tolist()]) - at_q)
+            ok = overlap >= least_overlap
+            yield pa.record_batch([pa.array(c[r][ok], pa.int64()), pa.array(q[ok], pa.int64()), *(pa.array(x[ok], pa.int32()) for x in (off, begin, at_q, overlap))], names=["c", "q", "offset", "begin", "at", "overlap"])
+
+
 MATCHES = "array<struct<query_id:bigint,queries:bigint,offset:int,bit_errors:int,bits:int>>"
 
 
@@ -124,7 +171,10 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
     """rec, class_id, fp and matches of every row of ``prints`` (rec, fp), against the queries: rows whose rec is divisible by ``every``.
 
     An inverted join: rows with equal fingerprints are one class, and the integers
-    of the classes meet those of the query classes by equi-join.  A match is a
+    of the classes meet those of the query classes by equi-join.  The places of an
+    integer in the queries travel as one list for each block of queries, so a hit is
+    one row for a place in a recording however many queries share it, and a recording
+    counts the votes of one block at a time.  A match is a
     query class that shares an integer with the row and has at most
     ``most_errors`` of its bits wrong at the offset (position in the row minus
     position in the query) with the most votes (ties: the smallest shift, then the
@@ -148,13 +198,13 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
     classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "*"))  # stored, so the numbers stay the same
     asked = classes.where("queries > 0")
     places = classes.select("c", F.size("fp").alias("n"), F.posexplode("fp").alias("pos", "value"))
+    volume = asked.agg(F.sum(F.size("fp"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("q"), F.lit(1 + volume // BLOCK_POSITIONS)).alias("block")
     sought = asked.select(F.col("c").alias("q"), F.size("fp").alias("qn"), F.posexplode("fp").alias("at", "value"))
-    votes = hot_join(places, sought, "value", ["c", "pos"], ["q", "at"]).groupBy("c", "q", "n", "qn", (F.col("pos") - F.col("at")).alias("offset")).count()
-    best = votes.groupBy("c", "q", "n", "qn").agg(F.max(F.struct("count", -F.abs("offset"), (-F.col("offset")).alias("back"))).alias("best"))
-    best = best.select("c", "q", "n", "qn", (-F.col("best.back")).alias("offset"))
-    begin, at = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    best = best.select("c", "q", "offset", begin.alias("begin"), at.alias("at"), F.least(F.col("n") - begin, F.col("qn") - at).alias("overlap"))
-    best = written(best.where(F.col("overlap") >= least_overlap))
+    sought = sought.groupBy("value", block).agg(F.collect_list(F.struct("q", "qn", "at")).alias("asked"))
+    hits = hot_join(places, sought, "value", ["c", "pos"], ["block"]).groupBy("c", "n", "block").agg(F.collect_list(F.struct("pos", "asked")).alias("hits"))
+    run = lambda batches: aligned(batches, least_overlap)
+    best = written(hits.select("c", "n", "hits").mapInArrow(run, "c long, q long, offset int, begin int, at int, overlap int"))
     pairs = hot_join(best, classes.select("c", "fp"), "c", ["q"], ["c"])
     pairs = hot_join(pairs, asked.select(F.col("c").alias("q"), F.col("fp").alias("qfp"), "queries", "query_id", "last"), "q", ["c"], ["q"], counted=best)
     # integers are signed: the mask keeps the sign from counting as 32 more bits

@@ -409,8 +409,10 @@ def test_chroma_search_against_brute_force_with_hot_keys(spark, monkeypatch):
     want = sorted(repr(x) for x in brute.chroma_search(rows, 20, 0.2, 28))
     prints = spark.createDataFrame(rows, "rec long, fp array<int>").repartition(3)
     assert sum("), (" in x for x in want) > 20
-    for size in (common.HOT_ROWS, 7):
+    for size, block, votes in ((common.HOT_ROWS, chroma.BLOCK_POSITIONS, chroma.VOTES), (7, 100, 50)):
         monkeypatch.setattr(common, "HOT_ROWS", size)
+        monkeypatch.setattr(chroma, "BLOCK_POSITIONS", block)
+        monkeypatch.setattr(chroma, "VOTES", votes)
         got = sorted(repr((x["rec"], x["class_id"], x["fp"], [tuple(m) for m in x["matches"]])) for x in chroma.search(prints, every=20).collect())
         assert got == want
 
