@@ -15,6 +15,9 @@ from ..session import checkpointed
 #: Perimeters of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
 SMALL, COMPARED = 2_000, 128
 
+#: Points and places of a block that one task holds at most, when their radius is searched.
+BLOCK_POINTS, BLOCK_PLACES = 50_000, 1_000_000
+
 
 def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size).cast("long")
@@ -31,12 +34,56 @@ def radius_pairs(left: DataFrame, right: DataFrame, r: float, lx: str = "x", ly:
 
 
 def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str, rx: str = "rx", ry: str = "ry", other: str | None = None, inclusive: bool = True) -> DataFrame:
-    """``left`` (key, x, y) with the number of ``right`` points in reach; ``other``: right's id, to leave out the row itself."""
-    pairs = radius_pairs(left.select(key, "x", "y"), right, r, rx=rx, ry=ry, inclusive=inclusive)
+    """``left`` (key, x, y) with the number of ``right`` points in reach; ``other``: right's id, to leave out the row itself.
+
+    Both sides meet in blocks, where ``reach.counts`` makes no row for a pair.
+    Right points at one place travel once, with their number; crowded blocks are
+    dealt to several tasks.  No side is broadcast, whatever its size is taken for.
+    """
+    from . import reach
+
+    block, far = 2 * r, r * (1 + reach.SLACK)
+    finite = lambda *cols: F.expr(" and ".join(f"abs(`{c}`) < double('Infinity')" for c in cols))
+    right = right.where(F.col(other).isNotNull()) if other else right
+    kind = left.schema[key].dataType.simpleString()
+    points = left.where(finite("x", "y") & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    points = points.withColumn("_gx", _cell("_x", block)).withColumn("_gy", _cell("_y", block))
+    places = right.where(finite(rx, ry)).groupBy(F.col(rx).cast("double").alias("_x"), F.col(ry).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - far) / block).cast("long"), F.floor((F.col(c) + far) / block).cast("long")))
+    dealt = places.withColumn("_gx", touched("_x")).withColumn("_gy", touched("_y"))
+    parts = lambda df, most, name: df.groupBy("_gx", "_gy").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(f"{name} > 1")
+    crowded = checkpointed(parts(points, BLOCK_POINTS, "_a").join(parts(dealt, BLOCK_PLACES, "_b").hint("merge"), ["_gx", "_gy"], "full"))  # a row for each BLOCK_POINTS at most
+    crowded = crowded if crowded.limit(1).count() else None
+    points, dealt = (_dealt(df, crowded, own, rest) for df, own, rest in ((points, "_a", "_b"), (dealt, "_b", "_a")))
+    blocks = ["_gx", "_gy", "_a", "_b"]
+    both = points.select(*blocks, "_k", "_x", "_y", F.lit(None).cast("long").alias("_n")).unionByName(dealt.select(*blocks, F.lit(None).cast(kind).alias("_k"), "_x", "_y", "_n"))
+
+    def count(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        l, p = t.filter(pc.is_null(t.column("_n"))), t.filter(pc.is_valid(t.column("_n")))
+        n = reach.counts(*[t.column(c).to_numpy() for t, c in ((l, "_x"), (l, "_y"), (p, "_x"), (p, "_y"))], p.column("_n").to_numpy().astype(np.int64), r, inclusive)
+        return pa.table({"_k": l.column("_k"), "_n": pa.array(n)}).filter(pa.array(n > 0))
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = both.repartition(tasks, *blocks).groupBy(*blocks).applyInArrow(count, f"_k {kind}, _n long")
     if other:
-        pairs = pairs.where(F.col(key) != F.col(other))
-    counts = pairs.groupBy(key).agg(F.count("*").alias(out))
-    return left.join(counts, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+        d2 = (F.col("x") - F.col(rx)) * (F.col("x") - F.col(rx)) + (F.col("y") - F.col(ry)) * (F.col("y") - F.col(ry))
+        own = left.select(F.col(key).alias("_k"), "x", "y").join(right.select(F.col(other).alias("_k"), rx, ry).hint("merge"), "_k")
+        counts = counts.unionByName(own.where(d2 <= r * r if inclusive else d2 < r * r).select("_k", F.lit(-1).cast("long").alias("_n")))
+    counts = counts.groupBy(F.col("_k").alias(key)).agg(F.sum("_n").alias(out))
+    return left.join(counts.hint("merge"), key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def _dealt(df: DataFrame, crowded: DataFrame | None, own: str, rest: str) -> DataFrame:
+    """Rows of crowded blocks dealt over ``own`` parts by a hash, with a copy for each part of the other side; other blocks have one part."""
+    if crowded is None:
+        return df.withColumns({own: F.lit(0), rest: F.lit(0)})
+    d = df.join(F.broadcast(crowded), ["_gx", "_gy"], "left")
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c in ("_k", "_x", "_y")]), F.coalesce(own, F.lit(1))).cast("int")
+    return d.withColumn(own, part).withColumn(rest, F.explode(F.sequence(F.lit(0), F.coalesce(rest, F.lit(1)) - 1)))
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry", cell: float | None = None) -> DataFrame:
