@@ -1,7 +1,11 @@
-"""Leave-one-event-out gradient-boosted trees on Spark ML."""
+"""Leave-one-event-out gradient-boosted trees."""
 
 from __future__ import annotations
 
+import pickle
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -9,8 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from .stats import auc
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
+
 
 #: ML7: 21 structural and 5 dynamic features; leaving one event out drops the five of fire history, which know the event itself.
 FIRE_HISTORY = ["dist_to_nearest_fire_m", "fire_count_5km", "fire_count_10km", "firms_hotspot_count_5km", "recency_score"]
@@ -46,9 +53,80 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str =
     return made.select(*d.columns, vector_to_array("probability")[1].alias(out))
 
 
+#: Values (rows x features) that the task which fits one event's model holds at most; beyond, every model is fitted by Spark ML.
+HELD = 40_000_000
+
+
 def leave_one_out(df: DataFrame, event: str, features: list[str], label: str, **params) -> DataFrame:
-    """Predictions for every event by a model of all the others; events are few."""
-    events = [r[0] for r in df.select(event).distinct().orderBy(event).collect()]
+    """Predictions for every event by a model of all the others; events are few.
+
+    Each model is fitted on all rows of the other events by one task, the models
+    of all events at once.
+    """
+    sizes = {r[0]: r[1] for r in df.where(F.col(event).isNotNull()).groupBy(event).count().orderBy(event).collect()}
+    events = list(sizes)
+    if len(events) < 2:
+        raise ValueError(f"{event} has {len(events)} values: no other event to learn from")
+    if (sum(sizes.values()) - min(sizes.values())) * len(features) > HELD:
+        return _one_by_one(df, events, event, features, label, **params)
+    index = (F.array_position(F.array(*[F.lit(e) for e in events]), F.col(event)) - 1).cast("int")
+    rows = df.where(F.col(event).isNotNull()).select(index.alias("_e"), *[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"))
+    others = rows.where("_y is not null").select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(events) - 1)), lambda k: k != F.col("_e"))).alias("_m"), *rows.columns[1:])
+    models = {r["_m"]: pickle.loads(r["model"]) for r in others.repartitionById(len(events), F.col("_m")).mapInArrow(_fitting(len(features), params), "_m int, model binary").collect()}
+    if len(models) < len(events):
+        raise ValueError(f"no labelled rows to learn from for {[e for i, e in enumerate(events) if i not in models]}")
+    d = df.where(F.col(event).isNotNull()).select(*[c for c in df.columns if c not in features], *[F.col(f).cast("double").alias(f) for f in features], index.alias("_e"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_e").schema)
+    return d.mapInArrow(_scoring(models, features, d.columns[:-1]), f"{schema}, probability_burned double")
+
+
+def _matrix(table, columns: list[str]):
+    """The columns as doubles side by side, missing values as NaN."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return np.stack([pc.fill_null(table.column(c), float("nan")).to_numpy(zero_copy_only=False) for c in columns], axis=1) if columns else np.zeros((table.num_rows, 0))
+
+
+def _fitting(n: int, params: dict):
+    """Batches of one model's rows (_m, _0 to _<n - 1>, _y) to the model."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        xs, ys, of = [], [], None
+        for b in batches:
+            if b.num_rows:
+                of = b.column("_m")[0].as_py()
+                xs.append(_matrix(b, [f"_{i}" for i in range(n)]))
+                ys.append(b.column("_y").to_numpy())
+        if xs:
+            model = boosting.fit(np.concatenate(xs), np.concatenate(ys), **params)
+            parts = (model.feature, model.threshold, model.value, model.base, model.fill)
+            yield pa.record_batch([pa.array([of], pa.int32()), pa.array([pickle.dumps(parts)], pa.binary())], names=["_m", "model"])
+
+    return run
+
+
+def _scoring(models: dict, features: list[str], columns: list[str]):
+    """Batches with the event's number ``_e`` to the same rows with the probability of that event's model."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            x, e, out = _matrix(b, features), b.column("_e").to_numpy(), np.zeros(b.num_rows)
+            for k in np.unique(e):
+                out[e == k] = boosting.Trees(*models[k]).score(x[e == k])
+            yield pa.record_batch([*(b.column(c) for c in columns), pa.array(out)], names=[*columns, "probability_burned"])
+
+    return run
+
+
+def _one_by_one(df: DataFrame, events: list, event: str, features: list[str], label: str, **params) -> DataFrame:
+    """The same with models whose rows no task holds, fitted one after another."""
     done = None
     for e in events:
         model = fit(df.where(F.col(event) != e), features, label, **params)
