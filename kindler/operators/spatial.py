@@ -15,6 +15,9 @@ from ..session import checkpointed
 #: Perimeters of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
 SMALL, COMPARED = 2_000, 128
 
+#: Places that a row meets in its own cell, on average, when its nearest one is searched; how often cells are quartered for that, at most.
+MET, FINER = 16, 12
+
 #: Points and places of a block that one task holds at most, when their radius is searched.
 BLOCK_POINTS, BLOCK_PLACES = 50_000, 1_000_000
 
@@ -94,24 +97,31 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
     than a cell.  The others descend a pyramid of occupied cells: of the cells left
     at a level, those stay whose nearest corner is not farther than the farthest
     corner of another one.  Rows without coordinates match nothing.
+
+    Points at one place count once, as their smallest ``rid``.  Cells are at most
+    ``cell`` wide, and smaller where rows would meet many points.
     """
     right = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull())
     d2 = (F.col(x) - F.col(rx)) * (F.col(x) - F.col(rx)) + (F.col(y) - F.col(ry)) * (F.col(y) - F.col(ry))
-    payload = F.struct(*[F.col(c) for c in right.columns])
-    best = lambda pairs: pairs.groupBy(key).agg(F.min_by(payload, F.struct(d2.alias("d"), F.col(rid).alias("i"))).alias("near"), F.min(d2).alias("dist2"))
+    best = lambda pairs: pairs.groupBy(key).agg(F.min(F.struct(d2.alias("d"), F.col(rid).alias("i"), F.col(rx).alias("x"), F.col(ry).alias("y"))).alias("_b"))
     points = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    ends = right.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}{c}") for c in (rx, ry) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    places = checkpointed(right.groupBy(rx, ry).agg(F.min(rid).alias(rid)))
+    ends = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}{c}") for c in (rx, ry) for name, f in (("lo", F.min), ("hi", F.max))]).first()
     n = ends["n"]
     if n <= COMPARED:
-        return left.join(best(points.join(F.broadcast(right))), key, "left")
-    if cell is None:
-        wide, high = float(ends[f"hi{rx}"] - ends[f"lo{rx}"]), float(ends[f"hi{ry}"] - ends[f"lo{ry}"])
-        cell = 2 * max((wide * high / n) ** 0.5, max(wide, high) / n) or 1.0  # also for points on one line or at one place
-    side = right.withColumn("_gx", _cell(rx, cell)).withColumn("_gy", _cell(ry, cell))
+        return _with_nearest(left, best(points.join(F.broadcast(places))), right, key, rid, rx, ry)
+    wide, high = float(ends[f"hi{rx}"] - ends[f"lo{rx}"]), float(ends[f"hi{ry}"] - ends[f"lo{ry}"])
+    even = 2 * max((wide * high / n) ** 0.5, max(wide, high) / n) or 1.0  # also for points on one line or at one place
+    cell = even if cell is None else min(cell, even)
+    for _ in range(FINER):
+        if _met(points, places, cell, x, y, rx, ry) <= MET:
+            break
+        cell /= 4
+    side = places.withColumn("_gx", _cell(rx, cell)).withColumn("_gy", _cell(ry, cell))
     around = F.sequence(F.lit(-1), F.lit(1))
     probe = points.withColumn("_gx", F.explode(F.transform(around, lambda k: _cell(x, cell) + k))).withColumn("_gy", F.explode(F.transform(around, lambda k: _cell(y, cell) + k)))
-    found = checkpointed(best(probe.join(side, ["_gx", "_gy"])).where(F.col("dist2") <= cell * cell))
-    open_ = checkpointed(points.join(found.select(key), key, "left_anti"))
+    found = checkpointed(best(probe.join(side.hint("merge"), ["_gx", "_gy"])).where(F.col("_b.d") <= cell * cell))
+    open_ = checkpointed(points.join(found.select(key).hint("merge"), key, "left_anti"))
     if open_.limit(1).count():
         cells = [checkpointed(side.select("_gx", "_gy").distinct())]
         low, high = [int(ends[f"lo{c}"] // cell) for c in (rx, ry)], [int(ends[f"hi{c}"] // cell) for c in (rx, ry)]
@@ -131,8 +141,28 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
                 span.append(F.greatest(F.abs(a), F.abs(b)))
             near = near.withColumn("_lo", gap[0] * gap[0] + gap[1] * gap[1]).withColumn("_hi", span[0] * span[0] + span[1] * span[1])
             near = near.withColumn("_ub", F.min("_hi").over(Window.partitionBy(key))).where(F.col("_lo") <= F.col("_ub") * (1 + 1e-9)).select(key, x, y, "_gx", "_gy")
-        found = found.unionByName(best(near.join(side, ["_gx", "_gy"])))
-    return left.join(found, key, "left")
+        found = found.unionByName(best(near.join(side.hint("merge"), ["_gx", "_gy"])))
+    return _with_nearest(left, found, right, key, rid, rx, ry)
+
+
+def _with_nearest(left: DataFrame, found: DataFrame, right: DataFrame, key: str, rid: str, rx: str, ry: str) -> DataFrame:
+    """``left`` with the row of ``right`` that ``found`` (key, _b) names, and its squared distance."""
+    found = found.select(key, F.col("_b.d").alias("dist2"), F.col("_b.i").alias("_i"), F.col("_b.x").alias("_px"), F.col("_b.y").alias("_py"))
+    if set(right.columns) == {rid, rx, ry}:
+        near = {rid: "_i", rx: "_px", ry: "_py"}
+        found = found.select(key, F.struct(*[F.col(near[c]).alias(c) for c in right.columns]).alias("near"), "dist2")
+    else:
+        rows = right.groupBy(F.col(rid).alias("_i"), F.col(rx).alias("_px"), F.col(ry).alias("_py")).agg(F.first(F.struct(*right.columns)).alias("near"))
+        same = F.col("a._i").eqNullSafe(F.col("b._i")) & (F.col("a._px") == F.col("b._px")) & (F.col("a._py") == F.col("b._py"))
+        found = found.alias("a").join(rows.alias("b").hint("merge"), same).select(f"a.{key}", "near", "dist2")
+    return left.join(found.hint("merge"), key, "left")
+
+
+def _met(points: DataFrame, places: DataFrame, cell: float, x: str, y: str, rx: str, ry: str) -> float:
+    """How many places a point has in its own cell, on average."""
+    count = lambda df, a, b, name: df.groupBy(_cell(a, cell).alias("_gx"), _cell(b, cell).alias("_gy")).agg(F.count("*").alias(name))
+    met = count(points.select(F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", "_y", "_l").join(count(places, rx, ry, "_r").hint("merge"), ["_gx", "_gy"], "left")
+    return met.agg(F.coalesce(F.try_divide(F.sum(F.col("_l") * F.coalesce("_r", F.lit(0))), F.sum("_l")), F.lit(0.0))).first()[0]
 
 
 def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_year: int, near: float = 5_000.0, far: float = 10_000.0) -> DataFrame:
