@@ -75,12 +75,13 @@ def fwi(isi_: Column, bui_: Column) -> Column:
     return F.when(b > 1.0, F.exp(2.72 * F.pow(0.434 * F.ln(b), F.lit(0.647)))).otherwise(F.greatest(b, F.lit(0.0)))
 
 
-def daily_codes(weather: DataFrame, cell: str = "cell", day: str = "day") -> DataFrame:
+def daily_codes(weather: DataFrame, cell: str = "cell", day: str = "day", stored: str = "float") -> DataFrame:
     """cell, day and the six indices for each row of ``weather`` (cell, day date, t, h, wind, rain).
 
     State runs over the days of a cell and starts anew each 1 January, so a task
-    is a cell and year (at most 366 rows).  Outputs are stored as floats, the
-    state stays double.
+    is a cell and year (at most 366 rows).  The state is double; outputs are
+    ``stored`` as floats, as in the original, or as doubles: the indices of strong
+    winds are beyond a float.
     """
     row = F.struct(F.col(day).alias("day"), *[F.col(c).cast("double").alias(c) for c in ("t", "h", "wind", "rain")])
     days = weather.groupBy(cell, F.year(day).alias("year")).agg(F.sort_array(F.collect_list(row)).alias("days"))
@@ -96,4 +97,4 @@ def daily_codes(weather: DataFrame, cell: str = "cell", day: str = "day") -> Dat
     rows = days.select(cell, F.inline(F.aggregate("days", start, step, lambda s: s["out"])))
     i, u = isi(F.col("ffmc"), F.col("wind")), bui(F.col("dmc"), F.col("dc"))
     out = rows.select(cell, F.col("day").alias(day), "ffmc", "dmc", "dc", i.alias("isi"), u.alias("bui"), fwi(i, u).alias("fwi"))
-    return out.select(cell, day, *[F.col(c).cast("float").alias(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")])
+    return out.select(cell, day, *[F.col(c).cast(stored).alias(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")])

@@ -74,5 +74,5 @@ SELECT cell, day, round(ffmc, 2) AS ffmc, round(dmc, 2) AS dmc, round(dc, 2) AS
 
 @query(_FWI)
 def ts2_ts3_ts4_ts5_fire_weather(t):
-    codes = W.daily_codes(t.sql(_DAYS))
-    return codes.select("cell", "day", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")])
+    codes = W.daily_codes(t.sql(_DAYS), stored="double")
+    return codes.select("cell", "day", *[F.round(c, 2).alias(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi")])
