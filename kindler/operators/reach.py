@@ -18,6 +18,48 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 #: Cells of the fine grid for a radius, at most; points compared at once; a margin for rounding, as a share of the squared radius.
 FINEST, AT_ONCE, SLACK = 512, 2_000_000, 1e-6
 
+#: Places that are packed together, at least as long as there are more.
+PACKED = 100_000
+
+
+def packing(size: float):
+    """Batches of places (x, y, number) to rows (_hx, _hy, _m, _p): ``_m`` places of a cell as one run of bytes, without the numbers if all are 1."""
+
+    def run(batches):
+        held, many = [], 0
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            many += b.num_rows
+            if many >= PACKED:
+                yield _packed(*map(np.concatenate, zip(*held, strict=True)), size)
+                held, many = [], 0
+        if many:
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)), size)
+
+    return run
+
+
+def _packed(x: np.ndarray, y: np.ndarray, n: np.ndarray, size: float):
+    import pyarrow as pa
+
+    hx, hy = np.floor(x / size).astype(np.int64), np.floor(y / size).astype(np.int64)
+    order = np.lexsort((hy, hx))
+    x, y, n, hx, hy = x[order], y[order], n[order], hx[order], hy[order]
+    at = np.flatnonzero(np.concatenate([[True], (hx[1:] != hx[:-1]) | (hy[1:] != hy[:-1])]))
+    ends = np.append(at[1:], len(x))
+    runs = [x[a:b].tobytes() + y[a:b].tobytes() + (n[a:b].tobytes() if (n[a:b] != 1).any() else b"") for a, b in zip(at, ends, strict=True)]
+    return pa.record_batch([pa.array(hx[at]), pa.array(hy[at]), pa.array(ends - at), pa.array(runs, pa.binary())], names=["_hx", "_hy", "_m", "_p"])
+
+
+def unpacked(sizes: list[int], runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and number of the places in ``packing``'s rows."""
+    xs, ys, ns = [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for m, p in zip(sizes, runs, strict=True):
+        xs.append(np.frombuffer(p, np.float64, m))
+        ys.append(np.frombuffer(p, np.float64, m, 8 * m))
+        ns.append(np.frombuffer(p, np.int64, m, 16 * m) if len(p) > 16 * m else np.ones(m, np.int64))
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(ns)
+
 
 def counts(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, weight: np.ndarray, r: float, inclusive: bool = True) -> np.ndarray:
     """For each (x, y) the sum of ``weight`` of the points (px, py) at most (or less than) ``r`` apart."""

@@ -40,34 +40,37 @@ def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str
     """``left`` (key, x, y) with the number of ``right`` points in reach; ``other``: right's id, to leave out the row itself.
 
     Both sides meet in blocks, where ``reach.counts`` makes no row for a pair.
-    Right points at one place travel once, with their number; crowded blocks are
-    dealt to several tasks.  No side is broadcast, whatever its size is taken for.
+    Right points at one place travel once, with their number, and packed; crowded
+    blocks are dealt to several tasks.  No side is broadcast, whatever its size is taken for.
     """
     from . import reach
 
-    block, far = 2 * r, r * (1 + reach.SLACK)
+    far = r * (1 + reach.SLACK)
+    block = 2 * far
     finite = lambda *cols: F.expr(" and ".join(f"abs(`{c}`) < double('Infinity')" for c in cols))
     right = right.where(F.col(other).isNotNull()) if other else right
     kind = left.schema[key].dataType.simpleString()
     points = left.where(finite("x", "y") & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
     points = points.withColumn("_gx", _cell("_x", block)).withColumn("_gy", _cell("_y", block))
     places = right.where(finite(rx, ry)).groupBy(F.col(rx).cast("double").alias("_x"), F.col(ry).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
-    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - far) / block).cast("long"), F.floor((F.col(c) + far) / block).cast("long")))
-    dealt = places.withColumn("_gx", touched("_x")).withColumn("_gy", touched("_y"))
-    parts = lambda df, most, name: df.groupBy("_gx", "_gy").agg(F.ceil(F.count("*") / most).cast("int").alias(name)).where(f"{name} > 1")
-    crowded = checkpointed(parts(points, BLOCK_POINTS, "_a").join(parts(dealt, BLOCK_PLACES, "_b").hint("merge"), ["_gx", "_gy"], "full"))  # a row for each BLOCK_POINTS at most
-    crowded = crowded if crowded.limit(1).count() else None
+    packed = checkpointed(places.mapInArrow(reach.packing(far), "_hx long, _hy long, _m long, _p binary"))  # sized first, then dealt
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / 2), F.floor((F.col(c) + 1) / 2)))
+    dealt = packed.withColumn("_gx", touched("_hx")).withColumn("_gy", touched("_hy")).drop("_hx", "_hy")
+    sizes = points.select("_gx", "_gy", F.lit(1).cast("long").alias("_l"), F.lit(0).cast("long").alias("_m")).unionByName(dealt.select("_gx", "_gy", F.lit(0).cast("long").alias("_l"), "_m"))
+    parts = lambda c, most: F.greatest(F.ceil(F.sum(c) / most), F.lit(1)).cast("int")
+    sizes = sizes.groupBy("_gx", "_gy").agg(parts("_l", BLOCK_POINTS).alias("_a"), parts("_m", BLOCK_PLACES).alias("_b"))
+    crowded = sizes.where("_a > 1 or _b > 1").collect()  # a row for each BLOCK_POINTS at most
+    crowded = left.sparkSession.createDataFrame(crowded, sizes.schema) if crowded else None
     points, dealt = (_dealt(df, crowded, own, rest) for df, own, rest in ((points, "_a", "_b"), (dealt, "_b", "_a")))
     blocks = ["_gx", "_gy", "_a", "_b"]
-    both = points.select(*blocks, "_k", "_x", "_y", F.lit(None).cast("long").alias("_n")).unionByName(dealt.select(*blocks, F.lit(None).cast(kind).alias("_k"), "_x", "_y", "_n"))
+    both = points.select(*blocks, "_k", "_x", "_y", F.lit(None).cast("long").alias("_m"), F.lit(None).cast("binary").alias("_p")).unionByName(dealt.select(*blocks, F.lit(None).cast(kind).alias("_k"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), "_m", "_p"))
 
     def count(t):
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        l, p = t.filter(pc.is_null(t.column("_n"))), t.filter(pc.is_valid(t.column("_n")))
-        n = reach.counts(*[t.column(c).to_numpy() for t, c in ((l, "_x"), (l, "_y"), (p, "_x"), (p, "_y"))], p.column("_n").to_numpy().astype(np.int64), r, inclusive)
+        l, p = t.filter(pc.is_null(t.column("_m"))), t.filter(pc.is_valid(t.column("_m")))
+        n = reach.counts(l.column("_x").to_numpy(), l.column("_y").to_numpy(), *reach.unpacked(p.column("_m").to_pylist(), p.column("_p").to_pylist()), r, inclusive)
         return pa.table({"_k": l.column("_k"), "_n": pa.array(n)}).filter(pa.array(n > 0))
 
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -85,7 +88,7 @@ def _dealt(df: DataFrame, crowded: DataFrame | None, own: str, rest: str) -> Dat
     if crowded is None:
         return df.withColumns({own: F.lit(0), rest: F.lit(0)})
     d = df.join(F.broadcast(crowded), ["_gx", "_gy"], "left")
-    part = F.pmod(F.xxhash64(*[c for c in df.columns if c in ("_k", "_x", "_y")]), F.coalesce(own, F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c in ("_k", "_x", "_y", "_p")]), F.coalesce(own, F.lit(1))).cast("int")
     return d.withColumn(own, part).withColumn(rest, F.explode(F.sequence(F.lit(0), F.coalesce(rest, F.lit(1)) - 1)))
 
 
