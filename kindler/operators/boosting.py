@@ -17,20 +17,72 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 BINS = 255
 
 
+def _sides(inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of a perfect tree of at most 64 leaves, the leaves on its left and on its right, as bits."""
+    left, right = [], []
+    for k in range(inner):
+        level = (k + 1).bit_length() - 1
+        half = (inner + 1 >> level) // 2
+        first = (k + 1 - 2**level) * 2 * half
+        left.append(2**half - 1 << first)
+        right.append(2**half - 1 << first + half)
+    return np.array(left, np.uint64), np.array(right, np.uint64)
+
+
+def _tables(feature: np.ndarray, cut: np.ndarray, widths: list[int]) -> list[tuple[int, np.ndarray]]:
+    """A tree as (feature, leaves by bin): the leaves that the feature's splits leave open, as bits.
+
+    A node sends bins above ``cut`` to the right; without a split (-1) all go left.
+    All features together leave one leaf open.
+    """
+    left, right = _sides(len(cut))
+    whole = cut < 0
+    open_ = ~np.bitwise_or.reduce(right[whole], initial=np.uint64(0)) & np.uint64(2 ** (len(cut) + 1) - 1)
+    tables = []
+    for j in np.unique(feature[~whole]):
+        own = np.flatnonzero(~whole & (feature == j))
+        over = np.arange(widths[j])[:, None] > cut[own]
+        tables.append((int(j), np.bitwise_and.reduce(np.where(over, ~left[own], ~right[own]), axis=1) & open_))
+    return tables
+
+
+def _leaf(tables: list[tuple[int, np.ndarray]], bins: list[np.ndarray], n: int) -> np.ndarray:
+    """The leaf of each of ``n`` rows, whose bins are given by feature."""
+    if not tables:
+        return np.zeros(n, np.int64)
+    at = tables[0][1].take(bins[tables[0][0]])
+    for j, table in tables[1:]:
+        at &= table.take(bins[j])
+    return np.frexp(at.astype(float))[1] - 1
+
+
 class Trees:
     """Perfect trees in arrays: feature and threshold by (tree, node), value by (tree, leaf); ``fill`` stands for missing features."""
 
     def __init__(self, feature, threshold, value, base, fill):
-        self.feature, self.threshold, self.value, self.base, self.fill = feature, threshold, value, base, fill
+        self.feature, self.threshold, self.value, self.base, self.fill, self.tables = feature, threshold, value, base, fill, None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         x = np.where(np.isnan(x), self.fill, x)
         total, rows, inner = np.full(len(x), self.base), np.arange(len(x)), self.threshold.shape[1]
-        for f, t, v in zip(self.feature, self.threshold, self.value, strict=True):
-            node = np.zeros(len(x), np.int64)
-            while len(node) and node[0] < inner:
-                node = 2 * node + 1 + (x[rows, f[node]] > t[node])
-            total += v[node - inner]
+        if inner > 63:
+            for f, t, v in zip(self.feature, self.threshold, self.value, strict=True):
+                node = np.zeros(len(x), np.int64)
+                while len(node) and node[0] < inner:
+                    node = 2 * node + 1 + (x[rows, f[node]] > t[node])
+                total += v[node - inner]
+            return 1 / (1 + np.exp(-total))
+        if self.tables is None:
+            split = self.threshold < np.inf
+            self.cuts = [np.unique(self.threshold[split & (self.feature == j)]) for j in range(x.shape[1])]
+            cut = np.full(split.shape, -1)
+            for j, u in enumerate(self.cuts):
+                own = split & (self.feature == j)
+                cut[own] = np.searchsorted(u, self.threshold[own])
+            self.tables = [_tables(f, c, [len(u) + 1 for u in self.cuts]) for f, c in zip(self.feature, cut, strict=True)]
+        bins = [np.searchsorted(u, c, "left") for u, c in zip(self.cuts, x.T, strict=True)]
+        for tables, v in zip(self.tables, self.value, strict=True):
+            total += v.take(_leaf(tables, bins, len(x)))
         return 1 / (1 + np.exp(-total))
 
 
@@ -66,15 +118,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 6, rate: fl
         used = np.sort(draws.permutation(f)[: max(1, round(share * f))])
         g, h = (weight * (p - y))[rows], (weight * p * (1 - p))[rows]
         bins = {j: binned[j][rows] for j in used}
-        node, gain, at = np.zeros(len(rows), np.int64), np.full(inner, -1.0), np.full(inner, -1)
+        base, gain, at = np.zeros(len(rows), np.int64), np.full(inner, -1.0), np.full(inner, -1)
         for level in range(depth):
             first, count = 2**level - 1, 2**level
-            base = (node - first) * BINS
+            keys = {}
             for j in used:
                 if not len(edges[j]):
                     continue
-                key = base + bins[j]
-                gs, hs, ns = (np.bincount(key, v, count * BINS).reshape(count, BINS).cumsum(axis=1) for v in (g, h, None))
+                keys[j] = base + bins[j]
+                gs, hs, ns = (np.bincount(keys[j], v, count * BINS).reshape(count, BINS).cumsum(axis=1) for v in (g, h, None))
                 gt, ht, nt = gs[:, -1:], hs[:, -1:], ns[:, -1:]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     own = gs**2 / hs + (gt - gs) ** 2 / (ht - hs) - gt**2 / ht
@@ -83,22 +135,29 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 6, rate: fl
                 top = own[np.arange(count), best]
                 better = first + np.flatnonzero(top > np.maximum(gain[first : first + count], 1e-9))
                 gain[better], at[better], feature[t, better] = top[better - first], best[better - first], j
-            split = np.zeros(len(rows), bool)
-            where, cut = feature[t, node], at[node]
-            for j in used:
-                split |= (where == j) & (cut >= 0) & (bins[j] > cut)
-            node = 2 * node + 1 + split
-        heap, left = [(-gain[0], 0)] if gain[0] > 0 else [], leaves - 1
+            if level + 1 < depth:
+                here = slice(first, first + count)
+                over = np.arange(BINS) > at[here, None]
+                split = np.zeros(len(rows), bool)
+                for j, key in keys.items():
+                    of = (feature[t, here] == j) & (at[here] >= 0)
+                    if of.any():
+                        split |= (over & of[:, None]).ravel().take(key)
+                base = 2 * base + BINS * split
+        heap, left, cut = [(-gain[0], 0)] if gain[0] > 0 else [], leaves - 1, np.full(inner, -1)
         while heap and left:
             _, k = heapq.heappop(heap)
-            threshold[t, k], left = edges[feature[t, k]][at[k]], left - 1
+            threshold[t, k], cut[k], left = edges[feature[t, k]][at[k]], at[k], left - 1
             for c in (2 * k + 1, 2 * k + 2):
                 if c < inner and gain[c] > 0:
                     heapq.heappush(heap, (-gain[c], c))
-        node = np.zeros(n, np.int64)
-        for _ in range(depth):
-            node = 2 * node + 1 + (x[np.arange(n), feature[t, node]] > threshold[t, node])
-        leaf = node - inner
+        if depth <= 6:
+            leaf = _leaf(_tables(feature[t], cut, [BINS] * f), binned, n)
+        else:
+            node = np.zeros(n, np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (x[np.arange(n), feature[t, node]] > threshold[t, node])
+            leaf = node - inner
         gl, hl = np.bincount(leaf[rows], g, inner + 1), np.bincount(leaf[rows], h, inner + 1)
         value[t] = -rate * gl / np.maximum(hl, 1e-12) * (hl > 0)
         raw += value[t, leaf]

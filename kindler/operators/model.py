@@ -13,8 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import boosting
-from .stats import auc
+from .stats import counted, ranked_auc
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
@@ -63,15 +64,15 @@ def leave_one_out(df: DataFrame, event: str, features: list[str], label: str, **
     Each model is fitted on all rows of the other events by one task, the models
     of all events at once.
     """
-    sizes = {r[0]: r[1] for r in df.where(F.col(event).isNotNull()).groupBy(event).count().orderBy(event).collect()}
-    events = list(sizes)
+    sizes = {r[0]: r[1] for r in df.where(F.col(event).isNotNull()).groupBy(event).count().collect()}
+    events = sorted(sizes)
     if len(events) < 2:
         raise ValueError(f"{event} has {len(events)} values: no other event to learn from")
     if (sum(sizes.values()) - min(sizes.values())) * len(features) > HELD:
         return _one_by_one(df, events, event, features, label, **params)
     index = (F.array_position(F.array(*[F.lit(e) for e in events]), F.col(event)) - 1).cast("int")
     rows = df.where(F.col(event).isNotNull()).select(index.alias("_e"), *[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"))
-    others = rows.where("_y is not null").select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(events) - 1)), lambda k: k != F.col("_e"))).alias("_m"), *rows.columns[1:])
+    others = rows.where("_y is not null").select(F.explode(F.array_remove(F.array(*[F.lit(k) for k in range(len(events))]), F.col("_e"))).alias("_m"), *rows.columns[1:])
     models = {r["_m"]: pickle.loads(r["model"]) for r in others.repartitionById(len(events), F.col("_m")).mapInArrow(_fitting(len(features), params), "_m int, model binary").collect()}
     if len(models) < len(events):
         raise ValueError(f"no labelled rows to learn from for {[e for i, e in enumerate(events) if i not in models]}")
@@ -116,10 +117,11 @@ def _scoring(models: dict, features: list[str], columns: list[str]):
         import numpy as np
         import pyarrow as pa
 
+        trees = {k: boosting.Trees(*m) for k, m in models.items()}
         for b in batches:
             x, e, out = _matrix(b, features), b.column("_e").to_numpy(), np.zeros(b.num_rows)
             for k in np.unique(e):
-                out[e == k] = boosting.Trees(*models[k]).score(x[e == k])
+                out[e == k] = trees[k].score(x[e == k])
             yield pa.record_batch([*(b.column(c) for c in columns), pa.array(out)], names=[*columns, "probability_burned"])
 
     return run
@@ -136,10 +138,16 @@ def _one_by_one(df: DataFrame, events: list, event: str, features: list[str], la
 
 
 def event_metrics(predicted: DataFrame, event: str, label: str, new: str, old: str) -> DataFrame:
-    """event, AUC of both scores and their difference, rounded to four places."""
-    a = auc(predicted, label, new, [event]).select(event, F.round("auc", 4).alias("auc_v2"))
-    b = auc(predicted, label, old, [event]).select(event, F.round("auc", 4).alias("auc_v1"))
-    return a.join(b, event).withColumn("delta", F.round(F.col("auc_v2") - F.col("auc_v1"), 4))
+    """event, AUC of both scores and their difference, rounded to four places.
+
+    The predictions are made once, and both scores are ranked together.
+    """
+    given = predicted.where(F.col(event).isNotNull() & F.col(label).isNotNull())
+    both = given.select(event, label, F.inline(F.array(*[F.struct(F.lit(i).alias("_of"), F.col(c).alias("_score")) for i, c in enumerate((new, old))])))
+    a = ranked_auc(checkpointed(counted(both, label, "_score", [event, "_of"])), "_score", [event, "_of"])
+    pick = lambda i, out: F.round(F.max(F.when(F.col("_of") == i, F.col("auc"))), 4).alias(out)
+    a = a.groupBy(event).agg(pick(0, "auc_v2"), pick(1, "auc_v1"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
+    return a.withColumn("delta", F.round(F.col("auc_v2") - F.col("auc_v1"), 4))
 
 
 def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:

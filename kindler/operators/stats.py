@@ -153,11 +153,14 @@ def quantile_class(df: DataFrame, value: str, out: str = "risk_class", classes:
     return df.withColumn(out, F.when(F.col(value).isNotNull(), (1 + F.size(F.filter(inner, lambda e: F.col(value) > e))).cast("int")))
 
 
-def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
-    """(by, n, n_pos, auc): tie-aware area under the ROC curve; null with fewer than ``least`` rows of either class."""
-    by = by or []
+def counted(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """(by, score, n, p): rows and positives of each score; rows without a score or label are left out."""
     d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    counts = d.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    return d.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+
+
+def ranked_auc(counts: DataFrame, score: str, by: list[str], least: int = 1) -> DataFrame:
+    """``auc`` of ``counted`` rows."""
     r = running(counts, score, ["n"], by).withColumn("rank", F.col("c_n") - F.col("n") + (F.col("n") + 1) / 2)
     g = r.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * F.col("rank")).alias("s"))
     neg = F.col("n") - F.col("n_pos")
@@ -165,6 +168,11 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, leas
     return g.select(*by, "n", "n_pos", F.when((F.col("n_pos") >= least) & (neg >= least), area).alias("auc"))
 
 
+def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
+    """(by, n, n_pos, auc): tie-aware area under the ROC curve; null with fewer than ``least`` rows of either class."""
+    return ranked_auc(counted(df, label, score, by or []), score, by or [], least)
+
+
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr at every distinct score, from the highest."""
     counts = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
