@@ -79,8 +79,10 @@ def counts(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, weight:
     px, py, weight = px[near][order], py[near][order], weight[near][order]
     start = np.concatenate([[0], np.bincount(cell, minlength=rows * cols).cumsum()])
     upto = np.concatenate([[0], weight.cumsum()])[start]
-    by = np.lexsort((col, row))
+    by = np.lexsort((x, y, col, row))
     x, y, home = x[by], y[by], (row * cols + col)[by]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # points at one place are looked up once
+    x, y, home = x[new], y[new], home[new]
     total = np.zeros(len(x), np.int64)
     for dr in range(-g - 1, g + 2):
         inner = g * g * (1 - SLACK) - (abs(dr) + 1) ** 2
@@ -94,7 +96,7 @@ def counts(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, weight:
             ranges = [(start[at - outer], start[at - inner]), (start[at + inner + 1], start[at + outer + 1])]
         for first, last in ranges:
             _compared(total, x, y, px, py, weight, first, last - first, r * r, inclusive)
-    out[by] = total
+    out[by] = total[np.cumsum(new) - 1]
     return out
 
 
