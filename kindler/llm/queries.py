@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chroma, decontaminate, packing, quality_gbt, rindex_dedup, signature_join, suffix_dedup, toxicity_gru, url_rules
+from . import chat_format, chroma, cross_align, decontaminate, fim, packing, piece_encoding, quality_gbt, rindex_dedup, signature_join, suffix_dedup, toxicity_gru, url_rules
 from .common import table, written
 
 
@@ -170,6 +170,44 @@ SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(spans.
 FROM d LEFT JOIN spans USING (rid) LEFT JOIN kept USING (rid)"""
 
 
+#: Vocabulary files of the queries; every operator takes their places as parameters.
+PIECES, BYTE_LEVEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
+
+
+def op11_piece_encoding(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = model_path or public_tokenizers.path(PIECES)
+    back = piece_encoding.decode(piece_encoding.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80)
+    made = made.withColumn("output_sha256", F.sha2("output", 256))
+    columns = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return fim.restore(made, *columns).select(*columns, F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1 : x], '') AS prefix, array_to_string(u[x + 1 : y], '') AS middle, array_to_string(u[y + 1 :], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+
+def op13_cross_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return cross_align.link_figures(table(spark, sf_dir, "documents"), a_path or public_tokenizers.path(BYTE_LEVEL), b_path or public_tokenizers.path(PIECES))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
