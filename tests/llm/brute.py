@@ -133,3 +133,58 @@ def chroma_search(rows: list, every: int, most_errors: float, least_overlap: int
         known = [x for x in classes.get(tuple(fp or ()), []) if x is not None]
         out.append((rec, min(known) if known else None, fp, sorted(matches)))
     return out
+
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def fill_in_middle(doc_id, text, seed=42, fim=50, spm=80):
+    """(n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    units = UNIT.findall(text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= fim:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < spm:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def cross_alignment(docs, tokenizer, pieces):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)] token by token; ``groups`` is None without tokens."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(sorted(set(range(256)) - set(plain)))}
+    rows = []
+    for d, text in docs:
+        a, b = (tokenizer.encode(" " + text, add_special_tokens=False).ids, pieces.encode(text)) if text else ([], [])
+        a_bytes = [bytes(byte_of[c] for c in tokenizer.id_to_token(i)) for i in a]
+        b_bytes = [bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        want = (" " + text).encode() if text else b""
+        if not text or b"".join(a_bytes) != want or b"".join(b_bytes) != want:
+            rows.append((d, [], [], [], None))
+            continue
+        ends = []
+        for tokens in (a_bytes, b_bytes):
+            at, own = 0, {}
+            for i, x in enumerate(tokens):
+                at += len(x)
+                own[at] = i
+            ends.append(own)
+        links, groups, x, y = [], [], 0, 0
+        for e in sorted(set(ends[0]) & set(ends[1])):
+            i, j = ends[0][e], ends[1][e]
+            links.append((a[i], b[j]))
+            groups.append(",".join(map(str, a[x : i + 1])) + "|" + ",".join(map(str, b[y : j + 1])))
+            x, y = i + 1, j + 1
+        rows.append((d, a, b, links, ";".join(groups)))
+    count: dict = defaultdict(int)
+    for r in rows:
+        for link in r[3]:
+            count[link] += 1
+    most: dict = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    return [(d, len(a), len(b), len(k), len(k), sum(count[x] == most[x[1]] for x in k), sum(count[x] for x in k), g) for d, a, b, k, g in rows]
