@@ -192,6 +192,8 @@ def candidate_pairs(docs: DataFrame, size: int, percent: int, levels: np.ndarray
         order = np.argsort(low, kind="stable")
         same = low[order][1:] == low[order][:-1]
         order = order[np.append(False, same) | np.append(same, False)]
+        if not len(order):  # no two sets of the bucket meet
+            return
         low, ids, sizes = low[order], ids[order], sizes[order]
         order = np.lexsort((ids, sizes, low))
         low, ids, sizes = low[order], ids[order], sizes[order]
@@ -414,6 +416,21 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFram
     return found
 
 
+def labelled(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the set of every row, label of every linked set)."""
+    docs = keyed(documents).select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = written(sets_of(docs, size))
+    return sets, components(links(docs, sets, size, percent)).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+
+
+def representatives(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """row_key of one row of each group of linked texts (the smallest doc_id, then the smallest row_key; null ids last), and of the rows without words."""
+    sets, label = labelled(documents, size, percent)
+    of = sets.where("n > 0").join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    first = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    return first.select("first.row_key").unionByName(sets.where("n = 0").select("row_key").distinct())
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``documents``: doc_id long, n_shingles long, component_id long.
 
@@ -427,9 +444,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     its component is null only if no document with an id is reached.  An empty
     table gives no rows; other columns are not read.
     """
-    docs = keyed(documents).select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(sets_of(docs, size))
-    label = components(links(docs, sets, size, percent)).select(F.col("node").alias("set_id"), F.col("component").alias("label"))
+    sets, label = labelled(documents, size, percent)
     # nodes are sets; a doc_id with several sets connects them
     many = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a <> b")
     tied = sets.where("n > 0").join(many, "doc_id").select(F.col("set_id").alias("a"), "b")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import decontaminate, packing, quality_gbt, signature_join, suffix_dedup
 from .common import table
@@ -39,18 +38,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, that with the smallest doc_id; of rows that repeat an id, one.
+    """Keeps one document of each near-duplicate group: that with the smallest doc_id, of those the smallest row key.
 
-    Rows without a doc_id can't be named by the operator: if any of them is in a
-    group of its own, all of them stay, one for each text.
+    Groups are linked texts, whatever their ids: rows that share an id but not
+    their text are judged apart, and rows without an id come after those with one.
+    Texts without words are no copies of each other; of rows that repeat both id
+    and text one stays.
     """
-    found = signature_join.near_duplicates(docs, 5, 80)
-    stay = found.where("component_id = doc_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(stay, "doc_id", "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*docs.columns)
-    # rows without an id are told apart by their text; those that only link with each other stay
-    alone = found.where("doc_id is null and component_id is null").limit(1).count()
-    return rows.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])) if alone else rows
+    stay = signature_join.representatives(docs, 5, 80)
+    rows = docs.withColumn("_stage_key", F.xxhash64("doc_id", "text"))
+    rows = rows.join(stay.select(F.col("row_key").alias("_stage_key")), "_stage_key", "left_semi").dropDuplicates(["_stage_key"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

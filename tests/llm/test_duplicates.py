@@ -24,6 +24,19 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert got == sorted([(3, 3, 2), (3, 2, 2), (2, 3, 2), (2, 3, 2), (5, 2, 2), (-1, 3, 2), (-1, 1, None), (-1, 0, None)], key=str)
 
 
+def test_near_duplicates_where_nothing_meets(spark):
+    """One row, and different rows on more partitions than rows."""
+    for n, parts in ((1, 1), (40, 8), (3, 5)):
+        docs = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(n)]
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = signature_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (26, i) for i in range(n)}
+
+
 def test_empty_tables(empty):
     assert signature_join.near_duplicates(empty).count() == 0
     assert suffix_dedup.dedup(empty).count() == 0

@@ -22,6 +22,16 @@ def test_stages_against_brute_force(spark, frame, docs, monkeypatch):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, _, hit, _ in brute.decontaminate(list(want.items()), bench) if not hit)
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """A copy of one text of id 1 goes, whichever text of that id is kept first; null ids give way to others."""
+    text = lambda seed: " ".join(f"w{seed}x{k}" for k in range(40))
+    near = text("a").replace("ax39", "changed")
+    rows = [(1, text("a")), (1, text("b")), (31, near), (None, text("b")), (None, text("c")), (None, text("c")), (None, None), (4, ""), (5, " "), (5, " "), (6, text("d"))]
+    got = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, None), (4, ""), (5, " "), (6, text("d"))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_runs_and_keeps_clean_documents(spark):
     import corpus_pipeline as P
 
