@@ -264,7 +264,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         encoder = PieceEncoder(Model(model_path))
-        for b in K.chunks(batches, limit=1 << 20):
+        for b in K.chunks(batches, limit=1 << 19):
             ids, first, begins, ends = encoder.encode(*K.offsets_of(b.column("text")))
             yield pa.record_batch([b.column("row_key"), b.column("doc_id"), *(lists(x, first) for x in (ids, begins, ends))], names=["row_key", "doc_id", "ids", "begins", "ends"])
         del encoder
@@ -305,15 +305,28 @@ class PieceDecoder:
         return out
 
 
+def few_tokens(batch, limit: int = 1 << 18):
+    """The batch in runs of whole rows of about ``limit`` ids; a longer row stands alone."""
+    ends = batch.column("ids").offsets.to_numpy().astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = min(max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` (row_key, doc_id, ids) with the library's decoding of ``ids`` as ``decoded``; null ids decode to an empty text."""
 
     def run(batches):
         decoder = PieceDecoder(Model(model_path))
-        for b in batches:
-            ids = b.column("ids")
-            first = ids.offsets.to_numpy().astype(np.int64)
-            texts = decoder.decode(ids.values.to_numpy(zero_copy_only=False), first)
-            yield pa.record_batch([b.column("row_key"), b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["row_key", "doc_id", "ids", "decoded"])
+        for batch in batches:
+            for b in few_tokens(batch):
+                ids = b.column("ids")
+                first = ids.offsets.to_numpy().astype(np.int64)
+                texts = decoder.decode(ids.values[first[0] : first[-1]].to_numpy(zero_copy_only=False), first - first[0])
+                yield pa.record_batch([b.column("row_key"), b.column("doc_id"), ids, pa.array(texts, pa.string())], names=["row_key", "doc_id", "ids", "decoded"])
+        del decoder
+        K.give_back()
 
     return encoded.select("row_key", "doc_id", "ids").mapInArrow(run, "row_key long, doc_id long, ids array<int>, decoded string")

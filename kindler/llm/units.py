@@ -9,7 +9,7 @@ import numpy as np
 from . import textkernel as K
 
 #: Units whose ids a task remembers before it starts anew.
-KEEP = 1_000_000
+KEEP = 400_000
 
 
 class UnitCache:
@@ -18,7 +18,7 @@ class UnitCache:
     ``encode`` gives the ids of a string in an array, ``width`` the bytes of every
     id.  New units are encoded many at once, as one string: their ids are told
     apart by their bytes.  Two units of a task that share a hash would share their
-    ids: at ``KEEP`` units the chance is about 3e-8.
+    ids: at ``KEEP`` units the chance is about 4e-9.
     """
 
     def __init__(self, encode, width: np.ndarray, keep: int = KEEP):
