@@ -27,7 +27,7 @@ from .piece_encoding import SPACE, Model, PieceEncoder, lists
 from .units import ByteLevelEncoder, pooled, ranges
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BLOCKS = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, a array<int>, b array<int>, n array<long>, links binary"
 ALIGNED = "row_key long, doc_id long, a_ids array<int>, b_ids array<int>, cuts array<int>"
 
