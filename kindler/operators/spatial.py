@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpointed
+from .perimeters import circle_features  # noqa: F401
 
-#: Perimeters of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
+#: Polygons of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
 SMALL, COMPARED = 2_000, 128
 
 #: Places that a row meets in its own cell, on average, when its nearest one is searched; how often cells are quartered for that, at most.
@@ -26,6 +27,11 @@ def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size).cast("long")
 
 
+def _spot(key: str, x: str = "x", y: str = "y") -> Column:
+    """What tells points apart: the id and the place, so rows that repeat an id have answers of their own."""
+    return F.struct(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, r: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry", inclusive: bool = True) -> DataFrame:
     """Rows of both sides at most (or less than) ``r`` apart, with ``d2``; column names must differ."""
     l = left.withColumn("_gx", _cell(lx, r)).withColumn("_gy", _cell(ly, r))
@@ -39,7 +45,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, r: float, lx: str = "x", ly:
 def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str, rx: str = "rx", ry: str = "ry", other: str | None = None, inclusive: bool = True) -> DataFrame:
     """``left`` (key, x, y) with the number of ``right`` points in reach; ``other``: right's id, to leave out the row itself.
 
-    Both sides meet in blocks, where ``reach.counts`` makes no row for a pair.
+    Rows that repeat an id are counted apart, each at its place; of rows that repeat
+    id and place each has the one number.  Both sides meet in blocks, where ``reach.counts`` makes no row for a pair.
     Right points at one place travel once, with their number, and packed; crowded
     blocks are dealt to several tasks.  No side is broadcast, whatever its size is taken for.
     """
@@ -49,8 +56,9 @@ def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str
     block = 2 * far
     finite = lambda *cols: F.expr(" and ".join(f"abs(`{c}`) < double('Infinity')" for c in cols))
     right = right.where(F.col(other).isNotNull()) if other else right
-    kind = left.schema[key].dataType.simpleString()
-    points = left.where(finite("x", "y") & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    known = F.col(key).isNotNull() if other else F.lit(True)
+    points = left.where(finite("x", "y") & known).select(_spot(key).alias("_k"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).distinct()
+    kind = points.schema["_k"].dataType.simpleString()
     points = points.withColumn("_gx", _cell("_x", block)).withColumn("_gy", _cell("_y", block))
     places = right.where(finite(rx, ry)).groupBy(F.col(rx).cast("double").alias("_x"), F.col(ry).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
     packed = checkpointed(places.mapInArrow(reach.packing(far), "_hx long, _hy long, _m long, _p binary"))  # sized first, then dealt
@@ -77,10 +85,10 @@ def radius_count(left: DataFrame, right: DataFrame, r: float, key: str, out: str
     counts = both.repartition(tasks, *blocks).groupBy(*blocks).applyInArrow(count, f"_k {kind}, _n long")
     if other:
         d2 = (F.col("x") - F.col(rx)) * (F.col("x") - F.col(rx)) + (F.col("y") - F.col(ry)) * (F.col("y") - F.col(ry))
-        own = left.select(F.col(key).alias("_k"), "x", "y").join(right.select(F.col(other).alias("_k"), rx, ry).hint("merge"), "_k")
+        own = left.where(finite("x", "y")).select(_spot(key).alias("_k"), "x", "y", F.col(key).alias("_i")).distinct().join(right.select(F.col(other).alias("_i"), rx, ry).hint("merge"), "_i")
         counts = counts.unionByName(own.where(d2 <= r * r if inclusive else d2 < r * r).select("_k", F.lit(-1).cast("long").alias("_n")))
-    counts = counts.groupBy(F.col("_k").alias(key)).agg(F.sum("_n").alias(out))
-    return left.join(counts.hint("merge"), key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    counts = counts.groupBy("_k").agg(F.sum("_n").alias(out))
+    return left.withColumn("_k", _spot(key)).join(counts.hint("merge"), "_k", "left").drop("_k").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def _dealt(df: DataFrame, crowded: DataFrame | None, own: str, rest: str) -> DataFrame:
@@ -101,18 +109,18 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
     at a level, those stay whose nearest corner is not farther than the farthest
     corner of another one.  Rows without coordinates match nothing.
 
-    Points at one place count once, as their smallest ``rid``.  Cells are at most
+    Rows that repeat an id have answers of their own, each at its place.  Points at one place count once, as their smallest ``rid``.  Cells are at most
     ``cell`` wide, and smaller where rows would meet many points.
     """
     right = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull())
     d2 = (F.col(x) - F.col(rx)) * (F.col(x) - F.col(rx)) + (F.col(y) - F.col(ry)) * (F.col(y) - F.col(ry))
-    best = lambda pairs: pairs.groupBy(key).agg(F.min(F.struct(d2.alias("d"), F.col(rid).alias("i"), F.col(rx).alias("x"), F.col(ry).alias("y"))).alias("_b"))
-    points = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    best = lambda pairs: pairs.groupBy("_k").agg(F.min(F.struct(d2.alias("d"), F.col(rid).alias("i"), F.col(rx).alias("x"), F.col(ry).alias("y"))).alias("_b"))
+    points = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(_spot(key, x, y).alias("_k"), x, y).distinct()
     places = checkpointed(right.groupBy(rx, ry).agg(F.min(rid).alias(rid)))
     ends = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}{c}") for c in (rx, ry) for name, f in (("lo", F.min), ("hi", F.max))]).first()
     n = ends["n"]
     if n <= COMPARED:
-        return _with_nearest(left, best(points.join(F.broadcast(places))), right, key, rid, rx, ry)
+        return _with_nearest(left, best(points.join(F.broadcast(places))), right, _spot(key, x, y), rid, rx, ry)
     wide, high = float(ends[f"hi{rx}"] - ends[f"lo{rx}"]), float(ends[f"hi{ry}"] - ends[f"lo{ry}"])
     even = 2 * max((wide * high / n) ** 0.5, max(wide, high) / n) or 1.0  # also for points on one line or at one place
     cell = even if cell is None else min(cell, even)
@@ -124,7 +132,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
     around = F.sequence(F.lit(-1), F.lit(1))
     probe = points.withColumn("_gx", F.explode(F.transform(around, lambda k: _cell(x, cell) + k))).withColumn("_gy", F.explode(F.transform(around, lambda k: _cell(y, cell) + k)))
     found = checkpointed(best(probe.join(side.hint("merge"), ["_gx", "_gy"])).where(F.col("_b.d") <= cell * cell))
-    open_ = checkpointed(points.join(found.select(key).hint("merge"), key, "left_anti"))
+    open_ = checkpointed(points.join(found.select("_k").hint("merge"), "_k", "left_anti"))
     if open_.limit(1).count():
         cells = [checkpointed(side.select("_gx", "_gy").distinct())]
         low, high = [int(ends[f"lo{c}"] // cell) for c in (rx, ry)], [int(ends[f"hi{c}"] // cell) for c in (rx, ry)]
@@ -135,7 +143,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
         for level in range(len(cells) - 1, -1, -1):
             if level < len(cells) - 1:
                 child = cells[level].select(F.col("_gx").alias("_cx"), F.col("_gy").alias("_cy"), F.shiftright("_gx", 2).alias("_gx"), F.shiftright("_gy", 2).alias("_gy"))
-                near = near.join(child, ["_gx", "_gy"]).select(key, x, y, F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"))
+                near = near.join(child, ["_gx", "_gy"]).select("_k", x, y, F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"))
             size = cell * 4**level
             gap, span = [], []
             for c, g in ((x, "_gx"), (y, "_gy")):
@@ -143,22 +151,22 @@ def nearest(left: DataFrame, right: DataFrame, key: str, rid: str, x: str = "x",
                 gap.append(F.greatest(a, b, F.lit(0.0)))
                 span.append(F.greatest(F.abs(a), F.abs(b)))
             near = near.withColumn("_lo", gap[0] * gap[0] + gap[1] * gap[1]).withColumn("_hi", span[0] * span[0] + span[1] * span[1])
-            near = near.withColumn("_ub", F.min("_hi").over(Window.partitionBy(key))).where(F.col("_lo") <= F.col("_ub") * (1 + 1e-9)).select(key, x, y, "_gx", "_gy")
+            near = near.withColumn("_ub", F.min("_hi").over(Window.partitionBy("_k"))).where(F.col("_lo") <= F.col("_ub") * (1 + 1e-9)).select("_k", x, y, "_gx", "_gy")
         found = found.unionByName(best(near.join(side.hint("merge"), ["_gx", "_gy"])))
-    return _with_nearest(left, found, right, key, rid, rx, ry)
+    return _with_nearest(left, found, right, _spot(key, x, y), rid, rx, ry)
 
 
-def _with_nearest(left: DataFrame, found: DataFrame, right: DataFrame, key: str, rid: str, rx: str, ry: str) -> DataFrame:
-    """``left`` with the row of ``right`` that ``found`` (key, _b) names, and its squared distance."""
-    found = found.select(key, F.col("_b.d").alias("dist2"), F.col("_b.i").alias("_i"), F.col("_b.x").alias("_px"), F.col("_b.y").alias("_py"))
+def _with_nearest(left: DataFrame, found: DataFrame, right: DataFrame, spot: Column, rid: str, rx: str, ry: str) -> DataFrame:
+    """``left`` with the row of ``right`` that ``found`` (_k, _b) names for the ``spot``, and its squared distance."""
+    found = found.select("_k", F.col("_b.d").alias("dist2"), F.col("_b.i").alias("_i"), F.col("_b.x").alias("_px"), F.col("_b.y").alias("_py"))
     if set(right.columns) == {rid, rx, ry}:
         near = {rid: "_i", rx: "_px", ry: "_py"}
-        found = found.select(key, F.struct(*[F.col(near[c]).alias(c) for c in right.columns]).alias("near"), "dist2")
+        found = found.select("_k", F.struct(*[F.col(near[c]).alias(c) for c in right.columns]).alias("near"), "dist2")
     else:
         rows = right.groupBy(F.col(rid).alias("_i"), F.col(rx).alias("_px"), F.col(ry).alias("_py")).agg(F.first(F.struct(*right.columns)).alias("near"))
         same = F.col("a._i").eqNullSafe(F.col("b._i")) & (F.col("a._px") == F.col("b._px")) & (F.col("a._py") == F.col("b._py"))
-        found = found.alias("a").join(rows.alias("b").hint("merge"), same).select(f"a.{key}", "near", "dist2")
-    return left.join(found.hint("merge"), key, "left")
+        found = found.alias("a").join(rows.alias("b").hint("merge"), same).select("a._k", "near", "dist2")
+    return left.withColumn("_k", spot).join(found.hint("merge"), "_k", "left").drop("_k")
 
 
 def _met(points: DataFrame, places: DataFrame, cell: float, x: str, y: str, rx: str, ry: str) -> float:
@@ -168,45 +176,6 @@ def _met(points: DataFrame, places: DataFrame, cell: float, x: str, y: str, rx:
     return met.agg(F.coalesce(F.try_divide(F.sum(F.col("_l") * F.coalesce("_r", F.lit(0))), F.sum("_l")), F.lit(0.0))).first()[0]
 
 
-def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_year: int, near: float = 5_000.0, far: float = 10_000.0) -> DataFrame:
-    """key with dist_to_nearest_fire_m (to the boundary), counts strictly within ``near`` and ``far`` of the disc, ever_burned and recency_score.
-
-    ``circles`` has fx, fy, r and yr.  A counted small table is broadcast.  A larger
-    one is met through grid cells: every circle that comes within ``far`` of a point
-    shares a cell with it, and for points that are farther from every boundary the
-    reach is widened.
-    """
-    d = F.sqrt((F.col("x") - F.col("fx")) * (F.col("x") - F.col("fx")) + (F.col("y") - F.col("fy")) * (F.col("y") - F.col("fy")))
-    with_distance = lambda pairs: pairs.withColumn("_d", d).withColumn("_o", F.greatest(F.col("_d") - F.col("r"), F.lit(0.0)))
-    nearest_edge = F.min(F.abs(F.col("_d") - F.col("r"))).alias("dist_to_nearest_fire_m")
-    counts = [
-        F.count_if(F.col("_o") < near).alias("fire_count_5km"),
-        F.count_if(F.col("_o") < far).alias("fire_count_10km"),
-        F.max((F.col("_d") < F.col("r")).cast("int")).alias("ever_burned"),
-        F.sum(F.when(F.col("_o") < far, 1.0 / (reference_year - F.col("yr") + 1)).otherwise(0.0)).alias("recency_score"),
-    ]
-    if circles.count() <= SMALL:
-        return with_distance(points.join(F.broadcast(circles))).groupBy(key).agg(nearest_edge, *counts)
-    found, open_, reach = None, points.select(key, "x", "y"), far
-    box = lambda df, cols: df.agg(F.min(F.least(*cols)).alias("lo"), F.max(F.greatest(*cols)).alias("hi")).first()
-    ends = [box(points, ("x", "y")), box(circles.select((F.col("fx") - F.col("r")).alias("a"), (F.col("fx") + F.col("r")).alias("b"), (F.col("fy") - F.col("r")).alias("c"), (F.col("fy") + F.col("r")).alias("e")), ("a", "b", "c", "e"))]
-    widest = 2 * (max(e["hi"] or 0.0 for e in ends) - min(e["lo"] or 0.0 for e in ends))
-    features = None
-    while True:
-        cover = lambda c, step=reach: F.explode(F.sequence(F.floor((F.col(c) - F.col("r") - step) / step), F.floor((F.col(c) + F.col("r") + step) / step)))
-        dealt = circles.withColumn("_gx", cover("fx")).withColumn("_gy", cover("fy"))
-        pairs = with_distance(open_.withColumn("_gx", _cell("x", reach)).withColumn("_gy", _cell("y", reach)).join(dealt, ["_gx", "_gy"]))
-        if features is None:
-            features = open_.join(pairs.where(F.col("_o") < far).groupBy(key).agg(*counts), key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fire_count_5km", "fire_count_10km", "ever_burned")], F.coalesce("recency_score", F.lit(0.0)).alias("recency_score"))
-        edge = pairs.groupBy(key).agg(nearest_edge)
-        settled = checkpointed(edge if reach > widest else edge.where(F.col("dist_to_nearest_fire_m") <= reach))
-        found = settled if found is None else found.unionByName(settled)
-        open_ = checkpointed(open_.join(settled.select(key), key, "left_anti"))
-        if reach > widest or not open_.limit(1).count():
-            return features.join(found, key, "left").select(key, "dist_to_nearest_fire_m", "fire_count_5km", "fire_count_10km", "ever_burned", "recency_score")
-        reach *= 4
-
-
 def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) -> DataFrame:
     """key with burned int: strictly inside any polygon (pid, ring, or parts with holes where there is such a column).
 
@@ -221,18 +190,19 @@ def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) ->
         held = "parts"
         within = F.exists("parts", lambda p: inside(p[0], x, y) & ~F.exists(F.slice(p, 2, F.size(p)), lambda hole: inside(hole, x, y)))
         polygons = polygons.withColumn("ring", F.flatten(F.flatten("parts")))
+    points = points.select(_spot(key).alias("_k"), F.col(key).alias(key), "x", "y")
     boxed = polygons.select(pid, held, *[f(F.col(f"ring.{a}")).alias(f"{name}{a}") for name, f in (("lo", F.array_min), ("hi", F.array_max)) for a in ("x", "y")])
     in_box = (x >= F.col("lox")) & (x <= F.col("hix")) & (y >= F.col("loy")) & (y <= F.col("hiy"))
     sizes = boxed.agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("mean"), F.max(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("most")).first()
     if sizes["n"] <= SMALL:
-        hit = points.join(F.broadcast(boxed), in_box & within, "left_semi").select(key)
+        hit = points.join(F.broadcast(boxed), in_box & within, "left_semi").select("_k")
     else:
         cell = max(sizes["mean"] or 0.0, (sizes["most"] or 0.0) / 1000) or 1.0  # a box covers a million cells at most
         cover = lambda a: F.explode(F.sequence(_cell(f"lo{a}", cell), _cell(f"hi{a}", cell)))
         dealt = boxed.withColumn("_gx", cover("x")).withColumn("_gy", cover("y"))
         met = points.withColumn("_gx", _cell("x", cell)).withColumn("_gy", _cell("y", cell)).join(dealt, ["_gx", "_gy"])
-        hit = met.where(in_box & within).select(key)
-    return points.select(key).join(hit.distinct().select(key, F.lit(1).alias("burned")), key, "left").withColumn("burned", F.coalesce("burned", F.lit(0)))
+        hit = met.where(in_box & within).select("_k")
+    return points.join(hit.distinct().select("_k", F.lit(1).alias("burned")), "_k", "left").select(key, F.coalesce("burned", F.lit(0)).alias("burned"))
 
 
 def sample_raster(points: DataFrame, pixels: DataFrame, x0: float, y0: float, res: float, rows: int, cols: int, clamp: bool = False) -> DataFrame:

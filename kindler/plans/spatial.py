@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import raster, spatial
+from ..operators import perimeters, raster, repair, spatial
 from .core import r6
 from .tables import PIX, registry, with_views
 
@@ -89,10 +89,69 @@ def geo4_circles(t):
     return t("fires").select("fid", F.round(G.ring_area(ring), 4).alias("area"), F.size(ring).alias("points"))
 
 
-@query(with_views("bld", "fires") + ", d AS (SELECT id, fid, 4 * r AS h, abs(x - fx) AS dx, abs(y - fy) AS dy FROM bld, fires) SELECT id, fid, round(CASE WHEN dx <= h AND dy <= h THEN least(h - dx, h - dy) ELSE sqrt(greatest(dx - h, 0) * greatest(dx - h, 0) + greatest(dy - h, 0) * greatest(dy - h, 0)) END, 4) AS dist FROM d")
+#: Rings of a perimeter, as multiples of its size from its centre: a part with a hole, and a second part.
+PARTS = [[[(4.0, 0.0), (2.0, 2.0), (0.0, 4.0), (-1.0, 1.0), (-4.0, 0.0), (-2.0, -3.0), (0.0, -4.0), (3.0, -3.0)], [(0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.5, -0.5)]], [[(6.0, 0.0), (8.0, 1.0), (7.0, 4.0)]]]
+
+
+def _perimeters(t):
+    point = lambda p: F.struct((F.col("cx") + p[0] * F.col("r")).alias("x"), (F.col("cy") + p[1] * F.col("r")).alias("y"))
+    parts = F.array(*[F.array(*[F.array(*map(point, ring)) for ring in part]) for part in PARTS])
+    return t("per").select("pid", "yr", parts.alias("parts"))
+
+
+def _edges_sql() -> str:
+    """(pid, yr, part, outer_ring, x1, y1, x2, y2) of every edge, as a common table expression."""
+    rows = [(p, r == 0, *a, *b) for p, part in enumerate(PARTS) for r, ring in enumerate(part) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    values = ", ".join(f"({p}, {o}, {', '.join(f'({v!r})::DOUBLE' for v in at)})" for p, o, *at in rows)
+    return f"k(part, outer_ring, ax, ay, zx, zy) AS (VALUES {values}), e AS (SELECT pid, yr, part, outer_ring, cx + ax * r AS x1, cy + ay * r AS y1, cx + zx * r AS x2, cy + zy * r AS y2 FROM per, k)"
+
+
+#: Every building against every edge.
+_MEASURED = with_views("bld", "per") + ", " + _edges_sql() + """,
+m AS (SELECT id, x, y, pid, yr, part, outer_ring, x1, y1, x2, y2, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS s FROM bld, e),
+d AS (SELECT *, sqrt((x - x1 - s * (x2 - x1)) * (x - x1 - s * (x2 - x1)) + (y - y1 - s * (y2 - y1)) * (y - y1 - s * (y2 - y1))) AS d,
+  (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / CASE WHEN y2 = y1 THEN NULL ELSE y2 - y1 END + x1 AS crosses,
+  (x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) AS touches FROM m),
+g AS (SELECT id, pid, any_value(yr) AS yr, part, min(d) AS d, min(d) FILTER (WHERE outer_ring) AS edge, count(*) FILTER (WHERE crosses) % 2 = 1 AND NOT bool_or(touches) AS within FROM d GROUP BY id, pid, part),
+h AS (SELECT id, pid, any_value(yr) AS yr, min(edge) AS edge, bool_or(within) AS within, CASE WHEN bool_or(within) THEN 0 ELSE min(d) END AS d FROM g GROUP BY id, pid)"""
+
+
+@query(_MEASURED + " SELECT id, round(min(edge), 6) AS dist_to_nearest_fire_m, arg_min(pid, (edge, pid)) AS nearest_fire, count(*) FILTER (WHERE d < 5000) AS fire_count_5km, count(*) FILTER (WHERE d < 10000) AS fire_count_10km, CAST(max(within::INT) AS INTEGER) AS ever_burned, round(sum(CASE WHEN d < 10000 THEN 1.0::DOUBLE / (2024 - yr + 1) ELSE 0 END), 6) AS recency_score FROM h GROUP BY id")
+def j11_ag12_ag13_ag14_perimeters(t):
+    """The fire history by polygons of two parts, one with a hole."""
+    d = perimeters.perimeter_features(t("bld"), _perimeters(t), "id", 2024)
+    return d.select("id", r6("dist_to_nearest_fire_m", "dist_to_nearest_fire_m"), "nearest_fire", "fire_count_5km", "fire_count_10km", "ever_burned", r6("recency_score", "recency_score"))
+
+
+@query(_MEASURED + " SELECT id, arg_min(pid, (edge, pid)) AS pid, round(min(edge), 4) AS dist FROM h GROUP BY id")
 def geo6_boundary_distance(t):
-    d = t("bld").join(F.broadcast(_boxes(t)))
-    return d.select("id", "fid", F.round(G.boundary_distance(F.col("ring"), F.col("x"), F.col("y")), 4).alias("dist"))
+    """The nearest perimeter of each building and the distance to its outer rings."""
+    d = perimeters.nearest_boundary(t("bld"), _perimeters(t), "id")
+    return d.select("id", "pid", F.round("dist", 4).alias("dist"))
+
+
+#: Footprints of the parts: plain rings, two lobes that cross, a loop that touches a corner, a spike, and rings without area.
+_FOOTPRINT = "SELECT p_partkey AS id, p_partkey % 5 AS kind, CAST(p_partkey * 37 % 8000 AS DOUBLE) AS u, CAST(p_partkey * 53 % 7000 AS DOUBLE) AS w, CAST(2 + p_size % 9 AS DOUBLE) AS a, CAST(3 + p_partkey % 11 AS DOUBLE) AS b, CAST(1 + p_size % 7 AS DOUBLE) AS c FROM part"
+
+
+@query(f"WITH f AS ({_FOOTPRINT})" + """, s AS (SELECT *, CASE kind WHEN 0 THEN a * b WHEN 1 THEN greatest(b * (a - a * c / (b + c)) / 2, c * (a * c / (b + c)) / 2)
+  WHEN 2 THEN 16 * a * a - 1.5 * a * a WHEN 3 THEN a * b ELSE 0 END AS area FROM f)
+SELECT id, round(area, 6) AS area, CAST(CASE kind WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS n_rings, kind IN (1, 2, 3) AS repaired FROM s WHERE area >= 5""")
+def geo2_repaired_footprints(t):
+    """GEO2 and PF8: rings are made valid, the largest part stays, small and collapsed ones go."""
+    at = lambda x, y: F.struct((F.col("u") + x).alias("x"), (F.col("w") + y).alias("y"))
+    a, b, c, o = F.col("a"), F.col("b"), F.col("c"), F.lit(0.0)
+    box = [at(o, o), at(a, o), at(a, b), at(o, b)]
+    lobes = [at(o, o), at(a, b), at(a, o), at(o, c)]
+    loop = [at(o, o), at(4 * a, o), at(4 * a, 4 * a), at(o, 4 * a), at(o, o), at(a, 2 * a), at(2 * a, a)]
+    spike = [at(o, o), at(a, o), at(a, b), at(3 * a, 2 * b), at(a, b), at(o, b), at(o, o)]
+    flat = [at(o, o), at(a, b), at(2 * a, 2 * b), at(o, o)]
+    shapes = [F.array(*ring) for ring in (box, lobes, loop, spike, flat)]
+    ring = F.when(F.col("kind") == 0, shapes[0])
+    for k in range(1, 5):
+        ring = ring.when(F.col("kind") == k, shapes[k])
+    made = repair.repaired(t.sql(_FOOTPRINT).select("id", ring.alias("ring")), "id").where("area >= 5")
+    return made.select("id", r6("area", "area"), F.size("rings").alias("n_rings"), "repaired")
 
 
 def _project_sql() -> str:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 NAMES = "region nation customer supplier part orders lineitem events".split()
 
-#: Derived inputs: buildings, weather cells, perimeters (circles), hotspots, building features, a backtest frame, pixels, weather.
+#: Derived inputs: buildings, weather cells, perimeters (circles, and places of polygons), hotspots, building features, a backtest frame, pixels, weather.
 VIEWS = {
     "bld": "SELECT p_partkey AS id, CAST((p_partkey*7919 + p_partkey*p_partkey*31) % 80000 AS DOUBLE) AS x, CAST((p_partkey*10473 + p_partkey*p_partkey*17) % 78000 AS DOUBLE) AS y FROM part",
     "cells": "SELECT s_suppkey AS cid, CAST(s_suppkey*7717 % 80000 AS DOUBLE) AS cx, CAST(s_suppkey*5351 % 78000 AS DOUBLE) AS cy, s_acctbal AS v FROM supplier",
     "fires": "SELECT n_nationkey AS fid, 2000+n_nationkey AS yr, CAST(n_nationkey*31337 % 80000 AS DOUBLE) AS fx, CAST(n_nationkey*21001 % 78000 AS DOUBLE) AS fy, CAST(500+150*n_nationkey AS DOUBLE) AS r FROM nation",
+    "per": "SELECT s_suppkey AS pid, CAST(2000 + s_suppkey % 25 AS INT) AS yr, CAST(s_suppkey*7717 % 80000 AS DOUBLE) AS cx, CAST(s_suppkey*5351 % 78000 AS DOUBLE) AS cy, CAST(100 + s_suppkey*37 % 50 * 40 AS DOUBLE) AS r FROM supplier",
     "hot": "SELECT o_orderkey AS hid, CAST((o_orderkey*7919 + o_orderkey*o_orderkey*31) % 80000 AS DOUBLE) AS hx, CAST((o_orderkey*10473 + o_orderkey*o_orderkey*17) % 78000 AS DOUBLE) AS hy FROM orders",
     "feat": "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size, p_retailprice AS retail, f.price, f.qty, f.disc FROM part LEFT JOIN (SELECT l_partkey, avg(l_extendedprice) AS price, sum(l_quantity) AS qty, max(l_discount) AS disc FROM lineitem WHERE l_quantity > 10 GROUP BY l_partkey) f ON p_partkey = f.l_partkey",
     "val": "SELECT id AS building_id, x, y, y / 1000.0 AS lat, CASE WHEN (x-40000)*(x-40000)+(y-39000)*(y-39000) < 225000000.0 THEN 1 ELSE 0 END AS burned, CAST((id*37 + (id*id) % 101) % 1000 AS DOUBLE) / 1000.0 + CASE WHEN (x-40000)*(x-40000)+(y-39000)*(y-39000) < 225000000.0 THEN 0.25 ELSE 0.0 END AS composite_score, CAST((id*7 + (id*id*id) % 13) % 97 AS DOUBLE) AS dist, CAST(1 + id % 5 AS INT) AS risk_class, CAST(id % 4 AS INT) AS event_id FROM (SELECT p_partkey AS id, CAST((p_partkey*7919 + p_partkey*p_partkey*31) % 80000 AS DOUBLE) AS x, CAST((p_partkey*10473 + p_partkey*p_partkey*17) % 78000 AS DOUBLE) AS y FROM part) b",
