@@ -133,3 +133,9 @@ def redistributed(weights: dict[str, float], present: list[str]) -> dict[str, fl
     """Weights of the present groups, scaled to one."""
     total = sum(weights[g] for g in present)
     return {g: weights[g] / total for g in present}
+
+
+def redistributed_weights(weights: dict[str, float]) -> dict[str, Column]:
+    """The same row by row: the weight of each column's group among those whose column has a value; null where the column has none."""
+    total = sum(F.when(F.col(g).isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for g, w in weights.items())
+    return {g: F.when(F.col(g).isNotNull(), F.lit(w) / total) for g, w in weights.items()}

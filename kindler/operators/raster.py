@@ -1,7 +1,7 @@
 """Raster operators on pixel tables (row, col, v).
 
 Neighbourhoods are read by equi-joins on shifted keys or by windows along one
-axis; a window's partition is one line of pixels of one tile, never the raster.
+axis; a window's partition is one line of pixels, never the raster.
 """
 
 from __future__ import annotations
@@ -176,11 +176,22 @@ def connected(links: DataFrame) -> DataFrame:
 def continuity(points: DataFrame, labels: DataFrame, key: str, k: int) -> DataFrame:
     """key, share: vegetation pixels of the point's own patch among all in the disc dr^2 + dc^2 <= k^2; 0 off vegetation.
 
-    ``points`` has key, row, col; ``labels`` the components of vegetation.
+    ``points`` has key, row, col; ``labels`` the components of vegetation.  A disc
+    is an interval on each of 2k+1 lines.  Pixels are numbered along their line,
+    and along their line and patch; the number of pixels in an interval is the
+    difference of the numbers at its two ends, so a point makes 4k+2 rows, whatever
+    the area of its disc.
     """
-    disc = [(r, c) for r in range(-k, k + 1) for c in range(-k, k + 1) if r * r + c * c <= k * k]
-    offsets = points.sparkSession.createDataFrame(disc, "dr long, dc long")  # (2k+1)^2 rows at most
-    centre = points.select(key, "row", "col").join(labels, ["row", "col"]).select(key, "row", "col", F.col("label").alias("own"))
-    around = centre.join(F.broadcast(offsets)).select(key, "own", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    share = around.join(labels, ["row", "col"]).groupBy(key).agg((F.count_if(F.col("label") == F.col("own")) / F.count("*")).alias("share"))
-    return points.select(key).join(share, key, "left").select(key, F.coalesce("share", F.lit(0.0)).alias("share"))
+    centre = points.join(labels, ["row", "col"]).select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col("label").alias("own")).distinct()
+    dr = F.explode(F.sequence(F.lit(-k), F.lit(k)))
+    lines = centre.select("_r", "_c", "own", dr.alias("_d")).withColumn("_h", F.floor(F.sqrt(F.lit(k * k) - F.col("_d") * F.col("_d"))))
+    # the first end counts the pixels before it, the second one those up to it
+    end = lambda sign: F.struct((F.col("_c") + sign * F.col("_h")).alias("col"), F.lit(sign).alias("sign"))
+    ends = lines.select("_r", "_c", "own", (F.col("_r") + F.col("_d")).alias("row"), F.inline(F.array(end(-1), end(1))))
+    pixels = labels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("label").alias("own"), F.lit(0).alias("sign"))
+    both = ends.unionByName(pixels, allowMissingColumns=True)
+    seen = lambda *by: F.sum((F.col("sign") == 0).cast("long")).over(Window.partitionBy(*by).orderBy("col", "sign"))
+    numbers = both.select("_r", "_c", "own", "sign", seen("row").alias("_all"), seen("row", "own").alias("_own")).where("sign <> 0")
+    share = numbers.groupBy("_r", "_c").agg((F.sum(F.col("sign") * F.col("_own")) / F.sum(F.col("sign") * F.col("_all"))).alias("share"))
+    found = points.select(key, F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c")).join(share, ["_r", "_c"], "left")
+    return found.select(key, F.coalesce("share", F.lit(0.0)).alias("share"))

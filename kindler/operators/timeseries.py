@@ -45,22 +45,24 @@ def event_windows(hourly: DataFrame, daily: DataFrame, cell: list[str], event: s
 
 
 def grid_rows(lats: DataFrame, lons: DataFrame) -> DataFrame:
-    """All cells of two axes (latitude), (longitude); axes are short."""
-    return lats.join(F.broadcast(lons))
+    """All cells of two axes (latitude), (longitude)."""
+    return lats.crossJoin(lons)
 
 
 def regrid_nearest(values: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
     """``target`` (latitude, longitude) with ``columns`` of the nearest grid point of ``values``; outside its extent null.
 
-    Axes are short: nearest values are found for each axis on its own, then joined.
+    Nearest values are found for each axis on its own, by the nearest-neighbour
+    join along a line (ties: the smaller value), then joined.
     """
+    from .spatial import nearest
+
     out = target
     for axis in ("latitude", "longitude"):
-        src = values.select(F.col(axis).alias("s")).distinct()
+        src = values.where(F.col(axis).isNotNull()).select(F.col(axis).alias("s"), F.col(axis).alias("rx"), F.lit(0.0).alias("ry")).distinct()
         lo, hi = src.agg(F.min("s"), F.max("s")).first()
-        dst = target.select(axis).distinct()
-        near = dst.join(F.broadcast(src)).groupBy(axis).agg(F.min_by("s", F.struct(F.abs(F.col("s") - F.col(axis)), F.col("s"))).alias(f"_{axis}"))
-        near = near.where(F.col(axis).between(lo, hi))
-        out = out.join(F.broadcast(near), axis, "left")
+        dst = target.where(F.col(axis).between(lo, hi) if lo is not None else F.lit(False)).select(F.col(axis).alias("d"), F.col(axis).alias("x"), F.lit(0.0).alias("y")).distinct()
+        near = nearest(dst, src, "d", "s").select(F.col("d").alias(axis), F.col("near.s").alias(f"_{axis}"))
+        out = out.join(near, axis, "left")
     src = values.select(F.col("latitude").alias("_latitude"), F.col("longitude").alias("_longitude"), *columns)
     return out.join(src, ["_latitude", "_longitude"], "left").select(*target.columns, *columns)

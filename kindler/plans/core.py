@@ -30,11 +30,12 @@ def src7_union_of_chunks(t):
     return every.groupBy((F.col("event_id") % 5).alias("bin")).agg(F.count("event_id").alias("n"))
 
 
-@query("SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, CAST(day(last_day(m)) AS INTEGER) AS days FROM (SELECT unnest(generate_series(DATE '2015-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) AS m)")
+@query("SELECT CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month, CAST(day(last_day(m)) AS INTEGER) AS days FROM (SELECT unnest(generate_series(date_trunc('month', min(CAST(o_orderdate AS DATE))), max(CAST(o_orderdate AS DATE)), INTERVAL 1 MONTH)) AS m FROM orders)")
 def src13_month_requests(t):
     from ..sources.requests import month_requests
 
-    return month_requests(t.spark, "2015-01-17", "2024-12-31")
+    first, last = t("orders").agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
+    return month_requests(t.spark, str(first), str(last))
 
 
 @query("SELECT o_orderkey, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, count(*) AS n_days FROM (SELECT o_orderkey, unnest([CAST(o_orderdate AS DATE) - 1, CAST(o_orderdate AS DATE)]) AS d FROM orders) GROUP BY ALL")
@@ -45,18 +46,20 @@ def src13_event_requests(t):
     return d.select("o_orderkey", "year", "month", F.size("days").cast("long").alias("n_days"))
 
 
-@query("SELECT CAST(s AS DATE) AS batch_start, CAST(least(date_diff('day', CAST(s AS DATE), DATE '2024-12-31') + 1, 5) AS INTEGER) AS day_count FROM (SELECT unnest(generate_series(DATE '2015-01-01', DATE '2024-12-31', INTERVAL 5 DAY)) AS s)")
+@query("SELECT o_custkey, CAST(s AS DATE) AS batch_start, CAST(least(date_diff('day', CAST(s AS DATE), b) + 1, 30) AS INTEGER) AS day_count FROM (SELECT o_custkey, b, unnest(generate_series(a, b, INTERVAL 30 DAY)) AS s FROM (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY 1))")
 def src14_date_batches(t):
-    from ..sources.requests import date_batches
+    from ..sources.requests import batches_of
 
-    return date_batches(t.spark, "2015-01-01", "2024-12-31", 5)
+    d = t("orders").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("first"), F.max(F.to_date("o_orderdate")).alias("last"))
+    return batches_of(d, most=30).select("o_custkey", "batch_start", "day_count")
 
 
-@query("SELECT CASE WHEN la >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(la) AS VARCHAR), 2, '0') || CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(lo) AS VARCHAR), 3, '0') AS tile_id FROM (SELECT unnest(range(-3, 42, 3)) AS la), (SELECT unnest(range(-6, 27, 3)) AS lo)")
+@query("WITH b AS (SELECT -170 + s_suppkey*7 % 330 AS west, s_suppkey % 5 AS wide, -60 + s_suppkey*11 % 120 AS south, s_suppkey % 4 AS high FROM supplier), t AS (SELECT la, unnest(range(CAST(floor(west / 3.0) AS BIGINT) * 3, CAST(floor((west + wide) / 3.0) AS BIGINT) * 3 + 1, 3)) AS lo FROM (SELECT *, unnest(range(CAST(floor(south / 3.0) AS BIGINT) * 3, CAST(floor((south + high + 0.5) / 3.0) AS BIGINT) * 3 + 1, 3)) AS la FROM b)) SELECT CASE WHEN la >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(la) AS VARCHAR), 2, '0') || CASE WHEN lo >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(lo) AS VARCHAR), 3, '0') AS tile_id, count(*) AS n_boxes FROM t GROUP BY 1")
 def src15_tiles(t):
-    from ..sources.requests import tiles
+    from ..sources.requests import tiles_of
 
-    return tiles(t.spark, -4.5, -1.0, 24.2, 39.3)
+    boxes = t.sql("SELECT -170 + s_suppkey*7 % 330 AS west, -60 + s_suppkey*11 % 120 AS south, s_suppkey % 5 AS wide, s_suppkey % 4 AS high FROM supplier").selectExpr("west", "south", "west + wide AS east", "south + high + 0.5D AS north")
+    return tiles_of(boxes).groupBy("tile_id").agg(F.count("*").alias("n_boxes"))
 
 
 @query("SELECT event_id, k FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL AND k > 50")
@@ -357,7 +360,10 @@ def sc19_null_of_nan(t):
     return t("feat").select("id", r6(S.null_of_nan(nan), "price"))
 
 
-@query("SELECT g, round(w, 6) AS w FROM (VALUES ('terrain', 0.25/0.75), ('vegetation', 0.25/0.75), ('fire_weather', 0.15/0.75), ('fire_history', 0.10/0.75)) v(g, w)")
+_GROUPS = {"size": 0.25, "retail": 0.25, "price": 0.15, "qty": 0.10, "disc": 0.25}
+
+
+@query(with_views("feat") + ", w AS (SELECT *, " + " + ".join(f"CASE WHEN {g} IS NULL THEN 0 ELSE {w}::DOUBLE END" for g, w in _GROUPS.items()) + " AS total FROM feat) SELECT id, " + ", ".join(f"round(CASE WHEN {g} IS NOT NULL THEN {w}::DOUBLE / total END, 6) AS w_{g}" for g, w in _GROUPS.items()) + " FROM w")
 def sc18_redistributed_weights(t):
-    w = S.redistributed({"terrain": 0.25, "vegetation": 0.25, "fire_weather": 0.15, "fire_history": 0.10, "proximity": 0.25}, ["terrain", "vegetation", "fire_weather", "fire_history"])
-    return t.spark.createDataFrame(list(w.items()), "g string, w double").select("g", r6("w", "w"))
+    """The weights of the groups that a row has values for."""
+    return t("feat").select("id", *[r6(w, f"w_{g}") for g, w in S.redistributed_weights(_GROUPS).items()])

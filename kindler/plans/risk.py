@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model, quality, scoring, stats, validation
+from ..operators import model, quality, scoring, shapley, stats, validation
 from .core import r6
 from .tables import registry, with_views
 
@@ -168,8 +168,10 @@ def ml5_event_metrics(t):
 
 @query()
 def ml4_ml6_importances(t):
+    """Mean absolute Shapley values of the full-data model over all rows, and its gains."""
     m = model.fit(t("val"), _X, "burned", trees=200, depth=6)
-    return t.spark.createDataFrame(model.importances(m, _X), "feature string, importance double")
+    d = shapley.mean_importances(m, t("val"), _X)
+    return d.select("feature", r6("mean_abs_shap", "mean_abs_shap"), r6("gain", "importance"))
 
 
 @query("SELECT * FROM (VALUES ('table', 'kq_nation', true, ''), ('columns', 'kq_nation', false, 'n_area'), ('table', 'kq_missing', false, 'missing'), ('nulls', 'kq_nation.n_name', true, '0')) v(\"check\", subject, ok, detail)")

@@ -55,23 +55,35 @@ def j12_j13_inside_polygons(t):
     return spatial.label_inside(t("bld"), _boxes(t), "id", "fid")
 
 
-@query(with_views("bld", more=PIX) + " SELECT id, p.v FROM bld LEFT JOIN pix p ON p.row = CAST(floor((70000.0 - y) / 1600.0) AS BIGINT) AND p.col = CAST(floor((x - 5000.0) / 1600.0) AS BIGINT)")
+@query(with_views("bld", more=PIX) + " SELECT id, p.v FROM bld LEFT JOIN pix p ON p.row = CAST(floor((78000.0 - y) / 390.0) AS BIGINT) AND p.col = CAST(floor((x - 5000.0) / 390.0) AS BIGINT)")
 def j14_raster_sample(t):
-    return spatial.sample_raster(t("bld"), t.pixels(), 5000.0, 70000.0, 1600.0, 40, 50).select("id", "v")
+    return spatial.sample_raster(t("bld"), t.pixels(), 5000.0, 78000.0, 390.0, 200, 50).select("id", "v")
 
 
-@query(with_views("bld", more=PIX) + " SELECT id, p.v FROM bld LEFT JOIN pix p ON p.row = least(greatest(CAST(floor((70000.0 - y) / 1500.0) AS BIGINT), 0), 39) AND p.col = least(greatest(CAST(floor((x - 5000.0) / 1500.0) AS BIGINT), 0), 49)")
+@query(with_views("bld", more=PIX) + " SELECT id, p.v FROM bld LEFT JOIN pix p ON p.row = least(greatest(CAST(floor((78000.0 - y) / 390.0) AS BIGINT), 0), 199) AND p.col = least(greatest(CAST(floor((x - 5000.0) / 390.0) AS BIGINT), 0), 49)")
 def j14_raster_sample_clamped(t):
-    return spatial.sample_raster(t("bld"), t.pixels(), 5000.0, 70000.0, 1500.0, 40, 50, clamp=True).select("id", "v")
+    return spatial.sample_raster(t("bld"), t.pixels(), 5000.0, 78000.0, 390.0, 200, 50, clamp=True).select("id", "v")
 
 
-@query("WITH s AS (SELECT 37.0::DOUBLE + r.range * 0.1::DOUBLE AS la, 23.0::DOUBLE + c.range * 0.1::DOUBLE AS lo, CAST(r.range * 10 + c.range AS DOUBLE) AS dc FROM range(8) r, range(9) c), g AS (SELECT round(36.96::DOUBLE + r.range * 0.07::DOUBLE, 4) AS latitude, round(22.97::DOUBLE + c.range * 0.07::DOUBLE, 4) AS longitude FROM range(12) r, range(13) c) SELECT latitude, longitude, CASE WHEN latitude BETWEEN (SELECT min(la) FROM s) AND (SELECT max(la) FROM s) AND longitude BETWEEN (SELECT min(lo) FROM s) AND (SELECT max(lo) FROM s) THEN (SELECT dc FROM s ORDER BY abs(la - g.latitude), la, abs(lo - g.longitude), lo LIMIT 1) END AS dc FROM g")
+_GRID = """WITH la AS (SELECT DISTINCT 37.0::DOUBLE + p_partkey % 40 * 0.1::DOUBLE AS la, p_partkey % 40 AS i FROM part), lo AS (SELECT DISTINCT 23.0::DOUBLE + p_partkey // 40 * 0.1::DOUBLE AS lo, p_partkey // 40 AS j FROM part),
+s AS (SELECT la, lo, p_retailprice AS dc FROM la, lo LEFT JOIN part ON p_partkey = j * 40 + i),
+ga AS (SELECT DISTINCT round(36.96::DOUBLE + s_suppkey % 60 * 0.07::DOUBLE, 4) AS latitude FROM supplier), go AS (SELECT DISTINCT round(22.97::DOUBLE + s_suppkey % 45 * 0.11::DOUBLE, 4) AS longitude FROM supplier),
+na AS (SELECT latitude, arg_min(la, (abs(la - latitude), la)) AS la FROM ga, la GROUP BY 1 HAVING latitude BETWEEN min(la) AND max(la)), no AS (SELECT longitude, arg_min(lo, (abs(lo - longitude), lo)) AS lo FROM go, lo GROUP BY 1 HAVING longitude BETWEEN min(lo) AND max(lo))
+SELECT ga.latitude, go.longitude, s.dc FROM ga CROSS JOIN go LEFT JOIN na ON na.latitude = ga.latitude LEFT JOIN no ON no.longitude = go.longitude LEFT JOIN s ON s.la = na.la AND s.lo = no.lo"""
+
+
+@query(_GRID)
 def j15_ts1_regrid(t):
+    """A grid of the parts on the axes of another one, taken from the suppliers."""
     from ..operators.timeseries import grid_rows, regrid_nearest
 
-    axis = lambda n, a, step, name: t.spark.range(n).select((a + F.col("id") * step).alias(name), F.col("id").alias(f"i_{name}"))
-    src = grid_rows(axis(8, 37.0, 0.1, "latitude"), axis(9, 23.0, 0.1, "longitude")).select("latitude", "longitude", (F.col("i_latitude") * 10 + F.col("i_longitude")).cast("double").alias("dc"))
-    dst = grid_rows(axis(12, 36.96, 0.07, "latitude"), axis(13, 22.97, 0.07, "longitude")).select(F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"))
+    axis = lambda df, k, a, step, name: df.select(k.alias(f"i_{name}")).distinct().select((a + F.col(f"i_{name}") * step).alias(name), f"i_{name}")
+    part, at = t("part"), F.col("p_partkey")
+    i, j = at % 40, F.floor(at / 40)
+    src = grid_rows(axis(part, i, 37.0, 0.1, "latitude"), axis(part, j, 23.0, 0.1, "longitude"))
+    src = src.join(part.select(i.alias("i_latitude"), j.alias("i_longitude"), F.col("p_retailprice").alias("dc")), ["i_latitude", "i_longitude"], "left").select("latitude", "longitude", "dc")
+    place = lambda k, a, step, name: t("supplier").select(F.round(a + k * step, 4).alias(name)).distinct()
+    dst = grid_rows(place(F.col("s_suppkey") % 60, 36.96, 0.07, "latitude"), place(F.col("s_suppkey") % 45, 22.97, 0.11, "longitude"))
     return regrid_nearest(src, dst, ["dc"])
 
 
@@ -164,12 +176,12 @@ def _project_sql() -> str:
     scale = G.K0 * G.A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
     d = lambda v: f"({v!r})::DOUBLE"
-    rows = ", ".join(f"({i}, '{day}', '{region}', {d(lon)}, {d(lat)}, {d(area)})" for i, (day, region, lon, lat, area, _) in enumerate(KNOWN_FIRES, 1))
+    rows = ", ".join(f"('EFFIS_{day.replace('-', '')}_{i:03d}', {day[:4]}, '{region}', {d(lon)}, {d(lat)}, {d(area)})" for i, (day, region, lon, lat, area, _) in enumerate(KNOWN_FIRES, 1))
     east = " + ".join(["eta", *(f"{d(a)} * cos({2 * k} * xi) * (exp({2 * k} * eta) - exp(-{2 * k} * eta)) / 2" for k, a in enumerate(alpha, 1))])
     north = " + ".join(["xi", *(f"{d(a)} * sin({2 * k} * xi) * (exp({2 * k} * eta) + exp(-{2 * k} * eta)) / 2" for k, a in enumerate(alpha, 1))])
     atanh = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
     return (
-        f"WITH k(i, day, region, lon, lat, area) AS (VALUES {rows}), r AS (SELECT *, radians(lon) AS l0, radians(lat) AS p0 FROM k), "
+        f"WITH known(fire_id, year, region, lon, lat, area) AS (VALUES {rows}), k AS (SELECT * FROM known UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR), CAST(2000 + s_suppkey % 25 AS INTEGER), s_name, 20 + (s_suppkey*37 % 8000) / 1000::DOUBLE, 35 + (s_suppkey*53 % 6000) / 1000::DOUBLE, CAST(1 + s_suppkey % 50 AS DOUBLE) FROM supplier), r AS (SELECT *, radians(lon) AS l0, radians(lat) AS p0 FROM k), "
         f"g AS (SELECT *, {d(G.A)} / sqrt(1 - {d(e2)} * sin(p0) * sin(p0)) AS nu FROM r), "
         f"c AS (SELECT *, nu * cos(p0) * cos(l0) - {d(G.SHIFT[0])} AS cx, nu * cos(p0) * sin(l0) - {d(G.SHIFT[1])} AS cy, nu * {d(1 - e2)} * sin(p0) - {d(G.SHIFT[2])} AS cz FROM g), "
         f"h AS (SELECT *, sqrt(cx * cx + cy * cy) AS p, atan2(cz * {d(G.A)}, sqrt(cx * cx + cy * cy) * {d(b)}) AS th FROM c), "
@@ -177,31 +189,38 @@ def _project_sql() -> str:
         f"u AS (SELECT *, {atanh('sin(phi)')} - {d(e)} * {atanh(f'({d(e)} * sin(phi))')} AS psi FROM m), "
         "t AS (SELECT *, (exp(psi) - exp(-psi)) / 2 AS tau FROM u), "
         f"v AS (SELECT *, atan2(tau, cos(d)) AS xi, {atanh('(sin(d) / sqrt(1 + tau * tau))')} AS eta FROM t) "
-        f"SELECT 'EFFIS_' || replace(day, '-', '') || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS fire_id, CAST(substr(day, 1, 4) AS INTEGER) AS year, region, round(area, 2) AS area_km2, round(sqrt(area * 1000000 / pi()), 6) AS radius_m, round({d(G.FE)} + {d(scale)} * ({east}), 2) AS x, round({d(G.FN)} + {d(scale)} * ({north}), 2) AS y FROM v"
+        f"SELECT fire_id, CAST(year AS INTEGER) AS year, region, round(area, 2) AS area_km2, round(sqrt(area * 1000000 / pi()), 6) AS radius_m, round({d(G.FE)} + {d(scale)} * ({east}), 2) AS x, round({d(G.FN)} + {d(scale)} * ({north}), 2) AS y FROM v"
     )
 
 
 @query(_project_sql())
 def geo1_project_known_fires(t):
-    """WGS84 to the Greek grid; held against published control values in the tests."""
+    """WGS84 to the Greek grid, for the known fires and a place for each supplier; held against published control values in the tests."""
+    from ..functions.scalars import circle_radius_m
     from ..sources.requests import known_fires
 
+    k, area = F.col("s_suppkey"), (1 + F.col("s_suppkey") % 50).cast("double")
+    places = t("supplier").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("fire_id"), (2000 + k % 25).cast("int").alias("year"), F.col("s_name").alias("region"),
+        (20 + (k * 37 % 8000) / 1000).alias("lon"), (35 + (k * 53 % 6000) / 1000).alias("lat"), area.alias("area_km2"), circle_radius_m(area).alias("radius_m"),
+    )
+    every = known_fires(t.spark).select(*places.columns).unionByName(places)
     p = G.project(F.col("lon"), F.col("lat"))
-    return known_fires(t.spark).select("fire_id", "year", "region", "area_km2", r6("radius_m", "radius_m"), F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y"))
+    return every.select("fire_id", "year", "region", F.round("area_km2", 2).alias("area_km2"), r6("radius_m", "radius_m"), F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y"))
 
 
-@query("WITH " + PIX + ", t AS (SELECT row, col, v, 1 AS pri FROM pix WHERE col < 30 UNION ALL SELECT row, col, v + 1000, 2 FROM pix WHERE col >= 20) SELECT row, col, max_by(v, pri) AS v FROM t WHERE row BETWEEN 5 AND 30 AND col BETWEEN 4 AND 45 GROUP BY 1, 2")
+@query("WITH " + PIX + ", t AS (SELECT row, col, v, 1 AS pri FROM pix WHERE col < 30 UNION ALL SELECT row, col, v + 1000, 2 FROM pix WHERE col >= 20) SELECT row, col, max_by(v, pri) AS v FROM t WHERE row >= 5 AND col BETWEEN 4 AND 45 GROUP BY 1, 2")
 def ras1_mosaic(t):
     p = t.pixels()
     tiles = p.where("col < 30").withColumn("pri", F.lit(1)).unionByName(p.where("col >= 20").select("row", "col", (F.col("v") + 1000).alias("v"), F.lit(2).alias("pri")))
-    return raster.mosaic(tiles, "pri", (5, 30, 4, 45))
+    return raster.mosaic(tiles, "pri", (5, 1 << 40, 4, 45))
 
 
-_TARGET = ", t AS (SELECT r.range AS trow, c.range AS tcol, r.range * 0.75 AS y, c.range * 0.5 AS x FROM range(52) r, range(99) c)"
+_TARGET = ", t AS (SELECT trow, tcol, trow * 0.75::DOUBLE AS y, tcol * 0.5::DOUBLE AS x FROM (SELECT p_partkey AS trow, unnest(range(99)) AS tcol FROM part))"
 
 
 def _target(t):
-    return t.spark.range(52 * 99).selectExpr("id DIV 99 AS trow", "id % 99 AS tcol").selectExpr("trow", "tcol", "trow * 0.75D AS y", "tcol * 0.5D AS x")
+    return t.sql("SELECT p_partkey AS trow, explode(sequence(0L, 98L)) AS tcol FROM part").selectExpr("trow", "tcol", "trow * 0.75D AS y", "tcol * 0.5D AS x")
 
 
 @query("WITH " + PIX + _TARGET + " SELECT trow, tcol, v FROM t LEFT JOIN pix ON row = CAST(floor(y + 0.5) AS BIGINT) AND col = CAST(floor(x + 0.5) AS BIGINT)")
@@ -215,9 +234,10 @@ def ras2_resample_bilinear(t):
     return d.select("trow", "tcol", r6("v", "v"))
 
 
-_HORN = "WITH " + PIX + """, n AS (SELECT p.row, p.col, a.range - 1 AS dr, b.range - 1 AS dc, q.v FROM pix p, range(3) a, range(3) b, pix q
-  WHERE q.row = least(greatest(p.row + a.range - 1, 0), 39) AND q.col = least(greatest(p.col + b.range - 1, 0), 49)),
-w AS (SELECT row, col, sum(v * dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END) / 240.0 AS dx, sum(v * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END) / 240.0 AS dy FROM n GROUP BY 1, 2)
+_HORN = "WITH " + PIX + """, we AS (SELECT p.row, p.col, p.v, coalesce(l.v, p.v) AS w, coalesce(r.v, p.v) AS e FROM pix p LEFT JOIN pix l ON l.row = p.row AND l.col = p.col - 1 LEFT JOIN pix r ON r.row = p.row AND r.col = p.col + 1),
+ns AS (SELECT c.row, c.col, c.w, c.v, c.e, coalesce(n.w, c.w) AS nw, coalesce(n.v, c.v) AS nv, coalesce(n.e, c.e) AS ne, coalesce(s.w, c.w) AS sw, coalesce(s.v, c.v) AS sv, coalesce(s.e, c.e) AS se
+  FROM we c LEFT JOIN we n ON n.row = c.row - 1 AND n.col = c.col LEFT JOIN we s ON s.row = c.row + 1 AND s.col = c.col),
+w AS (SELECT row, col, ((ne + 2 * e + se) - (nw + 2 * w + sw)) / 240.0 AS dx, ((sw + 2 * sv + se) - (nw + 2 * nv + ne)) / 240.0 AS dy FROM ns)
 SELECT row, col, round(degrees(atan(sqrt(dx*dx + dy*dy))), 6) AS slope_deg, round(CASE WHEN dx = 0 AND dy = 0 THEN 270.0 ELSE 450.0 - degrees(atan2(dy, -dx)) - 360.0 * floor((450.0 - degrees(atan2(dy, -dx))) / 360.0) END, 6) AS aspect_deg FROM w"""
 
 
@@ -228,38 +248,44 @@ def w6_ras3_slope_aspect(t):
 
 
 def _mirror(x, n):
-    return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN {2 * n - 1} - ({x}) ELSE {x} END"
+    return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN 2 * {n} - 1 - ({x}) ELSE {x} END"
 
 
-_FOCAL = "WITH " + PIX + ", f AS (SELECT p.row, p.col, avg(q.v) AS m, avg(q.v * q.v) AS m2, avg((q.v % 2)) AS share FROM pix p, range(7) a, range(7) b, pix q WHERE q.row = " + _mirror("p.row + a.range - 3", 40) + " AND q.col = " + _mirror("p.col + b.range - 3", 50) + " GROUP BY 1, 2)"
+_FOCAL = "WITH " + PIX + ", k AS MATERIALIZED (SELECT p.row, p.col, " + _mirror("p.row + a.range - 3", "h") + " AS qr, " + _mirror("p.col + b.range - 3", "50") + " AS qc FROM pix p, lines, range(7) a, range(7) b), f AS (SELECT k.row, k.col, avg(q.v) AS m, avg(q.v * q.v) AS m2, avg((q.v % 2)) AS share FROM k JOIN pix q ON q.row = qr AND q.col = qc GROUP BY 1, 2)"
 
 
 @query(_FOCAL + " SELECT row, col, round(m, 6) AS m, round(v - m, 6) AS tpi, round(sqrt(greatest(0, m2 - 2 * v * m + v * v)), 4) AS tri FROM f JOIN pix USING (row, col)")
 def ras4_ras5_ras6_focal(t):
     p = t.pixels()
-    d = raster.position_ruggedness(p, 3, 40, 50).join(raster.focal_mean(p, 3, 40, 50), ["row", "col"])
+    d = raster.position_ruggedness(p, 3, t.lines(), 50).join(raster.focal_mean(p, 3, t.lines(), 50), ["row", "col"])
     return d.select("row", "col", r6("m", "m"), r6("tpi", "tpi"), F.round("tri", 4).alias("tri"))
 
 
 @query(_FOCAL + " SELECT row, col, round(share, 6) AS m FROM f")
 def ras7_vegetation_fraction(t):
     p = t.pixels().withColumn("v", F.col("v") % 2)
-    return raster.fraction(p, 3, 40, 50).select("row", "col", r6("m", "m"))
+    return raster.fraction(p, 3, t.lines(), 50).select("row", "col", r6("m", "m"))
 
 
-@query("WITH " + PIX + ", pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part) SELECT id, round(min(sqrt(((t.row - q.row) * 30.0) * ((t.row - q.row) * 30.0) + ((t.col - q.col) * 20.0) * ((t.col - q.col) * 20.0))), 6) AS dist FROM pts t, pix q WHERE q.v = 5 GROUP BY 1")
+@query("WITH " + PIX + ", pts AS (SELECT p_partkey AS id, p_partkey * 7 % 200 AS row, p_partkey * 11 % 50 AS col FROM part) SELECT id, round(min(sqrt(((t.row - q.row) * 30.0) * ((t.row - q.row) * 30.0) + ((t.col - q.col) * 20.0) * ((t.col - q.col) * 20.0))), 6) AS dist FROM pts t, pix q WHERE q.v = 5 GROUP BY 1")
 def ras8_class_distance(t):
-    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
+    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 200 AS row", "p_partkey * 11 % 50 AS col")
     return raster.class_distance(pts, t.pixels(), 5, "id", 30.0, 20.0).select("id", r6("dist", "dist"))
 
 
+#: Vegetation in patches that roads along lines and columns keep small, as the oracle follows every path.
+_GREEN = "(row * 13 + col * 7 + row * col) % 5 < 3 AND row % 6 <> 0 AND col % 10 <> 0"
+
+
 def _vegetation(t):
-    return t.pixels().selectExpr("row", "col", "CAST((row * 13 + col * 7 + row * col) % 5 < 3 AS INT) AS v")
+    return t.pixels().selectExpr("row", "col", f"CAST({_GREEN} AS INT) AS v")
 
 
-#: Labels by minima that spread until nothing changes; the patches of 40 x 50 pixels are at most 200 steps long.
-_COMPONENTS = "WITH RECURSIVE " + PIX + """, veg AS (SELECT row, col, row * 50 + col AS id FROM pix WHERE (row * 13 + col * 7 + row * col) % 5 < 3),
-reach(id, low) AS (SELECT id, id FROM veg UNION SELECT v.id, r.low FROM reach r JOIN veg u ON u.id = r.id JOIN veg v ON (abs(v.row - u.row) + abs(v.col - u.col)) = 1),
+#: Labels by minima that spread until nothing changes.
+_COMPONENTS = "WITH RECURSIVE " + PIX + f""", veg AS (SELECT row, col, row * 50 + col AS id FROM pix WHERE {_GREEN}),
+steps AS (SELECT u.id AS a, v.id AS b FROM veg u JOIN veg v ON v.row = u.row AND v.col = u.col + 1 UNION ALL SELECT u.id, v.id FROM veg u JOIN veg v ON v.row = u.row + 1 AND v.col = u.col),
+pairs AS (SELECT a, b FROM steps UNION ALL SELECT b, a FROM steps),
+reach(id, low) AS (SELECT id, id FROM veg UNION SELECT s.b, r.low FROM reach r JOIN pairs s ON s.a = r.id),
 lab AS (SELECT id, min(low) AS label FROM reach GROUP BY id)"""
 
 
@@ -268,11 +294,11 @@ def ras9_components(t):
     return raster.components(_vegetation(t), 50, tile=16)
 
 
-@query(_COMPONENTS + """, pts AS (SELECT p_partkey AS id, p_partkey * 7 % 40 AS row, p_partkey * 11 % 50 AS col FROM part),
+@query(_COMPONENTS + """, pts AS (SELECT p_partkey AS id, p_partkey * 7 % 200 AS row, p_partkey * 11 % 50 AS col FROM part),
 own AS (SELECT v.row, v.col, l.label FROM veg v JOIN lab l USING (id)),
-s AS (SELECT p.row, p.col, count(*) FILTER (WHERE q.label = c.label)::DOUBLE / count(*) AS share FROM (SELECT DISTINCT row, col FROM pts) p JOIN own c USING (row, col) JOIN own q ON (q.row - p.row) * (q.row - p.row) + (q.col - p.col) * (q.col - p.col) <= 25 GROUP BY 1, 2)
+s AS (SELECT p.row, p.col, count(*) FILTER (WHERE q.label = c.label)::DOUBLE / count(*) AS share FROM (SELECT DISTINCT row, col FROM pts) p JOIN own c USING (row, col) JOIN own q ON q.row BETWEEN p.row - 5 AND p.row + 5 AND (q.row - p.row) * (q.row - p.row) + (q.col - p.col) * (q.col - p.col) <= 25 GROUP BY 1, 2)
 SELECT id, round(coalesce(share, 0), 6) AS share FROM pts LEFT JOIN s USING (row, col)""")
 def ras10_continuity(t):
     labels = raster.components(_vegetation(t), 50, tile=16)
-    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 40 AS row", "p_partkey * 11 % 50 AS col")
+    pts = t("part").selectExpr("p_partkey AS id", "p_partkey * 7 % 200 AS row", "p_partkey * 11 % 50 AS col")
     return raster.continuity(pts, labels, "id", 5).select("id", r6("share", "share"))

@@ -39,9 +39,15 @@ class Tables:
             text = _replaced(text, n)
         return self.spark.sql(text, **{n: self(n) for n in used})
 
-    def pixels(self, rows: int = 40, cols: int = 50) -> DataFrame:
-        """row, col and v = (31 row + 17 col + row col) mod 97."""
-        return self.spark.range(rows * cols).selectExpr(f"id DIV {cols} AS row", f"id % {cols} AS col").selectExpr("row", "col", "CAST((row*31 + col*17 + row*col) % 97 AS DOUBLE) AS v")
+    def pixels(self) -> DataFrame:
+        """A raster with a line of 50 pixels for each part (row, col, v), one pixel in eleven missing."""
+        cells = self.sql("SELECT p_partkey AS row, CAST(p_size AS BIGINT) AS z, explode(sequence(0L, 49L)) AS col FROM part").where("(row*7 + col*3) % 11 <> 0")
+        return cells.selectExpr("row", "col", "CAST((row*31 + col*17 + row*col + z) % 97 AS DOUBLE) AS v")
+
+    def lines(self) -> int:
+        """Lines of the raster."""
+        last = self("part").agg({"p_partkey": "max"}).first()[0]
+        return 0 if last is None else int(last) + 1
 
 
 def _replaced(text: str, name: str) -> str:
@@ -50,8 +56,8 @@ def _replaced(text: str, name: str) -> str:
     return re.sub(rf"\b{name}\b", "{" + name + "}", text)
 
 
-#: Pixels and views for the oracle engine.
-PIX = "pix AS (SELECT r.range AS row, c.range AS col, CAST((r.range*31 + c.range*17 + r.range*c.range) % 97 AS DOUBLE) AS v FROM range(40) r, range(50) c)"
+#: The same pixels, and the number of lines, for the oracle engine.
+PIX = "px AS (SELECT p_partkey AS row, p_size AS z, unnest(range(50)) AS col FROM part), pix AS (SELECT row, col, CAST((row*31 + col*17 + row*col + z) % 97 AS DOUBLE) AS v FROM px WHERE (row*7 + col*3) % 11 <> 0), lines AS (SELECT max(row) + 1 AS h FROM px)"
 
 
 def with_views(*names: str, more: str = "") -> str:

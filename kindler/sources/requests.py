@@ -30,20 +30,32 @@ def event_requests(events: DataFrame, date: str = "event_date") -> DataFrame:
     return g.agg(F.sort_array(F.collect_list(F.day("_d"))).alias("days"))
 
 
+def batches_of(ranges: DataFrame, first: str = "first", last: str = "last", most: int = 5) -> DataFrame:
+    """``ranges`` with batch_start and day_count of the batches of at most ``most`` days that cover [first, last]; ranges that end before they begin have none."""
+    end = F.to_date(last)
+    starts = F.explode(F.sequence(F.to_date(first), end, F.expr(f"interval {int(most)} day"))).alias("batch_start")
+    rows = ranges.where(F.to_date(first) <= end).select("*", starts)
+    return rows.withColumn("day_count", F.least(F.datediff(end, "batch_start") + 1, F.lit(most)))
+
+
 def date_batches(spark: SparkSession, first: str, last: str, most: int = 5) -> DataFrame:
     """batch_start, day_count covering [first, last]."""
-    end = F.to_date(F.lit(last))
-    starts = F.explode(F.sequence(F.to_date(F.lit(first)), end, F.expr(f"interval {int(most)} day"))).alias("batch_start")
-    return spark.range(1).select(starts).select("batch_start", F.least(F.datediff(end, "batch_start") + 1, F.lit(most)).alias("day_count"))
+    return batches_of(spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last")), most=most).select("batch_start", "day_count")
+
+
+def tiles_of(boxes: DataFrame, step: int = 3) -> DataFrame:
+    """``boxes`` (west, south, east, north) with tile_id of every step-degree tile that a box touches, named by its south-west corner."""
+    axis = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / step) * step, F.floor(F.col(b) / step) * step, F.lit(step).cast("long")))
+    t = boxes.where("west <= east and south <= north").withColumn("_lat", axis("south", "north")).withColumn("_lon", axis("west", "east"))
+    lat = F.concat(F.when(F.col("_lat") >= 0, "N").otherwise("S"), F.lpad(F.abs("_lat").cast("string"), 2, "0"))
+    lon = F.concat(F.when(F.col("_lon") >= 0, "E").otherwise("W"), F.lpad(F.abs("_lon").cast("string"), 3, "0"))
+    return t.withColumn("tile_id", F.concat(lat, lon)).drop("_lat", "_lon")
 
 
 def tiles(spark: SparkSession, west: float, south: float, east: float, north: float, step: int = 3) -> DataFrame:
-    """tile_id of all step-degree tiles that the box touches, named by their south-west corner."""
-    axis = lambda a, b: F.explode(F.sequence(F.lit(int(a // step) * step), F.lit(int(b // step) * step), F.lit(step)))
-    t = spark.range(1).select(axis(south, north).alias("lat")).select("lat", axis(west, east).alias("lon"))
-    lat = F.concat(F.when(F.col("lat") >= 0, "N").otherwise("S"), F.lpad(F.abs("lat").cast("string"), 2, "0"))
-    lon = F.concat(F.when(F.col("lon") >= 0, "E").otherwise("W"), F.lpad(F.abs("lon").cast("string"), 3, "0"))
-    return t.select(F.concat(lat, lon).alias("tile_id"))
+    """tile_id of all step-degree tiles that the box touches."""
+    box = spark.range(1).select(*[F.lit(float(v)).alias(n) for n, v in (("west", west), ("south", south), ("east", east), ("north", north))])
+    return tiles_of(box, step).select("tile_id")
 
 
 #: Schema of an Overpass answer, a STAC answer and a GeoJSON collection.
