@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import sys
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
@@ -21,6 +20,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
 #: Features of one path, at most: a leaf's table has 2**n rows.
@@ -93,8 +94,7 @@ def values(trees: list, weights: list[float], x: np.ndarray) -> np.ndarray:
 def trees_of(model) -> tuple[list, list[float]]:
     """(trees, weights) of a fitted Spark ML ensemble, read from its saved form: at most a few thousand nodes for each tree."""
     spark = SparkSession.getActiveSession()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    path = f"{folder.rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = scratch(spark, "model")
     model.write().save(path)
     n = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     rows = n.select("treeID", "id", "prediction", F.col("impurityStats")[0].alias("cover"), "leftChild", "rightChild", "split.featureIndex", F.get(F.col("split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold")).orderBy("treeID", "id").collect()

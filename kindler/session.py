@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,12 @@ def session(app: str = "kindler", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, or below the warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut; a folder in the warehouse only where none is set."""
     spark = df.sparkSession

@@ -2,7 +2,8 @@
 
 Files are read as binary rows and decoded by executors, one file at a time; the
 results are long tables.  Writers make single files, for exchange with other
-tools.  Only the subset named in each docstring is understood.
+tools; ``parts`` has those that run on executors.  Only the subset named in each
+docstring is understood.
 """
 
 from __future__ import annotations
@@ -86,13 +87,21 @@ def read_geopackage(spark: SparkSession, path: str, layer: str, columns: str, ge
     return _binary(spark, path).mapInPandas(decode, f"{columns}, ring array<struct<x:double,y:double>>, parts array<array<array<struct<x:double,y:double>>>>")
 
 
-def write_geopackage(path: str, layer: str, rows: list[tuple], columns: list[str]) -> None:
-    """A small layer: rows of values and, last, a ring as (x, y) pairs."""
-    con = sqlite3.connect(path)
+def geopackage_bytes(layer: str, rows: list[tuple], columns: list[str]) -> bytes:
+    """A layer as the bytes of a file: rows of values and, last, a ring as (x, y) pairs or nothing."""
+    con = sqlite3.connect(":memory:")
     con.execute(f'CREATE TABLE "{layer}" ({", ".join(columns)}, geom BLOB)')
-    con.executemany(f'INSERT INTO "{layer}" VALUES ({", ".join("?" * (len(columns) + 1))})', [(*r[:-1], polygon_wkb(r[-1])) for r in rows])
+    con.executemany(f'INSERT INTO "{layer}" VALUES ({", ".join("?" * (len(columns) + 1))})', [(*r[:-1], polygon_wkb(r[-1]) if r[-1] else None) for r in rows])
     con.commit()
+    out = con.serialize()
     con.close()
+    return out
+
+
+def write_geopackage(path: str, layer: str, rows: list[tuple], columns: list[str]) -> None:
+    """A small layer in one file."""
+    with open(path, "wb") as f:
+        f.write(geopackage_bytes(layer, rows, columns))
 
 
 # --- GeoTIFF: one band, stripped or tiled, raw or deflate -------------------------------------------
@@ -150,8 +159,8 @@ def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).mapInPandas(decode, "path string, row long, col long, x double, y double, v double").withColumn("v", F.nanvl("v", F.lit(None)))
 
 
-def write_geotiff(path: str, a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None) -> None:
-    """One deflated strip."""
+def geotiff_bytes(a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None) -> bytes:
+    """One deflated strip, as the bytes of a file."""
     a = np.ascontiguousarray(a.astype(a.dtype.newbyteorder("<")))
     body = zlib.compress(a.tobytes())
     form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
@@ -168,8 +177,12 @@ def write_geotiff(path: str, a: np.ndarray, x0: float, y0: float, dx: float, dy:
         else:
             where = raw.ljust(4, b"\0")
         directory += struct.pack("<HHI", tag, kind, len(v)) + where
+    return (b"II*\0" + struct.pack("<I", start) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + directory + struct.pack("<I", 0) + extra)
+
+
+def write_geotiff(path: str, a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None) -> None:
     with open(path, "wb") as f:
-        f.write(b"II*\0" + struct.pack("<I", start) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + directory + struct.pack("<I", 0) + extra)
+        f.write(geotiff_bytes(a, x0, y0, dx, dy, nodata))
 
 
 # --- NetCDF classic -----------------------------------------------------------------------------------
@@ -223,7 +236,7 @@ def netcdf_variables(data: bytes) -> dict[str, tuple[tuple[str, ...], np.ndarray
     return out
 
 
-def write_netcdf(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, str]]) -> None:
+def netcdf_bytes(dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, str]]) -> bytes:
     """Doubles only; each variable may carry units."""
     names = list(dims)
 
@@ -241,8 +254,12 @@ def write_netcdf(path: str, dims: dict[str, int], variables: dict[str, tuple[tup
     for p, raw in parts:
         head += p + struct.pack(">q", begin + len(body))
         body += raw
+    return head + body
+
+
+def write_netcdf(path: str, dims: dict[str, int], variables: dict[str, tuple[tuple[str, ...], np.ndarray, str]]) -> None:
     with open(path, "wb") as f:
-        f.write(head + body)
+        f.write(netcdf_bytes(dims, variables))
 
 
 def read_netcdf(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

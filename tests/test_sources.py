@@ -155,3 +155,34 @@ def test_config(tmp_path):
     assert bbox(c) == (23.4, 37.6, 24.2, 38.3) and c["aoi"]["name"] == "y" and c["seed"] == 42
     with pytest.raises(FileNotFoundError):
         load_config(str(tmp_path), {"a": "none"})
+
+
+def test_file_parts_commit_and_abort(spark, tmp_path):
+    from kindler.sources import parts
+
+    folder = str(tmp_path / "out")
+    rows = spark.createDataFrame([("a.txt", b"one"), ("b.txt", None)], "name string, content binary").repartition(2)
+    parts.write_files(rows, folder)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_file()) == ["_SUCCESS", "a.txt", "b.txt"]
+    assert (tmp_path / "out" / "a.txt").read_bytes() == b"one" and (tmp_path / "out" / "b.txt").read_bytes() == b""
+    for bad in ([("c.txt", b"x"), ("d/e", b"x")], [("c.txt", b"x"), ("c.txt", b"y")]):
+        with pytest.raises(Exception, match="file name"):
+            parts.write_files(spark.createDataFrame(bad, "name string, content binary").repartition(2), folder)
+        assert not (tmp_path / "out" / "c.txt").exists()
+    assert not [p for p in (tmp_path / "out" / "_temporary").iterdir() if any(p.rglob("*.txt"))]
+    parts.write_files(rows.where("name = 'a.txt'"), folder, "overwrite")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_file()) == ["_SUCCESS", "a.txt"]
+
+
+def test_layers_of_executors(spark, tmp_path):
+    from kindler.sources import parts
+
+    ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 0.0)]
+    d = spark.createDataFrame([(1, "house", 0.5, ring), (2, None, None, None), (3, "o'x", 1.5, ring)], "id long, use string, h double, ring array<struct<x:double,y:double>>").repartition(2)
+    parts.write_geopackages(d, str(tmp_path / "g"), "b", most=1)
+    back = files.read_geopackage(spark, str(tmp_path / "g" / "*.gpkg"), "b", "id long, use string, h double").orderBy("id").collect()
+    assert [(r["id"], r["use"], None if r["h"] is None or r["h"] != r["h"] else r["h"], r["ring"] is not None) for r in back] == [(1, "house", 0.5, True), (2, None, None, False), (3, "o'x", 1.5, True)]
+    pixels = spark.createDataFrame([(0, 0, 1.0), (5, 9, 2.0), (6, 3, None)], "row int, col int, v double")
+    parts.write_geotiff_tiles(pixels, str(tmp_path / "t"), 0.0, 100.0, 1.0, 1.0, tile=4)
+    tiles = files.read_geotiff(spark, str(tmp_path / "t" / "*.tif")).where("v is not null").select("x", "y", "v").collect()
+    assert sorted(map(tuple, tiles)) == [(0.5, 99.5, 1.0), (9.5, 94.5, 2.0)]
