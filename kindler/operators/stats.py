@@ -234,22 +234,49 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
 def bootstrap_auc(df: DataFrame, label: str, score: str, by: str, rounds: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """(by, auc, low, high): percentile interval over Poisson(1) resamples of the frequency table.
 
-    Weights come from a hash of (round, value, seed), so the interval is
-    reproducible and independent of partitioning.  Each distinct score is drawn
-    once for each round and class, by inverting the Poisson of its count where it
-    is small and by a normal approximation beyond; degenerate rounds are skipped.
+    The draws of a score follow from a hash of (score, class, round, seed), so the
+    interval does not depend on partitioning.  A task takes a bucket of scores and
+    keeps three vectors over the rounds: positives, negatives and pairs in order.
+    Only these travel, at most ``MOST`` for each group, however many rows and
+    distinct scores there are; a scan over a group's buckets adds them up.  Rounds
+    without positives or negatives are skipped; a group without any has nulls.
     """
-    from ..functions.draws import poisson
-
-    counts = df.groupBy(by, F.col(score).cast("double").alias("v")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    rounds_ = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    counts = bucketed(counts, "v", [by])  # the same buckets in every round
-    drawn = counts.select(by, "v", "_b", "p", "q", rounds_.alias("round"))
-    drawn = drawn.select(by, "round", "v", "_b", poisson(F.col("p"), F.xxhash64(by, "round", "v", F.lit(seed))).alias("p"), poisson(F.col("q"), F.xxhash64(by, "round", "v", F.lit(seed + 1))).alias("q"))
-    # pairs below plus half the ties, within each round
-    r = running(drawn, "v", ["q"], [by, "round"])
-    per = r.groupBy(by, "round").agg(F.sum(F.col("p") * (F.col("c_q") - F.col("q") / 2)).alias("s"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    per = per.where("np > 0 and nq > 0").select(by, (F.col("s") / F.col("np") / F.col("nq")).alias("a"))
-    tail = (1 - ci) / 2
-    interval = per.groupBy(by).agg(F.percentile("a", tail).alias("low"), F.percentile("a", 1 - tail).alias("high"))
-    return auc(df, label, score, [by]).select(by, "auc").join(interval, by, "left")
+    import pyarrow as pa
+
+    from .resample import bucket_sums, interval
+
+    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col(by).isNotNull()).groupBy(by, F.col(score).cast("double").alias("v")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    kind = counts.schema[by].dataType.simpleString()
+    counts = bucketed(counts, "v", [by])
+
+    def sums(key, t):
+        made = bucket_sums(*(t.column(c).to_numpy() for c in ("v", "p", "q")), rounds, seed)
+        return pa.table({by: t.column(by).slice(0, 1), "_b": t.column("_b").slice(0, 1), "sums": pa.array([made.ravel()], pa.list_(pa.float64()))})
+
+    def close(key, t):
+        t = t.sort_by("_b")
+        low, high = interval([x.reshape(3, rounds) for x in t.column("sums").combine_chunks().values.to_numpy().reshape(len(t), -1)], ci)
+        return pa.table({by: t.column(by).slice(0, 1), "low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
+
+    vectors = counts.groupBy(by, "_b").applyInArrow(sums, f"`{by}` {kind}, _b int, sums array<double>")
+    ends = vectors.groupBy(by).applyInArrow(close, f"`{by}` {kind}, low double, high double")
+    return auc(df, label, score, [by]).select(by, "auc").join(ends, by, "left")
+
+
+def stratified_sample(df: DataFrame, stratum: str, total: int, order: list[str]) -> DataFrame:
+    """Of each stratum its share of ``total`` rows, one at least, the first by ``order`` (a draw, then ties).
+
+    The shares follow from the counts.  Rows are first ranked within slices of a
+    stratum, and a slice passes on no more than the whole stratum may keep, so no
+    task ranks a large stratum.  Slices follow from ``order``, also where a task is
+    repeated; rows that repeat all of it share a slice and count as often as they
+    occur.
+    """
+    n = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    every = n.agg(F.sum("_n").alias("_t"))
+    n = n.crossJoin(every).select(F.col(stratum).alias("_s"), F.least("_n", F.greatest(F.lit(1), F.round(float(total) * F.col("_n") / F.col("_t")).cast("long"))).alias("_k"), F.ceil(F.col("_n") / PER_BUCKET).cast("int").alias("_m"))
+    d = df.join(n, F.col(stratum).eqNullSafe(F.col("_s")))
+    slices = d.withColumn("_c", F.pmod(F.xxhash64(*order), "_m"))
+    first = slices.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_c").orderBy(*order))).where("_r <= _k")
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(*order))).where("_r <= _k")
+    return kept.select(*df.columns)

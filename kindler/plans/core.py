@@ -259,16 +259,11 @@ def ag26_sc11_dedup_by_cell(t):
     return spatial.dedup_by_cell(d, "x", "y", 2500.0, "area", "id").select("id", "area")
 
 
-@query("SELECT l_returnflag, least(n, greatest(1, CAST(round(300.0 * n / t, 0) AS BIGINT))) AS taken FROM (SELECT l_returnflag, count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem GROUP BY 1)")
+@query("WITH s AS (SELECT l_returnflag, count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem GROUP BY 1), r AS (SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY (l_orderkey * 7919 + l_linenumber * 104729) % 1000003, l_orderkey, l_linenumber) AS r FROM lineitem) SELECT l_returnflag, l_orderkey, l_linenumber FROM r JOIN s USING (l_returnflag) WHERE r <= least(n, greatest(1, CAST(round(300.0 * n / t, 0) AS BIGINT)))")
 def ag27_stratified_sample(t):
-    """Rows of each stratum in proportion, chosen by hash."""
-    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    n = d.groupBy("l_returnflag").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.lit(1), F.round(300.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).cast("long")))
-    # a first cut by hash keeps about twice what is needed before ranks are taken
-    u = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1_000_000)) / 1e6
-    near = d.join(F.broadcast(n), "l_returnflag").where(u <= F.least(F.lit(1.0), (2.0 * F.col("k") + 100) / F.col("n")))
-    rank = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.xxhash64("l_orderkey", "l_linenumber"), "l_orderkey"))
-    return near.withColumn("r", rank).where("r <= k").groupBy("l_returnflag").agg(F.count("*").alias("taken"))
+    """Rows of each stratum in proportion, those with the least draws."""
+    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").withColumn("u", (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000003)
+    return stats.stratified_sample(d, "l_returnflag", 300, ["u", "l_orderkey", "l_linenumber"]).select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
 @query(with_views("val") + " SELECT building_id FROM val WHERE burned = 1 AND risk_class <= 2 ORDER BY composite_score, building_id LIMIT 20")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model, quality, scoring, shapley, stats, validation
+from ..operators import model, quality, resample, scoring, shapley, stats, validation
 from .core import r6
 from .tables import registry, with_views
 
@@ -63,7 +63,35 @@ def stat1_auc_by_event(t):
     return stats.auc(t("val"), "burned", "composite_score", ["event_id"]).select("event_id", "n", "n_pos", r6("auc", "auc"))
 
 
-@query()
+def _mix_sql(name: str, rows: str, keep: str) -> str:
+    """``rows`` (a FROM clause with a column x) with x mixed, in steps."""
+    for _ in range(2):
+        rows = f"(SELECT {keep}, xor(x, x >> 16) * {resample.FACTOR} & 4294967295 AS x FROM {rows})"
+    return f"{name} AS MATERIALIZED (SELECT {keep}, xor(x, x >> 16) AS x FROM {rows})"
+
+
+def _bootstrap_sql(rounds: int = 1000, seed: int = 42) -> str:
+    """The same hash draws, a row for each score, class and round; counts beyond those drawn by inversion don't occur."""
+    edges = ", ".join(f"({m}, [{', '.join(f'({e!r})::DOUBLE' for e in resample.poisson_edges(m))}])" for m in range(1, resample.INVERTED + 1))
+    keys = ", ".join(f"({r}, {c}, {int(k)})" for c in (0, 1) for r, k in enumerate(resample.round_keys(rounds, seed + c)))
+    return (
+        with_views("val")
+        + f", edges(m, e) AS (VALUES {edges}), keys(r, c, k) AS (VALUES {keys}), f AS (SELECT event_id, composite_score AS v, CAST(sum(burned) AS BIGINT) AS p, CAST(count(*) - sum(burned) AS BIGINT) AS q, CAST(CAST(CAST(composite_score AS DOUBLE) AS BIT) AS BIGINT) AS bits FROM val GROUP BY 1, 2), "
+        + _mix_sql("high", "(SELECT event_id, v, p, q, bits, bits >> 32 & 4294967295 AS x FROM f)", "event_id, v, p, q, bits")
+        + ", "
+        + _mix_sql("vkeys", "(SELECT event_id, v, p, q, xor(bits & 4294967295, x) AS x FROM high)", "event_id, v, p, q")
+        + ", "
+        + _mix_sql("h", "(SELECT event_id, v, c, r, CASE c WHEN 0 THEN p ELSE q END AS m, xor(vkeys.x, k) AS x FROM vkeys, keys)", "event_id, v, c, r, m")
+        + ", w AS (SELECT event_id, v, c, r, CASE WHEN h.m = 0 THEN 0 ELSE len(list_filter(e, lambda y: y < (x + 0.5) / 4294967296)) END AS n FROM h LEFT JOIN edges ON edges.m = h.m), "
+        "b AS (SELECT event_id, r, v, sum(n) FILTER (WHERE c = 0) AS p, sum(n) FILTER (WHERE c = 1) AS q FROM w GROUP BY 1, 2, 3), "
+        "o AS (SELECT event_id, r, p, q, sum(q) OVER (PARTITION BY event_id, r ORDER BY v) - q / 2.0 AS below FROM b), "
+        "a AS (SELECT event_id, r, sum(p * below) / sum(p) / sum(q) AS a FROM o GROUP BY 1, 2 HAVING sum(p) > 0 AND sum(q) > 0), "
+        "i AS (SELECT event_id, quantile_cont(a, 0.025) AS low, quantile_cont(a, 0.975) AS high FROM a GROUP BY 1), "
+        f"t AS ({_auc_sql('composite_score', 'event_id')}) SELECT t.event_id, round(t.auc, 6) AS auc, round(low, 6) AS low, round(high, 6) AS high FROM t LEFT JOIN i ON i.event_id = t.event_id"
+    )
+
+
+@query(_bootstrap_sql())
 def stat2_bootstrap_interval(t):
     d = stats.bootstrap_auc(t("val"), "burned", "composite_score", "event_id", rounds=1000)
     return d.select("event_id", r6("auc", "auc"), r6("low", "low"), r6("high", "high"))

@@ -186,3 +186,73 @@ def test_layers_of_executors(spark, tmp_path):
     parts.write_geotiff_tiles(pixels, str(tmp_path / "t"), 0.0, 100.0, 1.0, 1.0, tile=4)
     tiles = files.read_geotiff(spark, str(tmp_path / "t" / "*.tif")).where("v is not null").select("x", "y", "v").collect()
     assert sorted(map(tuple, tiles)) == [(0.5, 99.5, 1.0), (9.5, 94.5, 2.0)]
+
+
+@pytest.fixture
+def archive():
+    """A server of detections by day; ``asked`` has the requests, ``bad`` days that get an error message, ``down`` days without an answer."""
+    from datetime import date, timedelta
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            _, start, days = self.path.strip("/").split("/")
+            self.server.asked.append((start, int(days)))
+            every = [date.fromisoformat(start) + timedelta(days=i) for i in range(int(days))]
+            if any(d.isoformat() in self.server.down for d in every):
+                self.send_response(404)
+                self.end_headers()
+                return
+            body = "latitude,longitude,bright_ti4,acq_date,acq_time,frp\n" + "".join(f"38.{d.day},23.5,300,{d},1230,{d.day}.5\n" for d in every if d.day % 2)
+            if any(d.isoformat() in self.server.bad for d in every):
+                body = "Invalid MAP_KEY."
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.asked, server.bad, server.down = [], set(), set()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    server.url = f"http://127.0.0.1:{server.server_port}/d/{{start}}/{{days}}"
+    yield server
+    server.shutdown()
+
+
+def test_hotspots_are_appended_and_resumed(spark, tmp_path, archive):
+    from datetime import date, timedelta
+
+    from kindler.sources import hotspots
+
+    where = (archive.url, str(tmp_path / "t"), str(tmp_path / "c"), "2024-01-01")
+    get = lambda last, **o: hotspots.append_hotspots(spark, *where, last, step=10, wait="0.01", **o)
+    days = lambda last: sorted(d for i in range((date.fromisoformat(last) - date(2024, 1, 1)).days + 1) if (d := date(2024, 1, 1) + timedelta(days=i)).day % 2)
+    assert sorted(r["acq_date"] for r in get("2024-01-12").collect()) == days("2024-01-12")
+    assert sorted(archive.asked) == [("2024-01-01", 5), ("2024-01-06", 5), ("2024-01-11", 2)]
+    archive.asked.clear()
+    assert get("2024-01-12").count() == len(days("2024-01-12")) and not archive.asked  # nothing is missing
+    archive.bad.add("2024-01-26")
+    with pytest.raises(Exception, match="acq_date"):
+        get("2024-02-05")
+    kept = spark.read.parquet(where[1])
+    assert sorted(r["acq_date"] for r in kept.collect()) == days("2024-01-22")  # the step before the bad one stays
+    archive.bad.clear()
+    archive.asked.clear()
+    rows = get("2024-02-05").collect()
+    assert sorted(r["acq_date"] for r in rows) == days("2024-02-05") and min(s for s, _ in archive.asked) == "2024-01-23"
+    assert {r["frp"] for r in rows if r["acq_date"] == date(2024, 1, 3)} == {3.5} and {r["confidence"] for r in rows} == {None}
+    archive.down.add("2024-02-07")
+    with pytest.raises(Exception):  # noqa: B017
+        get("2024-02-08", tries="1")
+
+
+@pytest.mark.parametrize("text", ["", "\n", "latitude,longitude,acq_date\n"])
+def test_answers_without_rows(text):
+    from datetime import date
+
+    from kindler.sources import hotspots
+
+    assert list(hotspots.parsed(text, date(2024, 1, 1))) == []
+    with pytest.raises(ValueError):
+        list(hotspots.parsed("latitude,longitude,acq_date\n1,2\n", date(2024, 1, 1)))
