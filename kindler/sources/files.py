@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tiles import Layout
+
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
@@ -109,37 +111,14 @@ def write_geopackage(path: str, layer: str, rows: list[tuple], columns: list[str
 
 def tiff_band(data: bytes):
     """(array, x0, y0, x step, y step, nodata) of the first band."""
-    order = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack_from(f"{order}I", data, 4)[0]
-    sizes = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8)}
-    tags: dict = {}
-    for i in range(struct.unpack_from(f"{order}H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
-        code, width = sizes.get(kind, ("B", 1))
-        where = at + 10 + 12 * i
-        if n * width > 4:
-            where = struct.unpack_from(f"{order}I", data, where)[0]
-        tags[tag] = data[where : where + n] if kind == 2 else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", data, where)
-    w, h = tags[256][0], tags[257][0]
-    bits, form = tags.get(258, (1,))[0], tags.get(339, (1,))[0]
-    dtype = np.dtype(f"{order}{'uif'[form - 1]}{bits // 8}")
-    tiled = 322 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (w, tags.get(278, (h,))[0])
-    offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across = -(-w // tw)
-    out = np.zeros((-(-h // th) * th, across * tw), dtype)
-    for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-        block = data[o : o + c]
-        block = zlib.decompress(block) if tags.get(259, (1,))[0] in (8, 32946) else block
-        a = np.frombuffer(block, dtype)
-        rows = len(a) // tw
-        a = a[: rows * tw].reshape(rows, tw)
-        if tags.get(317, (1,))[0] == 2:
-            a = np.cumsum(a, axis=1, dtype=dtype)
-        out[i // across * th : i // across * th + rows, i % across * tw : (i % across + 1) * tw] = a
-    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    nodata = float(tags[42113].split(b"\0")[0]) if 42113 in tags else None
-    return out[:h, :w], tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], scale[1], nodata
+    lay = Layout(lambda at, size: data[at : at + size])
+    out = np.zeros((-(-lay.height // lay.tile_height) * lay.tile_height, lay.across * lay.tile_width), lay.dtype)
+    for i, (at, size) in enumerate(zip(lay.offsets, lay.sizes, strict=True)):
+        if not size:
+            continue
+        a, r, c = lay.block(data[at : at + size]), i // lay.across * lay.tile_height, i % lay.across * lay.tile_width
+        out[r : r + len(a), c : c + lay.tile_width] = a
+    return out[: lay.height, : lay.width], lay.x0, lay.y0, lay.dx, lay.dy, lay.nodata
 
 
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
@@ -159,12 +138,22 @@ def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).mapInPandas(decode, "path string, row long, col long, x double, y double, v double").withColumn("v", F.nanvl("v", F.lit(None)))
 
 
-def geotiff_bytes(a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None) -> bytes:
-    """One deflated strip, as the bytes of a file."""
+def geotiff_bytes(a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None, tile: int | None = None) -> bytes:
+    """The bytes of a file: one deflated strip, or deflated blocks of ``tile`` x ``tile`` (a multiple of 16)."""
     a = np.ascontiguousarray(a.astype(a.dtype.newbyteorder("<")))
-    body = zlib.compress(a.tobytes())
+    h, w = a.shape
+    if tile:
+        full = np.full((-(-h // tile) * tile, -(-w // tile) * tile), nodata or 0, a.dtype)
+        full[:h, :w] = a
+        bodies = [zlib.compress(np.ascontiguousarray(full[r : r + tile, c : c + tile]).tobytes()) for r in range(0, h, tile) for c in range(0, w, tile)]
+    else:
+        bodies = [zlib.compress(a.tobytes())]
+    at = (8 + np.cumsum([0, *map(len, bodies[:-1])])).tolist()
+    body = b"".join(bodies)
     form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    tags = [(256, 4, (a.shape[1],)), (257, 4, (a.shape[0],)), (258, 3, (a.dtype.itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (273, 4, (8,)), (277, 3, (1,)), (278, 4, (a.shape[0],)), (279, 4, (len(body),)), (339, 3, (form,)), (33550, 12, (dx, dy, 0.0)), (33922, 12, (0.0, 0.0, 0.0, x0, y0, 0.0))]
+    where, sizes = (4, tuple(at)), (4, tuple(map(len, bodies)))
+    blocks = [(322, 4, (tile,)), (323, 4, (tile,)), (324, *where), (325, *sizes)] if tile else [(273, *where), (278, 4, (h,)), (279, *sizes)]
+    tags = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (a.dtype.itemsize * 8,)), (259, 3, (8,)), (262, 3, (1,)), (277, 3, (1,)), *blocks, (339, 3, (form,)), (33550, 12, (dx, dy, 0.0)), (33922, 12, (0.0, 0.0, 0.0, x0, y0, 0.0))]
     if nodata is not None:
         tags.append((42113, 2, str(nodata).encode() + b"\0"))
     directory, extra = b"", b""
@@ -173,11 +162,11 @@ def geotiff_bytes(a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nod
     for tag, kind, v in sorted(tags, key=lambda t: t[0]):
         raw = v if kind == 2 else struct.pack(f"<{len(v)}{ {3: 'H', 4: 'I', 12: 'd'}[kind]}", *v)
         if len(raw) > 4:
-            where, extra = struct.pack("<I", spill + len(extra)), extra + raw + b"\0" * (len(raw) % 2)
+            place, extra = struct.pack("<I", spill + len(extra)), extra + raw + b"\0" * (len(raw) % 2)
         else:
-            where = raw.ljust(4, b"\0")
-        directory += struct.pack("<HHI", tag, kind, len(v)) + where
-    return (b"II*\0" + struct.pack("<I", start) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + directory + struct.pack("<I", 0) + extra)
+            place = raw.ljust(4, b"\0")
+        directory += struct.pack("<HHI", tag, kind, len(v)) + place
+    return b"II*\0" + struct.pack("<I", start) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(tags)) + directory + struct.pack("<I", 0) + extra
 
 
 def write_geotiff(path: str, a: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float | None = None) -> None:

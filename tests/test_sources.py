@@ -256,3 +256,80 @@ def test_answers_without_rows(text):
     assert list(hotspots.parsed(text, date(2024, 1, 1))) == []
     with pytest.raises(ValueError):
         list(hotspots.parsed("latitude,longitude,acq_date\n1,2\n", date(2024, 1, 1)))
+
+
+@pytest.fixture
+def store():
+    """Files behind HTTP with byte ranges; ``sent`` counts bytes, ``busy`` paths fail once."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            s, name = self.server, self.path.strip("/")
+            if name in s.busy:
+                s.busy.discard(name)
+                return self.answer(503, b"")
+            if name not in s.files:
+                return self.answer(404, b"")
+            data, asked = s.files[name], self.headers.get("Range")
+            if asked and not name.startswith("plain"):
+                a, b = (int(v) for v in asked.removeprefix("bytes=").split("-"))
+                return self.answer(206, data[a : b + 1])
+            return self.answer(200, data)
+
+        def answer(self, code, body):
+            self.server.sent += len(body)
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.files, server.busy, server.sent = {}, set(), 0
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    server.url = f"http://127.0.0.1:{server.server_port}"
+    yield server
+    server.shutdown()
+
+
+def test_raster_tiles_read_only_what_a_box_needs(spark, store):
+    from kindler.sources import tiles
+
+    a = np.random.RandomState(1).rand(700, 900)
+    a[10, 20] = -9999
+    store.files = {"a.tif": files.geotiff_bytes(a, 20.0, 40.0, 0.001, 0.001, -9999.0, tile=64), "plain.tif": files.geotiff_bytes(a[:50, :60].astype(np.int16), 30.0, 40.0, 0.1, 0.1)}
+    assert np.array_equal(files.tiff_band(store.files["a.tif"])[0], a)
+    store.busy = {"a.tif"}
+    at = {"A": [f"{store.url}/gone.tif", f"{store.url}/a.tif"], "B": [f"{store.url}/plain.tif"], "C": [f"{store.url}/none.tif"]}
+    d = tiles.raster_tiles(spark, at, (20.1, 39.7, 20.2, 39.8), wait="0.01")
+    got = {(r["row"], r["col"]): r["v"] for r in d.collect()}
+    want = {(r, c): a[r, c] for r in range(700) for c in range(900) if 39.7 <= 40 - (r + 0.5) * 0.001 <= 39.8 and 20.1 <= 20 + (c + 0.5) * 0.001 <= 20.2}
+    assert got == want and len(got) == 10_000
+    assert store.sent < 0.25 * len(store.files["a.tif"]) + len(store.files["plain.tif"])
+    # bounds in filters reach the source as well
+    store.sent = 0
+    one = tiles.raster_tiles(spark, {"A": at["A"]}, wait="0.01").where("x >= 20.0 and x < 20.03 and y > 39.98")
+    assert one.count() == 600 and store.sent < 120_000
+    assert one.where("v is null").select("row", "col").collect() == [(10, 20)]
+    assert tiles.raster_tiles(spark, {"B": at["B"], "C": at["C"]}).groupBy("tile").count().collect() == [("B", 3000)]
+    with pytest.raises(Exception, match="no address"):
+        tiles.raster_tiles(spark, {"C": at["C"]}, missing="fail").count()
+    known = spark.createDataFrame([("A", "https://x/a.tif")], "tile_id string, url string")
+    assert tiles.addresses(known, ["A", "B"], "https://y/{tile}.tif") == {"A": ["https://x/a.tif", "https://y/A.tif"], "B": ["https://y/B.tif"]}
+
+
+def test_block_predictors():
+    import zlib
+
+    from kindler.sources import tiles
+
+    lay = object.__new__(tiles.Layout)
+    a = np.random.RandomState(2).rand(5, 8).astype("<f4")
+    lay.tile_width, lay.dtype, lay.packed, lay.predictor = 8, np.dtype("<f4"), 8, 3
+    planes = a.astype(">f4").view(np.uint8).reshape(5, 8, 4).transpose(0, 2, 1).reshape(5, 32)
+    assert np.array_equal(lay.block(zlib.compress(np.diff(planes, axis=1, prepend=np.uint8(0)).tobytes())), a)
+    b = np.random.RandomState(3).randint(0, 60_000, (4, 8)).astype("<u2")
+    lay.dtype, lay.predictor = np.dtype("<u2"), 2
+    assert np.array_equal(lay.block(zlib.compress(np.diff(b, axis=1, prepend=np.uint16(0)).astype("<u2").tobytes())), b)
