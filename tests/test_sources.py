@@ -333,3 +333,52 @@ def test_block_predictors():
     b = np.random.RandomState(3).randint(0, 60_000, (4, 8)).astype("<u2")
     lay.dtype, lay.predictor = np.dtype("<u2"), 2
     assert np.array_equal(lay.block(zlib.compress(np.diff(b, axis=1, prepend=np.uint16(0)).astype("<u2").tobytes())), b)
+
+
+@pytest.fixture
+def service():
+    from urllib.parse import parse_qs, urlparse
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            self.server.asked.append((q["typeName"], int(q["startIndex"]), int(q["count"]), q["BBOX"]))
+            made = self.server.layers.get(q["typeName"])
+            self.send_response(400 if made is None else 200)
+            self.end_headers()
+            if isinstance(made, list):
+                a = int(q["startIndex"])
+                made = {"features": made[a : a + int(q["count"])], **({"numberMatched": len(made)} if self.server.tells else {"numberMatched": "unknown"})}
+            self.wfile.write(made.encode() if isinstance(made, str) else json.dumps(made or {}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.layers, server.asked, server.tells = {}, [], True
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    server.url = f"http://127.0.0.1:{server.server_port}/wfs"
+    yield server
+    server.shutdown()
+
+
+def test_first_layer_with_features_is_read_in_pages(spark, service):
+    from kindler.sources import features
+
+    ring = [[0, 0], [4, 0], [4, 4], [0, 0]]
+    square = {"type": "Polygon", "coordinates": [ring, [[1, 0.5], [2, 0.5], [2, 1], [1, 0.5]]]}
+    both = {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}
+    fires = [{"id": i, "properties": {"FIREDATE": f"20{10 + i % 9}-07-01T00:00", "AREA_HA": 2.5 * i, "name": None}, "geometry": (square, both, None)[i % 3]} for i in range(7)]
+    service.layers = {"broken": "<html>no</html>", "empty": [], "fires": fires, "later": fires}
+    read = lambda *layers: features.feature_layers(spark, service.url, list(layers), (23.0, 37.0, 24.0, 38.0), page=3, wait="0.01")
+    rows = read("gone", "broken", "empty", "fires", "later").collect()
+    assert sorted(r["id"] for r in rows) == [str(i) for i in range(7)] and {r["layer"] for r in rows} == {"fires"}
+    assert [[[(p["x"], p["y"]) for p in ring] for ring in part] for part in next(r for r in rows if r["id"] == "1")["parts"]] == [[[tuple(map(float, p)) for p in ring]]] * 2
+    assert sorted({a[:3] for a in service.asked if a[0] == "fires"}) == [("fires", 0, 1), ("fires", 0, 3), ("fires", 3, 3), ("fires", 6, 3)]
+    assert not [a for a in service.asked if a[0] == "later"] and {a[3] for a in service.asked} == {"37.0,23.0,38.0,24.0,EPSG:4326"}
+    made = features.fires_or_known(spark, read("fires")).collect()
+    assert sorted((r["fire_id"], r["year"], r["area_ha"]) for r in made) == [(str(i), 2010 + i % 9, 2.5 * i) for i in range(7) if i % 3 < 2]
+    service.tells = False
+    assert read("fires").count() == 3  # one page where the number is not told
+    known = features.fires_or_known(spark, read("gone", "empty"))
+    assert known.count() == 27 and known.where("size(parts[0][0]) = 256").count() == 27
