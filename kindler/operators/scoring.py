@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import row_mean
 from .stats import percentile_ranks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
+
 
 def eligibility(df: DataFrame, features: list[str], most_null: float = 0.5) -> dict[str, str]:
     """Reason for each feature that cannot be scored: all-NULL, high-NULL (more than ``most_null``) or zero-variance. One pass."""
@@ -79,11 +83,12 @@ def weight_draws(weights: dict[str, float], rounds: int = 500, spread: float = 0
 def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds: int = 500, spread: float = 0.05, seed: int = 42, top: float = 0.10) -> DataFrame:
     """key, stability: the share of rounds in which a row of the unperturbed top ``top`` stays in the top.
 
-    Each round needs only its cut-off score.  Approximate quantiles bound it from
-    both sides; rows above the band are counted and the distinct scores within it
-    are ranked, so the cut-off is exact and no task holds all scores.  Ties at a
-    cut-off are won by rows above it and then by the smallest key in the base
-    ranking.
+    Each round needs only its cut-off score, which histograms of all rounds narrow
+    down: a pass over the rows counts each round's scores in equal steps between
+    its bounds, and the step that holds the cut-off is divided again, until few
+    different scores are left in it.  Tasks send counts, as many as rounds times
+    steps, however many rows they have.  Ties at a cut-off are won by rows above it
+    and then by the smallest key in the base ranking.
     """
     from .stats import top_fraction
 
@@ -92,10 +97,7 @@ def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds:
     most = max(1, -int(-n * top // 1))
     base = top_fraction(composite(df, weights, "_s"), "_s", key, top).select(key, *cols)
     draws = weight_draws(weights, rounds, spread, seed)
-    bars = []
-    for a in range(0, rounds, 100):
-        part = draws[a : a + 100]
-        bars += [[*ws, cut - 1e-12] for ws, cut in zip(part, _cuts(df, cols, part, n, most), strict=True)]
+    bars = [[*ws, cut - 1e-12] for ws, cut in zip(draws, _cuts(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, draws, n, most), strict=True)]
     base = base.withColumn("_k", F.size(F.filter(_constant(bars), lambda d: _score(cols, d) >= d[len(cols)])))
     return base.select(key, (F.col("_k") / rounds).alias("stability"))
 
@@ -109,16 +111,116 @@ def _score(cols: list[str], d: Column) -> Column:
     return sum((F.col(c) * d[i] for i, c in enumerate(cols)), F.lit(0.0))
 
 
-def _cuts(df: DataFrame, cols: list[str], draws: list[list[float]], n: int, most: int, accuracy: int = 10_000) -> list[float]:
+#: Steps of a round's histogram; different scores of a round that are ranked at last.
+STEPS, LEFT = 256, 512
+
+
+def _totals(columns: list, draws):
+    """Weighted sums, a row for each round, added up in the order of the columns."""
+    total = 0.0
+    for c, w in zip(columns, draws.T, strict=True):
+        total = total + w[:, None] * c[None, :]
+    return total
+
+
+def _chunks(batches, cols: list[str]):
+    """Columns of 1,024 rows at most; rows with a missing score are left out."""
+    import numpy as np
+
+    for b in batches:
+        x = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
+        good = ~np.isnan(np.stack(x)).any(axis=0)
+        for at in range(0, int(good.sum()), 1024):
+            yield [c[good][at : at + 1024] for c in x]
+
+
+def _cuts(df: DataFrame, cols: list[str], draws: list[list[float]], n: int, most: int) -> list[float]:
     """The ``most``-th highest weighted sum of each draw."""
+    import numpy as np
+    import pyarrow as pa
+
+    rounds = len(draws)
     if not n:
-        return [0.0] * len(draws)
-    share = 1 - (most - 1) / max(1, n - 1)
-    low, high = max(0.0, share - 3 / accuracy), min(1.0, share + 3 / accuracy)
-    rows = df.select(F.posexplode(F.transform(_constant(draws), lambda d: _score(cols, d))).alias("r", "s"))
-    ends = {r["r"]: r["e"] for r in rows.groupBy("r").agg(F.percentile_approx("s", [low, high], accuracy).alias("e")).collect()}  # a row for each draw
-    band = _constant([[ends[i][0] if low > 0 else float("-inf"), ends[i][1] if high < 1 else float("inf")] for i in range(len(draws))])
-    inside = rows.withColumn("e", F.get(band, F.col("r"))).where("s >= e[0]").select("r", F.least("s", F.col("e")[1]).alias("s"))  # all rows above the band are one value
-    c = F.sum("n").over(Window.partitionBy("r").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    found = inside.groupBy("r", "s").agg(F.count("*").alias("n")).withColumn("c", c).where((F.col("c") >= most) & (F.col("c") - F.col("n") < most)).select("r", "s").collect()
-    return [s for _, s in sorted((r["r"], r["s"]) for r in found)]
+        return [0.0] * rounds
+    w = np.array(draws)
+    ends = df.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(cols) for name, f in (("a", F.min), ("b", F.max))]).first()
+    sides = np.array([[ends[f"a{i}"], ends[f"b{i}"]] for i in range(len(cols))], float)
+    if np.isnan(sides).any():
+        return [0.0] * rounds
+    both = w[:, :, None] * sides[None, :, :]
+    low, high = both.min(axis=2).sum(axis=1), both.max(axis=2).sum(axis=1)
+    slack = 1e-9 * (1 + np.abs(low) + np.abs(high))
+    low, high = low - slack, high + slack
+    rank = np.full(rounds, most)  # from the top of the interval
+
+    def counted(low, high):
+        def run(batches):
+            total = np.zeros((rounds, STEPS + 2), np.int64)
+            for x in _chunks(batches, cols):
+                s = _totals(x, w)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    step = np.clip(np.floor((s - low[:, None]) / (high - low)[:, None] * STEPS), 0, STEPS - 1).astype(np.int64)
+                step[s < low[:, None]], step[s > high[:, None]] = STEPS, STEPS + 1
+                np.add.at(total, (np.arange(rounds)[:, None], step), 1)
+            yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(list(total), pa.list_(pa.int64()))], names=["r", "n"])
+
+        return run
+
+    for _ in range(12):
+        per = df.mapInArrow(counted(low, high), "r int, n array<long>").select("r", F.posexplode("n").alias("i", "c")).where("c > 0").groupBy("r", "i").agg(F.sum("c").alias("c")).collect()  # rounds x steps
+        total = np.zeros((rounds, STEPS + 2), np.int64)
+        for r in per:
+            total[r["r"], r["i"]] = r["c"]
+        above = np.cumsum(total[:, STEPS - 1 :: -1], axis=1)  # from the highest step down
+        at = np.minimum((above < rank[:, None]).sum(axis=1), STEPS - 1)
+        own, step = np.arange(rounds), STEPS - 1 - at
+        held = total[own, step]
+        wide = (high - low) / STEPS
+        # bounds with room for rounding; the rank is counted anew among what lies above the new upper bound
+        new_low, new_high = np.maximum(low, low + step * wide - 1e-12), np.minimum(high, low + (step + 1) * wide + 1e-12)
+        if held.max() <= LEFT or (new_high - new_low <= 4e-12).all():
+            low, high = new_low, new_high
+            break
+        over = df.mapInArrow(_over(cols, w, new_high, rounds), "r int, c long").groupBy("r").agg(F.sum("c").alias("c")).collect()
+        beyond = np.zeros(rounds, np.int64)
+        for r in over:
+            beyond[r["r"]] = r["c"]
+        low, high, rank = new_low, new_high, most - beyond
+
+    def values(batches):
+        found: dict = {}
+        for x in _chunks(batches, cols):
+            s = _totals(x, w)
+            for r, c in zip(*np.nonzero((s >= low[:, None]) & (s <= high[:, None])), strict=True):
+                found[int(r), float(s[r, c])] = found.get((int(r), float(s[r, c])), 0) + 1
+        rows = [(r, v, k) for (r, v), k in found.items()]
+        yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], names=["r", "v", "k"])
+
+    beyond = {r["r"]: r["c"] for r in df.mapInArrow(_over(cols, w, high, rounds), "r int, c long").groupBy("r").agg(F.sum("c").alias("c")).collect()}
+    left: dict = {}
+    for r in df.mapInArrow(values, "r int, v double, k long").groupBy("r", "v").agg(F.sum("k").alias("k")).collect():  # few for each round
+        left.setdefault(r["r"], []).append((r["v"], r["k"]))
+    out = []
+    for r in range(rounds):
+        seen, cut = beyond.get(r, 0), float(low[r])
+        for v, k in sorted(left.get(r, []), reverse=True):
+            seen, cut = seen + k, v
+            if seen >= most:
+                break
+        out.append(cut)
+    return out
+
+
+def _over(cols: list[str], w, bound, rounds: int):
+    """Counts of scores above each round's bound."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(rounds, np.int64)
+        for x in _chunks(batches, cols):
+            total += (_totals(x, w) > bound[:, None]).sum(axis=1)
+        yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total)], names=["r", "c"])
+
+    return run
