@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from ..functions.fire_weather import DC_DAY_LENGTH, DMC_DAY_LENGTH, START
+from ..functions import fire_weather as W
 
-CODES = "cell long, day date, ffmc double, dmc double, dc double, isi double, bui double, fwi double"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
 
 def windowed(stream: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -19,60 +22,104 @@ def windowed(stream: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "cell").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("high"))
 
 
-def _day(state: tuple[float, float, float], t: float, h: float, w: float, r: float, month: int):
-    """The codes of one day from those of the day before."""
-    from math import exp, log, sqrt
-
-    f0, p0, c0 = state
-    m = 147.2 * (101 - f0) / (59.5 + f0)
-    if r > 0.5:
-        rf, m0 = r - 0.5, m
-        m = m0 + 42.5 * rf * exp(-100 / (251 - m0)) * (1 - exp(-6.93 / rf))
-        if m0 > 150:
-            m += 0.0015 * (m0 - 150) ** 2 * sqrt(rf)
-        m = min(m, 250.0)
-    shared = 0.18 * (21.1 - t) * (1 - exp(-0.115 * h))
-    dry, wet = (a * h**b + c * exp((h - 100) / 10) + shared for a, b, c in ((0.942, 0.679, 11.0), (0.618, 0.753, 10.0)))
-    rate = lambda x: (0.424 * (1 - x**1.7) + 0.0694 * sqrt(w) * (1 - x**8)) * 0.581 * exp(0.0365 * t)
-    if m > dry:
-        m = dry + (m - dry) * 10 ** -rate(h / 100)
-    elif m < wet:
-        m = wet - (wet - m) * 10 ** -rate((100 - h) / 100)
-    f = min(max(59.5 * (250 - m) / (147.2 + m), 0.0), 101.0)
-    p = p0
-    if r > 1.5:
-        re = 0.92 * r - 1.27
-        b = 100 / (0.5 + 0.3 * p0) if p0 <= 33 else 14 - 1.3 * log(max(p0, 1)) if p0 <= 65 else 6.2 * log(max(p0, 1)) - 17.2
-        p = max(244.72 - 43.43 * log(max(exp(5.6348 - p0 / 43.43) + 1000 * re / (48.77 + b * re), 1.0)), 0.0)
-    p += 0.0 if t < -1.1 else 100 * 1.894 * (t + 1.1) * (100 - h) * DMC_DAY_LENGTH[month - 1] * 1e-6
-    c = c0
-    if r > 2.8:
-        c = max(400 * log(800 / max(800 * exp(-c0 / 400) + 3.937 * (0.83 * r - 1.27), 1e-6)), 0.0)
-    c += 0.0 if t < -2.8 else max((0.36 * (t + 2.8) + DC_DAY_LENGTH[month - 1]) / 2, 0.0)
-    return f, p, c
+def _next(codes: tuple, t: float, h: float, wind: float, rain: float, month: int) -> tuple:
+    """FFMC, DMC and DC of one day from those of the day before."""
+    t, h, wind, rain, ffmc, dmc, dc = (W.np.float64(v) for v in (t, h, wind, rain, *codes))
+    with W.np.errstate(all="ignore"):
+        made = W.ffmc_next(ffmc, t, h, wind, rain, W.Arrays), W.dmc_next(dmc, t, h, rain, month, W.Arrays), W.dc_next(dc, t, rain, month, W.Arrays)
+    return tuple(float(v) for v in made)
 
 
-def _codes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    from math import exp, log
+_BEGIN = (W.START["ffmc"], W.START["dmc"], W.START["dc"])
+#: What the recursion hands on; the closing indices follow from it without state.
+_CARRIED = "cell long, day date, wind double, ffmc double, dmc double, dc double"
+
+
+def _closed(codes: DataFrame) -> DataFrame:
+    i, u = W.isi(F.col("ffmc"), F.col("wind")), W.bui(F.col("dmc"), F.col("dc"))
+    return codes.select("cell", "day", "ffmc", "dmc", "dc", i.alias("isi"), u.alias("bui"), W.fwi(i, u).alias("fwi"))
 
-    year, *now = state.get if state.exists else (0, START["ffmc"], START["dmc"], START["dc"])
+
+def _codes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    year, *now = state.get if state.exists else (0, *_BEGIN)
     rows = pd.concat(list(parts)).sort_values("day")
     out = []
     for day, t, h, w, r in rows[["day", "t", "h", "wind", "rain"]].itertuples(index=False):
         if day.year != year:
-            year, now = day.year, [START["ffmc"], START["dmc"], START["dc"]]
-        now = _day(tuple(now), t, h, w, r, day.month)
-        f, p, c = now
-        m = 147.2 * (101 - f) / (59.5 + f)
-        isi = 0.208 * exp(0.05039 * w) * 91.9 * exp(-0.1386 * m) * (1 + m**5.31 / 49300000)
-        both = p + 0.4 * c
-        bui = max((0.8 * p * c / both if p <= 0.4 * c else p - (1 - 0.8 * c / both) * (0.92 + (0.0114 * p) ** 1.7)) if both else 0.0, 0.0)
-        b = 0.1 * isi * (0.626 * bui**0.809 + 2 if bui <= 80 else 1000 / (25 + 108.64 * exp(-0.023 * bui)))
-        out.append((key[0], day, f, p, c, isi, bui, exp(2.72 * (0.434 * log(b)) ** 0.647) if b > 1 else max(b, 0.0)))
+            year, now = day.year, _BEGIN
+        now = _next(tuple(now), t, h, w, r, day.month)
+        out.append((key[0], day, w, *now))
     state.update((year, *now))
-    yield pd.DataFrame(out, columns=["cell", "day", "ffmc", "dmc", "dc", "isi", "bui", "fwi"])
+    yield pd.DataFrame(out, columns=["cell", "day", "wind", "ffmc", "dmc", "dc"])
 
 
 def stream_codes(stream: DataFrame) -> DataFrame:
     """Codes for a stream of (cell, day, t, h, wind, rain) whose days come in order; state is three numbers and a year by cell."""
-    return stream.groupBy("cell").applyInPandasWithState(_codes, CODES, "year int, ffmc double, dmc double, dc double", "append", GroupStateTimeout.NoTimeout)
+    made = stream.groupBy("cell").applyInPandasWithState(_codes, _CARRIED, "year int, ffmc double, dmc double, dc double", "append", GroupStateTimeout.NoTimeout)
+    return _closed(made)
+
+
+_DAY_MS = 86_400_000
+
+
+class _Recursion(StatefulProcessor):
+    """Days wait by cell until the watermark has passed them, and are then taken in their order."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "day long, ffmc double, dmc double, dc double")
+        self.waiting = handle.getMapState("waiting", "day long", "t double, h double, wind double, rain double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.now.get()[0] if self.now.exists() else -(10**9)
+        for pdf in rows:
+            for day, t, h, wind, rain in zip((pd.to_datetime(pdf["ts"]).astype("int64") // (10**6 * _DAY_MS)).tolist(), *(pdf[c].tolist() for c in ("t", "h", "wind", "rain")), strict=True):
+                if day > last and not self.waiting.containsKey((day,)):
+                    self.waiting.updateValue((day,), (t, h, wind, rain))
+                    self.handle.registerTimer((day + 1) * _DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import datetime
+
+        until = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] < until)
+        out = []
+        last, *codes = self.now.get() if self.now.exists() else (-(10**9), *_BEGIN)
+        for day in due:
+            date = datetime.date(1970, 1, 1) + datetime.timedelta(days=day)
+            if last < (datetime.date(date.year, 1, 1) - datetime.date(1970, 1, 1)).days:
+                codes = _BEGIN
+            t, h, wind, rain = self.waiting.getValue((day,))
+            codes, last = _next(tuple(codes), t, h, wind, rain, date.month), day
+            self.waiting.removeKey((day,))
+            out.append((key[0], date, wind, *codes))
+        if due:
+            self.now.update((last, *codes))
+            self.handle.registerTimer((last + self.idle) * _DAY_MS)
+        elif self.now.exists() and until >= last + self.idle and not any(True for _ in self.waiting.keys()):
+            self.now.clear()  # a cell without days for so long is forgotten
+        if out:
+            yield pd.DataFrame(out, columns=["cell", "day", "wind", "ffmc", "dmc", "dc"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_codes(stream: DataFrame, late: str = "3 days", idle: int = 400) -> DataFrame:
+    """Codes for a stream of (cell, ts, t, h, wind, rain), one row a day, that may come in any order within ``late``.
+
+    A day is taken when the watermark has passed its end, in the order of days, so
+    late days within it give the codes of the batch; later ones are left out, as is
+    a day's second row.  State is three numbers and the waiting days of a cell; a
+    cell that has been silent for ``idle`` days, more than a year, is forgotten,
+    which changes nothing as codes start anew each 1 January.  The query needs the
+    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    if idle < 366:
+        raise ValueError("a cell is kept for a year at least")
+    rows = stream.withWatermark("ts", late).groupBy("cell")
+    return _closed(rows.transformWithStateInPandas(_Recursion(idle), _CARRIED, "append", "EventTime"))

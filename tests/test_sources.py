@@ -382,3 +382,31 @@ def test_first_layer_with_features_is_read_in_pages(spark, service):
     assert read("fires").count() == 3  # one page where the number is not told
     known = features.fires_or_known(spark, read("gone", "empty"))
     assert known.count() == 27 and known.where("size(parts[0][0]) = 256").count() == 27
+
+
+def test_late_days_give_the_codes_of_the_batch(spark, tmp_path):
+    from kindler.functions.fire_weather import daily_codes
+
+    rows = [(c, f"{y}-{m}-{d:02d}", 15.0 + d % 9 + c, 40.0 + c + d % 30, 10.0 + d % 5, float(d % 4) * 2) for c in (1, 2) for y, m, last in ((2018, "12", 31), (2019, "01", 20)) for d in range(20 if m == "12" else 1, last + 1)]
+    w = spark.createDataFrame(rows, "cell long, day string, t double, h double, wind double, rain double").select("cell", F.col("day").cast("timestamp").alias("ts"), "t", "h", "wind", "rain")
+    batch = daily_codes(w.withColumn("day", F.to_date("ts")).drop("ts"), stored="double")
+    # files in an order in which days come up to two days late, one row twice, one far too late, and a last row that closes the stream
+    order = sorted(rows, key=lambda r: (r[1][:8] + f"{int(r[1][8:]) + (2 if int(r[1][8:]) % 3 == 0 else 0):02d}", r[0]))
+    files_ = [order[i : i + 12] for i in range(0, len(order), 12)]
+    files_[2].append(files_[1][0][:2] + (99.0, 1.0, 1.0, 0.0))
+    files_ += [[(3, "2018-12-20", 20.0, 40.0, 10.0, 0.0), (4, "2019-03-01", 20.0, 40.0, 10.0, 0.0)], [(4, "2019-03-02", 20.0, 40.0, 10.0, 0.0)]]
+    for i, part in enumerate(files_):
+        spark.createDataFrame(part, "cell long, day string, t double, h double, wind double, rain double").select("cell", F.col("day").cast("timestamp").alias("ts"), "t", "h", "wind", "rain").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = spark.readStream.schema(w.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = weather.ordered_codes(s).writeStream.format("memory").queryName("late_codes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    key = lambda d: sorted((r["cell"], str(r["day"]), *(round(r[c], 9) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi"))) for r in d.where("cell < 3").collect())
+    assert key(spark.table("late_codes")) == key(batch)
+    with pytest.raises(ValueError):
+        weather.ordered_codes(s, idle=30)
