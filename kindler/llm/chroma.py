@@ -119,49 +119,109 @@ def fingerprints(recordings: DataFrame, id_col: str, wav_col: str) -> DataFrame:
 
 #: Positions of queries in one block: what one recording meets at a time.
 BLOCK_POSITIONS = 1 << 20
-#: Votes that are counted together, unless one recording has more.
-VOTES = 200_000
+#: Pairs of runs that are laid out together; places of queries that travel in one list.
+VOTES, LISTED = 200_000, 256
 
 
-def best_offsets(row: np.ndarray, query: np.ndarray, offset: np.ndarray):
-    """One (row, query, offset) for each row and query that got a vote: most votes, then the smallest shift, then the smaller offset."""
-    order = np.lexsort((offset, query, row))
-    row, query, offset = row[order], query[order], offset[order]
-    edge = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(query) != 0) | (np.diff(offset) != 0)])
-    votes = np.diff(np.r_[edge, len(row)])
-    row, query, offset = row[edge], query[edge], offset[edge]
-    order = np.lexsort((offset, np.abs(offset), -votes, query, row))
-    row, query, offset = row[order], query[order], offset[order]
-    first = np.r_[True, (np.diff(row) != 0) | (np.diff(query) != 0)]
-    return row[first], query[first], offset[first]
+def runs_of(fp, value: str, at: str, length: str):
+    """The runs of equal neighbours of an array that is not empty, as an array of structs."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(fp) - 1), lambda i: (i == 0) | (F.get(fp, i) != F.get(fp, i - 1)))
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(fp)), F.array(F.size(fp)))
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(r["a"].alias(at), (r["b"] - r["a"]).alias(length), F.get(fp, r["a"]).alias(value)))
+
+
+class Votes:
+    """Votes of pairs of runs by (recording, block, query, offset), as changes of slope.
+
+    A run of a recording and an equal one of a query vote for every pair of their
+    places: as a function of the offset that is a trapezoid, which four changes of
+    slope describe however long the runs are.
+    """
+
+    def __init__(self, c, block, q, d, w, n, qn):
+        self.columns = [c, block, q, d, w, n, qn]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, which) -> Votes:
+        return Votes(*(x[which] for x in self.columns))
+
+    @staticmethod
+    def joined(parts: list) -> Votes:
+        return Votes(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
+
+    def combined(self) -> Votes:
+        """Sorted by recording, query and offset, equal ones added up."""
+        c, _, q, d, w, *_ = self.columns
+        order = np.lexsort((d, q, c))
+        c, q, d = c[order], q[order], d[order]
+        edge = np.flatnonzero(np.r_[True, (np.diff(c) != 0) | (np.diff(q) != 0) | (np.diff(d) != 0)]) if len(c) else np.zeros(0, np.int64)
+        out = self.take(order).take(edge)
+        out.columns[4] = np.add.reduceat(w[order], edge) if len(edge) else w
+        return out
+
+    def best(self):
+        """(c, q, offset, n, qn) of each recording and query: most votes, then the smallest shift, then the smaller offset."""
+        c, _, q, d, w, n, qn = self.combined().columns
+        slope = np.cumsum(w)  # back at zero behind each recording and query
+        last = np.r_[(np.diff(c) != 0) | (np.diff(q) != 0), True]
+        end = np.where(last, d, np.r_[d[1:], 0] - 1)
+        reached = np.cumsum(slope * np.where(last, 0, end - d + 1))  # votes at the end of each stretch
+        before = np.r_[0, reached[:-1]]
+        at = np.where(slope > 0, end, np.where(slope < 0, d, np.clip(0, d, end)))
+        votes = np.where(slope > 0, reached, np.where(slope < 0, before + slope, before))
+        order = np.lexsort((at, np.abs(at), -votes, q, c))
+        first = order[np.r_[True, (np.diff(c[order]) != 0) | (np.diff(q[order]) != 0)]]
+        return c[first], q[first], at[first], n[first], qn[first]
+
+
+def _laid_out(batch):
+    """Votes of rows (c, block, n, pos, len, asked), some rows at a time."""
+    asked = batch.column("asked")
+    size = asked.value_lengths().to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    places = asked.flatten()
+    q, qn, at, run = (places.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("q", "qn", "at", "run"))
+    c, block, n, pos, length = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("c", "block", "n", "pos", "len"))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + VOTES, "right")) - 1)
+        rows = np.repeat(np.arange(start, end), size[start:end])
+        own = slice(bounds[start], bounds[end])
+        start = end
+        first = pos[rows] - at[own] - run[own] + 1
+        d = np.concatenate([first, first + length[rows], first + run[own], first + length[rows] + run[own]])
+        w = np.repeat(np.array([1, -1, -1, 1]), len(first))
+        yield Votes(np.tile(c[rows], 4), np.tile(block[rows], 4), np.tile(q[own], 4), d, w, np.tile(n[rows], 4), np.tile(qn[own], 4)).combined()
 
 
 def aligned(batches, least_overlap: int):
-    """Candidates of recordings whose ``hits`` are (pos, asked: the places of the queries that hold the same integer)."""
-    for b in batches:
-        hits = b.column("hits")
-        each = hits.flatten()
-        asked = each.field("asked")
-        places = asked.flatten()
-        size = asked.value_lengths().to_numpy(zero_copy_only=False)
-        votes = np.repeat(np.repeat(np.arange(b.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False)), size)
-        query, at, qn = (places.field(x).to_numpy(zero_copy_only=False) for x in ("q", "at", "qn"))
-        offset = np.repeat(each.field("pos").to_numpy(zero_copy_only=False), size).astype(np.int64) - at
-        c, n = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "n"))
-        length = dict(zip(query.tolist(), qn.tolist(), strict=True))
-        bounds = np.searchsorted(votes, np.arange(b.num_rows + 1))
-        start = 0
-        while start < b.num_rows:
-            end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + VOTES, "right")) - 1)
-            own = slice(bounds[start], bounds[end])
-            start = end
-            if own.start == own.stop:
-                continue
-            r, q, off = best_offsets(votes[own], query[own], offset[own])
-            begin, at_q = np.maximum(off, 0), np.maximum(-off, 0)
-            overlap = np.minimum(n[r] - begin, np.array([length[x] for x in q.tolist()]) - at_q)
-            ok = overlap >= least_overlap
-            yield pa.record_batch([pa.array(c[r][ok], pa.int64()), pa.array(q[ok], pa.int64()), *(pa.array(x[ok], pa.int32()) for x in (off, begin, at_q, overlap))], names=["c", "q", "offset", "begin", "at", "overlap"])
+    """Candidates from hits in the order of (c, block): what is open at a batch's end is its last recording and block."""
+
+    def close(votes: Votes):
+        c, q, off, n, qn = votes.best()
+        begin, at_q = np.maximum(off, 0), np.maximum(-off, 0)
+        overlap = np.minimum(n - begin, qn - at_q)
+        ok = overlap >= least_overlap
+        return pa.record_batch([pa.array(c[ok], pa.int64()), pa.array(q[ok], pa.int64()), *(pa.array(x[ok], pa.int32()) for x in (off, begin, at_q, overlap))], names=["c", "q", "offset", "begin", "at", "overlap"])
+
+    held: list = []
+    for batch in batches:
+        for votes in _laid_out(batch) if batch.num_rows else ():
+            held.append(votes)
+            if sum(map(len, held)) > 4 * VOTES:
+                held = [Votes.joined(held).combined()]
+        if not held:
+            continue
+        every = Votes.joined(held)
+        c, block = every.columns[:2]
+        open_ = (c == batch.column("c")[-1].as_py()) & (block == batch.column("block")[-1].as_py()) if batch.num_rows else np.ones(len(c), bool)
+        if not open_.all():
+            yield close(every.take(~open_))
+        held = [every.take(open_)]
+    if held and len(held[0]):
+        yield close(Votes.joined(held))
 
 
 MATCHES = "array<struct<query_id:bigint,queries:bigint,offset:int,bit_errors:int,bits:int>>"
@@ -171,10 +231,11 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
     """rec, class_id, fp and matches of every row of ``prints`` (rec, fp), against the queries: rows whose rec is divisible by ``every``.
 
     An inverted join: rows with equal fingerprints are one class, and the integers
-    of the classes meet those of the query classes by equi-join.  The places of an
-    integer in the queries travel as one list for each block of queries, so a hit is
-    one row for a place in a recording however many queries share it, and a recording
-    counts the votes of one block at a time.  A match is a
+    of the classes meet those of the query classes by equi-join.  Runs of equal
+    neighbours are one place with a length on both sides, so steady sound is few
+    places.  The places of an integer in the queries travel as lists for each block
+    of queries; hits are read in the order of recordings and blocks, and the votes
+    of one recording and block are added up as they come.  A match is a
     query class that shares an integer with the row and has at most
     ``most_errors`` of its bits wrong at the offset (position in the row minus
     position in the query) with the most votes (ties: the smallest shift, then the
@@ -197,14 +258,17 @@ def search(prints: DataFrame, every: int = 20, most_errors: float = 0.2, least_o
     )
     classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "*"))  # stored, so the numbers stay the same
     asked = classes.where("queries > 0")
-    places = classes.select("c", F.size("fp").alias("n"), F.posexplode("fp").alias("pos", "value"))
+    places = classes.select("c", F.size("fp").alias("n"), F.inline(runs_of(F.col("fp"), "value", "pos", "len")))
     volume = asked.agg(F.sum(F.size("fp"))).first()[0] or 0
     block = F.pmod(F.xxhash64("q"), F.lit(1 + volume // BLOCK_POSITIONS)).alias("block")
-    sought = asked.select(F.col("c").alias("q"), F.size("fp").alias("qn"), F.posexplode("fp").alias("at", "value"))
-    sought = sought.groupBy("value", block).agg(F.collect_list(F.struct("q", "qn", "at")).alias("asked"))
-    hits = hot_join(places, sought, "value", ["c", "pos"], ["block"]).groupBy("c", "n", "block").agg(F.collect_list(F.struct("pos", "asked")).alias("hits"))
+    sought = asked.select(F.col("c").alias("q"), F.size("fp").alias("qn"), F.inline(runs_of(F.col("fp"), "value", "at", "run")))
+    sought = sought.groupBy("value", block).agg(F.collect_list(F.struct("q", "qn", "at", "run")).alias("all"))
+    lists = F.transform(F.sequence(F.lit(0), F.ceil(F.size("all") / LISTED).cast("int") - 1), lambda i: F.slice("all", i * LISTED + 1, F.lit(LISTED)))
+    sought = sought.select("value", "block", F.posexplode(lists).alias("list", "asked"))
+    hits = hot_join(places, sought, "value", ["c", "pos"], ["block", "list"]).select("c", "block", "n", "pos", "len", "asked")
     run = lambda batches: aligned(batches, least_overlap)
-    best = written(hits.select("c", "n", "hits").mapInArrow(run, "c long, q long, offset int, begin int, at int, overlap int"))
+    dealt = hits.repartition("c", "block").sortWithinPartitions("c", "block")
+    best = written(dealt.mapInArrow(run, "c long, q long, offset int, begin int, at int, overlap int"))
     pairs = hot_join(best, classes.select("c", "fp"), "c", ["q"], ["c"])
     pairs = hot_join(pairs, asked.select(F.col("c").alias("q"), F.col("fp").alias("qfp"), "queries", "query_id", "last"), "q", ["c"], ["q"], counted=best)
     # integers are signed: the mask keeps the sign from counting as 32 more bits

@@ -417,6 +417,39 @@ def test_chroma_search_against_brute_force_with_hot_keys(spark, monkeypatch):
         assert got == want
 
 
+def test_long_steady_sound_is_few_votes(spark):
+    """Runs of 20,000 equal integers, and 2,000 that change all the time."""
+    steady, moving = [-7] * 20_000, [3, 5] * 1_000
+    rows = [(0, steady), (1, [9] * 5 + steady), (2, steady[:12_000]), (20, moving), (21, [8] * 3 + moving), (22, steady[:50] + [4] + steady)]
+    got = {x["rec"]: [tuple(m) for m in x["matches"]] for x in chroma.search(spark.createDataFrame(rows, "rec long, fp array<int>"), every=20).collect()}
+    bits = lambda n: 32 * n
+    assert got[0] == [] and got[1] == [(0, 1, 5, 0, bits(20_000))] and got[2] == [(0, 1, 0, 0, bits(12_000))]
+    assert got[20] == [] and got[21] == [(20, 1, 3, 0, bits(2_000))]
+    # 20,000 of the 20,051 places lie on the query's run at offset 51, or 50 of its first ones and 19,949 later at 0
+    assert got[22] == [(0, 1, 51, 0, bits(20_000))]
+
+
+def test_slopes_against_counted_votes():
+    r = np.random.RandomState(4)
+    for _ in range(50):
+        x, y = (np.repeat(r.randint(0, 3, 12), r.randint(1, 6, 12)) for _ in range(2))
+        votes: dict = {}
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                if a == b:
+                    votes[i - j] = votes.get(i - j, 0) + 1
+        parts = []
+        cut = lambda v: [(k[0], len(k), v[k[0]]) for k in np.split(np.arange(len(v)), np.flatnonzero(np.diff(v)) + 1)]
+        for at, n, a in cut(x):
+            for j, m, b in cut(y):
+                if a == b:
+                    d = at - j - m + 1
+                    one = np.zeros(4, np.int64)
+                    parts.append(chroma.Votes(one, one, one, np.array([d, d + n, d + m, d + n + m]), np.array([1, -1, -1, 1]), one, one))
+        if votes:
+            assert chroma.Votes.joined(parts).best()[2].tolist() == [min(votes, key=lambda o: (-votes[o], abs(o), o))]
+
+
 def test_rendered_vectors(spark):
     d = spark.createDataFrame([(1, [0.5] * 8), (2, None), (3, []), (4, [1.0, float("nan")])], "vec_id long, embedding array<float>")
     got = {r["rec"]: r["wav"] is None for r in chroma.rendered(d).collect()}
