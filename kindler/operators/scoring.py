@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import row_mean
+from ..session import checkpointed
 from .stats import percentile_ranks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
@@ -224,3 +225,33 @@ def _over(cols: list[str], w, bound, rounds: int):
         yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(total)], names=["r", "c"])
 
     return run
+
+
+def scoring_run(features: DataFrame, key: str, groups: dict[str, dict[str, str]], weights: dict[str, float], path: str, pair: tuple[str, str], least_rows: int = 80_000, classes: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(scores as written to ``path``, checks): features to group scores, composite, class and the checks that must hold before anything is written.
+
+    ``groups`` has the features and directions of each group score, ``weights`` the
+    groups' weights.  Features that are missing, empty, mostly null or constant are
+    left out; the weight of a group without any left is shared out among the
+    others.  A failed check raises before the table is replaced, and names what
+    failed.
+    """
+    from ..functions.scalars import redistributed
+    from .quality import score_checks
+    from .stats import quantile_class
+
+    wanted = sorted({f for own in groups.values() for f in own})
+    given = [f for f in wanted if f in features.columns]
+    bad = eligibility(features, given) if given else {}
+    alive = {out: own for out, own in groups.items() if any(f in given and f not in bad for f in own)}
+    if not alive:
+        raise ValueError(f"no group has an eligible feature: {bad or 'none present'}")
+    shares = redistributed(weights, list(alive))
+    scored = quantile_class(composite(group_scores(features.select(key, *given), alive), shares), "composite_score", classes=classes)
+    scored = checkpointed(scored.select(key, *alive, "composite_score", "risk_class"))
+    checks = checkpointed(score_checks(scored, ["composite_score", *alive], "risk_class", pair, least_rows=least_rows, classes=classes))
+    failed = [f"{r['check']} of {r['subject']}: {r['value']}" for r in checks.where("not ok").collect()]  # a row for each check
+    if failed:
+        raise ValueError(f"nothing written, {len(failed)} checks failed: {'; '.join(failed)}")
+    scored.write.mode("overwrite").parquet(path)
+    return features.sparkSession.read.parquet(path), checks

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import model, quality, resample, scoring, shapley, stats, validation
+from ..session import scratch
 from .core import r6
 from .tables import registry, with_views
 
@@ -165,6 +166,22 @@ def flagship_risk_classes(t):
     return d.groupBy("risk_class").agg(F.round(F.avg("composite_score"), 4).alias("mean_score"))
 
 
+_RUN = {"score_terrain": {"size": "positive", "retail": "positive"}, "score_load": {"retail": "negative", "price": "positive"}, "score_gone": {"absent": "positive"}}
+_MEAN = "(coalesce({0}.s, 0) + coalesce({1}.s, 0)) / (({0}.s IS NOT NULL)::INT + ({1}.s IS NOT NULL)::INT)"
+
+
+@query(
+    with_views("feat", more=", ".join(_rank_sql("feat", v, "id", n, negative) for v, n, negative in (("size", "a", False), ("retail", "b", False), ("retail", "c", True), ("price", "d", False))))
+    + f", g AS (SELECT id, {_MEAN.format('a', 'b')} AS score_terrain, {_MEAN.format('c', 'd')} AS score_load FROM feat LEFT JOIN a USING (id) LEFT JOIN b USING (id) LEFT JOIN c USING (id) LEFT JOIN d USING (id)), "
+    + f"k AS (SELECT *, score_terrain * ({0.5 / 0.8!r})::DOUBLE + score_load * ({0.3 / 0.8!r})::DOUBLE AS s FROM g), {_EDGES.replace('FROM z', 'FROM k')} "
+    + "SELECT id, round(score_terrain, 6) AS score_terrain, round(score_load, 6) AS score_load, round(s, 6) AS composite_score, CAST(1 + (s > a)::INT + (s > b)::INT + (s > c)::INT + (s > d)::INT AS INTEGER) AS risk_class FROM k, e"
+)
+def sc_scoring_run(t):
+    """The whole run: eligible features, group scores, weights of what is left, classes, checks, the table written and read."""
+    scores, _ = scoring.scoring_run(t("feat"), "id", _RUN, {"score_terrain": 0.5, "score_load": 0.3, "score_gone": 0.2}, scratch(t.spark, "scores"), ("composite_score", "score_terrain"), least_rows=100)
+    return scores.select("id", *[r6(c, c) for c in ("score_terrain", "score_load", "composite_score")], "risk_class")
+
+
 def _groups(t):
     i = F.col("building_id")
     return t("val").select("building_id", *[((i * a + i * i * b) % 1009 / 1008.0).alias(f"score_{n}") for n, a, b in (("a", 37, 3), ("b", 101, 7), ("c", 53, 11), ("d", 17, 5))])

@@ -24,7 +24,7 @@ def test_no_cross_product(spark, name):
 
 @pytest.mark.parametrize("name", ["j8_nearest_by_grid", "j10_radius_count", "ras8_class_distance", "ras10_continuity"])
 def test_every_id_has_a_row(spark, tmp_path, name):
-    spark.range(1, 901).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 901).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
     spark.range(1, 301).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     got = [r["id"] for r in plans.queries()[name](spark, str(tmp_path)).select("id").collect()]
     assert sorted(got) == list(range(1, 901))

@@ -75,3 +75,23 @@ def test_a_fitted_model_adds_up(spark):
     assert mean == pytest.approx({f: np.mean([abs(x["shap"][i]) for x in made.values()]) for i, f in enumerate(["a", "b", "c", "e"])})
     assert mean["e"] == 0.0 < mean["b"] < mean["a"]
     assert shapley.mean_importances(m, d.where("false"), ["a", "b", "c", "e"]).where("mean_abs_shap = 0").count() == 4
+
+
+def test_a_scoring_run_writes_only_what_holds(spark, tmp_path):
+    from kindler.operators import scoring
+
+    r = random.Random(5)
+    d = spark.createDataFrame([(i, r.random(), r.random() if i % 3 else None, 4.0, None) for i in range(500)], "id int, a double, b double, flat double, empty double")
+    groups = {"one": {"a": "positive", "b": "negative"}, "two": {"flat": "positive", "empty": "positive"}, "three": {"gone": "positive", "a": "negative"}}
+    weights = {"one": 0.6, "two": 0.2, "three": 0.2}
+    path = str(tmp_path / "scores")
+    scores, checks = scoring.scoring_run(d, "id", groups, weights, path, ("composite_score", "one"), least_rows=500)
+    assert scores.columns == ["id", "one", "three", "composite_score", "risk_class"] and scores.count() == 500
+    x = scores.where("id = 1").first()
+    assert x["composite_score"] == pytest.approx(0.75 * x["one"] + 0.25 * x["three"])
+    assert checks.where("not ok").count() == 0 and {c["check"] for c in checks.collect()} == {"rows", "nulls", "at least 0", "at most 1", "share", "correlation"}
+    with pytest.raises(ValueError, match="rows of all"):
+        scoring.scoring_run(d.where("id < 100"), "id", groups, weights, path, ("composite_score", "one"), least_rows=500)
+    assert spark.read.parquet(path).count() == 500  # the table before stays
+    with pytest.raises(ValueError, match="no group"):
+        scoring.scoring_run(d, "id", {"two": groups["two"]}, weights, path, ("composite_score", "two"))
