@@ -27,11 +27,20 @@ LEAST_AREA = 1e-12
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
-    """(_r, e, x1, y1, x2, y2, size) of the edges of ``ring``, without edges of no length; ``size`` is the cell width for the ring."""
+    """(_r, e, x1, y1, x2, y2, size, grid) of the edges of ``ring``, without edges of no length; ``size`` is the cell width for the ring.
+
+    Places are snapped to a grid of about 1e-13 of the ring's largest coordinate, so
+    that lines which meet in one place do so in the same numbers.
+    """
     following = F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", 1, 1))
     edge = rings.select("_r", F.posexplode(F.arrays_zip(F.col("ring").alias("p"), following.alias("q"))).alias("e", "s"))
     edge = edge.select("_r", "e", *[F.col(f"s.{p}.{c}").cast("double").alias(f"{c}{i}") for i, p in ((1, "p"), (2, "q")) for c in ("x", "y")])
-    edge = edge.where(finite("x1", "y1", "x2", "y2") & ~((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))))
+    places = ("x1", "y1", "x2", "y2")
+    reach = F.max(F.greatest(*[F.abs(F.col(c)) for c in places])).over(Window.partitionBy("_r"))
+    grid = F.when(reach > 0, F.pow(F.lit(2.0), F.ceil(F.log2(reach)) - 42)).otherwise(F.lit(1.0))
+    edge = edge.where(finite(*places)).withColumn("grid", grid)
+    edge = edge.select("_r", "e", "grid", *[(F.rint(F.col(c) / F.col("grid")) * F.col("grid")).alias(c) for c in places])
+    edge = edge.where(~((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))))
     edge = edge.withColumn("e", F.row_number().over(Window.partitionBy("_r").orderBy("e")))
     length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     wide = edge.groupBy("_r").agg(F.avg(length).alias("size"))
@@ -41,9 +50,11 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 def _cuts(edges: DataFrame) -> DataFrame:
     """(_r, e, x, y, plain): places where an edge meets another one; ``plain`` where they only follow each other."""
     cells = traced_edges(edges, F.col("size"))
-    side = lambda n: cells.select("_r", "gx", "gy", F.struct("e", "x1", "y1", "x2", "y2").alias(n))
-    pairs = side("a").join(side("b"), ["_r", "gx", "gy"]).where("a.e < b.e").select("_r", "a", "b").distinct()
-    p, q = [tuple(F.col(f"a.{c}{i}") for c in ("x", "y")) for i in (1, 2)], [tuple(F.col(f"b.{c}{i}") for c in ("x", "y")) for i in (1, 2)]
+    # edges with their ends in order, pairs with their edges in order: an edge that runs back over another one is cut at the very same places
+    end = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    side = lambda n, *more: cells.select("_r", "gx", "gy", F.col("e").alias(n), F.struct(F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b")).alias(f"l{n}"), *more)
+    pairs = side("e", "grid").join(side("f"), ["_r", "gx", "gy"]).where("e < f").select("_r", "e", "f", "grid", F.least("le", "lf").alias("p"), F.greatest("le", "lf").alias("q")).distinct()
+    p, q = ([tuple(F.col(f"{line}.{i}.{c}") for c in ("x", "y")) for i in ("a", "b")] for line in ("p", "q"))
     rx, ry, sx, sy = p[1][0] - p[0][0], p[1][1] - p[0][1], q[1][0] - q[0][0], q[1][1] - q[0][1]
     wx, wy = q[0][0] - p[0][0], q[0][1] - p[0][1]
     cross = rx * sy - ry * sx
@@ -53,13 +64,13 @@ def _cuts(edges: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<x:double,y:double>")
     shared = F.when(same(p[0], q[0]) | same(p[0], q[1]), place(*p[0])).when(same(p[1], q[0]) | same(p[1], q[1]), place(*p[1])).otherwise(none)
     within = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    met = F.when(t == 0, place(*p[0])).when(t == 1, place(*p[1])).when(u == 0, place(*q[0])).when(u == 1, place(*q[1])).otherwise(place(p[0][0] + t * rx, p[0][1] + t * ry))
+    met = F.when(t == 0, place(*p[0])).when(t == 1, place(*p[1])).when(u == 0, place(*q[0])).when(u == 1, place(*q[1])).otherwise(place(*(F.rint(v / F.col("grid")) * F.col("grid") for v in (p[0][0] + t * rx, p[0][1] + t * ry))))
     # on one line: every end that lies on the other edge
     on = lambda v, a, b: (v[0] >= F.least(a[0], b[0])) & (v[0] <= F.greatest(a[0], b[0])) & (v[1] >= F.least(a[1], b[1])) & (v[1] <= F.greatest(a[1], b[1]))
     ends = F.array(*[F.when(on(v, *other), place(*v)) for vs, other in ((p, q), (q, p)) for v in vs])
     level = (cross == 0) & (wx * ry - wy * rx == 0)
     places = F.when(level, ends).when((cross != 0) & shared.isNotNull(), F.array(shared)).when((cross != 0) & within, F.array(met)).otherwise(F.array(none))
-    hit = pairs.select("_r", "a.e", F.col("b.e").alias("f"), level.alias("level"), shared.isNotNull().alias("shared"), F.array_distinct(F.filter(places, lambda v: v.isNotNull())).alias("v")).where(F.size("v") > 0)
+    hit = pairs.select("_r", "e", "f", level.alias("level"), shared.isNotNull().alias("shared"), F.array_distinct(F.filter(places, lambda v: v.isNotNull())).alias("v")).where(F.size("v") > 0)
     plain = F.col("shared") & (F.size("v") == 1) & ((F.col("f") == F.col("e") + 1) | ((F.col("e") == F.col("low")) & (F.col("f") == F.col("high"))))
     span = edges.groupBy("_r").agg(F.min("e").alias("low"), F.max("e").alias("high"))
     hit = hit.join(span, "_r").select("_r", F.explode(F.array("e", "f")).alias("e"), "v", plain.alias("plain"))
