@@ -210,7 +210,7 @@ def sample_raster(points: DataFrame, pixels: DataFrame, x0: float, y0: float, re
     row, col = F.floor((y0 - F.col("y")) / res).cast("long"), F.floor((F.col("x") - x0) / res).cast("long")
     if clamp:
         row, col = F.least(F.greatest(row, F.lit(0)), F.lit(rows - 1)), F.least(F.greatest(col, F.lit(0)), F.lit(cols - 1))
-    return points.withColumn("row", row).withColumn("col", col).join(pixels, ["row", "col"], "left")
+    return points.withColumn("row", row).withColumn("col", col).join(pixels.hint("merge"), ["row", "col"], "left")
 
 
 def dedup_by_cell(df: DataFrame, x: str, y: str, tolerance: float, area: str, tie: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 NAMES = "region nation customer supplier part orders lineitem events".split()
 
 #: Derived inputs: buildings, weather cells, perimeters (circles, and places of polygons), hotspots, building features, a backtest frame, pixels, weather.
@@ -41,7 +43,8 @@ class Tables:
 
     def pixels(self) -> DataFrame:
         """A raster with a line of 50 pixels for each part (row, col, v), one pixel in eleven missing."""
-        cells = self.sql("SELECT p_partkey AS row, CAST(p_size AS BIGINT) AS z, explode(sequence(0L, 49L)) AS col FROM part").where("(row*7 + col*3) % 11 <> 0")
+        lines = spread(self.sql("SELECT p_partkey AS row, CAST(p_size AS BIGINT) AS z FROM part"))
+        cells = lines.selectExpr("row", "z", "explode(sequence(0L, 49L)) AS col").where("(row*7 + col*3) % 11 <> 0")
         return cells.selectExpr("row", "col", "CAST((row*31 + col*17 + row*col + z) % 97 AS DOUBLE) AS v")
 
     def lines(self) -> int:

@@ -27,6 +27,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, rows: int = 5_000) -> DataFrame:
+    """``df`` dealt over tasks of ``rows`` rows; Spark deals files by their bytes, so few tasks would get what is small in a file and much once it is computed."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut; a folder in the warehouse only where none is set."""
     spark = df.sparkSession
