@@ -24,12 +24,16 @@ def resample(pixels: DataFrame, target: DataFrame, how: str = "nearest") -> Data
     """``target`` (trow, tcol, y, x in source pixel units, pixel centres at whole numbers) with v by nearest or bilinear sampling; outside: null."""
     if how == "nearest":
         t = target.withColumn("row", F.floor(F.col("y") + 0.5).cast("long")).withColumn("col", F.floor(F.col("x") + 0.5).cast("long"))
-        return t.join(pixels, ["row", "col"], "left").select("trow", "tcol", "v")
-    t = target.withColumn("fy", F.col("y") - F.floor("y")).withColumn("fx", F.col("x") - F.floor("x"))
-    corners = F.array(*[F.struct((F.floor("y") + a).cast("long").alias("row"), (F.floor("x") + b).cast("long").alias("col"), ((F.col("fy") if a else 1 - F.col("fy")) * (F.col("fx") if b else 1 - F.col("fx"))).alias("w")) for a in (0, 1) for b in (0, 1)])
-    t = t.select("trow", "tcol", F.inline(corners)).where("w > 0").join(pixels, ["row", "col"], "left")
-    return t.groupBy("trow", "tcol").agg(F.when(F.count("v") == F.count("*"), F.sum(F.col("w") * F.col("v"))).alias("v"))
-
+        return t.join(pixels.hint("merge"), ["row", "col"], "left").select("trow", "tcol", "v")
+    # a target needs the pixel before it in any case, so what lies beyond that pixel travels with it
+    line = Window.partitionBy("row").orderBy("col")
+    pair = pixels.select("row", "col", F.col("v").alias("_00"), F.when(F.lead("col").over(line) == F.col("col") + 1, F.lead("v").over(line)).alias("_01"))
+    below = pair.select((F.col("row") - 1).alias("row"), "col", F.col("_00").alias("_10"), F.col("_01").alias("_11"))
+    four = pair.join(below.hint("merge"), ["row", "col"], "left")
+    t = target.withColumns({"row": F.floor("y").cast("long"), "col": F.floor("x").cast("long"), "fy": F.col("y") - F.floor("y"), "fx": F.col("x") - F.floor("x")})
+    weight = {f"_{a}{b}": (F.col("fy") if a else 1 - F.col("fy")) * (F.col("fx") if b else 1 - F.col("fx")) for a in (0, 1) for b in (0, 1)}
+    v = sum((F.when(w > 0, w * F.col(c)).otherwise(0.0) for c, w in weight.items()), F.lit(0.0))
+    return t.join(four.hint("merge"), ["row", "col"], "left").select("trow", "tcol", v.alias("v"))
 
 
 def slope_aspect(pixels: DataFrame, cell: float) -> DataFrame:

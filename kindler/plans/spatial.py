@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import perimeters, raster, repair, spatial
+from ..session import spread
 from .core import r6
 from .tables import PIX, registry, with_views
 
@@ -220,7 +221,7 @@ _TARGET = ", t AS (SELECT trow, tcol, trow * 0.75::DOUBLE AS y, tcol * 0.5::DOUB
 
 
 def _target(t):
-    return t.sql("SELECT p_partkey AS trow, explode(sequence(0L, 98L)) AS tcol FROM part").selectExpr("trow", "tcol", "trow * 0.75D AS y", "tcol * 0.5D AS x")
+    return spread(t.sql("SELECT p_partkey AS trow FROM part")).selectExpr("trow", "explode(sequence(0L, 98L)) AS tcol").selectExpr("trow", "tcol", "trow * 0.75D AS y", "tcol * 0.5D AS x")
 
 
 @query("WITH " + PIX + _TARGET + " SELECT trow, tcol, v FROM t LEFT JOIN pix ON row = CAST(floor(y + 0.5) AS BIGINT) AND col = CAST(floor(x + 0.5) AS BIGINT)")

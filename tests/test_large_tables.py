@@ -23,3 +23,8 @@ def test_lines_are_dealt_before_they_become_pixels(spark, tmp_path):
     spark.range(12_000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     t = Tables(spark, str(tmp_path))
     assert t.pixels().rdd.getNumPartitions() == 3 and t.pixels().select("row").distinct().count() == 12_000
+
+
+@pytest.mark.parametrize("name", ["ras2_resample_nearest", "ras2_resample_bilinear"])
+def test_resampled_rasters_are_not_broadcast(spark, name):
+    assert "Broadcast" not in plan_of(spark, name)
