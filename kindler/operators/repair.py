@@ -1,7 +1,7 @@
 """Repair of rings that cross or touch themselves: noding, faces by the even-odd rule, the largest part.
 
-Edges of one ring meet through square cells about as wide as they are long, so a
-ring's edges are not paired with each other.  Every edge is cut where others cross
+Edges of one ring meet through square cells about as wide as they are long, so the
+edges of a ring are not paired with each other, unless they are few.  Every edge is cut where others cross
 or touch it; a piece that runs over the same place an even number of times bounds
 nothing and goes.  The pieces left are the border of the even-odd area: what they
 enclose is found by walking around each face, in one small step for each ring.
@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from .perimeters import finite, numbered, traced_edges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
 #: Areas below this are none.
 LEAST_AREA = 1e-12
+#: Rings of at most so many edges have them paired with each other.
+FEW = 16
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
-    """(_r, e, x1, y1, x2, y2, size, grid) of the edges of ``ring``, without edges of no length; ``size`` is the cell width for the ring.
+    """(_r, e, x1, y1, x2, y2, size, n, grid) of the edges of ``ring``, without edges of no length; ``size`` is the cell width for the ring, ``n`` the number of its edges.
 
     Places are snapped to a grid of about 1e-13 of the ring's largest coordinate, so
     that lines which meet in one place do so in the same numbers.
@@ -43,17 +45,19 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     edge = edge.where(~((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))))
     edge = edge.withColumn("e", F.row_number().over(Window.partitionBy("_r").orderBy("e")))
     length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    wide = edge.groupBy("_r").agg(F.avg(length).alias("size"))
-    return edge.join(wide, "_r")
+    wide = edge.groupBy("_r").agg(F.avg(length).alias("size"), F.count("*").alias("n"))
+    return edge.join(wide.hint("merge"), "_r")
 
 
 def _cuts(edges: DataFrame) -> DataFrame:
     """(_r, e, x, y, plain): places where an edge meets another one; ``plain`` where they only follow each other."""
-    cells = traced_edges(edges, F.col("size"))
+    few = edges.where(F.col("n") <= FEW)
+    many = traced_edges(edges.where(F.col("n") > FEW), F.col("size"))
     # edges with their ends in order, pairs with their edges in order: an edge that runs back over another one is cut at the very same places
     end = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
-    side = lambda n, *more: cells.select("_r", "gx", "gy", F.col("e").alias(n), F.struct(F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b")).alias(f"l{n}"), *more)
-    pairs = side("e", "grid").join(side("f"), ["_r", "gx", "gy"]).where("e < f").select("_r", "e", "f", "grid", F.least("le", "lf").alias("p"), F.greatest("le", "lf").alias("q")).distinct()
+    side = lambda cells, n, *more: cells.select(*[c for c in ("_r", "gx", "gy") if c in cells.columns], F.col("e").alias(n), F.struct(F.least(end(1), end(2)).alias("a"), F.greatest(end(1), end(2)).alias("b")).alias(f"l{n}"), *more)
+    met = lambda cells, *by: side(cells, "e", "grid").join(side(cells, "f").hint("merge"), list(by)).where("e < f").select("_r", "e", "f", "grid", F.least("le", "lf").alias("p"), F.greatest("le", "lf").alias("q"))
+    pairs = met(few, "_r").unionByName(met(many, "_r", "gx", "gy").distinct())
     p, q = ([tuple(F.col(f"{line}.{i}.{c}") for c in ("x", "y")) for i in ("a", "b")] for line in ("p", "q"))
     rx, ry, sx, sy = p[1][0] - p[0][0], p[1][1] - p[0][1], q[1][0] - q[0][0], q[1][1] - q[0][1]
     wx, wy = q[0][0] - p[0][0], q[0][1] - p[0][1]
@@ -73,7 +77,7 @@ def _cuts(edges: DataFrame) -> DataFrame:
     hit = pairs.select("_r", "e", "f", level.alias("level"), shared.isNotNull().alias("shared"), F.array_distinct(F.filter(places, lambda v: v.isNotNull())).alias("v")).where(F.size("v") > 0)
     plain = F.col("shared") & (F.size("v") == 1) & ((F.col("f") == F.col("e") + 1) | ((F.col("e") == F.col("low")) & (F.col("f") == F.col("high"))))
     span = edges.groupBy("_r").agg(F.min("e").alias("low"), F.max("e").alias("high"))
-    hit = hit.join(span, "_r").select("_r", F.explode(F.array("e", "f")).alias("e"), "v", plain.alias("plain"))
+    hit = hit.join(span.hint("merge"), "_r").select("_r", F.explode(F.array("e", "f")).alias("e"), "v", plain.alias("plain"))
     return hit.select("_r", "e", F.explode("v").alias("v"), "plain").select("_r", "e", "v.x", "v.y", "plain")
 
 
@@ -83,7 +87,7 @@ def _pieces(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     places = cuts.select("_r", "e", "x", "y").unionByName(ends[0]).unionByName(ends[1]).distinct()
     along = (F.col("x") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y") - F.col("y1")) * (F.col("y2") - F.col("y1"))
     order = Window.partitionBy("_r", "e").orderBy("_t", "x", "y")
-    piece = places.join(edges, ["_r", "e"]).withColumn("_t", along).select("_r", F.struct("x", "y").alias("p"), F.lead(F.struct("x", "y")).over(order).alias("q")).where("q is not null")
+    piece = places.join(edges.hint("merge"), ["_r", "e"]).withColumn("_t", along).select("_r", F.struct("x", "y").alias("p"), F.lead(F.struct("x", "y")).over(order).alias("q")).where("q is not null")
     piece = piece.select("_r", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     return piece.groupBy("_r", "p", "q").agg(F.count("*").alias("n")).where("n % 2 = 1").select("_r", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
 
@@ -204,15 +208,15 @@ def repaired(rings: DataFrame, key: str, ring: str = "ring") -> DataFrame:
     places, and those that enclose nothing have no row.  Rows that repeat a key are
     rows of their own.
     """
-    rows = numbered(rings.select(key, F.col(ring).alias("ring")).where(F.size("ring") >= 3), "_r")
+    rows = numbered(spread(rings.select(key, F.col(ring).alias("ring")).where(F.size("ring") >= 3)), "_r")
     whole = F.forall("ring", lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
     edges = checkpointed(ring_edges(rows.where(whole)))
     cuts = checkpointed(_cuts(edges))
     odd = checkpointed(cuts.where("not plain").select("_r").distinct())
-    pieces = _pieces(edges.join(odd, "_r"), cuts.join(odd, "_r"))
-    made = pieces.groupBy("_r").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("pieces")).mapInArrow(_faces, "_r long, area double, rings array<array<struct<x:double,y:double>>>")
+    pieces = _pieces(edges.join(odd.hint("merge"), "_r"), cuts.join(odd.hint("merge"), "_r"))
+    made = pieces.repartition(max(1, rows.count() // 2_000), "_r").groupBy("_r").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("pieces")).mapInArrow(_faces, "_r long, area double, rings array<array<struct<x:double,y:double>>>")
     from ..functions.geometry import ring_area
 
-    plain = rows.where(whole).join(odd, "_r", "left_anti").select(key, F.array("ring").alias("rings"), ring_area(F.col("ring")).alias("area"), F.lit(False).alias("repaired"))
-    mended = rows.join(made, "_r").select(key, "rings", "area", F.lit(True).alias("repaired"))
+    plain = rows.where(whole).join(odd.hint("merge"), "_r", "left_anti").select(key, F.array("ring").alias("rings"), ring_area(F.col("ring")).alias("area"), F.lit(False).alias("repaired"))
+    mended = rows.join(made.hint("merge"), "_r").select(key, "rings", "area", F.lit(True).alias("repaired"))
     return plain.unionByName(mended).where(F.col("area") >= LEAST_AREA)

@@ -28,3 +28,14 @@ def test_lines_are_dealt_before_they_become_pixels(spark, tmp_path):
 @pytest.mark.parametrize("name", ["ras2_resample_nearest", "ras2_resample_bilinear"])
 def test_resampled_rasters_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(spark, name)
+
+
+def test_few_edges_are_paired_without_cells(spark):
+    from kindler.operators import repair
+    from kindler.operators.perimeters import numbered
+
+    ring = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)]
+    rows = numbered(spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>"), "_r")
+    edges = repair.ring_edges(rows)
+    assert {r["n"] for r in edges.collect()} == {4}
+    assert "Broadcast" not in repair._cuts(edges)._jdf.queryExecution().executedPlan().toString()
