@@ -262,8 +262,44 @@ def nearest_boundary(points: DataFrame, perimeters: DataFrame, key: str, pid: st
     """One row per row of ``points``: key, the nearest perimeter by its outer rings (ties: the smallest id) and the distance; nulls where there is none."""
     spots = _spots(points, key, cell)
     pieces = edges_of(perimeters.select(F.col(pid).alias("pid"), "parts"), "pid").where("outer")
-    traced = checkpointed(traced_edges(pieces, cell))
-    cells = checkpointed(spots.where("qx is not null").select("qx", "qy").distinct())
-    near = _nearest_cells(cells, traced, cell).join(traced, ["gx", "gy"]).drop("gx", "gy").distinct()
-    found = spots.join(near, ["qx", "qy"]).groupBy("_r").agg(F.min(F.struct(edge_distance(F.col("x"), F.col("y")).alias("d"), F.col("pid").alias("pid"))).alias("_n"))
-    return spots.join(found, "_r", "left").select(key, F.col("_n.pid").alias(pid), F.col("_n.d").alias("dist"))
+    traced = checkpointed(traced_edges(pieces, cell).select("pid", "x1", "y1", "x2", "y2", "gx", "gy"))
+    known = spots.where("qx is not null").select("_r", "x", "y", "qx", "qy")
+    # an edge of another cell is at least as far as the border of a point's own one
+    border = F.least(*[F.least(F.col(c) - F.col(q) * cell, (F.col(q) + 1) * cell - F.col(c)) for c, q in (("x", "qx"), ("y", "qy"))])
+    own = checkpointed(_measured(known, traced.withColumnsRenamed({"gx": "qx", "gy": "qy"})))
+    settled = own.join(known.hint("merge"), "_r").where(F.col("d") < border * (1 - SLACK)).select("_r", "d", "pid")
+    open_ = checkpointed(known.join(settled.select("_r").hint("merge"), "_r", "left_anti"))
+    cells = checkpointed(open_.select("qx", "qy").distinct())
+    near = _nearest_cells(cells, traced, cell).join(traced.hint("merge"), ["gx", "gy"]).drop("gx", "gy").distinct()
+    found = settled.unionByName(_measured(open_, near))
+    return spots.join(found.hint("merge"), "_r", "left").select(key, F.col("pid").alias(pid), F.col("d").alias("dist"))
+
+
+def _measured(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_r, d, pid): for each point the nearest of the edges of its cell (ties: the smallest pid), without a row for a pair."""
+    kind = edges.schema["pid"].dataType.simpleString()
+
+    def nearest(p, e):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not p.num_rows or not e.num_rows:
+            return pa.table({"_r": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "pid": pa.array([], e.schema.field("pid").type)})
+        e = e.take(pc.sort_indices(e, [("pid", "ascending")], null_placement="at_start"))
+        x1, y1, x2, y2 = (e.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        dx, dy = x2 - x1, y2 - y1
+        square, xs, ys = dx * dx + dy * dy, p.column("x").to_numpy(), p.column("y").to_numpy()
+        best, at, step = np.empty(len(xs)), np.empty(len(xs), np.int64), max(1, 1_000_000 // len(x1))
+        for i in range(0, len(xs), step):
+            x, y = xs[i : i + step, None], ys[i : i + step, None]
+            t = (x - x1) * dx + (y - y1) * dy
+            t = np.clip(np.divide(t, square, out=np.zeros_like(t), where=square != 0), 0.0, 1.0)
+            u, v = x - x1 - t * dx, y - y1 - t * dy
+            d = np.sqrt(u * u + v * v)
+            at[i : i + step] = d.argmin(axis=1)
+            best[i : i + step] = d.min(axis=1)
+        return pa.table({"_r": p.column("_r"), "d": pa.array(best), "pid": e.column("pid").take(pa.array(at))})
+
+    edges = edges.select("pid", "x1", "y1", "x2", "y2", F.col("qx").alias("_ex"), F.col("qy").alias("_ey"))
+    return points.groupBy("qx", "qy").cogroup(edges.groupBy("_ex", "_ey")).applyInArrow(nearest, f"_r long, d double, pid {kind}")

@@ -39,3 +39,8 @@ def test_few_edges_are_paired_without_cells(spark):
     edges = repair.ring_edges(rows)
     assert {r["n"] for r in edges.collect()} == {4}
     assert "Broadcast" not in repair._cuts(edges)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boundary_distances_make_no_row_for_a_pair(spark):
+    plan = plan_of(spark, "geo6_boundary_distance")
+    assert "CoGroups" in plan and "Broadcast" not in plan
