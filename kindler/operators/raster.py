@@ -55,41 +55,50 @@ def slope_aspect(pixels: DataFrame, cell: float) -> DataFrame:
     return d.select("row", "col", slope.alias("slope_deg"), aspect.alias("aspect_deg"))
 
 
-def focal_mean(pixels: DataFrame, k: int, rows: int, cols: int, value: str = "v") -> DataFrame:
-    """row, col, m of each pixel: mean over the pixels there are in its (2k+1)^2 square, with mirrored edges.
-
-    Two one-dimensional passes over distances, not rows.  The first one also gives
-    sums for the places of a gap that lie within reach of a pixel along its line,
-    so gaps are neither counted nor jumped; a raster without gaps has none.
+def focal_means(pixels: DataFrame, k: int, rows: int, cols: int, values: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """row, col, ``keep`` and m_<value> of each pixel: means over the pixels there are in its (2k+1)^2 square, with mirrored edges.
+
+    Two one-dimensional passes over distances, not rows, for all values at once.
+    The first one also gives sums for the places of a gap that lie within reach of
+    a pixel along its line, so gaps are neither counted nor jumped; a raster without
+    gaps has none.  Lines are cut into blocks, and what a neighbouring block reaches
+    is copied into it, so no window holds a line, however long.
     """
-
-    def mirrored(df: DataFrame, axis: str, n: int) -> DataFrame:
-        copy = lambda cond, to: df.where(cond).withColumn(axis, to).withColumn("own", F.lit(False))
-        return df.unionByName(copy(F.col(axis) < k, -1 - F.col(axis))).unionByName(copy(F.col(axis) >= n - k, 2 * n - 1 - F.col(axis)))
+    block = max(512, 4 * k)
+    sums = [f"{f}_{v}" for v in values for f in "sc"]
 
     def passed(df: DataFrame, axis: str, other: str, n: int) -> DataFrame:
-        w = Window.partitionBy(other).orderBy(axis).rangeBetween(-k, k)
-        return mirrored(df, axis, n).select("row", "col", "own", F.sum("s").over(w).alias("s"), F.sum("c").over(w).alias("c")).where("own")
-
-    value_ = F.col(value).cast("double")
-    d = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), value_.alias("s"), value_.isNotNull().cast("long").alias("c"), F.lit(True).alias("own"))
+        place = lambda at, own: F.struct(at.cast("long").alias("_at"), F.lit(own).alias("_own"))
+        a = F.col(axis)
+        places = F.array_compact(F.array(place(a, True), F.when(a < k, place(-1 - a, False)), F.when(a >= n - k, place(2 * n - 1 - a, False))))
+        df = df.select(other, "_here", *keep, *sums, F.inline(places)).withColumnRenamed("_at", axis)
+        df = df.withColumn("_b", F.explode(F.sequence(F.floor((a - k) / block), F.floor((a + k) / block))))
+        w = Window.partitionBy(other, "_b").orderBy(axis).rangeBetween(-k, k)
+        own = F.col("_own") & (F.col("_b") == F.floor(a / block))
+        return df.select("row", "col", "_here", *keep, own.alias("_own"), *[F.sum(c).over(w).alias(c) for c in sums]).where("_own").drop("_own")
+
+    d = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.lit(True).alias("_here"), *keep, *[c for v in values for c in (F.col(v).cast("double").alias(f"s_{v}"), F.col(v).isNotNull().cast("long").alias(f"c_{v}"))])
     line = Window.partitionBy("row").orderBy("col")
-    ends = d.select("row", "col", F.greatest(F.coalesce(F.lag("col").over(line), F.lit(-1)) + 1, F.col("col") - k).alias("a"), F.least(F.coalesce(F.lead("col").over(line), F.lit(cols)) - 1, F.col("col") + k).alias("b"))
+    before, after = F.lag("col").over(line), F.lead("col").over(line)
+    # each place of a gap once: from the pixel before it, else from the one after it
+    ends = d.select("row", "col", F.greatest(F.coalesce(before + k + 1, F.lit(0)), F.col("col") - k).alias("a"), F.least(F.coalesce(after, F.lit(cols)) - 1, F.col("col") + k).alias("b"))
     beside = F.concat(F.when(F.col("a") < F.col("col"), F.sequence("a", F.col("col") - 1)).otherwise(F.array()), F.when(F.col("b") > F.col("col"), F.sequence(F.col("col") + 1, F.col("b"))).otherwise(F.array()))
-    gaps = ends.where("a < col or b > col").select("row", F.explode(beside).alias("col")).distinct().select("row", "col", F.lit(None).cast("double").alias("s"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("own"))
-    down = passed(d.unionByName(gaps), "row", "col", rows)
-    total = passed(down, "col", "row", cols).select("row", "col", F.try_divide("s", "c").alias("m"))
-    return d.select("row", "col").join(total, ["row", "col"])
+    gaps = ends.where("a < col or b > col").select("row", F.explode(beside).alias("col")).withColumn("_here", F.lit(False)).withColumns({c: F.lit(0 if c[0] == "c" else None).cast("long" if c[0] == "c" else "double") for c in sums})
+    down = passed(d.unionByName(gaps, allowMissingColumns=True), "row", "col", rows)
+    return passed(down, "col", "row", cols).where("_here").select("row", "col", *keep, *[F.try_divide(f"s_{v}", f"c_{v}").alias(f"m_{v}") for v in values])
+
+
+def focal_mean(pixels: DataFrame, k: int, rows: int, cols: int, value: str = "v") -> DataFrame:
+    """row, col, m of each pixel: the focal mean of one value."""
+    return focal_means(pixels, k, rows, cols, [value]).withColumnRenamed(f"m_{value}", "m")
 
 
 def position_ruggedness(pixels: DataFrame, k: int, rows: int, cols: int) -> DataFrame:
-    """row, col, tpi = z - mean and tri = sqrt(max(0, E[z^2] - 2 z E[z] + z^2)); nulls are filled with the global mean for the means."""
+    """row, col, m = focal mean, tpi = z - mean and tri = sqrt(max(0, E[z^2] - 2 z E[z] + z^2)); for the means of tpi and tri, nulls are filled with the global mean."""
     mean = pixels.agg(F.avg("v").alias("m")).first()["m"]
-    filled = pixels.select("row", "col", F.coalesce(F.col("v"), F.lit(mean)).alias("v")).withColumn("sq", F.col("v") * F.col("v"))
-    a, b = focal_mean(filled, k, rows, cols), focal_mean(filled, k, rows, cols, "sq").withColumnRenamed("m", "m2")
-    z = F.col("v")
-    d = pixels.join(a, ["row", "col"]).join(b, ["row", "col"])
-    return d.select("row", "col", (z - F.col("m")).alias("tpi"), F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - 2 * z * F.col("m") + z * z)).alias("tri"))
+    filled = pixels.select("row", "col", "v", F.col("v").alias("z"), F.coalesce(F.col("v"), F.lit(mean)).alias("f")).withColumn("sq", F.col("f") * F.col("f"))
+    d, z = focal_means(filled, k, rows, cols, ["v", "f", "sq"], ("z",)), F.col("z")
+    return d.select("row", "col", F.col("m_v").alias("m"), (z - F.col("m_f")).alias("tpi"), F.sqrt(F.greatest(F.lit(0.0), F.col("m_sq") - 2 * z * F.col("m_f") + z * z)).alias("tri"))
 
 
 def fraction(pixels: DataFrame, k: int, rows: int, cols: int) -> DataFrame:

@@ -258,7 +258,7 @@ _FOCAL = "WITH " + PIX + ", k AS MATERIALIZED (SELECT p.row, p.col, " + _mirror(
 @query(_FOCAL + " SELECT row, col, round(m, 6) AS m, round(v - m, 6) AS tpi, round(sqrt(greatest(0, m2 - 2 * v * m + v * v)), 4) AS tri FROM f JOIN pix USING (row, col)")
 def ras4_ras5_ras6_focal(t):
     p = t.pixels()
-    d = raster.position_ruggedness(p, 3, t.lines(), 50).join(raster.focal_mean(p, 3, t.lines(), 50), ["row", "col"])
+    d = raster.position_ruggedness(p, 3, t.lines(), 50)
     return d.select("row", "col", r6("m", "m"), r6("tpi", "tpi"), F.round("tri", 4).alias("tri"))
 
 

@@ -44,3 +44,27 @@ def test_few_edges_are_paired_without_cells(spark):
 def test_boundary_distances_make_no_row_for_a_pair(spark):
     plan = plan_of(spark, "geo6_boundary_distance")
     assert "CoGroups" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["ras4_ras5_ras6_focal", "ras7_vegetation_fraction"])
+def test_focal_means_join_and_broadcast_nothing(spark, name):
+    plan = plan_of(spark, name)
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_focal_windows_hold_no_whole_line(spark):
+    """Lines of 1,500 pixels are cut into blocks; the squares reach over their borders and mirror at the edges."""
+    from numpy.lib.stride_tricks import sliding_window_view
+
+    from kindler.operators import raster
+
+    v = np.random.RandomState(3).rand(1500, 5)
+    px = spark.createDataFrame([(i, j, float(v[i, j])) for i in range(1500) for j in range(5)], "row long, col long, v double")
+    made = raster.focal_mean(px, 2, 1500, 5)
+    want = sliding_window_view(np.pad(v, 2, mode="symmetric"), (5, 5)).mean(axis=(2, 3))
+    got = np.zeros_like(v)
+    for r in made.collect():
+        got[r["row"], r["col"]] = r["m"]
+    assert np.allclose(got, want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_b#" in line for line in plan.splitlines() if "windowspecdefinition" in line and "RangeFrame" in line)
