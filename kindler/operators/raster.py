@@ -119,18 +119,22 @@ def class_distance(points: DataFrame, pixels: DataFrame, wanted: int, key: str,
 def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
     """row, col, label of pixels of value 1: the smallest row * cols + col of their 4-connected patch.
 
-    Tiles are labelled on their own; labels that touch across a seam are joined
-    by alternating star joins over the seam graph.
+    Tiles are labelled on their own, those of a block of about 512 x 512 pixels in
+    one step; labels that touch across a seam are joined by alternating star joins
+    over the seam graph.
     """
     import numpy as np
     import pandas as pd
 
+    block = max(1, 512 // tile) * tile
+
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         label = r * cols + c
         last = np.iinfo(np.int64).max
-        grid = np.full((tile + 2, tile + 2), last)  # a frame of nothing around the tile
-        i, k = r - r.min() // tile * tile + 1, c - c.min() // tile * tile + 1
+        i, k = r - r.min() // block * block, c - c.min() // block * block
+        i, k = i + i // tile + 1, k + k // tile + 1  # a line of nothing around each tile
+        grid = np.full((i.max() + 2, k.max() + 2), last)
         grid[i, k] = label
         on = grid < last
         while True:  # minima of whole runs along the lines, then down the columns, until nothing moves
@@ -143,15 +147,15 @@ def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
         return pd.DataFrame({"row": r, "col": c, "label": grid[i, k]})
 
     on = pixels.where("v = 1").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
-    tiles = on.withColumn("_t", F.concat_ws("_", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)))
-    local = checkpointed(tiles.groupBy("_t").applyInPandas(own, "row long, col long, label long"))
+    blocks = on.withColumns({"_i": F.floor(F.col("row") / block), "_k": F.floor(F.col("col") / block)})
+    local = checkpointed(blocks.groupBy("_i", "_k").applyInPandas(own, "row long, col long, label long"))
     edge = local.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
     a = edge.select("row", "col", F.col("label").alias("a"))
     steps = F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))
     b = edge.select("row", "col", F.col("label").alias("b"), F.explode(steps).alias("s")).select((F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "b")
-    seams = a.join(b, ["row", "col"]).where("a <> b").select("a", "b").distinct()
+    seams = a.join(b.hint("merge"), ["row", "col"]).where("a <> b").select("a", "b").distinct()
     names = connected(seams).select(F.col("node").alias("label"), F.col("component").alias("low"))
-    return local.join(names, "label", "left").select("row", "col", F.coalesce("low", "label").alias("label"))
+    return local.join(names.hint("merge"), "label", "left").select("row", "col", F.coalesce("low", "label").alias("label"))
 
 
 def _run_minima(grid, on):
@@ -177,12 +181,12 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = checkpointed(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = checkpointed(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = checkpointed(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        e = checkpointed(large.join(low.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         before = now
 
 
@@ -195,13 +199,14 @@ def continuity(points: DataFrame, labels: DataFrame, key: str, k: int) -> DataFr
     difference of the numbers at its two ends, so a point makes 4k+2 rows, whatever
     the area of its disc.
     """
-    centre = points.join(labels, ["row", "col"]).select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col("label").alias("own")).distinct()
+    centre = labels.join(points.select("row", "col").distinct().hint("merge"), ["row", "col"]).select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.col("label").alias("own"))
     dr = F.explode(F.sequence(F.lit(-k), F.lit(k)))
     lines = centre.select("_r", "_c", "own", dr.alias("_d")).withColumn("_h", F.floor(F.sqrt(F.lit(k * k) - F.col("_d") * F.col("_d"))))
     # the first end counts the pixels before it, the second one those up to it
     end = lambda sign: F.struct((F.col("_c") + sign * F.col("_h")).alias("col"), F.lit(sign).alias("sign"))
     ends = lines.select("_r", "_c", "own", (F.col("_r") + F.col("_d")).alias("row"), F.inline(F.array(end(-1), end(1))))
-    pixels = labels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("label").alias("own"), F.lit(0).alias("sign"))
+    wanted = ends.select("row").distinct()  # lines that no disc meets are not numbered
+    pixels = labels.join(wanted.hint("merge"), "row", "left_semi").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("label").alias("own"), F.lit(0).alias("sign"))
     both = ends.unionByName(pixels, allowMissingColumns=True)
     seen = lambda *by: F.sum((F.col("sign") == 0).cast("long")).over(Window.partitionBy(*by).orderBy("col", "sign"))
     numbers = both.select("_r", "_c", "own", "sign", seen("row").alias("_all"), seen("row", "own").alias("_own")).where("sign <> 0")

@@ -68,3 +68,15 @@ def test_focal_windows_hold_no_whole_line(spark):
     assert np.allclose(got, want)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert all("_b#" in line for line in plan.splitlines() if "windowspecdefinition" in line and "RangeFrame" in line)
+
+
+def test_tiles_are_labelled_many_at_once(spark, monkeypatch):
+    """A task's step takes all tiles of a block: one call of the labelling for 32 x 4 tiles, not 128."""
+    from kindler.operators import raster
+
+    d = spark.range(512).selectExpr("id AS row", "explode(sequence(0L, 49L)) AS col").withColumn("v", F.expr("CAST((row * 13 + col * 7) % 5 < 3 AS INT)"))
+    seen = []
+    monkeypatch.setattr(raster, "checkpointed", lambda df, keep=raster.checkpointed: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    raster.components(d, 50, tile=16)
+    keys = next(p for p in seen if "FlatMapGroupsInPandas" in p)
+    assert "/ 512" in keys.replace("512.0", "512") and "/ 16" not in keys.replace("16.0", "16")
