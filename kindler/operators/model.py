@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from . import boosting
 from .stats import counted, ranked_auc
 
@@ -44,7 +44,7 @@ def fit(df: DataFrame, features: list[str], label: str, trees: int = 200, depth:
     filled = [f"_f_{f}" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed)]
     cast = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
-    return Pipeline(stages=stages).fit(weighted(cast, label))
+    return Pipeline(stages=stages).fit(weighted(spread(cast, 100_000), label))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str = "probability_burned") -> DataFrame:

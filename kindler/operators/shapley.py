@@ -20,7 +20,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import scratch, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
@@ -121,7 +121,7 @@ def explained(model: PipelineModel, df: DataFrame, features: list[str]) -> DataF
     base = 2 * sum(w * t.base for w, t in zip(weights, trees, strict=True))
     filled = [f"_f_{f}" for f in features]
     cast = df.select(*[c for c in df.columns if c not in features], *[F.col(f).cast("double").alias(f) for f in features])
-    rows = model.stages[0].transform(cast).drop(*features)
+    rows = model.stages[0].transform(spread(cast)).drop(*features)
     keep = [c for c in rows.columns if c not in filled]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "shap array<double>", "expected double"])
 

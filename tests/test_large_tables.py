@@ -80,3 +80,11 @@ def test_tiles_are_labelled_many_at_once(spark, monkeypatch):
     raster.components(d, 50, tile=16)
     keys = next(p for p in seen if "FlatMapGroupsInPandas" in p)
     assert "/ 512" in keys.replace("512.0", "512") and "/ 16" not in keys.replace("16.0", "16")
+
+
+def test_explained_rows_are_dealt(spark):
+    from kindler.operators import model, shapley
+
+    d = spark.range(12_000).selectExpr("id / 100.0D AS a", "id % 7 / 1.0D AS b", "CAST(id % 3 = 0 AS INT) AS y").coalesce(1)
+    m = model.fit(d, ["a", "b"], "y", trees=1, depth=2)
+    assert shapley.explained(m, d, ["a", "b"]).rdd.getNumPartitions() == 3
