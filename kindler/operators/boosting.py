@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
 
 BINS = 255
+#: Rows whose leaves are looked up at once.
+CHUNK = 1 << 18
 
 
 def _sides(inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,33 +94,40 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return (u[1:] + u[:-1]) / 2 if len(u) <= BINS else np.unique(np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1]))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42, leaves: int = 31, least: int = 20, share: float = 0.8) -> Trees:
+def fit(x: np.ndarray | list, y: np.ndarray, trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42, leaves: int = 31, least: int = 20, share: float = 0.8) -> Trees:
     """``trees`` of at most ``leaves`` leaves with ``least`` rows each, on ``share`` of the rows and features; both classes have the same mass.
 
     Missing features have the median.  Rows are put in order first, so the model does not depend on how they arrive.
+    ``x`` may be a list of columns, which is emptied: of the values only a byte each is held while trees grow.
     """
-    order = np.lexsort((y, *x.T))
-    x, y = x[order], y[order]
-    known = [c[~np.isnan(c)] for c in x.T]
-    fill = np.array([np.median(c) if len(c) else 0.0 for c in known])
-    x = np.where(np.isnan(x), fill, x)
-    n, f = x.shape
+    columns = x if isinstance(x, list) else list(x.T)
+    order = np.lexsort((y, *columns))
+    y, f, n = y[order], len(columns), len(y)
+    fill, edges, binned = np.zeros(f), [], []
+    for j in range(f):
+        c = columns.pop(0)[order]
+        gone = np.isnan(c)
+        if not gone.all():
+            fill[j] = np.median(c[~gone])
+        c[gone] = fill[j]
+        edges.append(_edges(c))
+        binned.append(np.concatenate([np.searchsorted(edges[j], c[i : i + CHUNK], "left").astype(np.uint8) for i in range(0, n, CHUNK)] or [np.zeros(0, np.uint8)]))
+    del order
     inner, pos = 2**depth - 1, float((y == 1).sum())
     if pos in (0.0, float(n)):
         p = (pos + 1) / (n + 2)
         return Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)), float(np.log(p / (1 - p))), fill)
-    weight = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
-    edges = [_edges(c) for c in x.T]
-    binned = [np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)]
     draws, raw = np.random.RandomState(seed), np.zeros(n)
     feature, threshold, value = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     for t in range(trees):
-        p = 1 / (1 + np.exp(-raw))
-        rows = np.flatnonzero(draws.rand(n) < share)
+        rows = draws.rand(n) < share
+        p, own = 1 / (1 + np.exp(-raw[rows])), y[rows]
+        weight = np.where(own == 1, n / (2 * pos), n / (2 * (n - pos)))
         used = np.sort(draws.permutation(f)[: max(1, round(share * f))])
-        g, h = (weight * (p - y))[rows], (weight * p * (1 - p))[rows]
+        g, h = weight * (p - own), weight * p * (1 - p)
+        del p, own, weight
         bins = {j: binned[j][rows] for j in used}
-        base, gain, at = np.zeros(len(rows), np.int64), np.full(inner, -1.0), np.full(inner, -1)
+        base, gain, at = np.zeros(len(g), np.int32), np.full(inner, -1.0), np.full(inner, -1)
         for level in range(depth):
             first, count = 2**level - 1, 2**level
             keys = {}
@@ -138,12 +147,12 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 6, rate: fl
             if level + 1 < depth:
                 here = slice(first, first + count)
                 over = np.arange(BINS) > at[here, None]
-                split = np.zeros(len(rows), bool)
+                split = np.zeros(len(g), bool)
                 for j, key in keys.items():
                     of = (feature[t, here] == j) & (at[here] >= 0)
                     if of.any():
                         split |= (over & of[:, None]).ravel().take(key)
-                base = 2 * base + BINS * split
+                base = 2 * base + np.int32(BINS) * split
         heap, left, cut = [(-gain[0], 0)] if gain[0] > 0 else [], leaves - 1, np.full(inner, -1)
         while heap and left:
             _, k = heapq.heappop(heap)
@@ -152,13 +161,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 6, rate: fl
                 if c < inner and gain[c] > 0:
                     heapq.heappush(heap, (-gain[c], c))
         if depth <= 6:
-            leaf = _leaf(_tables(feature[t], cut, [BINS] * f), binned, n)
+            tables = _tables(feature[t], cut, [BINS] * f)
+            leaf = np.concatenate([_leaf(tables, [c[i : i + CHUNK] for c in binned], min(CHUNK, n - i)).astype(np.uint8) for i in range(0, n, CHUNK)])
         else:
             node = np.zeros(n, np.int64)
             for _ in range(depth):
-                node = 2 * node + 1 + (x[np.arange(n), feature[t, node]] > threshold[t, node])
+                over = np.zeros(n, bool)
+                for j, e in enumerate(edges):
+                    of = feature[t, node] == j
+                    over[of] = binned[j][of] > np.searchsorted(e, threshold[t, node[of]])
+                node = 2 * node + 1 + over
             leaf = node - inner
         gl, hl = np.bincount(leaf[rows], g, inner + 1), np.bincount(leaf[rows], h, inner + 1)
         value[t] = -rate * gl / np.maximum(hl, 1e-12) * (hl > 0)
+        del g, h, bins, keys, base
         raw += value[t, leaf]
     return Trees(feature, threshold, value, 0.0, fill)

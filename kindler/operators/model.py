@@ -76,7 +76,7 @@ def leave_one_out(df: DataFrame, event: str, features: list[str], label: str, **
     models = {r["_m"]: pickle.loads(r["model"]) for r in others.repartitionById(len(events), F.col("_m")).mapInArrow(_fitting(len(features), params), "_m int, model binary").collect()}
     if len(models) < len(events):
         raise ValueError(f"no labelled rows to learn from for {[e for i, e in enumerate(events) if i not in models]}")
-    d = df.where(F.col(event).isNotNull()).select(*[c for c in df.columns if c not in features], *[F.col(f).cast("double").alias(f) for f in features], index.alias("_e"))
+    d = spread(df.where(F.col(event).isNotNull()), 20_000).select(*[c for c in df.columns if c not in features], *[F.col(f).cast("double").alias(f) for f in features], index.alias("_e"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_e").schema)
     return d.mapInArrow(_scoring(models, features, d.columns[:-1]), f"{schema}, probability_burned double")
 
@@ -96,14 +96,19 @@ def _fitting(n: int, params: dict):
         import numpy as np
         import pyarrow as pa
 
-        xs, ys, of = [], [], None
+        names, of = [f"_{i}" for i in range(n)], None
+        parts: list = [[] for _ in range(n + 1)]
         for b in batches:
             if b.num_rows:
                 of = b.column("_m")[0].as_py()
-                xs.append(_matrix(b, [f"_{i}" for i in range(n)]))
-                ys.append(b.column("_y").to_numpy())
-        if xs:
-            model = boosting.fit(np.concatenate(xs), np.concatenate(ys), **params)
+                for own, c in zip(parts, [*_matrix(b, names).T, b.column("_y").to_numpy()], strict=True):
+                    own.append(c.copy())  # nothing of the batch is kept
+        if of is not None:
+            columns = []
+            while parts:
+                columns.append(np.concatenate(parts.pop(0)))
+            y = columns.pop()
+            model = boosting.fit(columns, y, **params)
             parts = (model.feature, model.threshold, model.value, model.base, model.fill)
             yield pa.record_batch([pa.array([of], pa.int32()), pa.array([pickle.dumps(parts)], pa.binary())], names=["_m", "model"])
 

@@ -88,3 +88,19 @@ def test_explained_rows_are_dealt(spark):
     d = spark.range(12_000).selectExpr("id / 100.0D AS a", "id % 7 / 1.0D AS b", "CAST(id % 3 = 0 AS INT) AS y").coalesce(1)
     m = model.fit(d, ["a", "b"], "y", trees=1, depth=2)
     assert shapley.explained(m, d, ["a", "b"]).rdd.getNumPartitions() == 3
+
+
+def test_boosting_holds_a_byte_for_a_value():
+    import tracemalloc
+
+    from kindler.operators import boosting
+
+    r = np.random.RandomState(1)
+    columns, y = [r.rand(300_000) for _ in range(4)], (r.rand(300_000) < 0.3).astype(float)
+    tracemalloc.start()
+    try:
+        boosting.fit(columns, y, trees=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not columns and most < 300_000 * 90
