@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import scratch
+from ..session import scratch, spread
 from ..sources import files, parts, readers
 from .core import r6
 from .spatial import _FOOTPRINT
@@ -68,8 +68,8 @@ def src16_events_with_files(t):
     path = scratch(t.spark, "found")
     named = lambda d, end: d.select("o_custkey").distinct().select(F.concat(F.col("o_custkey").cast("string"), F.lit(end)).alias("name"), F.encode(F.lit("{}"), "utf-8").alias("content"))
     o = t("orders")
-    parts.write_files(named(o, "_metrics.json").unionByName(named(o.where("o_orderkey % 3 = 0"), "_scores.csv")), path)
-    return t.spark.createDataFrame([(e,) for e in readers.events_with_companion(t.spark, path)], "event_id string")
+    parts.write_files(spread(named(o, "_metrics.json").unionByName(named(o.where("o_orderkey % 3 = 0"), "_scores.csv"))), path)
+    return parts.with_companion(t.spark, path).select(F.col("stem").alias("event_id"))
 
 
 @query(f"WITH f AS ({_FOOTPRINT}) SELECT id, 'use ' || CAST(kind AS VARCHAR) AS use, round(a * b, 6) AS area FROM f")

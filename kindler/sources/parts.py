@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -36,7 +36,8 @@ def _store(path: str):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list
+    folder: str
+    names: str  # one text, as tasks may write very many
 
 
 class FileParts(DataSource):
@@ -63,19 +64,20 @@ class _Parts(DataSourceArrowWriter):
         store.create_dir(own, recursive=True)
         for batch in iterator:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if not name or "/" in name or name[0] in "._":
+                if not name or "/" in name or "\n" in name or name[0] in "._":
                     raise ValueError(f"not a file name: {name!r}")
                 with store.open_output_stream(f"{own}/{name}") as f:
                     f.write(content or b"")
-                names.append((own, name))
-        return _Written(names)
+                names.append(name)
+        return _Written(own, "\n".join(names))
 
     def commit(self, messages: list) -> None:
         from pyarrow import fs
 
         store, folder = _store(self.path)
-        moved = [x for m in messages if m for x in m.names]
-        if len({n for _, n in moved}) < len(moved):
+        written = [m for m in messages if m and m.names]
+        hashes = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(hash, m.names.split("\n")), np.int64) for m in written)])
+        if len(np.unique(hashes)) < len(hashes) and len({n for m in written for n in m.names.split("\n")}) < len(hashes):
             self.abort(messages)
             raise ValueError("two rows have the same file name")
         if self.overwrite:
@@ -83,11 +85,12 @@ class _Parts(DataSourceArrowWriter):
                 if f.is_file:
                     store.delete_file(f.path)
         store.create_dir(folder, recursive=True)
-        for own, name in moved:
-            store.move(f"{own}/{name}", f"{folder}/{name}")
+        for m in written:
+            for name in m.names.split("\n"):
+                store.move(f"{m.folder}/{name}", f"{folder}/{name}")
         self._clean()
         with store.open_output_stream(f"{folder}/_SUCCESS") as f:
-            f.write(json.dumps({"files": len(moved)}).encode())
+            f.write(json.dumps({"files": len(hashes)}).encode())
 
     def abort(self, messages: list) -> None:
         self._clean()
@@ -106,6 +109,33 @@ def write_files(rows: DataFrame, folder: str, mode: str = "append") -> None:
     rows.select("name", "content").write.format("file_parts").mode(mode).save(folder)
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the files in ``folder``; one task lists them, and the driver sees none."""
+
+    def run(batches):
+        import os
+        from itertools import islice
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for _ in batches:
+            store, at = _store(folder)
+            local = isinstance(store, fs.LocalFileSystem)
+            names = (e.name for e in os.scandir(at) if e.is_file()) if local else (f.base_name for f in store.get_file_info(fs.FileSelector(at)) if f.is_file)
+            while part := list(islice(names, 50_000)):
+                yield pa.record_batch([pa.array(part, pa.string())], names=["name"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "name string")
+
+
+def with_companion(spark: SparkSession, folder: str, main: str = "_metrics.json", other: str = "_scores.csv") -> DataFrame:
+    """(stem) in ``folder`` that have both files, for folders of any size."""
+    n, names = F.col("name"), listed(spark, folder)
+    ends = F.when(n.endswith(main), F.struct(F.substr(n, F.lit(1), F.length(n) - len(main)).alias("stem"), F.lit(1).alias("of"))).when(n.endswith(other), F.struct(F.substr(n, F.lit(1), F.length(n) - len(other)).alias("stem"), F.lit(2).alias("of")))
+    return names.select(ends.alias("e")).where("e is not null").groupBy(F.col("e.stem").alias("stem")).agg(F.bit_or("e.of").alias("of")).where("of = 3").select("stem")
+
+
 def write_geotiff_tiles(pixels: DataFrame, folder: str, x0: float, y0: float, dx: float, dy: float, tile: int = 256, nodata: float = -9999.0) -> None:
     """Pixels (row, col, v) as GeoTIFF files of at most ``tile`` x ``tile``, one for each tile that has a pixel; missing ones are ``nodata``."""
 

@@ -104,3 +104,12 @@ def test_boosting_holds_a_byte_for_a_value():
     finally:
         tracemalloc.stop()
     assert not columns and most < 300_000 * 90
+
+
+def test_companions_are_found_by_a_task(spark, tmp_path):
+    from kindler.sources import parts
+
+    for n in ("a_metrics.json", "a_scores.csv", "b_metrics.json", "c_scores.csv"):
+        (tmp_path / n).write_text("")
+    assert [r["stem"] for r in parts.with_companion(spark, str(tmp_path)).collect()] == ["a"]
+    assert "MapInArrow" in plan_of(spark, "src16_events_with_files")
