@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import row_mean
 from ..session import checkpointed
+from ..session import spread as dealt
 from .stats import percentile_ranks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the library
@@ -98,8 +99,9 @@ def weight_stability(df: DataFrame, key: str, weights: dict[str, float], rounds:
     most = max(1, -int(-n * top // 1))
     base = top_fraction(composite(df, weights, "_s"), "_s", key, top).select(key, *cols)
     draws = weight_draws(weights, rounds, spread, seed)
-    bars = [[*ws, cut - 1e-12] for ws, cut in zip(draws, _cuts(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), cols, draws, n, most), strict=True)]
-    base = base.withColumn("_k", F.size(F.filter(_constant(bars), lambda d: _score(cols, d) >= d[len(cols)])))
+    scores = checkpointed(dealt(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), 20_000))  # every pass computes all rounds of a row
+    bars = [[*ws, cut - 1e-12] for ws, cut in zip(draws, _cuts(scores, cols, draws, n, most), strict=True)]
+    base = dealt(checkpointed(base)).withColumn("_k", F.size(F.filter(_constant(bars), lambda d: _score(cols, d) >= d[len(cols)])))
     return base.select(key, (F.col("_k") / rounds).alias("stability"))
 
 
@@ -162,7 +164,8 @@ def _cuts(df: DataFrame, cols: list[str], draws: list[list[float]], n: int, most
                 with np.errstate(divide="ignore", invalid="ignore"):
                     step = np.clip(np.floor((s - low[:, None]) / (high - low)[:, None] * STEPS), 0, STEPS - 1).astype(np.int64)
                 step[s < low[:, None]], step[s > high[:, None]] = STEPS, STEPS + 1
-                np.add.at(total, (np.arange(rounds)[:, None], step), 1)
+                step += (np.arange(rounds) * (STEPS + 2))[:, None]
+                total += np.bincount(step.ravel(), minlength=total.size).reshape(total.shape)
             yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(list(total), pa.list_(pa.int64()))], names=["r", "n"])
 
         return run

@@ -113,3 +113,13 @@ def test_companions_are_found_by_a_task(spark, tmp_path):
         (tmp_path / n).write_text("")
     assert [r["stem"] for r in parts.with_companion(spark, str(tmp_path)).collect()] == ["a"]
     assert "MapInArrow" in plan_of(spark, "src16_events_with_files")
+
+
+def test_rounds_are_computed_by_several_tasks(spark, monkeypatch):
+    from kindler.operators import scoring
+
+    seen = []
+    monkeypatch.setattr(scoring, "_cuts", lambda df, cols, draws, n, most: seen.append(df.rdd.getNumPartitions()) or [0.0] * len(draws))
+    d = spark.range(50_000).selectExpr("id", "id / 50000.0D AS a", "1 - id / 50000.0D AS b").coalesce(1)
+    scoring.weight_stability(d, "id", {"a": 0.5, "b": 0.5}, rounds=2)
+    assert seen == [3]
