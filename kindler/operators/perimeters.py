@@ -137,9 +137,9 @@ def _inside_runs(traced: DataFrame, size: float) -> DataFrame:
 def _inside_points(points: DataFrame, traced: DataFrame) -> DataFrame:
     """_r of the points in traced cells that lie strictly inside a part."""
     x, y, part = F.col("x"), F.col("y"), ["_p", "part"]
-    here = points.join(traced.select(*part, F.col("gx").alias("qx"), F.col("gy").alias("qy")).distinct(), ["qx", "qy"]).select("_r", "x", "y", *part, "qy")
+    here = points.join(traced.select(*part, F.col("gx").alias("qx"), F.col("gy").alias("qy")).distinct().hint("merge"), ["qx", "qy"]).select("_r", "x", "y", *part, "qy")
     lines = traced.select(*part, F.col("gy").alias("qy"), "_e", "x1", "y1", "x2", "y2").distinct()
-    met = here.join(lines, [*part, "qy"])
+    met = here.join(lines.hint("merge"), [*part, "qy"])
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * F.try_divide(y - y1, y2 - y1) + x1)
     between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
@@ -162,13 +162,13 @@ def _features(points: DataFrame, pieces: DataFrame, traced: DataFrame, boundary,
     cell = ["qx", "qy"]
     # nearest line
     outer = traced.where("outer")
-    lines = _nearest_cells(cells, outer, size).join(outer, ["gx", "gy"]).withColumn("_c", boundary(cx, cy))
+    lines = _nearest_cells(cells, outer, size).join(outer.hint("merge"), ["gx", "gy"]).withColumn("_c", boundary(cx, cy))
     lines = lines.withColumn("_m", F.min("_c").over(Window.partitionBy(*cell))).where(F.col("_c") <= F.col("_m") * (1 + SLACK) + 2 * half).drop("gx", "gy", "_c", "_m").distinct()
-    nearest = spots.join(lines, cell).groupBy("_r").agg(F.min(F.struct(boundary(F.col("x"), F.col("y")).alias("d"), F.col("pid").alias("pid"))).alias("_n"))
+    nearest = spots.join(lines.hint("merge"), cell).groupBy("_r").agg(F.min(F.struct(boundary(F.col("x"), F.col("y")).alias("d"), F.col("pid").alias("pid"))).alias("_n"))
     # perimeters within reach of a cell
     coarse = lambda low, high: _steps(low - far - 2 * half, high + far + 2 * half, far)
     dealt = pieces.withColumn("_gx", coarse(box["x"][0], box["x"][1])).withColumn("_gy", coarse(box["y"][0], box["y"][1]))
-    reach = cells.withColumn("_gx", F.floor(cx / far).cast("long")).withColumn("_gy", F.floor(cy / far).cast("long")).join(dealt, ["_gx", "_gy"]).drop("_gx", "_gy")
+    reach = cells.withColumn("_gx", F.floor(cx / far).cast("long")).withColumn("_gy", F.floor(cy / far).cast("long")).join(dealt.hint("merge"), ["_gx", "_gy"]).drop("_gx", "_gy")
     reach = reach.withColumn("_c", area(cx, cy)).where(F.col("_c") - half < far * (1 + SLACK))
     reach = reach.withColumn("_m", F.min("_c").over(Window.partitionBy(*cell, "_p"))).where(F.col("_c") <= F.abs("_m") * SLACK + F.col("_m") + 2 * half)
     reach = checkpointed(reach)
@@ -177,7 +177,7 @@ def _features(points: DataFrame, pieces: DataFrame, traced: DataFrame, boundary,
     known = reach.select(*cell, "_p", "w", sure(near).alias("near"), sure(far).alias("far"), (F.col("_m") + half < -size * SLACK).alias("within")).distinct()
     if runs is not None:
         block = runs.withColumn("_b", F.explode(F.sequence(F.shiftright("first", 6), F.shiftright("last", 6))))
-        covered = cells.withColumn("_b", F.shiftright("qx", 6)).join(block.withColumnRenamed("gy", "qy"), ["qy", "_b"]).where("qx between first and last")
+        covered = cells.withColumn("_b", F.shiftright("qx", 6)).join(block.withColumnRenamed("gy", "qy").hint("merge"), ["qy", "_b"]).where("qx between first and last")
         held = covered.select(*cell, "_p", "w", F.lit(True).alias("near"), F.lit(True).alias("far"), F.lit(True).alias("within"))
         known = known.withColumn("within", F.lit(False)).unionByName(held)
     known = known.groupBy(*cell, "_p").agg(F.max("w").alias("w"), *[F.max(c).alias(c) for c in ("near", "far", "within")])
@@ -185,20 +185,20 @@ def _features(points: DataFrame, pieces: DataFrame, traced: DataFrame, boundary,
         F.count_if("near").alias("_near"), F.count_if("far").alias("_far"), F.max(F.col("within").cast("int")).alias("_in"), F.sum(F.when(F.col("far"), F.col("w")).otherwise(0.0)).alias("_w")
     )
     # what a cell leaves open is measured from each point
-    unsure = reach.join(known.select(*cell, "_p", F.col("near").alias("_n5"), F.col("far").alias("_n10"), F.col("within").alias("_i")), [*cell, "_p"])
+    unsure = reach.join(known.select(*cell, "_p", F.col("near").alias("_n5"), F.col("far").alias("_n10"), F.col("within").alias("_i")).hint("merge"), [*cell, "_p"])
     open_in = ~F.col("_i") & maybe(0.0) if runs is None else F.lit(False)
     unsure = unsure.where((~F.col("_n5") & maybe(near)) | (~F.col("_n10") & maybe(far)) | open_in)
-    measured = spots.join(unsure, cell).groupBy("_r", "_p").agg(F.min(area(F.col("x"), F.col("y"))).alias("d"), F.first("w").alias("w"), *[F.first(c).alias(c) for c in ("_n5", "_n10", "_i")])
+    measured = spots.join(unsure.hint("merge"), cell).groupBy("_r", "_p").agg(F.min(area(F.col("x"), F.col("y"))).alias("d"), F.first("w").alias("w"), *[F.first(c).alias(c) for c in ("_n5", "_n10", "_i")])
     by_point = measured.groupBy("_r").agg(
         F.count_if(~F.col("_n5") & (F.col("d") < near)).alias("near_"),
         F.count_if(~F.col("_n10") & (F.col("d") < far)).alias("far_"),
         F.max((F.lit(runs is None) & ~F.col("_i") & (F.col("d") < 0)).cast("int")).alias("in_"),
         F.sum(F.when(~F.col("_n10") & (F.col("d") < far), F.col("w")).otherwise(0.0)).alias("w_"),
     )
-    out = points.join(by_cell, cell, "left").join(by_point, "_r", "left").join(nearest, "_r", "left")
+    out = points.join(by_cell.hint("merge"), cell, "left").join(by_point.hint("merge"), "_r", "left").join(nearest.hint("merge"), "_r", "left")
     burned = F.greatest(F.coalesce("_in", F.lit(0)), F.coalesce("in_", F.lit(0)))
     if inside is not None:
-        out = out.join(inside.select("_r", F.lit(1).alias("_own")), "_r", "left")
+        out = out.join(inside.select("_r", F.lit(1).alias("_own")).hint("merge"), "_r", "left")
         burned = F.greatest(burned, F.coalesce("_own", F.lit(0)))
     total = lambda a, b, zero: F.coalesce(a, F.lit(zero)) + F.coalesce(b, F.lit(zero))
     return out.select(
@@ -239,7 +239,7 @@ def perimeter_features(points: DataFrame, perimeters: DataFrame, key: str, refer
     own = numbered(perimeters.select(F.col(pid).alias("pid"), _weight(reference_year).alias("w"), "parts"), "_p")
     pieces = numbered(edges_of(own, "_p", "pid", "w"), "_e")
     traced = checkpointed(traced_edges(pieces, size))
-    runs = _inside_runs(traced, size).join(pieces.select("_p", "w").distinct(), "_p")
+    runs = _inside_runs(traced, size).join(pieces.select("_p", "w").distinct().hint("merge"), "_p")
     box = {c: (F.least(f"{c}1", f"{c}2"), F.greatest(f"{c}1", f"{c}2")) for c in ("x", "y")}
     inside = _inside_points(spots.where("qx is not null"), traced)
     return _features(spots, pieces, traced, edge_distance, edge_distance, box, size, reference_year, near, far, runs, inside)
