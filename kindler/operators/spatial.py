@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import checkpointed, dealt
 from .perimeters import circle_features  # noqa: F401
 
 #: Polygons of at most this many rows are broadcast whole; for nearest neighbours, a side that is compared with every row.
@@ -206,11 +206,18 @@ def label_inside(points: DataFrame, polygons: DataFrame, key: str, pid: str) ->
 
 
 def sample_raster(points: DataFrame, pixels: DataFrame, x0: float, y0: float, res: float, rows: int, cols: int, clamp: bool = False) -> DataFrame:
-    """``points`` with v of the pixel under them; outside the extent null, or the edge pixel with ``clamp``."""
+    """``points`` with v of the pixel under them; outside the extent null, or the edge pixel with ``clamp``.
+
+    The raster meets each place that has points once, in tasks of a fixed number of
+    pixels; very many points may share a place, as at the edge with ``clamp``.
+    """
     row, col = F.floor((y0 - F.col("y")) / res).cast("long"), F.floor((F.col("x") - x0) / res).cast("long")
     if clamp:
         row, col = F.least(F.greatest(row, F.lit(0)), F.lit(rows - 1)), F.least(F.greatest(col, F.lit(0)), F.lit(cols - 1))
-    return points.withColumn("row", row).withColumn("col", col).join(pixels.hint("merge"), ["row", "col"], "left")
+    at = points.withColumn("row", row).withColumn("col", col)
+    places, raster = dealt(at.select("row", "col").distinct(), pixels, keys=["row", "col"])
+    met = checkpointed(raster.join(places.hint("merge"), ["row", "col"]))
+    return at.join(met.hint("merge"), ["row", "col"], "left")
 
 
 def dedup_by_cell(df: DataFrame, x: str, y: str, tolerance: float, area: str, tie: str) -> DataFrame:

@@ -32,6 +32,19 @@ def spread(df: DataFrame, rows: int = 5_000) -> DataFrame:
     return df.repartition(max(1, -(-df.count() // rows)))
 
 
+#: Rows of a task of ``dealt``.
+DEALT = 1_000_000
+
+
+def dealt(*sides: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """``sides`` dealt by ``keys`` over as many tasks as the largest has millions of rows, so that what a task sorts or groups does not grow with them.
+
+    They meet on ``keys`` without another shuffle.  The number of tasks is kept, so no key may have very many rows.
+    """
+    tasks = max(1, *(-(-d.count() // DEALT) for d in sides))
+    return [d.repartition(tasks, *keys) for d in sides]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, its lineage cut; a folder in the warehouse only where none is set."""
     spark = df.sparkSession

@@ -17,6 +17,20 @@ def test_sampled_rasters_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(spark, name)
 
 
+def test_tasks_of_a_sampled_raster_follow_its_pixels(spark, monkeypatch):
+    """Ten times as many pixels as a task takes are sorted by ten tasks, whatever spark.sql.shuffle.partitions; points at one edge pixel meet it once."""
+    from kindler import session
+    from kindler.operators import spatial
+
+    monkeypatch.setattr(session, "DEALT", 200, raising=False)
+    seen = []
+    monkeypatch.setattr(spatial, "checkpointed", lambda df, keep=spatial.checkpointed: seen.append(df.rdd.getNumPartitions()) or keep(df))
+    pixels = spark.range(2_000).selectExpr("id DIV 50 AS row", "id % 50 AS col", "CAST(id AS DOUBLE) AS v")
+    points = spark.range(3_000).selectExpr("id", "IF(id = 7, 20.5D, 1e6D) AS x", "IF(id = 7, 29.5D, -1e6D) AS y")
+    got = {r["id"]: r["v"] for r in spatial.sample_raster(points, pixels, 0.0, 40.0, 1.0, 40, 50, clamp=True).collect()}
+    assert got == {i: 10.0 * 50 + 20 if i == 7 else 1999.0 for i in range(3_000)} and seen == [10]
+
+
 def test_lines_are_dealt_before_they_become_pixels(spark, tmp_path):
     from kindler.plans.tables import Tables
 
