@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import checkpointed, dealt
 
 
 def mosaic(tiles: DataFrame, priority: str, window: tuple[int, int, int, int]) -> DataFrame:
     """One pixel table from overlapping ones: the highest priority with a value wins; ``window`` is row0, row1, col0, col1 (inclusive)."""
     r0, r1, c0, c1 = window
     inside = tiles.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1) & F.col("v").isNotNull())
+    (inside,) = dealt(inside, keys=["row", "col"])
     return inside.groupBy("row", "col").agg(F.max_by("v", priority).alias("v"))
 
 

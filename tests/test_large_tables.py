@@ -39,6 +39,17 @@ def test_lines_are_dealt_before_they_become_pixels(spark, tmp_path):
     assert t.pixels().rdd.getNumPartitions() == 3 and t.pixels().select("row").distinct().count() == 12_000
 
 
+def test_tasks_of_a_mosaic_follow_its_pixels(spark, monkeypatch):
+    from kindler import session
+    from kindler.operators import raster
+
+    monkeypatch.setattr(session, "DEALT", 200, raising=False)
+    tiles = spark.range(2_000).selectExpr("id DIV 50 AS row", "id % 25 AS col", "CAST(id AS DOUBLE) AS v", "id % 50 DIV 25 AS pri")
+    made = raster.mosaic(tiles, "pri", (0, 39, 0, 24))
+    assert made.rdd.getNumPartitions() == 10
+    assert {(r["row"], r["col"]): r["v"] for r in made.collect()} == {(i, k): i * 50.0 + 25 + k for i in range(40) for k in range(25)}
+
+
 @pytest.mark.parametrize("name", ["ras2_resample_nearest", "ras2_resample_bilinear"])
 def test_resampled_rasters_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(spark, name)
