@@ -149,13 +149,16 @@ def components(pixels: DataFrame, cols: int, tile: int = 256) -> DataFrame:
 
     on = pixels.where("v = 1").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     blocks = on.withColumns({"_i": F.floor(F.col("row") / block), "_k": F.floor(F.col("col") / block)})
+    (blocks,) = dealt(blocks, keys=["_i", "_k"])
     local = checkpointed(blocks.groupBy("_i", "_k").applyInPandas(own, "row long, col long, label long"))
     edge = local.where((F.pmod("row", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("col", F.lit(tile)).isin(0, tile - 1)))
     a = edge.select("row", "col", F.col("label").alias("a"))
     steps = F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))
     b = edge.select("row", "col", F.col("label").alias("b"), F.explode(steps).alias("s")).select((F.col("row") - F.col("s.r")).alias("row"), (F.col("col") - F.col("s.c")).alias("col"), "b")
-    seams = a.join(b.hint("merge"), ["row", "col"]).where("a <> b").select("a", "b").distinct()
-    names = connected(seams).select(F.col("node").alias("label"), F.col("component").alias("low"))
+    a, b = dealt(a, b, keys=["row", "col"])
+    seams = checkpointed(a.join(b.hint("merge"), ["row", "col"]).where("a <> b").select("a", "b").distinct())
+    names = checkpointed(connected(seams).select(F.col("node").alias("label"), F.col("component").alias("low")))
+    local, names = dealt(local, names, keys=["label"])  # a tile's label has the tile's pixels at most
     return local.join(names.hint("merge"), "label", "left").select("row", "col", F.coalesce("low", "label").alias("label"))
 
 

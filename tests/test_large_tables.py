@@ -107,6 +107,20 @@ def test_tiles_are_labelled_many_at_once(spark, monkeypatch):
     assert "/ 512" in keys.replace("512.0", "512") and "/ 16" not in keys.replace("16.0", "16")
 
 
+def test_tasks_of_components_follow_their_pixels(spark, monkeypatch):
+    """Blocks, and the names that their labels get, are dealt over tasks by counted pixels; all lines are one patch here."""
+    from kindler import session
+    from kindler.operators import raster
+
+    monkeypatch.setattr(session, "DEALT", 200, raising=False)
+    seen = []
+    monkeypatch.setattr(raster, "checkpointed", lambda df, keep=raster.checkpointed: seen.append(df.rdd.getNumPartitions()) or keep(df))
+    d = spark.range(2_000).selectExpr("id DIV 50 AS row", "id % 50 AS col", "1 AS v")
+    made = raster.components(d, 50, tile=16)
+    assert seen[0] == 10 and made.rdd.getNumPartitions() == 10
+    assert {(r["row"], r["col"], r["label"]) for r in made.collect()} == {(i, k, 0) for i in range(40) for k in range(50)}
+
+
 def test_explained_rows_are_dealt(spark):
     from kindler.operators import model, shapley
 
