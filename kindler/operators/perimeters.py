@@ -5,13 +5,13 @@ Nothing is decided point by point that a cell decides for all its points: what a
 point's cell knows about the distance of its centre, give or take half a diagonal,
 settles most thresholds and leaves few edges to measure.
 
-* Nearest boundary: cells descend a pyramid of traced cells; of the nodes at a
-  level those stay whose nearest corner is not farther than the farthest corner of
-  another one.  The edges in the cells that remain are measured from each point.
-* Inside: between two traced cells of a line all cells lie on one side, known from
-  the crossings of the line's middle; points in traced cells are tested on their own.
-* Thresholds: a perimeter is within reach of a cell surely, surely not, or its
-  edges are measured from each point.
+* Fire histories: points and the pieces of perimeters that can be within the far
+  limit meet by blocks, in arrays (``history``).  Nothing makes a row for a pair,
+  nor for a cell and a piece.
+* Nearest boundary of points far from all: cells descend a pyramid of traced cells;
+  of the nodes at a level those stay whose nearest corner is not farther than the
+  farthest corner of another one.  The edges in the cells that remain are measured
+  from each point.
 
 There is one way for any number of perimeters, none included, and for any number
 of points; rows are told apart by a number of their own.
@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpointed
+from . import history
 
 #: Cells in the near distance; half a diagonal must be far below it.
 FINE = 8
 #: Rounding: shares by which bounds are widened.
 SLACK = 1e-6
+#: Rows of a task, about, and of one side of a group at most.
+SOME, MOST = 250_000, 500_000
+#: What a distance is taken from.
+EDGE, CIRCLE = ["x1", "y1", "x2", "y2"], ["fx", "fy", "r"]
 
 
 def finite(*columns: str) -> Column:
@@ -53,21 +58,6 @@ def edges_of(perimeters: DataFrame, *keep: str) -> DataFrame:
     return edge.where(finite("x1", "y1", "x2", "y2"))
 
 
-def edge_distance(x: Column, y: Column) -> Column:
-    """Distance of (x, y) to the edge (x1, y1)-(x2, y2)."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    u, v = x - F.col("x1") - t * dx, y - F.col("y1") - t * dy
-    return F.sqrt(u * u + v * v)
-
-
-def circle_distance(x: Column, y: Column) -> Column:
-    """Distance of (x, y) to the centre, less the radius: below zero inside."""
-    u, v = x - F.col("fx"), y - F.col("fy")
-    return F.sqrt(u * u + v * v) - F.col("r")
-
-
 def _steps(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
 
@@ -120,92 +110,67 @@ def _nearest_cells(cells: DataFrame, traced: DataFrame, size: float) -> DataFram
     return near
 
 
-def _inside_runs(traced: DataFrame, size: float) -> DataFrame:
-    """(_p, gy, first, last): runs of cells of a line that lie wholly inside a part."""
-    line = ["_p", "part", "gy"]
-    middle = (F.col("gy") + 0.5) * size
-    crosses = (F.col("y1") > middle) != (F.col("y2") > middle)
-    at = F.col("x1") + (F.col("x2") - F.col("x1")) * F.try_divide(middle - F.col("y1"), F.col("y2") - F.col("y1"))
-    # an edge crosses a middle line once, whatever the number of cells it was traced into; equal edges count as often as they occur
-    once = traced.select(*line, "_e", "x1", "y1", "x2", "y2").distinct().where(crosses).select(*line, F.floor(at / size).cast("long").alias("gx"), F.lit(1).alias("n"))
-    cells = once.unionByName(traced.select(*line, "gx", F.lit(0).alias("n"))).groupBy(*line, "gx").agg(F.sum("n").alias("n"))
-    along = Window.partitionBy(*line).orderBy("gx")
-    runs = cells.select("_p", "gy", (F.col("gx") + 1).alias("first"), (F.lead("gx").over(along) - 1).alias("last"), (F.sum("n").over(along) % 2).alias("odd"))
-    return runs.where("odd = 1 and last >= first").select("_p", "gy", "first", "last")
-
-
-def _inside_points(points: DataFrame, traced: DataFrame) -> DataFrame:
-    """_r of the points in traced cells that lie strictly inside a part."""
-    x, y, part = F.col("x"), F.col("y"), ["_p", "part"]
-    here = points.join(traced.select(*part, F.col("gx").alias("qx"), F.col("gy").alias("qy")).distinct().hint("merge"), ["qx", "qy"]).select("_r", "x", "y", *part, "qy")
-    lines = traced.select(*part, F.col("gy").alias("qy"), "_e", "x1", "y1", "x2", "y2").distinct()
-    met = here.join(lines.hint("merge"), [*part, "qy"])
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * F.try_divide(y - y1, y2 - y1) + x1)
-    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
-    on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & between(x, x1, x2) & between(y, y1, y2)
-    side = met.groupBy("_r", *part).agg((F.count_if(F.coalesce(crosses, F.lit(False))) % 2).alias("odd"), F.max(on).alias("on"))
-    return side.where("odd = 1 and not on").select("_r").distinct()
+def _reached(pieces: DataFrame, box: dict, far: float, left: Column | None) -> DataFrame:
+    """``pieces`` with gx, gy of every block of ``far`` where places within ``far`` of them can lie.
+
+    ``left``: the least x of a piece's part; an edge also goes to the blocks on its
+    own lines between there and itself, as lines from there to the right cross it.
+    """
+    by = lambda c: F.floor(c / far).cast("long")
+    wide = far * (1 + SLACK)
+    d = pieces.withColumn("gy", F.explode(F.sequence(by(box["y"][0] - wide), by(box["y"][1] + wide))))
+    first = by(box["x"][0] - wide)
+    if left is not None:
+        own = F.col("gy").between(by(box["y"][0] - far * SLACK), by(box["y"][1] + far * SLACK))
+        first = F.when(own, F.least(first, by(left - wide))).otherwise(first)
+    return d.withColumn("gx", F.explode(F.sequence(first, by(box["x"][1] + wide))))
+
+
+def _shares(counts: DataFrame, name: str) -> DataFrame:
+    """Blocks with more than ``MOST`` rows, and in how many shares they are dealt; no more blocks than a ``MOST``-th of the rows."""
+    return F.broadcast(checkpointed(counts.where(F.col("count") > MOST).select("gx", "gy", F.ceil(F.col("count") / MOST).alias(name))))
 
 
-def _features(points: DataFrame, pieces: DataFrame, traced: DataFrame, boundary, area, box: dict, size: float, reference_year: int, near: float, far: float, runs: DataFrame | None, inside: DataFrame | None) -> DataFrame:
+def _features(points: DataFrame, pieces: DataFrame, columns: list[str], box: dict, size: float, near: float, far: float, left: Column | None, trace) -> DataFrame:
     """``points`` (_r, x, y, qx, qy and what else it has) with the features of a fire history.
 
-    ``boundary`` and ``area`` give the distance of a place to a piece's line and to
-    the piece filled, ``box`` its extent.  ``runs`` and ``inside``: cells and points
-    inside polygons; circles know it from ``area``.
+    ``pieces`` (_p, pid, w, part, outer, ``columns``) are edges or circles, ``box``
+    their extent, and ``trace`` gives the cells of their lines.  Points and pieces
+    meet by blocks; a block of very many is dealt in shares of both, whose features
+    are put together.  Points without a line within ``far`` look for it by cells.
     """
-    half = size * 0.5**0.5 * (1 + SLACK)
-    cells = checkpointed(points.where("qx is not null").select("qx", "qy").distinct())
-    cx, cy = (F.col("qx") + 0.5) * size, (F.col("qy") + 0.5) * size
-    spots = points.where("qx is not null").select("_r", "x", "y", "qx", "qy")
-    cell = ["qx", "qy"]
-    # nearest line
-    outer = traced.where("outer")
-    lines = _nearest_cells(cells, outer, size).join(outer.hint("merge"), ["gx", "gy"]).withColumn("_c", boundary(cx, cy))
-    lines = lines.withColumn("_m", F.min("_c").over(Window.partitionBy(*cell))).where(F.col("_c") <= F.col("_m") * (1 + SLACK) + 2 * half).drop("gx", "gy", "_c", "_m").distinct()
-    nearest = spots.join(lines.hint("merge"), cell).groupBy("_r").agg(F.min(F.struct(boundary(F.col("x"), F.col("y")).alias("d"), F.col("pid").alias("pid"))).alias("_n"))
-    # perimeters within reach of a cell
-    coarse = lambda low, high: _steps(low - far - 2 * half, high + far + 2 * half, far)
-    dealt = pieces.withColumn("_gx", coarse(box["x"][0], box["x"][1])).withColumn("_gy", coarse(box["y"][0], box["y"][1]))
-    reach = cells.withColumn("_gx", F.floor(cx / far).cast("long")).withColumn("_gy", F.floor(cy / far).cast("long")).join(dealt.hint("merge"), ["_gx", "_gy"]).drop("_gx", "_gy")
-    reach = reach.withColumn("_c", area(cx, cy)).where(F.col("_c") - half < far * (1 + SLACK))
-    reach = reach.withColumn("_m", F.min("_c").over(Window.partitionBy(*cell, "_p"))).where(F.col("_c") <= F.abs("_m") * SLACK + F.col("_m") + 2 * half)
-    reach = checkpointed(reach)
-    sure = lambda d: F.col("_m") + half < d * (1 - SLACK)
-    maybe = lambda d: F.col("_m") - half < d * (1 + SLACK) if d else F.col("_m") - half < size * SLACK
-    known = reach.select(*cell, "_p", "w", sure(near).alias("near"), sure(far).alias("far"), (F.col("_m") + half < -size * SLACK).alias("within")).distinct()
-    if runs is not None:
-        block = runs.withColumn("_b", F.explode(F.sequence(F.shiftright("first", 6), F.shiftright("last", 6))))
-        covered = cells.withColumn("_b", F.shiftright("qx", 6)).join(block.withColumnRenamed("gy", "qy").hint("merge"), ["qy", "_b"]).where("qx between first and last")
-        held = covered.select(*cell, "_p", "w", F.lit(True).alias("near"), F.lit(True).alias("far"), F.lit(True).alias("within"))
-        known = known.withColumn("within", F.lit(False)).unionByName(held)
-    known = known.groupBy(*cell, "_p").agg(F.max("w").alias("w"), *[F.max(c).alias(c) for c in ("near", "far", "within")])
-    by_cell = known.groupBy(*cell).agg(
-        F.count_if("near").alias("_near"), F.count_if("far").alias("_far"), F.max(F.col("within").cast("int")).alias("_in"), F.sum(F.when(F.col("far"), F.col("w")).otherwise(0.0)).alias("_w")
-    )
-    # what a cell leaves open is measured from each point
-    unsure = reach.join(known.select(*cell, "_p", F.col("near").alias("_n5"), F.col("far").alias("_n10"), F.col("within").alias("_i")).hint("merge"), [*cell, "_p"])
-    open_in = ~F.col("_i") & maybe(0.0) if runs is None else F.lit(False)
-    unsure = unsure.where((~F.col("_n5") & maybe(near)) | (~F.col("_n10") & maybe(far)) | open_in)
-    measured = spots.join(unsure.hint("merge"), cell).groupBy("_r", "_p").agg(F.min(area(F.col("x"), F.col("y"))).alias("d"), F.first("w").alias("w"), *[F.first(c).alias(c) for c in ("_n5", "_n10", "_i")])
-    by_point = measured.groupBy("_r").agg(
-        F.count_if(~F.col("_n5") & (F.col("d") < near)).alias("near_"),
-        F.count_if(~F.col("_n10") & (F.col("d") < far)).alias("far_"),
-        F.max((F.lit(runs is None) & ~F.col("_i") & (F.col("d") < 0)).cast("int")).alias("in_"),
-        F.sum(F.when(~F.col("_n10") & (F.col("d") < far), F.col("w")).otherwise(0.0)).alias("w_"),
-    )
-    out = points.join(by_cell.hint("merge"), cell, "left").join(by_point.hint("merge"), "_r", "left").join(nearest.hint("merge"), "_r", "left")
-    burned = F.greatest(F.coalesce("_in", F.lit(0)), F.coalesce("in_", F.lit(0)))
-    if inside is not None:
-        out = out.join(inside.select("_r", F.lit(1).alias("_own")).hint("merge"), "_r", "left")
-        burned = F.greatest(burned, F.coalesce("_own", F.lit(0)))
-    total = lambda a, b, zero: F.coalesce(a, F.lit(zero)) + F.coalesce(b, F.lit(zero))
+    block = ["gx", "gy"]
+    kind = pieces.schema["pid"].dataType.simpleString()
+    place = lambda c: F.floor(F.col(c) / far).cast("long")
+    spots = points.where("qx is not null").select("_r", "x", "y", place("x").alias("gx"), place("y").alias("gy"))
+    reached = _reached(pieces, box, far, left).select(*block, "_p", "pid", "part", "outer", "w", *columns)
+    many = [checkpointed(d.groupBy(*block).count()) for d in (spots, reached)]
+    rows = sum(d.agg(F.sum("count")).first()[0] or 0 for d in many)
+    tasks = max(1, -(-rows // SOME))
+    of_points, of_pieces = _shares(many[0], "_a"), _shares(many[1], "_b")
+    dealt = lambda d, other, one, own, all_, n, by: d.join(one, block, "left").join(other, block, "left").withColumn(own, F.pmod(F.col(by), F.coalesce(n, F.lit(1)))).withColumn(all_[0], F.explode(F.sequence(F.lit(0), F.coalesce(F.col(all_[1]), F.lit(1)) - 1)))
+    here = dealt(spots, of_pieces, of_points, "_i", ("_k", "_b"), F.col("_a"), "_r").select(*block, "_i", "_k", "_r", "x", "y").repartition(tasks, *block, "_i", "_k")
+    there = dealt(reached, of_points, of_pieces, "_k", ("_i", "_a"), F.col("_b"), "_p").withColumnsRenamed({c: f"_{c}_" for c in (*block, "_i", "_k")})
+    there = there.select("_gx_", "_gy_", "__i_", "__k_", "_p", "pid", "part", "outer", "w", *columns).repartition(tasks, "_gx_", "_gy_", "__i_", "__k_")
+    made = here.groupBy(*block, "_i", "_k").cogroup(there.groupBy("_gx_", "_gy_", "__i_", "__k_")).applyInArrow(history.histories(columns, near, far, size), f"_r long, d double, pid {kind}, near long, far long, inside long, w double")
+    nearest = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "pid"))).alias("_n")
+    made = checkpointed(made.groupBy("_r").agg(nearest, *[F.sum(c).alias(f"_{c}") for c in ("near", "far", "inside", "w")]))
+    out = points.join(made.hint("merge"), "_r", "left")
+    known = F.col("_n.d") < far * (1 - SLACK)
+    lost = checkpointed(out.where("qx is not null").where(~F.coalesce(known, F.lit(False))).select("_r", "x", "y", *[F.floor(F.col(c) / near).cast("long").alias(q) for c, q in (("x", "qx"), ("y", "qy"))]))
+    outer = pieces.where("outer")
+    if not lost.isEmpty() and not outer.isEmpty():
+        traced = checkpointed(trace(outer, near).select("pid", *columns, "gx", "gy"))
+        cells = checkpointed(lost.select("qx", "qy").distinct())
+        lines = _nearest_cells(cells, traced, near).join(traced.hint("merge"), block).drop(*block).distinct()
+        found = _measured(lost, lines, columns).select("_r", F.struct("d", "pid").alias("_f"))
+        out = out.join(found.hint("merge"), "_r", "left").withColumn("_n", F.coalesce("_f", "_n"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
         *[c for c in points.columns if c not in ("_r", "x", "y", "qx", "qy")],
         F.col("_n.d").alias("dist_to_nearest_fire_m"), F.col("_n.pid").alias("nearest_fire"),
-        total("_near", "near_", 0).cast("long").alias("fire_count_5km"), total("_far", "far_", 0).cast("long").alias("fire_count_10km"),
-        burned.cast("int").alias("ever_burned"), total("_w", "w_", 0.0).alias("recency_score"),
+        count("_near").alias("fire_count_5km"), count("_far").alias("fire_count_10km"),
+        (count("_inside") > 0).cast("int").alias("ever_burned"), F.coalesce("_w", F.lit(0.0)).alias("recency_score"),
     )
 
 
@@ -237,12 +202,9 @@ def perimeter_features(points: DataFrame, perimeters: DataFrame, key: str, refer
     size = near / FINE
     spots = _spots(points, key, size)
     own = numbered(perimeters.select(F.col(pid).alias("pid"), _weight(reference_year).alias("w"), "parts"), "_p")
-    pieces = numbered(edges_of(own, "_p", "pid", "w"), "_e")
-    traced = checkpointed(traced_edges(pieces, size))
-    runs = _inside_runs(traced, size).join(pieces.select("_p", "w").distinct().hint("merge"), "_p")
     box = {c: (F.least(f"{c}1", f"{c}2"), F.greatest(f"{c}1", f"{c}2")) for c in ("x", "y")}
-    inside = _inside_points(spots.where("qx is not null"), traced)
-    return _features(spots, pieces, traced, edge_distance, edge_distance, box, size, reference_year, near, far, runs, inside)
+    pieces = edges_of(own, "_p", "pid", "w").withColumn("_left", F.min(box["x"][0]).over(Window.partitionBy("_p", "part")))
+    return _features(spots, checkpointed(pieces), EDGE, box, size, near, far, F.col("_left"), traced_edges)
 
 
 def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_year: int, near: float = 5_000.0, far: float = 10_000.0, pid: str = "fid") -> DataFrame:
@@ -250,12 +212,9 @@ def circle_features(points: DataFrame, circles: DataFrame, key: str, reference_y
     size = near / FINE
     spots = _spots(points, key, size)
     named = F.col(pid) if pid in circles.columns else F.lit(None).cast("long")
-    own = circles.where(finite("fx", "fy", "r") & (F.col("r") >= 0)).select(named.alias("pid"), _weight(reference_year).alias("w"), *[F.col(c).cast("double").alias(c) for c in ("fx", "fy", "r")], F.lit(True).alias("outer"))
-    pieces = numbered(own, "_p")
-    traced = checkpointed(traced_circles(pieces, size))
+    own = circles.where(finite("fx", "fy", "r") & (F.col("r") >= 0)).select(named.alias("pid"), _weight(reference_year).alias("w"), *[F.col(c).cast("double").alias(c) for c in CIRCLE], F.lit(0).alias("part"), F.lit(True).alias("outer"))
     box = {c: (F.col(f"f{c}") - F.col("r"), F.col(f"f{c}") + F.col("r")) for c in ("x", "y")}
-    line = lambda x, y: F.abs(circle_distance(x, y))
-    return _features(spots, pieces, traced, line, circle_distance, box, size, reference_year, near, far, None, None)
+    return _features(spots, numbered(own, "_p"), CIRCLE, box, size, near, far, None, traced_circles)
 
 
 def nearest_boundary(points: DataFrame, perimeters: DataFrame, key: str, pid: str = "pid", cell: float = 1_000.0) -> DataFrame:
@@ -266,18 +225,18 @@ def nearest_boundary(points: DataFrame, perimeters: DataFrame, key: str, pid: st
     known = spots.where("qx is not null").select("_r", "x", "y", "qx", "qy")
     # an edge of another cell is at least as far as the border of a point's own one
     border = F.least(*[F.least(F.col(c) - F.col(q) * cell, (F.col(q) + 1) * cell - F.col(c)) for c, q in (("x", "qx"), ("y", "qy"))])
-    own = checkpointed(_measured(known, traced.withColumnsRenamed({"gx": "qx", "gy": "qy"})))
+    own = checkpointed(_measured(known, traced.withColumnsRenamed({"gx": "qx", "gy": "qy"}), EDGE))
     settled = own.join(known.hint("merge"), "_r").where(F.col("d") < border * (1 - SLACK)).select("_r", "d", "pid")
     open_ = checkpointed(known.join(settled.select("_r").hint("merge"), "_r", "left_anti"))
     cells = checkpointed(open_.select("qx", "qy").distinct())
     near = _nearest_cells(cells, traced, cell).join(traced.hint("merge"), ["gx", "gy"]).drop("gx", "gy").distinct()
-    found = settled.unionByName(_measured(open_, near))
+    found = settled.unionByName(_measured(open_, near, EDGE))
     return spots.join(found.hint("merge"), "_r", "left").select(key, F.col("pid").alias(pid), F.col("d").alias("dist"))
 
 
-def _measured(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(_r, d, pid): for each point the nearest of the edges of its cell (ties: the smallest pid), without a row for a pair."""
-    kind = edges.schema["pid"].dataType.simpleString()
+def _measured(points: DataFrame, pieces: DataFrame, columns: list[str]) -> DataFrame:
+    """(_r, d, pid): for each point the nearest of the edges or circles of its cell (ties: the smallest pid), without a row for a pair."""
+    kind = pieces.schema["pid"].dataType.simpleString()
 
     def nearest(p, e):
         import numpy as np
@@ -287,19 +246,14 @@ def _measured(points: DataFrame, edges: DataFrame) -> DataFrame:
         if not p.num_rows or not e.num_rows:
             return pa.table({"_r": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "pid": pa.array([], e.schema.field("pid").type)})
         e = e.take(pc.sort_indices(e, [("pid", "ascending")], null_placement="at_start"))
-        x1, y1, x2, y2 = (e.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
-        dx, dy = x2 - x1, y2 - y1
-        square, xs, ys = dx * dx + dy * dy, p.column("x").to_numpy(), p.column("y").to_numpy()
-        best, at, step = np.empty(len(xs)), np.empty(len(xs), np.int64), max(1, 1_000_000 // len(x1))
+        own, xs, ys = [e.column(c).to_numpy() for c in columns], p.column("x").to_numpy(), p.column("y").to_numpy()
+        best, at, step = np.empty(len(xs)), np.empty(len(xs), np.int64), max(1, 1_000_000 // len(own[0]))
         for i in range(0, len(xs), step):
             x, y = xs[i : i + step, None], ys[i : i + step, None]
-            t = (x - x1) * dx + (y - y1) * dy
-            t = np.clip(np.divide(t, square, out=np.zeros_like(t), where=square != 0), 0.0, 1.0)
-            u, v = x - x1 - t * dx, y - y1 - t * dy
-            d = np.sqrt(u * u + v * v)
+            d = history.edge_distance(x, y, own) if len(own) == 4 else np.abs(history.circle_distance(x, y, own))
             at[i : i + step] = d.argmin(axis=1)
             best[i : i + step] = d.min(axis=1)
         return pa.table({"_r": p.column("_r"), "d": pa.array(best), "pid": e.column("pid").take(pa.array(at))})
 
-    edges = edges.select("pid", "x1", "y1", "x2", "y2", F.col("qx").alias("_ex"), F.col("qy").alias("_ey"))
-    return points.groupBy("qx", "qy").cogroup(edges.groupBy("_ex", "_ey")).applyInArrow(nearest, f"_r long, d double, pid {kind}")
+    pieces = pieces.select("pid", *columns, F.col("qx").alias("_ex"), F.col("qy").alias("_ey"))
+    return points.groupBy("qx", "qy").cogroup(pieces.groupBy("_ex", "_ey")).applyInArrow(nearest, f"_r long, d double, pid {kind}")

@@ -71,6 +71,30 @@ def test_boundary_distances_make_no_row_for_a_pair(spark):
     assert "CoGroups" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("most", [None, 60])
+def test_fire_histories_make_no_row_for_a_cell_and_a_perimeter(spark, monkeypatch, most):
+    """Nothing kept is longer than the points or the edges, however many perimeters are in reach; blocks of very many are dealt in shares."""
+    from kindler.operators import perimeters
+
+    if most:
+        monkeypatch.setattr(perimeters, "MOST", most, raising=False)
+    seen = []
+    monkeypatch.setattr(perimeters, "checkpointed", lambda df, keep=perimeters.checkpointed: seen.append((d := keep(df)).count()) or d)
+    points = spark.range(300).selectExpr("id", "(id * 7919 % 20000) + 0.5D AS x", "(id * 5351 % 20000) + 0.5D AS y")
+    box = lambda x, y: f"struct((id * 37 % 20000 + {x}) * 1D AS x, (id * 91 % 20000 + {y}) * 1D AS y)"
+    shapes = spark.range(100).selectExpr("id AS pid", "2014 AS yr", f"array(array(array({box(0, 0)}, {box(900, 0)}, {box(900, 900)}, {box(0, 900)}))) AS parts")
+    made = {r["id"]: r for r in perimeters.perimeter_features(points, shapes, "id", 2023).collect()}
+    assert max(seen) <= 500  # 421 cells of edges for points with none within reach
+    for i in range(300):
+        x, y = i * 7919 % 20000 + 0.5, i * 5351 % 20000 + 0.5
+        own = [(x - 450 - k * 37 % 20000, y - 450 - k * 91 % 20000) for k in range(100)]
+        gap = [np.hypot(max(abs(u) - 450, 0), max(abs(v) - 450, 0)) for u, v in own]
+        line = [g or 450 - max(abs(u), abs(v)) for g, (u, v) in zip(gap, own, strict=True)]
+        want = (min(line), line.index(min(line)), sum(g < 5000 for g in gap), sum(g < 10000 for g in gap), int(0 in gap))
+        assert tuple(made[i])[1:6] == (pytest.approx(want[0]), *want[1:])
+        assert made[i]["recency_score"] == pytest.approx(want[3] / 10)
+
+
 @pytest.mark.parametrize("name", ["ras4_ras5_ras6_focal", "ras7_vegetation_fraction"])
 def test_focal_means_join_and_broadcast_nothing(spark, name):
     plan = plan_of(spark, name)
