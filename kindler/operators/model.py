@@ -39,12 +39,20 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_w", F.when(F.col(label) == 1, F.lit(total / max(2 * pos, 1.0))).otherwise(F.lit(total / max(2 * (total - pos), 1.0))))
 
 
+#: Rows of a task of ``fit``, at most; rows in more tasks stay where they are.
+FITTED = 100_000
+
+
 def fit(df: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> PipelineModel:
     """Imputation by medians, then boosted trees on 0.8 of the rows and features each, with 20 rows in a leaf or more."""
     filled = [f"_f_{f}" for f in features]
     stages = [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x"), GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=seed)]
     cast = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
-    return Pipeline(stages=stages).fit(weighted(spread(cast, 100_000), label))
+    tasks = -(-cast.count() // FITTED)
+    if tasks > cast.rdd.getNumPartitions():
+        # rows are drawn, and paired with their predictions, by their place in a task: it must not depend on which rows came first
+        cast = cast.repartition(tasks).sortWithinPartitions(*features, label)
+    return Pipeline(stages=stages).fit(weighted(cast, label))
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str = "probability_burned") -> DataFrame:

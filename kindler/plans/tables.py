@@ -22,6 +22,9 @@ VIEWS = {
     "wx": "SELECT CAST(user_id % 72 AS BIGINT) AS cell, ts, value AS fwi, value * 2 AS dc, value / 40.0 - 6.0 AS u10, CAST(event_id % 17 AS DOUBLE) - 8.0 AS v10, 290.0 + value / 40.0 AS t2m, 280.0 + CAST(event_id % 11 AS DOUBLE) AS d2m FROM events",
 }
 
+#: Of the views, what leaves a long for many rows, and its equal that does not (from 2,097,152 on, id*id*id does).
+EQUALS = {"(id*id*id) % 13": "((id % 13)*(id % 13)*(id % 13)) % 13"}
+
 
 class Tables:
     """Tables and views of one data folder, resolved when a query is built."""
@@ -31,7 +34,10 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            text = VIEWS[name]
+            for given, equal in EQUALS.items():
+                text = text.replace(given, equal)
+            return self.sql(text)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:

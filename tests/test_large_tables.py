@@ -145,6 +145,30 @@ def test_tasks_of_components_follow_their_pixels(spark, monkeypatch):
     assert {(r["row"], r["col"], r["label"]) for r in made.collect()} == {(i, k, 0) for i in range(40) for k in range(50)}
 
 
+def test_views_hold_ids_of_many_rows(spark, tmp_path):
+    """The third power of an id leaves a long from 2,097,152 on; the values are those of whole numbers without an end."""
+    from kindler.plans.tables import VIEWS, Tables
+
+    ids = [0, 1, 12, 13, 2_097_151, 2_097_152, 7_199_999, 50_000_017]
+    spark.createDataFrame([(i,) for i in ids], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert {r["building_id"]: r["dist"] for r in t("val").collect()} == {i: float((i * 7 + i**3 % 13) % 97) for i in ids}
+    low = "building_id < 2097152"
+    assert sorted(t("val").where(low).collect()) == sorted(t.sql(VIEWS["val"].replace("FROM part)", "FROM part WHERE p_partkey < 2097152)")).collect())
+
+
+def test_few_rows_are_fitted_where_they_are(spark, monkeypatch):
+    from kindler.operators import model
+
+    seen = []
+    monkeypatch.setattr(model, "weighted", lambda df, label, keep=model.weighted: seen.append(df.rdd.getNumPartitions()) or keep(df, label))
+    d = spark.range(0, 12_000, 1, 4).selectExpr("id / 100.0D AS a", "id % 7 / 1.0D AS b", "CAST(id % 3 = 0 AS INT) AS y")
+    model.fit(d, ["a", "b"], "y", trees=1, depth=2)
+    monkeypatch.setattr(model, "FITTED", 2_000, raising=False)
+    model.fit(d, ["a", "b"], "y", trees=1, depth=2)
+    assert seen == [4, 6]
+
+
 def test_explained_rows_are_dealt(spark):
     from kindler.operators import model, shapley
 
